@@ -88,13 +88,15 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def blocks_for(n: int, k: int) -> int:
-    """The number of blocks with the least work for n fingerprints spread evenly."""
+    """The number of blocks with the least work for n fingerprints spread evenly; two more
+    than the budget at least, so that the rows in buckets are in proportion to n over
+    any range of sizes that one cluster sees."""
     from math import comb
 
     def work(b: int) -> float:
         return comb(b, k) * (n + n * n / 2 ** (64 * (b - k) // b) / 20)
 
-    return min(range(k + 1, k + 5), key=work)
+    return min(range(k + 2, k + 6), key=work)
 
 
 def bands(n_blocks: int, k: int) -> list[list[tuple[int, int]]]:
