@@ -25,8 +25,10 @@ from __future__ import annotations
 import functools
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,7 @@ BLOCK = 4096
 SEGMENT = 1 << 20  # ids of a segment, about
 PERCENTILE = 98.0
 BREAK = re.compile(r"(?<=\S)(?= )")
+FINE = re.compile(r"(?<=[A-Za-z])(?=[\x00-\x40\x5B-\x60\x7B-\x7F])|(?<=\S)(?=\s)")
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -125,41 +128,123 @@ def tokenizer(path: str):
     return out
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others, in
+    order, for the code points from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(plain)]
+    return {b: 256 + k for k, b in enumerate(other)}
+
+
 class Encoder:
     """Encodes with the tokenizers library, each distinct piece of text once.
 
-    A match of the byte-level pre-splitting pattern never spans the place between a
-    non-space and a following space, so a text's ids are those of its pieces."""
+    A match of the byte-level pre-splitting pattern spans neither the place between a
+    non-space and a white space nor that between an ASCII letter and an ASCII character
+    that is no letter, so a text's ids are those of its pieces.  Texts are cut at spaces;
+    pieces not met before are cut further, as a rare piece is mostly a known word with
+    other punctuation.  A piece of Latin letters is one match and goes straight to the
+    library's model.  Of the pieces met, the last ``most`` to twice as many are kept."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.library, self.known, self.most = tokenizer(path), {}, most
+    def __init__(self, path: str, most: int = 500_000):
+        self.library, self.most = tokenizer(path), most
+        self.model, self.letters = self.library.model, _byte_letters()
+        #: word -> ids of the word after a space; the same without one
+        self.new, self.old, self.bare = {}, {}, {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [self._pieces(t or "") for t in texts]
-        known = self.known
-        new = list({p for ps in split for p in ps if p not in known})
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = list({p for ps in split for p in ps})
-        if new:
-            for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[p] for p in ps]) for ps in split]
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
+        if len(self.bare) > self.most:
+            self.bare = {}
+        get, firsts, found, missing = self.new.get, [], [], set()
+        for text in texts:
+            first, rest = self._words(text or "")
+            ids = list(map(get, rest))
+            if None in ids:
+                gaps = [k for k, v in enumerate(ids) if v is None]
+                missing.update([rest[k] for k in gaps])
+                found.append((ids, gaps, rest))
+            else:
+                found.append((ids, (), rest))
+            firsts.append(first)
+        self._learn(missing, {f for f in firsts if f and f not in self.bare})
+        new, bare, out = self.new, self.bare, []
+        for first, (ids, gaps, rest) in zip(firsts, found, strict=True):
+            for k in gaps:
+                ids[k] = new[rest[k]]
+            out.append((bare[first] if first else b"") + b"".join(ids))
+        return out
+
+    def _learn(self, missing: set[str], firsts: set[str]) -> None:
+        new, old, bare = self.new, self.old, self.bare
+        cut, atoms = {}, set()
+        for word in missing:
+            if word in old:
+                new[word] = old[word]
+            elif LATIN.fullmatch(word):
+                new[word] = self._one(" " + word)
+            else:
+                cut[word] = parts = FINE.split(" " + word)
+                atoms.update(parts)
+        heads = {f: FINE.split(f) for f in firsts}
+        for parts in heads.values():
+            atoms.update(parts)
+        rest = []
+        for a in atoms:
+            word = a[1:]
+            if a[0] != " ":
+                if a not in bare:
+                    rest.append(a)
+            elif word not in new:
+                if word in old:
+                    new[word] = old[word]
+                elif LATIN.fullmatch(word):
+                    new[word] = self._one(a)
+                else:
+                    rest.append(a)
+        made = {}
+        for a, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            made[a] = _raw(e.ids)
+            if a[0] != " ":
+                bare[a] = made[a]
+        ids = lambda a: made[a] if a in made else new[a[1:]] if a[0] == " " else bare[a]
+        for word, parts in cut.items():
+            new[word] = b"".join(map(ids, parts))
+        for first, parts in heads.items():
+            bare[first] = b"".join(map(ids, parts))
+
+    def _one(self, piece: str) -> bytes:
+        """Ids of a space with letters, which is one match of the pattern."""
+        letters = SPACE + piece[1:] if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return _raw([t.id for t in self.model.tokenize(letters)])
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if not text:
-            return []
+    def _words(text: str) -> tuple[str, list[str]]:
+        """What stands before the first cut, and after each cut's space the rest."""
         if _SPACES.search(text):
-            return BREAK.split(text)
+            first, *rest = BREAK.split(text)
+            if first[:1] == " ":
+                return "", [first[1:], *(p[1:] for p in rest)]
+            return first, [p[1:] for p in rest]
         first, *rest = text.split(" ")
-        out = [" " + p for p in rest]
-        if first:
-            out.insert(0, first)
-        return out
+        return first, rest
+
+
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
 
 
 _SPACES = re.compile(r"\s ")
+SPACE = chr(_byte_letters()[32])
+LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path)
 
 
 def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, segment: int = SEGMENT) -> DataFrame:
@@ -168,7 +253,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, segment: in
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, number, first = Encoder(vocabulary), 0, 0
+        encode, number, first = encoder(vocabulary), 0, 0
         stop = np.array([end], "<u4").tobytes()
         held, keys, n = [], [], 0
 
