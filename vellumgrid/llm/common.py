@@ -56,3 +56,16 @@ def pieces(batch, size: int = 256):
     """Slices of an Arrow batch, so that only few texts are Python objects at a time."""
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
+
+
+def by_size(batch, column: str = "text", most: int = 16 << 20):
+    """Slices of an Arrow batch of about ``most`` bytes of text, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

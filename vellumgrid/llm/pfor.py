@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, shared_dir
+from .common import by_size, shared_dir
 
 MAGIC = b"PFR1"
 BLOCK = 4096
@@ -149,32 +150,51 @@ class Encoder:
     def __init__(self, path: str, most: int = 500_000):
         self.library, self.most = tokenizer(path), most
         self.model, self.letters = self.library.model, _byte_letters()
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # pieces are kept here instead
         #: word -> ids of the word after a space; the same without one
         self.new, self.old, self.bare = {}, {}, {}
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if len(self.new) > self.most:
             self.old, self.new = self.new, {}
         if len(self.bare) > self.most:
             self.bare = {}
-        get, firsts, found, missing = self.new.get, [], [], set()
-        for text in texts:
-            first, rest = self._words(text or "")
-            ids = list(map(get, rest))
-            if None in ids:
-                gaps = [k for k, v in enumerate(ids) if v is None]
-                missing.update([rest[k] for k in gaps])
-                found.append((ids, gaps, rest))
-            else:
-                found.append((ids, (), rest))
-            firsts.append(first)
-        self._learn(missing, {f for f in firsts if f and f not in self.bare})
-        new, bare, out = self.new, self.bare, []
-        for first, (ids, gaps, rest) in zip(firsts, found, strict=True):
-            for k in gaps:
-                ids[k] = new[rest[k]]
-            out.append((bare[first] if first else b"") + b"".join(ids))
-        return out
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        # runs of white space are cut before the first of them only
+        odd = pc.match_substring_regex(texts, WIDE)
+        where = odd.to_numpy(zero_copy_only=False)
+        if not where.any():
+            return self._coded(pc.split_pattern(texts, " "))
+        plain = iter(self._coded(pc.split_pattern(texts.filter(pc.invert(odd)), " ")))
+        other = iter(self._coded(pa.array([self._words(t) for t in texts.filter(odd).to_pylist()], pa.list_(pa.string()))))
+        return [next(other) if w else next(plain) for w in where.tolist()]
+
+    def _coded(self, lists: pa.ListArray) -> list[bytes]:
+        if not len(lists):
+            return []
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words, base = lists.flatten(), offsets[0]
+        offsets = offsets - base
+        lead = np.zeros(len(words), bool)
+        lead[offsets[:-1]] = True
+        firsts = words.filter(pa.array(lead)).to_pylist()
+        coded = words.filter(pa.array(~lead)).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = self.new
+        self._learn({w for w in distinct if w not in new}, {f for f in firsts if f and f not in self.bare})
+        made = list(map(new.__getitem__, distinct))
+        sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        flat = np.frombuffer(b"".join(made), "<u4")
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        # every word's ids, in the order of the words
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate([[0], ends])[offsets - np.arange(len(offsets))] * 4
+        raw, bare = ids.tobytes(), self.bare
+        return [(bare[f] if f else b"") + raw[a:b] for f, a, b in zip(firsts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def _learn(self, missing: set[str], firsts: set[str]) -> None:
         new, old, bare = self.new, self.old, self.bare
@@ -220,22 +240,20 @@ class Encoder:
         return _raw([t.id for t in self.model.tokenize(letters)])
 
     @staticmethod
-    def _words(text: str) -> tuple[str, list[str]]:
-        """What stands before the first cut, and after each cut's space the rest."""
-        if _SPACES.search(text):
-            first, *rest = BREAK.split(text)
-            if first[:1] == " ":
-                return "", [first[1:], *(p[1:] for p in rest)]
-            return first, [p[1:] for p in rest]
-        first, *rest = text.split(" ")
-        return first, rest
+    def _words(text: str) -> list[str]:
+        """What stands before the first cut, then what follows the space of each cut."""
+        first, *rest = BREAK.split(text)
+        if first[:1] == " ":
+            return ["", first[1:], *(p[1:] for p in rest)]
+        return [first, *(p[1:] for p in rest)]
 
 
 def _raw(ids: list[int]) -> bytes:
     return array("I", ids).tobytes() if _NATIVE else np.array(ids, "<u4").tobytes()
 
 
-_SPACES = re.compile(r"\s ")
+#: White space before a space.
+WIDE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] "
 SPACE = chr(_byte_letters()[32])
 LATIN = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
@@ -266,9 +284,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, segment: in
             )
 
         for batch in batches:
-            for piece in pieces(batch):
-                coded = encode(piece.column("text").to_pylist())
-                for key, ids in zip(piece.column("doc_id").to_pylist(), coded, strict=True):
+            for piece in by_size(batch):
+                for key, ids in zip(piece.column("doc_id").to_pylist(), encode(piece.column("text")), strict=True):
                     held.append(ids + stop)
                     keys.append(key)
                     n += len(held[-1]) // 4
