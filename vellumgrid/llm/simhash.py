@@ -255,8 +255,11 @@ def links(nodes: DataFrame, k: int, bucket: int = 4096, blocks: int | None = Non
                 sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, proof)[order]
                 agree = lambda x, y: estimate(sketch[x], sketch[y]) >= similarity
             first = bucket_links(fp, groups, k, agree)
-            linked = np.flatnonzero(first != np.arange(len(first)))
-            return pa.RecordBatch.from_arrays([pa.array(node[first[linked]]), pa.array(node[linked])], ["a", "b"])
+            least = np.full(len(node), np.iinfo(np.int64).max, np.int64)
+            np.minimum.at(least, first, node)  # the same root in most buckets of a group
+            root = least[first]
+            linked = np.flatnonzero(root != node)
+            return pa.RecordBatch.from_arrays([pa.array(root[linked]), pa.array(node[linked])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
