@@ -47,6 +47,8 @@ def test_bm25_is_that_of_fts5(spark):
     asked = spark.createDataFrame([(0, [["cat"], ["net", "incom"], ["daili"]])], "qid int, phrases array<array<string>>")
     got = {r["id"]: r["score"] for r in lexical.scores(index, asked).collect()}
     assert got == pytest.approx(want)
+    again = lexical.stored(index.postings(), index.lengths)
+    assert {r["id"]: r["score"] for r in lexical.scores(again, asked).collect()} == pytest.approx(want)
 
 
 def test_fusion_ties_keep_the_dense_list_first(spark):

@@ -1,8 +1,9 @@
 """Inverted index and BM25 (SRC-11, SNK-8, AGG-8, SRT-2).
 
 Statistics are those of the whole index; filters restrict the rows that are ranked.
-A query is an OR of phrases; words of a phrase stand next to each other.  Postings are
-joined on the few query terms, so the corpus is never scanned by a query.
+A query is an OR of phrases; words of a phrase stand next to each other.  The few query
+terms are joined with the occurrences before anything is shuffled; a stored index
+(``postings``, sorted by term) is read instead of the texts through :func:`stored`.
 """
 
 from __future__ import annotations
@@ -19,12 +20,22 @@ from ..functions.text import words
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, id, positions
+    occurrences: DataFrame  # term, id, pos
     lengths: DataFrame  # id, dl
     stats: DataFrame  # one row: n, avgdl
 
+    def postings(self) -> DataFrame:
+        """term, id, positions: the form in which an index is written."""
+        return self.occurrences.groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
     def term_df(self) -> DataFrame:
-        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return self.occurrences.select("term", "id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+
+
+def stored(postings: DataFrame, lengths: DataFrame) -> Index:
+    """An index from its written tables."""
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    return Index(postings.select("term", "id", F.explode("positions").alias("pos")), lengths, stats)
 
 
 def build(chunks: DataFrame, stem: bool = False, pattern: str = "[a-z0-9]+") -> Index:
@@ -34,16 +45,15 @@ def build(chunks: DataFrame, stem: bool = False, pattern: str = "[a-z0-9]+") ->
     lengths = rows.select("id", F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("dl"))
     lengths = lengths.withColumn("dl", F.greatest("dl", F.lit(0)))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = rows.select("id", F.posexplode("terms").alias("pos", "term")).groupBy("term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, lengths, stats)
+    return Index(rows.select("id", F.posexplode("terms").alias("pos", "term")).select("term", "id", "pos"), lengths, stats)
 
 
 def scores(index: Index, queries: DataFrame) -> DataFrame:
     """``queries(qid, phrases array<array<string>>)`` -> qid, id, score."""
     phrases = queries.select("qid", F.explode(F.array_distinct("phrases")).alias("phrase"))
     asked = phrases.select("phrase").distinct().select("phrase", F.posexplode("phrase").alias("at", "term"))
-    spots = asked.join(index.postings, "term").select("phrase", "id", F.explode("positions").alias("p"), "at")
-    starts = spots.groupBy("phrase", "id", (F.col("p") - F.col("at")).alias("start")).agg(F.count("*").alias("hits"))
+    spots = index.occurrences.join(asked, "term").select("phrase", "id", (F.col("pos") - F.col("at")).alias("start"))
+    starts = spots.groupBy("phrase", "id", "start").agg(F.count("*").alias("hits"))
     tf = starts.where(F.col("hits") == F.size("phrase")).groupBy("phrase", "id").agg(F.count("*").alias("f"))
     df = tf.groupBy("phrase").agg(F.count("*").alias("df"))
     n, f, dl = F.col("n"), F.col("f"), F.col("dl")
