@@ -92,3 +92,25 @@ def test_plans(spark):
     dense = plan(catalog.vector_topk(spark, SF))
     assert "WindowGroupLimit" in dense and "BroadcastNestedLoopJoin" in dense and "Python" not in dense
     assert "Python" not in plan(catalog.rrf_fusion(spark, SF))
+
+
+def test_fetch_reports_and_failures(spark):
+    def get(url):
+        if "bad" in url:
+            raise OSError("no such host")
+        return b"page"
+
+    out = tables.fetched(spark.createDataFrame([("http://a",), ("http://bad",)], "url string"), "me@example.com", 0, get)
+    assert [(r["url"], r["status"], r["error"]) for r in out.orderBy("url").collect()] == [("http://a", "done", None), ("http://bad", "failed", "no such host")]
+    with pytest.raises(ValueError, match="agent"):
+        tables.fetched(out, "")
+    small = spark.createDataFrame([(1, "a|b")], "n int, t string")
+    assert tables.markdown(small, "T").splitlines() == ["# T", "", "| n | t |", "|-|-|", r"| 1 | a\|b |"]
+    assert '"t": "a|b"' in tables.pretty(small)
+
+
+def test_ensure_rebuilds_on_drift(spark):
+    made = lambda cols: lambda: spark.createDataFrame([(1, "x")], cols)
+    assert tables.ensure(spark, "kept", "a int", made("a int, b string")).columns == ["a"]
+    assert tables.ensure(spark, "kept", "a int, b string", made("a int, b string")).columns == ["a", "b"]
+    spark.sql("drop table kept")

@@ -546,3 +546,20 @@ def answer_records(spark, sf_dir):
 def claim_numbers(spark, sf_dir):
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(answers.answer_numbers(F.col("text"))).alias("numbers"), F.size(answers.claim_rows(F.col("text"))).alias("claims"))
     return rows
+
+
+@query("""WITH k AS (SELECT doc_id % 5 AS claims, doc_id % 3 AS with_numbers, doc_id % 7 AS numbers, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 ELSE 0 END AS bad, doc_id % 4 AS uncited FROM documents)
+SELECT CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(with_numbers) AS BIGINT) AS claims_with_numbers, CAST(sum(numbers) AS BIGINT) AS numbers, CAST(sum(bad) AS BIGINT) AS unsupported, CAST(sum(uncited) AS BIGINT) AS uncited,
+round(100 * CAST(sum(numbers) - sum(bad) AS DOUBLE) / sum(numbers), 1) AS supported_pct, count(*) FILTER (bad = 0 AND uncited = 0) AS clean FROM k""")
+def citation_summary(spark, sf_dir):
+    n = F.col("doc_id")
+    bad = F.when(n % 7 > 0, n % 2).otherwise(0)
+    checks = read(spark, sf_dir, "documents").select((n % 5).alias("claims"), (n % 3).alias("claims_with_numbers"), (n % 7).alias("numbers"), bad.alias("unsupported"), (n % 4).alias("uncited"))
+    return evaluation.citation_summary(checks)
+
+
+@query(f"WITH {ORDERS}, q AS (SELECT unnest([0, 7, 49, 99]) AS ticker), m AS (SELECT ticker, max(year) AS year FROM o GROUP BY ticker) SELECT q.ticker AS ticker, coalesce(m.year, '') AS year FROM q LEFT JOIN m ON m.ticker = q.ticker")
+def latest_or_none(spark, sf_dir):
+    """JON-7: a company without a report gets the empty year, which matches nothing."""
+    asked_for = spark.createDataFrame([(t,) for t in (0, 7, 49, 99)], "ticker long")
+    return asked_for.join(latest_per_company(spark, sf_dir), "ticker", "left").select("ticker", F.coalesce("year", F.lit("")).alias("year"))

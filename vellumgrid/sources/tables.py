@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import time
+import urllib.request
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +70,49 @@ def read_partitions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def append_log(df: DataFrame, path: str) -> None:
     """SNK-11."""
     df.write.mode("append").json(path)
+
+
+def ensure(spark: SparkSession, table: str, schema: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """SNK-10: the stored table, built anew if it is missing or its columns differ."""
+    wanted = spark.createDataFrame([], schema).columns
+    if not spark.catalog.tableExists(table) or spark.table(table).columns != wanted:
+        build().select(wanted).write.mode("overwrite").saveAsTable(table)
+    return spark.table(table)
+
+
+def fetched(urls: DataFrame, agent: str, delay: float = 0.2, get: Callable[[str], bytes] | None = None) -> DataFrame:
+    """SRC-1: ``urls(url)`` -> url, status, content, error; one partition, so that the
+    delay holds for the whole run.  A failure is a row and does not end the run."""
+    if not agent:
+        raise ValueError("a user agent is required")
+
+    def over_http(url: str) -> bytes:
+        with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": agent}), timeout=30) as answer:
+            return answer.read()
+
+    read = get or over_http
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for url in batch["url"]:
+                try:
+                    rows.append((url, "done", read(url), None))
+                except (OSError, ValueError) as problem:
+                    rows.append((url, "failed", None, str(problem)))
+                time.sleep(delay)
+            yield pd.DataFrame(rows, columns=["url", "status", "content", "error"])
+
+    return urls.select("url").coalesce(1).mapInPandas(run, "url string, status string, content binary, error string")
+
+
+def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
+    """SNK-12: a report of the first ``most`` rows."""
+    cell = lambda v: str(v).replace("|", r"\|").replace("\n", " / ")
+    head = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    return "\n".join([f"# {title}", "", *head, *("| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most).collect())]) + "\n"
+
+
+def pretty(df: DataFrame, most: int = 1000) -> str:
+    """SNK-13: the first ``most`` rows as indented JSON."""
+    return json.dumps([r.asDict(True) for r in df.limit(most).collect()], indent=2, ensure_ascii=False, default=str)
