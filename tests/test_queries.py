@@ -114,3 +114,21 @@ def test_ensure_rebuilds_on_drift(spark):
     assert tables.ensure(spark, "kept", "a int", made("a int, b string")).columns == ["a"]
     assert tables.ensure(spark, "kept", "a int, b string", made("a int, b string")).columns == ["a", "b"]
     spark.sql("drop table kept")
+
+
+def test_retrieve(spark):
+    from vellumgrid.functions.models import embedded
+    from vellumgrid.plans.retrieve import retrieve
+
+    texts = {"F": "Ford builds trucks and reports net income", "GM": "General Motors sells electric vehicles and net income", "X": "weather was fine"}
+    rows = [(f"{t}-{y}-{i}", t, y, "Item 1", f"{text} part {i}") for t, text in texts.items() for y in ("2024", "2025") for i in range(4)]
+    chunks = spark.createDataFrame(rows, "id string, ticker string, year string, section string, text string")
+    vectors = chunks.select("id", embedded(F.col("text")).alias("v"))
+    asked = spark.createDataFrame([(1, "Compare the profit of Ford and GM"), (2, "Ford trucks in 2023"), (3, "fine weather")], "qid int, question string")
+    aliases = {"F": ["Ford"], "GM": ["General Motors", "GM"]}
+    for mode in ("hybrid", "dense"):
+        got = retrieve(asked, chunks, vectors, lexical.build(chunks), aliases, ["F", "GM"], mode=mode).collect()
+        of = lambda q: [r for r in sorted(got, key=lambda r: r["rank"]) if r["qid"] == q]  # noqa: B023, E731
+        assert sorted(r["ticker"] for r in of(1)) == ["F"] * 3 + ["GM"] * 3 and {r["year"] for r in of(1)} == {"2025"}
+        assert {r["ticker"] for r in of(2)} == {"F"} and len(of(2)) == 5
+        assert of(3)[0]["ticker"] == "X" and [r["rank"] for r in of(3)] == [1, 2, 3, 4, 5]
