@@ -109,6 +109,15 @@ def test_reparameterised_question(spark):
     assert {(r["doc_id"], r["reparameterised"]) for r in got} == {(1, False), (2, True)}
 
 
+def test_a_passage_repeated_in_a_long_text(spark):
+    """One row a document row, at the first place; items may begin before the text does."""
+    item = "quick brown fox jumps over the lazy dog the quick brown fox"
+    long = "fox jumps over the lazy dog. " + "The quick brown fox jumps over the lazy dog. " * 3000
+    docs = spark.createDataFrame([(1, long), (1, long), (1, "something else entirely, without any of it"), (2, "over the lazy dog the quick brown fox and then more words that are no part of it")], "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame([(10, item)], "item_id long, text string"))
+    assert sorted((r["doc_id"], r["n_words"], r["coverage"]) for r in got.collect()) == [(1, 12, 1.0), (1, 12, 1.0)] + [(2, 8, pytest.approx(8 / 12))]
+
+
 def test_every_keyword_gates_its_rule():
     import re
 
