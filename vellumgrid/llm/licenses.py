@@ -10,6 +10,8 @@ give repeated results.  Other columns of ``docs`` are carried along untouched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,20 +41,48 @@ def gate_words() -> list[str]:
 _COMMON = {"the", "of", "and", "in", "is", "with", "not", "without", "this", "that", "under", "same", "public", "software", "free", "general", "provided", "all", "reserved", "responsible", "community", "development", "common", "original", "modified", "revised", "simplified", "above", "notice"}
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(values: Column, total: Callable[[Column], Column]) -> Column:
+    """For each element ``total`` of all elements before it, by blocks of about the cube
+    root of the size, so that the work stays near the size also for very many elements."""
+
+    def blocked(v: Column) -> Column:
+        block = F.greatest(F.lit(1), F.ceil(F.cbrt(F.size(v))).cast("int"))
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / block).cast("int")), lambda i: F.slice(v, i * block + 1, block))
+        return _bound(blocks, lambda bs: _bound(F.transform(bs, total), lambda ts: F.flatten(F.transform(bs, lambda b, i: inner(b, total(F.slice(ts, F.lit(1), i)))))))
+
+    def inner(b: Column, base: Column) -> Column:
+        return _bound(base, lambda x: F.transform(b, lambda _, j: total(F.array(x, total(F.slice(b, F.lit(1), j))))))
+
+    return _bound(values, blocked)
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _max(values: Column) -> Column:
+    return F.coalesce(F.array_max(values), F.lit(-1).cast("long"))
+
+
 def _spans(text: Column, regex: Column, order: Column, label: Column) -> Column:
     """array of struct(ord, label, start, stop): word intervals of the matches."""
     marked = F.regexp_replace(text, regex, F.lit("\x01$0\x02"))
-    parts = F.split(marked, "\x01")
     count = lambda x: F.floor((F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))) / 2).cast("long")
 
-    def step(acc, part):
-        inner = count(F.substring_index(part, "\x02", 1))
-        found = F.struct(order.cast("int").alias("ord"), label.alias("label"), acc["at"].alias("start"), (acc["at"] + inner).alias("stop"))
-        return F.struct((acc["at"] + count(part)).alias("at"), F.concat(acc["found"], F.array(found)).alias("found"))
+    def placed(parts: Column) -> Column:
+        return _bound(_before(F.transform(parts, count), _sum), lambda at: F.transform(parts, lambda p, i: span(p, F.get(at, i))))
+
+    def span(part: Column, start: Column) -> Column:
+        stop = start + count(F.substring_index(part, "\x02", 1))
+        return F.struct(order.cast("int").alias("ord"), label.alias("label"), start.alias("start"), stop.alias("stop"))
 
-    kind = "array<struct<ord:int,label:string,start:bigint,stop:bigint>>"
-    start = F.struct(count(parts[0]).alias("at"), F.array().cast(kind).alias("found"))
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), start, step, lambda acc: acc["found"])
+    # what comes before the first match is no span
+    return _bound(F.split(marked, "\x01"), lambda parts: F.slice(placed(parts), F.lit(2), F.size(parts)))
 
 
 def _scan(text: Column) -> Column:
@@ -64,14 +94,17 @@ def _scan(text: Column) -> Column:
 
 
 def _kept(found: Column) -> Column:
-    """Spans of rules that no other rule's span contains (equal spans: the earlier rule)."""
+    """Spans of rules that no other rule's span contains (equal spans: the earlier rule),
+    by place.  In order of start, longer first, then rule, a span lies in another if and
+    only if one before it ends no sooner."""
     own = F.filter(found, lambda m: m["ord"] > 0)
+    keyed = F.array_sort(F.transform(own, lambda m: F.struct(m["start"].alias("start"), (-m["stop"]).alias("end"), m["ord"].alias("ord"), m["label"].alias("label"))))
 
-    def inside(m, o):
-        wider = (o["stop"] - o["start"]) > (m["stop"] - m["start"])
-        return (o["start"] <= m["start"]) & (o["stop"] >= m["stop"]) & (wider | (o["ord"] < m["ord"]))
+    def outer(spans: Column) -> Column:
+        ends = _before(F.transform(spans, lambda m: -m["end"]), _max)
+        return _bound(ends, lambda e: F.filter(spans, lambda m, i: F.get(e, i) < -m["end"]))
 
-    return F.transform(F.array(own), lambda all_: F.filter(all_, lambda m: ~F.exists(all_, lambda o: inside(m, o))))[0]
+    return F.transform(_bound(keyed, outer), lambda m: F.struct(m["ord"].alias("ord"), m["label"].alias("label"), m["start"].alias("start"), (-m["end"]).alias("stop")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
