@@ -3,7 +3,10 @@
 Long texts are split at safe boundaries before they are encoded: between an ASCII
 letter and an ASCII character that is no letter, every match of the pre-splitting
 pattern ends at the letter, so the parts encode to the same ids as the whole.  A
-run without such a boundary is encoded as it stands.
+run without such a boundary is encoded as it stands.  The library's own matcher fails
+on white space of some hundred thousand characters and more; a part that holds
+``LONG_SPACE`` of them in a row is matched by the regex library, with the same pattern,
+and each match goes to the library as one piece.
 
 Defined cases: null text counts as empty (no ids); special-token strings are plain
 text; repeated rows give repeated results.
@@ -23,6 +26,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SAFE = re.compile(r"[A-Za-z](?=[\x00-\x40\x5B-\x60\x7B-\x7F])")
+LONG_SPACE = re.compile(r"\s{50000}")
+
+
+@functools.lru_cache(maxsize=4)
+def matcher(pattern: str):
+    import regex
+
+    return regex.compile(pattern)
 
 
 @functools.lru_cache(maxsize=4)
@@ -53,7 +64,11 @@ def parts(text: str, size: int) -> Iterator[str]:
 def encode(text: str | None, enc, size: int = 100_000) -> array:
     ids = array("I")
     for part in parts(text or "", size):
-        ids.extend(enc.encode_ordinary(part))
+        if LONG_SPACE.search(part):
+            for match in matcher(enc._pat_str).finditer(part):
+                ids.extend(enc._encode_single_piece(match.group()))
+        else:
+            ids.extend(enc.encode_ordinary(part))
     return ids
 
 
