@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vellumgrid.llm import bpe, decontaminate, langid, pfor, pivots, quality, simhash, suffix_tree, toxicity
+from vellumgrid.llm import bpe, decontaminate, langid, licenses, pfor, pivots, quality, simhash, suffix_tree, toxicity
 from vellumgrid.llm.components import components
 from vellumgrid.llm.license_rules import rules
 
@@ -47,6 +47,17 @@ def test_encoders_agree_with_the_libraries(text):
     assert ids.tolist() == enc.encode_ordinary(text) and bpe.decode(ids, enc) == text.encode()
 
 
+@pytest.mark.parametrize("run", [" " * 60_000, "\n" * 50_001, " \n\t\u3000\x85" * 30_000])
+def test_long_white_space_is_matched_apart(run):
+    import public_tokenizers
+
+    enc = bpe.encoding(vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for text in (run, "abc " + run, run + "it's 44 \x1c漢", "7!" + run + " z"):
+        assert bpe.encode(text, enc).tolist() == enc.encode_ordinary(text)
+    longer = "a" + run * (2_000_000 // len(run)) + "b"  # the library's own matcher fails on it
+    assert bpe.decode(bpe.encode(longer, enc), enc) == longer.encode()
+
+
 def test_suffix_tree_sums_to_one():
     rng = random.Random(1)
     lex = suffix_tree.Lexicon([b"a", b"b", b"c"], np.array([60, 30, 10]), 2, 3)
@@ -118,6 +129,36 @@ def test_a_passage_repeated_in_a_long_text(spark):
     assert sorted((r["doc_id"], r["n_words"], r["coverage"]) for r in got.collect()) == [(1, 12, 1.0), (1, 12, 1.0)] + [(2, 8, pytest.approx(8 / 12))]
 
 
+NOTICES = "Released under the MIT License. Licensed under the Apache License, Version 2.0; CC BY NC. SPDX-License-Identifier: GPL-2.0-or-later, GNU General Public License v3 or later. "
+
+
+def test_licence_spans_as_by_all_pairs(spark):
+    rng = random.Random(5)
+    words = NOTICES.split()
+    texts = [" ".join(rng.choices(words, k=80)) + " " + NOTICES * rng.randint(0, 3) for _ in range(40)] + ["", NOTICES, "mit license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spaced = "concat(' ', replace(translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ', '  '), ' ')"
+    every = docs.withColumn("w", licenses.words_of(docs.text)).selectExpr("doc_id", f"{spaced} as t")
+    every = {r.doc_id: r.found for r in every.select("doc_id", licenses._scan(every.t).alias("found")).collect()}
+    seen = 0
+    for row in licenses.scan(docs).collect():
+        own = [(m.start, m.stop, m.ord) for m in every[row.doc_id] if m.ord]
+        inside = lambda m, o: o[0] <= m[0] and o[1] >= m[1] and (o[1] - o[0] > m[1] - m[0] or o[2] < m[2])
+        want = sorted(m for m in own if not any(inside(m, o) for o in own))
+        assert sorted((m.start, m.stop, m.ord) for m in row.licences.kept) == want
+        seen += len(own) - len(want)
+    assert seen > 20
+
+
+def test_a_licence_repeated_in_a_long_text(spark):
+    n = 4_000
+    row = licenses.scan(spark.createDataFrame([(1, NOTICES * n)], "doc_id long, text string")).first().licences
+    each = len(licenses.scan(spark.createDataFrame([(1, NOTICES)], "doc_id long, text string")).first().licences.kept)
+    assert len(row.base) == 3 * n and len(row.kept) == each * n
+    size = row.n_words // n
+    assert sorted(m.start for m in row.base if m.label == "mit") == [size * i + 1 for i in range(n)]
+
+
 def test_every_keyword_gates_its_rule():
     import re
 
