@@ -113,6 +113,40 @@ def test_copies(spark):
     assert gone == {2, 3, 7}
 
 
+def near_copies(rng, vocabulary):
+    """Texts of 20 to 400 words with copies that are extended, shortened or changed, so
+    that many similarities are just above or below 0.8."""
+    texts = []
+    for size in (20, 25, 40, 80, 150, 400):
+        for share in (0.05, 0.1, 0.15, 0.18, 0.2, 0.22, 0.25, 0.3):
+            base = rng.choices(vocabulary, k=size)
+            more = rng.choices(vocabulary, k=round(size * share))
+            edited = base.copy()
+            edited[rng.randrange(size)] = "changed"
+            texts += [base, base + more, more + base, base[len(more) :], edited]
+    return [" ".join(t) for t in texts]
+
+
+def jaccard(a, b):
+    one, two = (set(simhash.shingles(simhash.words(t), 5)) for t in (a, b))
+    return len(one & two) / len(one | two)
+
+
+def test_copies_are_those_of_all_pairs(spark):
+    """No link at 0.8 or more is lost: appended blocks, short texts and one-word edits."""
+    rng = random.Random(7)
+    texts = near_copies(rng, [f"w{i}" for i in range(3000)])
+    root = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if jaccard(texts[i], texts[j]) >= 0.8]
+    for _ in pairs:
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for own in (simhash.CopySettings(), simhash.CopySettings(frequent=2, bucket=3, first=1)):
+        gone = {r["doc_id"] for r in simhash.copies(docs, own).collect()}
+        assert len(pairs) > 60 and gone == {i for i, r in enumerate(root) if i != r}
+
+
 def test_reparameterised_question(spark):
     item = "A train leaves Paris at 9 and travels 120 km in 3 hours while Alice counts 9 birds"
     docs = [(1, f"Intro here. {item} and the rest."), (2, "So. A train leaves London at 7 and travels 250 miles in 5 hours while Bob counts 7 birds okay."), (3, "So. A train leaves London at 7 and travels 250 km in 5 hours while Bob counts 8 birds okay."), (4, "nothing to see in this text at all")]

@@ -26,10 +26,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, small
+from .common import cut, pieces, sampled, small
 from .components import components
 
 SEED = 42
@@ -202,65 +202,40 @@ def join_forest(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             labels = further
 
 
-def bucket_links(values: np.ndarray, groups: np.ndarray, k: int, agree: Callable | None = None) -> np.ndarray:
+def bucket_links(values: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
     """For each value the first value of its component inside its group."""
     labels = np.arange(len(values))
     for i, j in trie_pairs(values, groups, k):
-        new = labels[i] != labels[j]
-        i, j = i[new], j[new]
-        for at in range(0, len(i), 1 << 15 if agree else max(1, len(i))):
-            x, y = i[at : at + (1 << 15)] if agree else i, j[at : at + (1 << 15)] if agree else j
-            if agree:
-                new = labels[x] != labels[y]
-                x, y = x[new], y[new]
-                ok = agree(x, y)
-                x, y = x[ok], y[ok]
-            labels = join_forest(labels, x, y)
+        labels = join_forest(labels, i, j)
     return labels
 
 
-def links(nodes: DataFrame, k: int, bucket: int = 4096, blocks: int | None = None, proof: int | None = None, similarity: float = 0.0) -> DataFrame:
-    """``nodes(node, fp[, sketch])`` -> a, b: links that span the components of the
-    relation "within k bits" (and, with ``proof`` sketch bytes, sketches that agree on
-    ``similarity``).  ``nodes`` must be materialised; it is read twice."""
-    n_blocks = blocks or blocks_for(nodes.count(), k)
-    extra = ["sketch"] if proof else []
-    rows = nodes.select("node", "fp", *extra, F.explode(band_keys(F.col("fp"), n_blocks, k)).alias("x")).select("x.band", "x.key", "node", "fp", *extra)
-    sizes = nodes.select(F.explode(band_keys(F.col("fp"), n_blocks, k)).alias("x")).groupBy("x.band", "x.key").agg(F.count("*").alias("n"))
-    hot = small(cut(sizes.where(F.col("n") > bucket).select("band", "key", F.ceil(F.col("n") / bucket).cast("int").alias("chunks"))))
-    rows = rows.join(hot, ["band", "key"], "left")
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+def chunked(rows: DataFrame, sizes: DataFrame, keys: list[str], member: str, bucket: int) -> DataFrame:
+    """``rows`` with i, j: groups (by ``keys``) of more than ``bucket`` rows are cut into
+    chunks, of which any two, i and j, meet; ``sizes`` has the rows n of each group."""
+    hot = small(cut(sizes.where(F.col("n") > bucket).select(*keys, F.ceil(F.col("n") / bucket).cast("int").alias("chunks"))))
+    rows = rows.join(hot, keys, "left")
+    chunk = F.pmod(F.xxhash64(member), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     rows = rows.withColumn("c", F.explode(F.when(F.col("chunks").isNull(), one).otherwise(pairs)))
-    rows = rows.select("band", "key", F.col("c.i").alias("i"), F.col("c.j").alias("j"), "fp", "node", *extra)
-    keys = ["band", "key", "i", "j"]
+    return rows.withColumns({"i": F.col("c.i"), "j": F.col("c.j")}).drop("c", "chunks")
 
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        size = 0
 
-        def solve(table: pa.Table):
-            table = table.combine_chunks()
-            cols = [table.column(c).to_numpy() for c in keys]
-            new = np.zeros(table.num_rows, bool)
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            groups = np.cumsum(new)
-            fp, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
-            order = np.lexsort((node, fp, groups))
-            fp, node, groups = fp[order], node[order], groups[order]
-            agree = None
-            if proof:
-                sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, proof)[order]
-                agree = lambda x, y: estimate(sketch[x], sketch[y]) >= similarity
-            first = bucket_links(fp, groups, k, agree)
-            least = np.full(len(node), np.iinfo(np.int64).max, np.int64)
-            np.minimum.at(least, first, node)  # the same root in most buckets of a group
-            root = least[first]
-            linked = np.flatnonzero(root != node)
-            return pa.RecordBatch.from_arrays([pa.array(root[linked]), pa.array(node[linked])], ["a", "b"])
+def by_group(rows: DataFrame, keys: list[str], solve: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """``solve(rows of whole groups, number of each row's group)`` over groups by ``keys``."""
 
+    def solved(table: pa.Table) -> pa.RecordBatch:
+        table = table.combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        for c in keys:
+            own = table.column(c).to_numpy()
+            new[1:] |= own[1:] != own[:-1]
+        return solve(table, np.cumsum(new))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -272,13 +247,34 @@ def links(nodes: DataFrame, k: int, bucket: int = 4096, blocks: int | None = Non
                 last = np.logical_or.reduce([c != c[-1] for c in cols])
                 cut_at = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
                 if cut_at:
-                    yield solve(whole.slice(0, cut_at))
+                    yield solved(whole.slice(0, cut_at))
                 held, size = [whole.slice(cut_at)], whole.num_rows - cut_at
         if held:
-            yield solve(pa.concat_tables(held))
+            yield solved(pa.concat_tables(held))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def links(nodes: DataFrame, k: int, bucket: int = 4096, blocks: int | None = None) -> DataFrame:
+    """``nodes(node, fp)`` -> a, b: links that span the components of the relation
+    "within k bits".  ``nodes`` must be materialised; it is read twice."""
+    n_blocks = blocks or blocks_for(nodes.count(), k)
+    rows = nodes.select("node", "fp", F.explode(band_keys(F.col("fp"), n_blocks, k)).alias("x")).select("x.band", "x.key", "node", "fp")
+    sizes = nodes.select(F.explode(band_keys(F.col("fp"), n_blocks, k)).alias("x")).groupBy("x.band", "x.key").agg(F.count("*").alias("n"))
+    rows = chunked(rows, sizes, ["band", "key"], "node", bucket).select("band", "key", "i", "j", "fp", "node")
+
+    def solve(table: pa.Table, groups: np.ndarray) -> pa.RecordBatch:
+        fp, node = table.column("fp").to_numpy().view(np.uint64), table.column("node").to_numpy()
+        order = np.lexsort((node, fp, groups))
+        fp, node, groups = fp[order], node[order], groups[order]
+        first = bucket_links(fp, groups, k)
+        least = np.full(len(node), np.iinfo(np.int64).max, np.int64)
+        np.minimum.at(least, first, node)  # the same root in most buckets of a group
+        root = least[first]
+        linked = np.flatnonzero(root != node)
+        return pa.RecordBatch.from_arrays([pa.array(root[linked]), pa.array(node[linked])], ["a", "b"])
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(joined, "a long, b long").where(F.col("a") != F.col("b"))
+    return by_group(rows, ["band", "key", "i", "j"], solve, "a long, b long").where(F.col("a") != F.col("b"))
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -301,65 +297,145 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 class CopySettings:
     shingle: int = 5  # words of the shingles that similarity is measured on
     similarity: float = 0.8
-    slack: float = 0.05  # the sketch's estimate may fall short by so much
-    sketch: int = 128  # one-byte minima; multiple of 8
-    tables: int = 4  # independent fingerprints of the distinct words
-    k: int = 4
+    sample: int = 20_000  # documents, in expectation, that frequent shingles are told from
+    frequent: int = 10  # documents of the sample that hold a frequent shingle
+    most: int = 100_000  # frequent shingles that are broadcast
     bucket: int = 2048
+    first: int = 16  # candidates of a document that the first round checks
 
 
-def sketch_of(hashes: np.ndarray, size: int) -> bytes:
-    """One-permutation MinHash: the smallest hash of each bin, as a byte from 1; 0: empty."""
-    out = np.zeros(size, np.uint8)
-    if len(hashes):
-        bins, rest = (hashes % np.uint64(size)).astype(np.int64), hashes // np.uint64(size)
-        low = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(low, bins, rest)
-        full = np.unique(bins)
-        out[full] = (low[full] % np.uint64(255)).astype(np.uint8) + 1
-    return out.tobytes()
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(x, SEED) for x in shingles(words(text), n)], np.uint64))
 
 
-def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of sketches, row by row."""
-    used = ((a > 0) | (b > 0)).sum(1)
-    return np.where(used > 0, ((a == b) & (a > 0)).sum(1) / np.maximum(used, 1), 1.0)
+def prefix_length(size: int, similarity: float) -> int:
+    """Sets of that similarity share an element among so many first ones of each, in any
+    order that all sets have in common."""
+    return size - int(np.ceil(similarity * size - 1e-9)) + 1 if size else 0
+
+
+def frequent_shingles(docs: DataFrame, s: CopySettings) -> np.ndarray:
+    """Hashes of shingles that many documents of a sample hold, the rarest first."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                sets = [shingle_set(t, s.shingle) for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    chosen = docs.where(sampled(F.col("doc_id"), "copies", min(1.0, s.sample / max(1, docs.count()))))
+    counts = chosen.select("text").mapInArrow(made, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= s.frequent)
+    return counts.orderBy(F.desc("n"), "h").limit(s.most).toPandas()["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
+
+def candidates(nodes: DataFrame, s: CopySettings) -> DataFrame:
+    """``nodes(key, size, prefix)``, materialised -> a, b: every pair whose similarity can be reached, by
+    prefix filtering: the first shingle that two sets share is in both prefixes, and what
+    follows it in the shorter remainder bounds what they share."""
+    rows = nodes.select("key", "size", F.posexplode("prefix").alias("pos", "h"))
+    sizes = nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    rows = chunked(rows, sizes, ["h"], "key", s.bucket).select("h", "i", "j", "key", "size", "pos")
+
+    def solve(table: pa.Table, groups: np.ndarray) -> pa.RecordBatch:
+        key, size, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "size", "pos"))
+        order = np.lexsort((size, groups))
+        key, size, pos, groups = key[order], size[order], pos[order], groups[order]
+        # rows of a group are met by those after them of up to size / similarity
+        at = groups * (1 << 32) + size
+        stop = np.searchsorted(at, groups * (1 << 32) + np.floor(size / s.similarity + 1e-6).astype(np.int64), side="right")
+        n = stop - np.arange(len(key)) - 1
+        done, found, from_ = np.cumsum(n), [], 0
+        while from_ < len(key):
+            to = max(from_ + 1, int(np.searchsorted(done, (done[from_ - 1] if from_ else 0) + (1 << 20), side="right")))
+            own = n[from_:to]
+            x = np.repeat(np.arange(from_, to), own)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
+            shared = np.minimum(size[x] - pos[x], size[y] - pos[y])
+            ok = (shared >= s.similarity / (1 + s.similarity) * (size[x] + size[y]) - 1e-6) & (key[x] != key[y])
+            x, y = key[x[ok]], key[y[ok]]
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+            from_ = to
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return by_group(rows, ["h", "i", "j"], solve, "a long, b long").distinct()
+
+
+def proven(pairs: DataFrame, sets: DataFrame, s: CopySettings) -> DataFrame:
+    """``pairs(a, b)`` and ``sets(key, node, items)``, both materialised -> a, b: nodes of pairs
+    of the stated similarity, which span the groups that all such pairs make.  Rounds check
+    more and more candidates of each document; pairs inside a group found so far need no check."""
+    side = lambda c: sets.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"), F.col("items").alias(f"i{c}"))
+    name = lambda c: sets.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"))
+    left, take, found = pairs, s.first, None
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("a"))
+    while True:
+        ranked = left.select("a", "b", rank.alias("r"))
+        both = F.size(F.array_intersect("ia", "ib"))
+        near = both >= s.similarity * (F.size("ia") + F.size("ib") - both) - 1e-9
+        more = cut(ranked.where(F.col("r") <= take).select("a", "b").join(side("b"), "b").join(side("a"), "a").where(near).select(F.col("na").alias("a"), F.col("nb").alias("b")))
+        found = more if found is None else found.unionByName(more)
+        left = cut(ranked.where(F.col("r") > take).select("a", "b"))
+        if not left.limit(1).count():
+            return found
+        roots = components(found)
+        root = lambda c: F.coalesce(f"r{c}", f"n{c}")
+        left = left.join(name("a"), "a").join(name("b"), "b")
+        for c in "ab":
+            left = left.join(roots.withColumnsRenamed({"node": f"n{c}", "root": f"r{c}"}), f"n{c}", "left")
+        left = cut(left.where(root("a") != root("b")).select("a", "b"))
+        take *= 8
 
 
 def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id of every document that repeats another: of each
-    group of exact or near copies (linked by shingle similarity) all but the smallest
-    doc_id.  Candidates come from the trie join over several fingerprints of the distinct
-    words; a MinHash sketch of the shingles then proves each link inside the bucket."""
+    group of exact or near copies (linked by a Jaccard similarity of the shingles of
+    ``similarity`` or more) all but the smallest doc_id.  Candidates are complete and every
+    link is proven on the shingles; the order of shingles, frequent ones last, only saves work."""
     s = settings
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    often = frequent_shingles(docs, s)
+    by_hash = np.argsort(often)
+    shared = docs.sparkSession.sparkContext.broadcast((often[by_hash], by_hash + 1))
+    same = lambda text: xxhash.xxh3_128_digest(b" ".join(words(text)))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
+        hashes, ranks = shared.value
         for batch in batches:
             for piece in pieces(batch):
-                texts, fps, sketches = [], [], []
+                texts, sizes, prefixes = [], [], []
                 for text in piece.column("text").to_pylist():
-                    ws = words(text)
-                    texts.append(xxhash.xxh3_128_digest(b" ".join(ws)))
-                    distinct = sorted(set(ws))
-                    fps.append(np.array([fingerprint(distinct, SEED + t) for t in range(s.tables)], np.uint64).view(np.int64))
-                    sketches.append(sketch_of(np.array([digest(x, SEED) for x in shingles(ws, s.shingle)], np.uint64), s.sketch))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(texts, pa.binary()), pa.array(fps, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                    ["doc_id", "same", "fps", "sketch"],
-                )
-
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(rows.mapInArrow(described, "doc_id long, same binary, fps array<bigint>, sketch binary"))
+                    own = shingle_set(text, s.shingle)
+                    if len(hashes):
+                        at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                        order = np.argsort(np.where(hashes[at] == own, ranks[at], 0), kind="stable")
+                    else:
+                        order = np.arange(len(own))
+                    texts.append(same(text))
+                    sizes.append(len(own))
+                    prefixes.append(own[order[: prefix_length(len(own), s.similarity)]].view(np.int64))
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "same", "size", "prefix"])
+
+    def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                texts = piece.column("text").to_pylist()
+                items = [shingle_set(t, s.shingle).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(map(same, texts), pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["same", "items"])
+
+    rows = cut(docs.mapInArrow(described, "doc_id long, same binary, size int, prefix array<bigint>"))
     # exact copies: one row each from here on
-    nodes = cut(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("fps").alias("fps"), F.first("sketch").alias("sketch")))
-    least = s.similarity - s.slack
-    found = None
-    for t in range(s.tables):
-        own = nodes.select("node", F.col("fps")[t].alias("fp"), "sketch")
-        more = links(own, s.k, s.bucket, proof=s.sketch, similarity=least)
-        found = more if found is None else found.unionByName(more)
-    roots = components(cut(found.distinct()))
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    nodes = cut(nodes.withColumn("key", F.monotonically_increasing_id()))
+    pairs = cut(candidates(nodes.select("key", "size", "prefix"), s))
+    # shingles are made again, of the documents in pairs only
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    paired = cut(nodes.select("key", "node", "same").join(paired, "key", "left_semi"))
+    texts = docs.join(small(paired.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
+    made = texts.mapInArrow(collected, "same binary, items array<bigint>").groupBy("same").agg(F.first("items").alias("items"))
+    sets = cut(paired.join(made, "same").select("key", "node", "items"))
+    roots = components(proven(pairs, sets, s))
     near = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
-    exact = rows.join(nodes.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select("doc_id")
+    exact = rows.select("doc_id", "same").join(nodes.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select("doc_id")
     return exact.unionByName(near).distinct()
