@@ -163,6 +163,17 @@ def test_a_passage_repeated_in_a_long_text(spark):
     assert sorted((r["doc_id"], r["n_words"], r["coverage"]) for r in got.collect()) == [(1, 12, 1.0), (1, 12, 1.0)] + [(2, 8, pytest.approx(8 / 12))]
 
 
+@pytest.mark.parametrize("size", [5, 8, 11, 15, 16, 17, 20, 33])
+def test_leaks_at_every_offset(spark, size):
+    """An item with any one word changed, and either half of it, at four places in a text."""
+    item = [f"item{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(size)]
+    half = -(-size // 2)
+    parts = [item[:k] + ["changed"] + item[k + 1 :] for k in range(size)] + [item[:half], item[-half:]]
+    docs = [" ".join(["before"] * off + part + ["after"] * 9) for part in parts for off in range(4)]
+    got = decontaminate.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame([(10, " ".join(item))], "item_id long, text string"))
+    assert {r["doc_id"] for r in got.collect()} == set(range(len(docs)))
+
+
 NOTICES = "Released under the MIT License. Licensed under the Apache License, Version 2.0; CC BY NC. SPDX-License-Identifier: GPL-2.0-or-later, GNU General Public License v3 or later. "
 
 

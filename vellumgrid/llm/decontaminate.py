@@ -3,10 +3,10 @@
 Words lose their punctuation and case; numbers, units (after a number) and names (a
 capitalised word inside a sentence) become typed placeholders, one for one.
 
-Windows of ``window`` template words are hash-joined: all windows of the items with every
-``stride``-th window of the documents, so that any common run of window + stride - 1
-template words meets.  Items shorter than that are one window each (of ``window`` words at
-most), joined with all windows of that length.
+Windows of ``window`` template words are hash-joined, all windows of the items with all
+windows of the documents, so that any common run of ``window`` words meets wherever it
+stands.  An item of fewer than 2 * window words takes windows of half its words, so that half of
+it as one passage, and all of it with one word changed, meet whatever its length.
 
 A match gives an alignment, the difference of the word positions, along which item and
 document are then compared word by word.  ``docs`` are read twice: for the windows, which
@@ -39,8 +39,7 @@ UNITS = "percent|per cent|pct|kg|g|mg|lb|lbs|oz|tons?|tonnes?|km|m|cm|mm|miles?|
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = 8  # template words
-    stride: int = 4  # of the documents' windows
+    window: int = 7  # template words at most
     least: int = 5  # words of the shortest item
     coverage: float = 0.5  # of an item's template words
     broadcast_windows: int = 1_000_000
@@ -63,11 +62,17 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def windows(words: Column, size: int, stride: int = 1) -> Column:
-    """array of struct(pos, hash) of every ``stride``-th window of ``size`` words."""
-    last = F.size(words) - size
-    every = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(stride)), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size)).alias("hash")))
-    return F.filter(every, lambda w: w["pos"] <= last) if stride == 1 else F.when(last >= 0, every).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
+def windows(rows: DataFrame, words: str, size: int, *columns: str) -> DataFrame:
+    """``columns``, pos, hash of every window of ``size`` words.  Hashes of 1, 2, 4, ... words
+    are paired; the last two overlap where ``size`` is no power of two."""
+    rows = rows.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
+    span = 1
+    while span < size:
+        step = min(span, size - span)
+        n = F.greatest(F.size("__h") - step, F.lit(0))
+        rows = rows.select(*columns, F.zip_with(F.slice("__h", 1, n), F.slice("__h", step + 1, n), lambda a, b: F.xxhash64(a, b)).alias("__h"))
+        span += step
+    return rows.select(*columns, F.posexplode("__h").alias("pos", "hash"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -77,28 +82,25 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
     lowered = lambda text: F.transform(originals(text), lambda w: F.lower(w))
     items = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").alias("item_text")).distinct()
     items = items.select("item_id", template(F.col("item_text")).alias("item_words"), lowered(F.col("item_text")).alias("item_raw")).where(F.size("item_words") >= s.least)
-    long = F.size("item_words") >= s.window + s.stride - 1
-    items = items.withColumn("length", F.least(F.size("item_words"), F.lit(s.window))).withColumn("stride", F.when(long, s.stride).otherwise(1))
-    items = cut(items.withColumn("item", F.monotonically_increasing_id()))
-    kinds = [(r["length"], r["stride"]) for r in items.select("length", "stride").distinct().orderBy("length", "stride").collect()]  # at most window + 1
-    if not kinds:
+    items = cut(items.withColumn("length", F.least(F.floor(F.size("item_words") / 2).cast("int"), F.lit(s.window))).withColumn("item", F.monotonically_increasing_id()))
+    lengths = [r["length"] for r in items.select("length").distinct().orderBy("length").collect()]  # at most window
+    if not lengths:
         empty = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, first_word int, n_words int, coverage double, n_slots int, reparameterised boolean"
         return docs.sparkSession.createDataFrame([], empty)
 
-    def exploded(rows: DataFrame, words: str, stride: int | None, *columns: str) -> DataFrame:
+    def exploded(rows: DataFrame, words: str, *columns: str) -> DataFrame:
         made = None
-        for length, step in kinds:
-            own = rows if stride is None else rows.where((F.col("length") == length) & (F.col("stride") == step))
-            own = own.select(*columns, F.lit(length).alias("length"), F.lit(step).alias("stride"), F.explode(windows(F.col(words), length, stride or step)).alias("w"))
-            own = own.select(*columns, "length", "stride", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"))
+        for length in lengths:
+            own = rows.where(F.col("length") == length) if "length" in rows.columns else rows
+            own = windows(own, words, length, *columns).withColumn("length", F.lit(length))
             made = own if made is None else made.unionByName(own)
         return made
 
-    known = cut(exploded(items.withColumn("of", F.size("item_words")), "item_words", 1, "item", "of").withColumnRenamed("pos", "ipos"))
+    known = cut(exploded(items.withColumn("of", F.size("item_words")), "item_words", "item", "of").withColumnRenamed("pos", "ipos"))
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("digest"))
     # windows go without their text, which a row each would copy as often as it has windows
-    found = exploded(docs.select("doc_id", "digest", template(F.col("text")).alias("words")), "words", None, "doc_id", "digest")
-    hit = found.join(small(known, s.broadcast_windows), ["length", "stride", "hash"])
+    found = exploded(docs.select("doc_id", "digest", template(F.col("text")).alias("words")), "words", "doc_id", "digest")
+    hit = found.join(small(known, s.broadcast_windows), ["length", "hash"])
     spot = F.struct("item", "of", (F.col("pos") - F.col("ipos")).alias("shift"))
     spots = cut(hit.groupBy("doc_id", "digest").agg(F.collect_set(spot).alias("spots")))
     keys = small(spots.select("doc_id", "digest"), 100_000)
