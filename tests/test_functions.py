@@ -141,3 +141,28 @@ def test_packing():
     headed = "\n".join(["word " * 120, "Human Capital", "more " * 120])
     assert chunking.pack(headed)[1].startswith("Human Capital")
     assert all(chunking.count(u) <= 480 for u, _ in chunking.units("x " * 2000))
+
+
+def test_question_checks(spark):
+    sections = spark.createDataFrame([("F", "2025", "Item 7", "Sales  rose\nto 5 million."), ("F", "2024", "Item 7", "Costs fell.")], "ticker string, year string, section string, text string")
+    good = [("F", "2025", "Item 7", "Sales rose to 5")]
+    rows = [
+        (1, "fact", "q", "up", ["5|five"], good, None),
+        (2, "fact", "q", "up", ["up"], [("F", "2025", "Item 7", "Sales fell")], None),
+        (3, "fact", "q", "up", ["rose"], [("F", "2025", "Item 8", "Sales rose")], None),
+        (4, "fact", "q", "up", ["down|fell"], [*good, ("F", "2024", "Item 7", "Costs")], None),
+        (5, "fact", None, "up", ["down"], good, None),
+        (6, "fact", "q", "up", ["up"], good, None),
+        (6, "no_answer", "q", NOT_FOUND, [], [], "searched"),
+    ]
+    kind = "id long, type string, question string, expected_answer string, key_facts array<string>, sources array<struct<ticker:string,year:string,section:string,quote:string>>, note string"
+    checked = evaluation.question_checks(spark.createDataFrame(rows, kind), sections, ["fact", "summary", "comparison", "no_answer"], NOT_FOUND)
+    assert sorted((r["id"], r["errors"]) for r in checked.collect()) == [
+        (1, []),
+        (2, ["quote not in section: F 2025 Item 7"]),
+        (3, ["section not found: F 2025 Item 8", "key fact not in evidence: rose"]),
+        (4, ["key fact not in evidence: down|fell"]),
+        (5, ["missing field question"]),
+        (6, ["duplicate id"]),
+        (6, ["duplicate id"]),
+    ]

@@ -57,17 +57,48 @@ def duplicates(rows: DataFrame, key: Column) -> DataFrame:
 
 
 def question_errors(questions: DataFrame, types: list[str], not_found: str) -> DataFrame:
-    """STR-33: every rule that a question breaks."""
+    """STR-33: every rule that a question breaks by itself; :func:`question_checks` adds those
+    that need other rows or the sections."""
     answerless = F.col("type") == "no_answer"
     sources, note = F.size("sources"), F.coalesce(F.col("note"), F.lit(""))
     rules = {
         "unknown type": ~F.col("type").isin(types),
-        "empty question": F.trim("question") == "",
         "wrong not-found answer": answerless & (F.col("expected_answer") != not_found),
         "sources of a question without an answer": answerless & (sources > 0),
         "note is missing": answerless & (note == ""),
         "no sources": ~answerless & (sources <= 0),
-        "comparison needs two sources": (F.col("type") == "comparison") & (sources < 2),
         "no key facts": ~answerless & (F.size("key_facts") <= 0),
     }
     return questions.withColumn("errors", F.array_compact(F.array(*[F.when(rule, F.lit(told)) for told, rule in rules.items()])))
+
+
+def question_checks(questions: DataFrame, sections: DataFrame, types: list[str], not_found: str) -> DataFrame:
+    """STR-32, STR-33, JON-10, AGG-16: ``questions(id, type, question, expected_answer, key_facts
+    array<string>, sources array<struct<ticker,year,section,quote>>, note)`` and
+    ``sections(ticker, year, section, text)`` -> the questions with every rule that one breaks.
+    A missing field is null and hides all other rules but that of the id."""
+    normal = lambda c: F.trim(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", " "))
+    place = ["ticker", "year", "section"]
+    rows = questions.withColumn("__of", F.sha2(F.to_json("sources"), 256))
+    asked = rows.where("sources IS NOT NULL").select("__of", F.explode("sources").alias("s")).select("__of", "s.*").distinct()
+    texts = sections.where(F.col("text").isNotNull()).select(*place, "text")
+    met = asked.join(texts, place).select("__of", *place, "quote", F.coalesce(F.contains(normal(F.col("text")), normal(F.col("quote"))), F.lit(False)).alias("has"))
+    met = met.groupBy("__of", *place, "quote").agg(F.max("has").alias("has")).groupBy("__of").agg(F.collect_list(F.struct(*place, "quote", "has")).alias("__met"))
+    told = question_errors(rows, types, not_found).join(met, "__of", "left").withColumn("__met", F.coalesce("__met", F.array().cast(met.schema["__met"].dataType)))
+    same = lambda m, s: (m["ticker"] == s["ticker"]) & (m["year"] == s["year"]) & (m["section"] == s["section"]) & m["quote"].eqNullSafe(s["quote"])
+    where = lambda s: F.concat_ws(" ", s["ticker"], s["year"], s["section"])
+    found = lambda s: F.coalesce(F.exists("__met", lambda m: same(m, s)), F.lit(False))
+    quoted = lambda s: F.coalesce(F.exists("__met", lambda m: same(m, s) & m["has"]), F.lit(False))
+    quotes = F.transform(F.filter("sources", found), lambda s: s["quote"])
+    evidence = normal(F.array_join(F.concat(F.array("expected_answer"), quotes), " "))
+    facts = F.filter("key_facts", lambda f: ~F.exists(F.split(f, r"\|", -1), lambda alternative: F.contains(evidence, alternative)))
+    lost = F.transform(F.filter("sources", lambda s: ~found(s)), lambda s: F.concat(F.lit("section not found: "), where(s)))
+    invented = F.transform(F.filter("sources", lambda s: found(s) & ~quoted(s)), lambda s: F.concat(F.lit("quote not in section: "), where(s)))
+    unsupported = F.transform(facts, lambda f: F.concat(F.lit("key fact not in evidence: "), f))
+    fields = ["id", "type", "question", "expected_answer", "key_facts", "sources"]
+    missing = F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f"missing field {f}")) for f in fields]))
+    own = F.when(F.col("type") == "no_answer", F.col("errors")).otherwise(F.concat("errors", lost, invented, unsupported))
+    ids = questions.groupBy("id").agg((F.count("*") > 1).alias("__twice"))
+    told = told.join(ids.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")))
+    errors = F.concat(F.when(F.size(missing) > 0, missing).otherwise(own), F.when(F.col("__twice"), F.array(F.lit("duplicate id"))).otherwise(F.array().cast("array<string>")))
+    return told.withColumn("errors", errors).select(*questions.columns, "errors")

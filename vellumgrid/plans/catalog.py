@@ -517,6 +517,20 @@ def question_validation(spark, sf_dir):
     return evaluation.question_errors(rows, ["fact", "summary", "comparison", "no_answer"], NOT_FOUND).select("item_id", F.array_join("errors", ",").alias("errors"))
 
 
+@query()
+def question_evidence(spark, sf_dir):
+    """Quotes of whole documents, which stand as sections; by doc_id % 5 the quote (1), the
+    section (2), the fact (3) or the id (4) is spoiled."""
+    kind, docs = F.col("doc_id") % 5, read(spark, sf_dir, "documents")
+    place = [F.col("source").alias("ticker"), F.col("doc_id").cast("string").alias("year")]
+    sections = docs.select(*place, F.lit("text").alias("section"), "text")
+    quote = F.concat(F.substring("text", 20, 80), F.when(kind == 1, " never written").otherwise(""))
+    source = F.struct(*place, F.when(kind == 2, "lost").otherwise("text").alias("section"), quote.alias("quote"))
+    fact = F.when(kind == 3, "an unsupported fact").otherwise("x|y")
+    asked = docs.select("doc_id", F.when(kind == 4, -1).otherwise(F.col("doc_id")).alias("id"), F.lit("fact").alias("type"), F.lit("q").alias("question"), F.lit("x").alias("expected_answer"), F.array(fact).alias("key_facts"), F.array(source).alias("sources"), F.lit(None).cast("string").alias("note"))
+    return evaluation.question_checks(asked, sections, ["fact", "summary", "comparison", "no_answer"], NOT_FOUND).select("doc_id", F.array_join("errors", ",").alias("errors"))
+
+
 @query("SELECT n_name, r_name FROM nation, region")
 def cross_plan(spark, sf_dir):
     """JON-15: every company with every year of a configuration."""
