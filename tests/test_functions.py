@@ -166,3 +166,13 @@ def test_question_checks(spark):
         (6, ["duplicate id"]),
         (6, ["duplicate id"]),
     ]
+
+
+def test_citation_check(spark):
+    raw = "Sales were $3.1 billion [S1][S2]\nCosts rose 12% [S2].\nIn 2025 see Item 7 of the 10-K\nOn May 20 it paid 2.5\nNot in the excerpts: 55\nStaff of 1,200\nNo number [S1]\nTotal 77 [S9]"
+    rows = [(1, raw, False, ["3,100 in millions", "grew 11.4%"]), (2, "44", True, []), (3, None, False, None)]
+    got = {r["id"]: r.asDict(True) for r in answers.checked(spark.createDataFrame(rows, "id long, raw_answer string, declined boolean, texts array<string>")).collect()}
+    assert got == {
+        1: {"id": 1, "claims": 4, "claims_with_numbers": 3, "numbers": 3, "unsupported": [{"number": "12%", "cites": ["S2"], "claim": "Costs rose 12%"}, {"number": "77", "cites": ["S9"], "claim": "Total 77"}], "uncited_lines": ["Staff of 1,200"]},
+        3: {"id": 3, "claims": 0, "claims_with_numbers": 0, "numbers": 0, "unsupported": [], "uncited_lines": []},
+    }

@@ -571,6 +571,27 @@ def citation_summary(spark, sf_dir):
     return evaluation.citation_summary(checks)
 
 
+def checked_answers(spark, sf_dir):
+    """Each conversation as an answer of a line a turn: two of three turns cite a source, its own or
+    the next turn's text."""
+    n = F.col("turn")
+    cite = F.when(n % 3 == 0, F.concat(F.lit(" [S"), n + 1, F.lit("]"))).when(n % 3 == 1, F.concat(F.lit(" [S"), n + 2, F.lit("]"))).otherwise("")
+    lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat("text", cite).alias("line"))
+    told = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda x: x[c])
+    rows = lines.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(told("line"), "\n").alias("raw_answer"), told("text").alias("texts"))
+    return answers.checked(rows.withColumn("declined", F.lit(False)))
+
+
+@query()
+def citation_check(spark, sf_dir):
+    return checked_answers(spark, sf_dir).select("id", "claims", "claims_with_numbers", "numbers", F.to_json("unsupported").alias("unsupported"), F.array_join("uncited_lines", "\n").alias("uncited_lines"))
+
+
+@query()
+def citation_check_summary(spark, sf_dir):
+    return evaluation.citation_summary(checked_answers(spark, sf_dir).withColumns({"unsupported": F.size("unsupported"), "uncited": F.size("uncited_lines")}))
+
+
 @query(f"WITH {ORDERS}, q AS (SELECT unnest([0, 7, 49, 99]) AS ticker), m AS (SELECT ticker, max(year) AS year FROM o GROUP BY ticker) SELECT q.ticker AS ticker, coalesce(m.year, '') AS year FROM q LEFT JOIN m ON m.ticker = q.ticker")
 def latest_or_none(spark, sf_dir):
     """JON-7: a company without a report gets the empty year, which matches nothing."""
