@@ -132,3 +132,12 @@ def test_retrieve(spark):
         assert sorted(r["ticker"] for r in of(1)) == ["F"] * 3 + ["GM"] * 3 and {r["year"] for r in of(1)} == {"2025"}
         assert {r["ticker"] for r in of(2)} == {"F"} and len(of(2)) == 5
         assert of(3)[0]["ticker"] == "X" and [r["rank"] for r in of(3)] == [1, 2, 3, 4, 5]
+
+
+def test_reports_hold_every_row(spark):
+    import json
+
+    rows = spark.range(2500, numPartitions=7).orderBy("id")
+    assert [r["id"] for r in json.loads(tables.pretty(rows))] == list(range(2500))
+    assert tables.markdown(rows, "T").splitlines()[4:] == [f"| {i} |" for i in range(2500)]
+    assert len(json.loads(tables.pretty(rows, 5))) == 5

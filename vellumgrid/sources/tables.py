@@ -106,13 +106,18 @@ def fetched(urls: DataFrame, agent: str, delay: float = 0.2, get: Callable[[str]
     return urls.select("url").coalesce(1).mapInPandas(run, "url string, status string, content binary, error string")
 
 
-def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """SNK-12: a report of the first ``most`` rows."""
+def _rows(df: DataFrame, most: int | None) -> Iterator:
+    """All rows, or the first ``most``, a partition at a time."""
+    return (df if most is None else df.limit(most)).toLocalIterator()
+
+
+def markdown(df: DataFrame, title: str, most: int | None = None) -> str:
+    """SNK-12: a report of every row in the order of ``df``, or of the first ``most``."""
     cell = lambda v: str(v).replace("|", r"\|").replace("\n", " / ")
     head = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-    return "\n".join([f"# {title}", "", *head, *("| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most).collect())]) + "\n"
+    return "\n".join([f"# {title}", "", *head, *("| " + " | ".join(map(cell, r)) + " |" for r in _rows(df, most))]) + "\n"
 
 
-def pretty(df: DataFrame, most: int = 1000) -> str:
-    """SNK-13: the first ``most`` rows as indented JSON."""
-    return json.dumps([r.asDict(True) for r in df.limit(most).collect()], indent=2, ensure_ascii=False, default=str)
+def pretty(df: DataFrame, most: int | None = None) -> str:
+    """SNK-13: every row, or the first ``most``, as indented JSON."""
+    return json.dumps([r.asDict(True) for r in _rows(df, most)], indent=2, ensure_ascii=False, default=str)
