@@ -251,3 +251,9 @@ def test_attention_gradients_and_learning():
     assert ((p > 0.5) == (y > 0.5)).all()
     one, n = quality.encode(["", None, "a"], 48)
     assert n.tolist() == [1, 1, 1] and np.isfinite(one).all()
+
+
+def test_language_of_a_long_run_of_letters():
+    model = langid.Model(["de", "en"], [{}, {"a": 0, "b": 1}], np.array([[2.0, 0.0], [0.0, 2.0]], np.float32))
+    assert model.predict("a" * 64 + "b" * 500)[0] == "en" and model.predict("a" * 500 + "b" * 64)[0] == "de"
+    assert not model.cache

@@ -68,7 +68,7 @@ def _grams(batches: Iterator[pd.DataFrame], longest: int) -> Iterator[pd.DataFra
         counts: Counter = Counter()
         for lang, word, c in zip(batch["lang"], batch["gram"], batch["n"], strict=True):
             for n in range(1, longest + 1):
-                for g in grams(word[:64], n):
+                for g in grams(word, n):
                     counts[lang, n, g] += c
         yield pd.DataFrame([(*k, c) for k, c in counts.items()], columns=["lang", "size", "gram", "n"])
 
@@ -88,14 +88,15 @@ class Model:
         if found is None:
             found = np.zeros(len(self.languages), np.float32)
             for n in range(len(self.index) - 1, 0, -1):
-                own = grams(word[:64], n)
+                own = grams(word, n)
                 rows = [r for g in own if (r := self.index[n].get(g)) is not None]
                 if 2 * len(rows) >= len(own):
-                    found = self.scores[rows].mean(0)
+                    found = self.scores[rows].mean(0) if len(word) <= 64 else np.bincount(rows, minlength=len(self.scores)) @ self.scores / len(rows)
                     break
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = found
+            if len(word) <= 64:  # bounds the cache, not what is read
+                if len(self.cache) > 200_000:
+                    self.cache.clear()
+                self.cache[word] = found
         return found
 
     def predict(self, text: str | None) -> tuple[str, float]:
