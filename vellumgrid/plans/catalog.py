@@ -572,11 +572,12 @@ def citation_summary(spark, sf_dir):
 
 
 def checked_answers(spark, sf_dir):
-    """Each conversation as an answer of a line a turn: two of three turns cite a source, its own or
-    the next turn's text."""
+    """Each conversation as an answer of a line a turn, with a made figure as the texts hold few: two
+    of three turns cite a source, its own (supported) or the next turn's text (not)."""
     n = F.col("turn")
     cite = F.when(n % 3 == 0, F.concat(F.lit(" [S"), n + 1, F.lit("]"))).when(n % 3 == 1, F.concat(F.lit(" [S"), n + 2, F.lit("]"))).otherwise("")
-    lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.concat("text", cite).alias("line"))
+    figure = F.concat("text", F.lit(" total "), (n * 100 + 5000).cast("string"))
+    lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", figure.alias("text"), F.concat(figure, cite).alias("line"))
     told = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda x: x[c])
     rows = lines.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(told("line"), "\n").alias("raw_answer"), told("text").alias("texts"))
     return answers.checked(rows.withColumn("declined", F.lit(False)))
