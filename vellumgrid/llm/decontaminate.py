@@ -62,17 +62,12 @@ def _split(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+"), "")
 
 
-def windows(rows: DataFrame, words: str, size: int, *columns: str) -> DataFrame:
-    """``columns``, pos, hash of every window of ``size`` words.  Hashes of 1, 2, 4, ... words
-    are paired; the last two overlap where ``size`` is no power of two."""
-    rows = rows.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
-    span = 1
-    while span < size:
-        step = min(span, size - span)
-        n = F.greatest(F.size("__h") - step, F.lit(0))
-        rows = rows.select(*columns, F.zip_with(F.slice("__h", 1, n), F.slice("__h", step + 1, n), lambda a, b: F.xxhash64(a, b)).alias("__h"))
-        span += step
-    return rows.select(*columns, F.posexplode("__h").alias("pos", "hash"))
+def windows(words: Column, size: int) -> Column:
+    """array of struct(pos, hash): every window of ``size`` words; the hash tells sizes apart.
+    ``words`` must be an array of hashes of a column of its own, as it is named often."""
+    at = F.sequence(F.lit(0), F.size(words) - size)
+    one = lambda i: F.struct(i.cast("int").alias("pos"), F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]).alias("hash"))
+    return F.when(F.size(words) >= size, F.transform(at, one)).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -88,19 +83,22 @@ def leaks(docs: DataFrame, items: DataFrame, settings: Settings = Settings()) ->
         empty = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, first_word int, n_words int, coverage double, n_slots int, reparameterised boolean"
         return docs.sparkSession.createDataFrame([], empty)
 
-    def exploded(rows: DataFrame, words: str, *columns: str) -> DataFrame:
-        made = None
-        for length in lengths:
-            own = rows.where(F.col("length") == length) if "length" in rows.columns else rows
-            own = windows(own, words, length, *columns).withColumn("length", F.lit(length))
-            made = own if made is None else made.unionByName(own)
-        return made
-
-    known = cut(exploded(items.withColumn("of", F.size("item_words")), "item_words", "item", "of").withColumnRenamed("pos", "ipos"))
+    def exploded(rows: DataFrame, words: str, made: Column, *columns: str) -> DataFrame:
+        """A row for each window.  The outer form keeps the optimiser from testing the arrays for
+        emptiness, which would make them, templates and all, once more for each mention."""
+        rows = rows.select(*columns, F.transform(words, lambda w: F.xxhash64(w)).alias("__h"))
+        rows = rows.select(*columns, F.explode_outer(made).alias("__w"))
+        return rows.where(F.col("__w").isNotNull()).select(*columns, "__w.*")
+
+    own = F.array().cast("array<struct<pos:int,hash:bigint>>")
+    for length in lengths:
+        own = F.when(F.col("length") == length, windows(F.col("__h"), length)).otherwise(own)
+    known = cut(exploded(items.withColumn("of", F.size("item_words")), "item_words", own, "item", "of", "length").select("item", "of", F.col("pos").alias("ipos"), "hash"))
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("digest"))
     # windows go without their text, which a row each would copy as often as it has windows
-    found = exploded(docs.select("doc_id", "digest", template(F.col("text")).alias("words")), "words", "doc_id", "digest")
-    hit = found.join(small(known, s.broadcast_windows), ["length", "hash"])
+    every = F.concat(*[windows(F.col("__h"), n) for n in lengths])
+    found = exploded(docs.select("doc_id", "digest", template(F.col("text")).alias("words")), "words", every, "doc_id", "digest")
+    hit = found.join(small(known, s.broadcast_windows), "hash")
     spot = F.struct("item", "of", (F.col("pos") - F.col("ipos")).alias("shift"))
     spots = cut(hit.groupBy("doc_id", "digest").agg(F.collect_set(spot).alias("spots")))
     keys = small(spots.select("doc_id", "digest"), 100_000)
