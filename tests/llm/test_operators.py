@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -58,19 +59,59 @@ def test_long_white_space_is_matched_apart(run):
     assert bpe.decode(bpe.encode(longer, enc), enc) == longer.encode()
 
 
-def test_suffix_tree_sums_to_one():
-    rng = random.Random(1)
-    lex = suffix_tree.Lexicon([b"a", b"b", b"c"], np.array([60, 30, 10]), 2, 3)
-    pairs = np.array([0, 1])
-    entries, counts = np.array([0, 1, 3, 6, 10]), np.array([30, 20, 25, 9, 4])
-    tree = suffix_tree._grown(lex, pairs, np.array([58.0, 28, 12, 9]), entries, counts, 100, 3, suffix_tree.Settings(divergence=0.0))
-    assert tree.kept.any()
-    root = np.append((lex.counts + 1) / 104, np.nan)
-    for before in ([], [0], [1], [0, 0], [0, 1], [1, 0]):
-        last = lambda w: tree.gain(np.array([*before, w]), root[np.array([*before, w])]) - (tree.gain(np.array(before), root[np.array(before)]) if before else 0)  # noqa: B023, E731
-        total = sum(10 ** (last(w) + math.log10(root[w])) for w in range(3)) + 10 ** last(3) * (1 - root[:3].sum())
-        assert total == pytest.approx(1)
-    del rng
+class PlainTree:
+    """The suffix tree of the docstring, with dictionaries."""
+
+    def __init__(self, texts, s):
+        self.s, self.runs = s, Counter()
+        for t in texts:
+            ws = tuple(suffix_tree.tokens(t))
+            for k in range(1, s.depth + 2):
+                self.runs.update(ws[i : i + k] for i in range(len(ws) - k + 1))
+        self.n, self.v = sum(c for r, c in self.runs.items() if len(r) == 1), sum(len(r) == 1 for r in self.runs)
+        self.kept = {}
+        for k in range(2, s.depth + 2):
+            found = {}
+            for r, c in self.runs.items():
+                total = self.runs[r[:-1]]
+                if len(r) == k and c >= s.joint and total >= s.context and c * abs(math.log(c / total / self.p(r[1:-1], r[-1]))) > s.divergence:
+                    found.setdefault(r[:-1], {})[r[-1]] = c - s.discount
+            self.kept |= found
+
+    def p(self, context, word):
+        if not context:
+            return (self.runs[(word,)] + 1) / (self.n + self.v + 1)
+        below = self.p(context[1:], word)
+        if context not in self.kept:
+            return below
+        whole = self.runs[context] + self.s.strength
+        own = self.kept[context]
+        return (own.get(word, 0) + (whole - sum(own.values())) * below) / whole
+
+    def score(self, text):
+        ws = tuple(suffix_tree.tokens(text))
+        return sum(math.log10(self.p(ws[max(0, i - self.s.depth) : i], w)) for i, w in enumerate(ws))
+
+
+@pytest.mark.parametrize("broadcast", [30, 1 << 20])
+def test_suffix_tree_is_the_plain_one(spark, broadcast):
+    """With few broadcast rows, tokens and values come by the join; the probabilities sum to one."""
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7)) % 400}" for _ in range(500)]
+    passages = [" ".join(rng.choices(words, k=12)) for _ in range(25)]
+    texts = [" ".join(x for _ in range(rng.randint(0, 6)) for x in (rng.choice(passages), " ".join(rng.choices(words, k=rng.randint(0, 9))))) for _ in range(150)] + [None, "", "never seen"]
+    s = suffix_tree.Settings(depth=3, context=4, joint=2, divergence=1.5, strength=2.0, broadcast=broadcast)
+    docs = spark.createDataFrame([(i, i % 7 == 2 or i >= 150, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    plain = PlainTree([t for i, t in enumerate(texts) if not (i % 7 == 2 or i >= 150)], s)
+    model = suffix_tree.fit(docs.where("not held_out"), s)
+    got = {r.doc_id: r for r in suffix_tree.score(docs, model).collect()}
+    assert len(got) == len(texts) and {len(c) for c in plain.kept} == {1, 2, 3}
+    for i, t in enumerate(texts):
+        assert got[i].score == pytest.approx(plain.score(t)) and got[i].n_tokens == len(suffix_tree.tokens(t))
+        assert got[i].n_known == sum((w,) in plain.runs for w in suffix_tree.tokens(t))
+    seen = [r[0] for r in plain.runs if len(r) == 1]
+    for context in list(plain.kept)[::40]:
+        assert sum(plain.p(context, w) for w in seen) + plain.p(context, b"not a word") == pytest.approx(1)
 
 
 @pytest.mark.parametrize("n_blocks", [5, 6, 7])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,24 @@ def sampled(key: Column, salt: str, rate: Column | float) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (tests)."""
+    """The shared folder of the cluster.  A temporary one only where none is set and everything
+    runs in one process (tests); a cluster without one is an error, as its parts would lose the files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vellumgrid-"))
+        told = spark.conf.get("spark.checkpoint.dir", None)
+        if not told and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="vellumgrid-"))
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As :func:`cut`, for large tables: a compressed table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage, so that a lost executor
     costs a re-read and not a recomputation."""

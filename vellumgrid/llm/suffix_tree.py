@@ -2,192 +2,187 @@
 
 Tokens are whitespace-separated words (A-Z lower-cased), then one end token.
 
-* Root: add-one unigram over *all* training tokens.  The counts of frequent tokens
-  (relative frequency of ``frequent`` or more, so at most 1/frequent of them) reach
-  the scorers by broadcast; all others meet their documents in a shuffled join, so a
-  word that is in every document is never a join key.
-* Contexts of one and two words with a relative frequency of ``context`` or more
-  (at most 1/context of each length) are candidates.  One is retained if the
-  log-likelihood ratio of its next-symbol counts against its parent's distribution
-  (kept ones singly, the rest as one) exceeds ``divergence`` nats for each of them.
-* Next symbols of a context are kept from a joint relative frequency of ``joint``, each
-  less ``discount``; the rest of the context's count C(s) and ``strength`` pseudo-counts
-  are the parent's: P(w|s) = (kept(s,w) + rest(s) * P(w|parent)) / (C(s) + strength),
-  rest(s) = C(s) + strength - sum of kept(s,.), which sums to one.
-* A token is scored in the longest retained suffix of what precedes it.
-
-All thresholds are relative frequencies, hence the broadcast model is bounded at any
-corpus size while every count covers the whole training corpus.
+* Root: add-one unigram over all training tokens.
+* Contexts grow a word at a time, up to ``depth`` words.  One is a candidate if it occurs
+  ``context`` times or more in the training texts; its next symbols are those that follow it
+  ``joint`` times or more.  Both are absolute, so the tree grows with the corpus.
+* Divergence test: a next symbol w of a context s is retained if c(s,w) times the absolute
+  log ratio of c(s,w)/C(s) to the parent's probability of w exceeds ``divergence`` nats.  A context is
+  retained if one of its symbols is.
+* P(w|s) = (kept(s,w) + rest(s) * P(w|parent)) / (C(s) + strength) with kept = c less
+  ``discount`` for a retained symbol and else 0, rest(s) = C(s) + strength - sum of kept(s,.),
+  which sums to one; the parent of s is s without its first word.  The parent of a context that is not
+  retained has all to say.
+* A token is scored in the longest retained suffix of what precedes it.  Along the
+  suffixes of a place, log P grows by log(rest(s) / (C(s) + strength)) at each retained context, and
+  by a further amount where its symbol is retained.  So a text's score is its unigram score
+  and the sum, over all its runs of 1 to depth + 1 words, of one value that belongs to the run.
+
+Nothing that grows with the corpus is collected or broadcast.  Runs are counted order by order in
+shuffles, and a run is counted only if its two parts one word shorter may qualify, which a bitmap of
+fixed size tells (it may say yes too often, which costs work only).  The tree is a table
+(run, value).  Its ``broadcast`` most frequent values, and the counts of so many tokens, reach the
+scorers by broadcast; all others meet their documents in a shuffled join, in which no key is frequent.
+
+Tokens and runs are known by 64-bit hashes; of a billion of them, two share one with a
+probability of 3 %, which then count as one.
 
 Defined cases: null text counts as empty (only the end token); no training rows:
 N = V = 0 and every token has the root's probability 1; repeated rows, also with one
-doc_id, are scored row by row; rows with a null doc_id count as training rows.
+doc_id, are scored row by row; rows with a null doc_id count as training rows; other columns are
+not looked at.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import by_size, cut, small, stored
 
-END = b""
+#: Run keys are polynomials of token hashes in this odd number, modulo 2 ** 64.
+BASE = 0x9E3779B97F4A7C15
+BITS = 26  # of a bitmap's positions: 8 MB
+END = xxhash.xxh64_intdigest(b"")  # no word is empty
 
 
 @dataclass(frozen=True)
 class Settings:
-    frequent: float = 1e-6  # of tokens that are broadcast
-    head: float = 1e-3  # of words that may stand in a context
-    tail: float = 1e-5  # of next symbols that a context may hold
-    context: float = 1e-4  # of contexts of two words
-    joint: float = 1e-6  # of a context with its next symbol
-    divergence: float = 2.0
-    strength: float = 20.0
+    depth: int = 4  # words of the longest context
+    context: int = 16  # occurrences of a context
+    joint: int = 3  # occurrences of a context with its next symbol
+    divergence: float = 6.0
+    strength: float = 4.0
     discount: float = 0.75
-    longest_key: int = 64  # bytes; longer tokens are counted by a 128-bit digest
+    broadcast: int = 1 << 20  # tokens, and values, that are broadcast
 
 
-def tokens(text: str | None, longest: int = 64) -> list[bytes]:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if words and len(max(words, key=len)) > longest:
-        words = [w if len(w) <= longest else b"\x00" + xxhash.xxh3_128_digest(w) for w in words]
-    words.append(END)
-    return words
+def tokens(text: str | None) -> list[bytes]:
+    """The plain form of what :func:`_runs` does in bulk."""
+    return [*(text.encode("utf-8", "surrogatepass").lower().split() if text else []), b""]
 
 
-def _texts(batches, column: str = "text"):
-    for batch in batches:
-        for piece in pieces(batch):
-            yield from piece.column(column).to_pylist()
-
-
-def _count(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def out():
-        batch = pa.RecordBatch.from_arrays([pa.array(list(counts.keys()), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["token", "c"])
-        counts.clear()
-        return batch
-
-    for text in _texts(batches):
-        counts.update(tokens(text, longest))
-        if len(counts) > 1_000_000:
-            yield out()
-    yield out()
-
+@dataclass
+class Piece:
+    """The tokens of some texts one after the other: hash, rank among the broadcast tokens (-1: none)
+    or null before these are known, number of the text, and place in it."""
 
-def _heads(ids: np.ndarray, n_heads: int) -> np.ndarray:
-    """For each position the code of the two words before it, if both are heads; else -1."""
-    one = np.where(ids < n_heads, ids, -1)
-    code = np.full(len(ids), -1, np.int64)
-    if len(ids) > 2:
-        a, b = one[:-2], one[1:-1]
-        code[2:] = np.where((a >= 0) & (b >= 0), a * n_heads + b, -1)
-    return code
+    hashes: np.ndarray
+    ranks: np.ndarray | None
+    text: np.ndarray
+    place: np.ndarray
+    batch: pa.RecordBatch
 
 
 class Lexicon:
-    """Frequent tokens in descending order of count: ids below ``n_heads`` may stand in
-    a context, ids below ``n_tails`` may follow one."""
+    """The most frequent tokens; rank 0 is the most frequent one."""
 
-    def __init__(self, keys: list[bytes], counts: np.ndarray, n_heads: int, n_tails: int):
-        self.keys, self.counts, self.n_heads, self.n_tails = keys, counts, n_heads, n_tails
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        self.hashes, self.counts = hashes, counts
+        self.order = np.argsort(hashes)
+        self.sorted = hashes[self.order]
 
-    def index(self) -> dict[bytes, int]:
-        found = self.__dict__.get("_index")
-        if found is None:
-            found = self.__dict__["_index"] = {k: i for i, k in enumerate(self.keys)}
-        return found
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_index"}
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get, none = self.index().get, len(self.keys)
-        return np.array([get(w, none) for w in words], np.int64)
+def _pieces(batches: Iterator[pa.RecordBatch], lexicon: Lexicon | None) -> Iterator[Piece]:
+    for batch in batches:
+        for part in by_size(batch, most=8 << 20):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "").cast(pa.string())))
+            words = lists.flatten()
+            real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[real]
+            coded = words.filter(pa.array(real)).dictionary_encode()
+            digest = xxhash.xxh64_intdigest
+            known = np.array([digest(w) for w in coded.dictionary.to_pylist()] + [END], np.uint64)
+            codes = coded.indices.to_numpy()
+            # every text gets its end token
+            n = np.bincount(owner, minlength=len(lists)) + 1
+            starts = np.cumsum(n) - n
+            index = np.full(int(n.sum()), len(known) - 1, np.int64)
+            index[np.arange(len(codes)) + owner] = codes
+            text = np.repeat(np.arange(len(lists)), n)
+            ranks = None if lexicon is None else lexicon.rank(known)[index]
+            yield Piece(known[index], ranks, text, np.arange(len(index)) - starts[text], part)
+
+
+def _runs(piece: Piece, order: int) -> np.ndarray:
+    """The key of the run of ``order`` tokens that ends at each place (meaningless where it would
+    begin before the text)."""
+    keys = piece.hashes.copy()
+    for _ in range(order - 1):
+        keys[1:] = keys[:-1] * np.uint64(BASE) + piece.hashes[1:]
+    return keys
+
+
+def _tally(keys: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
+    keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+    return (keys, *(x[at] for x in others), n)
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for held in _batched((p.hashes,) for p in _pieces(batches, None)):
+        keys, n = _tally(*held)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "c"])
+
+
+def _batched(parts: Iterator[tuple[np.ndarray, ...]], most: int = 3_000_000) -> Iterator[list[np.ndarray]]:
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= most:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys, at = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(at, weights=counts, minlength=len(keys)).astype(np.int64)
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit for each position that one of ``keys(key)`` has; at most 2 ** 20 words of 64 bits."""
+    at = F.col("key").bitwiseAND(F.lit((1 << BITS) - 1))
+    word, bit = F.shiftright(at, 6), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    got = keys.select(word.cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return out
 
 
-def _tally(batches, codes, longest: int) -> Iterator[pa.RecordBatch]:
-    """Counts of int64 codes, ``codes(words)`` of each text."""
-    held, n = [], 0
+def _may(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64((1 << BITS) - 1)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
-    def out():
-        keys, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(counts.astype(np.int64))], ["code", "c"])
 
-    for text in _texts(batches):
-        held.append(codes(tokens(text, longest)))
-        n += len(held[-1])
-        if n > 6_000_000:
-            yield out()
-            held, n = [], 0
-    yield out()
-
-
-class Tree:
-    """Retained contexts.  A context's code is 1 + w for one word, and
-    1 + n_heads + its index in ``pairs`` (sorted codes) for two; entries are sorted by
-    context code * n_tails + next id."""
-
-    def __init__(self, lexicon: Lexicon, pairs: np.ndarray, kept: np.ndarray, totals: np.ndarray, entries: np.ndarray, counts: np.ndarray, strength: float):
-        self.lexicon, self.pairs, self.kept = lexicon, pairs, kept
-        self.entries, self.counts = entries, counts  # counts: less the discount
-        self.whole = totals + strength
-        self.rest = self.whole - np.bincount(entries // lexicon.n_tails, weights=counts, minlength=len(totals))
-
-    def gain(self, ids: np.ndarray, root: np.ndarray) -> float:
-        """Sum of log10 P(token | longest retained suffix) - log10 root probability,
-        where ``root`` has the root probabilities of frequent tokens (nan: a rare one)."""
-        lex, n = self.lexicon, len(ids)
-        ones = np.full(n, -1, np.int64)
-        ones[1:] = np.where(ids[:-1] < lex.n_heads, ids[:-1], -1)
-        two = _heads(ids, lex.n_heads)
-        p, off = root.copy(), np.zeros(n)
-        for order, context in ((1, ones), (2, two)):
-            if order == 1:
-                code = context
-            else:
-                at = np.searchsorted(self.pairs, context)
-                at[at == len(self.pairs)] = 0
-                code = np.where((context >= 0) & (len(self.pairs) > 0), lex.n_heads + at, -1)
-                if len(self.pairs):
-                    code = np.where(self.pairs[at] == context, code, -1)
-            live = np.flatnonzero((code >= 0) & self.kept[np.maximum(code, 0)])
-            if not len(live):
-                continue
-            c, whole = code[live], self.whole[code[live]]
-            key = c * lex.n_tails + np.minimum(ids[live], lex.n_tails - 1)
-            found = np.searchsorted(self.entries, key)
-            found[found == len(self.entries)] = 0
-            hit = (ids[live] < lex.n_tails) & (self.entries[found] == key) if len(self.entries) else np.zeros(len(live), bool)
-            count = np.where(hit, self.counts[found], 0) if len(self.entries) else 0
-            share = self.rest[c] / whole
-            # rare tokens have no count in any context: their factor does not depend on the root
-            off[live] = np.where(np.isnan(p[live]), off[live] + np.log10(share), off[live])
-            p[live] = count / whole + share * p[live]
-        frequent = ~np.isnan(p)
-        return float(np.log10(p[frequent]).sum() - np.log10(root[frequent]).sum() + off[~frequent].sum())
+def _top(rows: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
+    """The ``most`` rows of ``rows(key, c, ...)`` with the largest counts, and the others."""
+    got = rows.orderBy(F.desc("c"), "key").limit(most).toArrow()
+    if got.num_rows < most:
+        return got, rows.limit(0)
+    c, key = got.column("c")[-1].as_py(), got.column("key")[-1].as_py()
+    return got, rows.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("key") > key)))
 
 
 @dataclass
 class Fitted:
-    counts: DataFrame  # token binary, c long: every training token
+    counts: DataFrame  # key, c: every training token
     n: int
     v: int
-    tree: Tree
+    lexicon: Lexicon
+    rest: DataFrame  # the tokens that the lexicon has not
+    values: DataFrame  # key, v, c: the tree
+    levels: list[DataFrame]  # per order from 2: key, c, p, v
     settings: Settings
 
 
@@ -195,116 +190,167 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Fitted:
     """Count over all of ``train(text)``."""
     s, spark = settings, train.sparkSession
     train = train.select("text")
-    counts = cut(train.mapInArrow(lambda it: _count(it, s.longest_key), "token binary, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    counts = cut(train.mapInArrow(_count_tokens, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= F.lit(s.frequent * n)).orderBy(F.desc("c"), "token").toPandas()
-    c = top["c"].to_numpy(np.int64)
-    lexicon = Lexicon([bytes(t) for t in top["token"]], c, int((c >= s.head * n).sum()), max(1, int((c >= s.tail * n).sum())))
+    top, rest = _top(counts, s.broadcast)
+    lexicon = Lexicon(top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy())
     shared = spark.sparkContext.broadcast(lexicon)
-
-    def pair_codes(words):
-        lex = shared.value
-        code = _heads(lex.ids(words), lex.n_heads)
-        return code[code >= 0]
-
-    tally = lambda df, codes: df.mapInArrow(lambda it: _tally(it, codes, s.longest_key), "code long, c long").groupBy("code").agg(F.sum("c").alias("c"))
-    least = max(2.0, s.context * n)
-    often = tally(train, pair_codes).where(F.col("c") >= F.lit(least)).toPandas().sort_values("code")
-    pairs = often["code"].to_numpy(np.int64)
-    totals = np.concatenate([c[: lexicon.n_heads], often["c"].to_numpy(np.int64)]).astype(float)
-    sent = spark.sparkContext.broadcast(pairs)
-
-    def entry_codes(words):
-        lex, known = shared.value, sent.value
-        ids = lex.ids(words)
-        ok = ids < lex.n_tails
-        one = np.flatnonzero(ok[1:] & (ids[:-1] < lex.n_heads)) + 1
-        out = [ids[one - 1] * lex.n_tails + ids[one]]
-        if len(known):
-            two = _heads(ids, lex.n_heads)
-            at = np.minimum(np.searchsorted(known, two), len(known) - 1)
-            live = np.flatnonzero(ok & (two >= 0) & (known[at] == two))
-            out.append((lex.n_heads + at[live]) * lex.n_tails + ids[live])
-        return np.concatenate(out)
-
-    found = tally(train, entry_codes).where(F.col("c") >= F.lit(max(2.0, s.joint * n))).toPandas().sort_values("code")
-    entries, ec = found["code"].to_numpy(np.int64), found["c"].to_numpy(np.int64)
-    return Fitted(counts, n, v, _grown(lexicon, pairs, totals, entries, ec, n, v, s), s)
-
-
-def _grown(lexicon: Lexicon, pairs: np.ndarray, totals: np.ndarray, entries: np.ndarray, ec: np.ndarray, n: int, v: int, s: Settings) -> Tree:
-    """Divergence tests, shorter contexts first."""
-    size, tails = len(totals), lexicon.n_tails
-    context, symbol = entries // tails, entries % tails
-    kept = np.zeros(max(size, 1), bool)
-    totals = totals if size else np.zeros(1)
-    tree = Tree(lexicon, pairs, kept, totals, entries, ec - s.discount, s.strength)
-    p = (lexicon.counts[symbol] + 1) / (n + v + 1) if len(entries) else np.zeros(0)
-    seen = np.bincount(context, weights=ec, minlength=len(totals))
-    for order in (1, 2):
-        mine = (context < lexicon.n_heads) if order == 1 else (context >= lexicon.n_heads)
-        parent = p[mine]
-        if order == 2 and mine.any():  # the parent of a pair is its last word, if retained
-            last = pairs[context[mine] - lexicon.n_heads] % lexicon.n_heads
-            key = last * tails + symbol[mine]
-            at = np.minimum(np.searchsorted(entries, key), len(entries) - 1)
-            own = np.where(entries[at] == key, tree.counts[at], 0)
-            parent = np.where(kept[last], (own + tree.rest[last] * parent) / tree.whole[last], parent)
-        c, of = ec[mine], context[mine]
-        add = lambda x: np.bincount(of, weights=x, minlength=len(totals))  # noqa: B023, E731
-        rest, beyond = totals - seen, np.maximum(1 - add(parent), 1e-9)
-        evidence = add(c * np.log(c / totals[of] / parent)) + np.where(rest > 0, rest * np.log(np.maximum(rest, 1) / np.maximum(totals, 1) / beyond), 0)
-        symbols = np.bincount(of, minlength=len(totals))
-        kept |= (symbols > 0) & (evidence > s.divergence * (symbols + 1))
-    return tree
+    whole = float(n + v + 1)
+    known = counts.select("key", "c", ((F.col("c") + 1) / F.lit(whole)).alias("p"))
+    levels, values = [], None
+    for order in range(2, s.depth + 2):
+        contexts, symbols = known.where(F.col("c") >= s.context), known.where(F.col("c") >= s.joint)
+        rows = _counted(train, order, shared, spark.sparkContext.broadcast((_bitmap(contexts), _bitmap(symbols))), whole if order == 2 else None, s)
+        rows = stored(rows, f"runs-{order}")
+        level, own = _tested(rows, known, s)
+        if own is None:
+            break
+        levels.append(level)
+        values = own if values is None else values.unionByName(own)
+        known = level
+    if values is None:
+        values = known.select("key", F.lit(0.0).alias("v"), "c").limit(0)
+    # a run may be a context and a context with its symbol
+    values = cut(values.groupBy("key").agg(F.sum("v").alias("v"), F.max("c").alias("c")))
+    return Fitted(counts, n, v, lexicon, rest, values, levels, s)
+
+
+def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None, s: Settings) -> DataFrame:
+    """Runs of ``order`` tokens with a count of ``joint`` or more, of which the first part may be a context
+    and the last part a run so frequent: key, prefix, suffix, c, and for order 2 total (count of the
+    context) and parent (root probability) of tokens that the lexicon has.
+
+    A row on its way is a key with the codes of its first and last token (rank in the lexicon or hash), from which
+    the parts' keys follow; two ranks are packed in the key alone."""
+    size = s.broadcast.bit_length()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, symbol = bitmaps.value
+
+        def parts():
+            for p in _pieces(batches, lexicon.value):
+                shorter = _runs(p, order - 1)
+                ok = np.zeros(len(shorter), bool)
+                ok[1:] = (p.place[1:] >= order - 1) & _may(context, shorter[:-1]) & _may(symbol, shorter[1:])
+                at = np.flatnonzero(ok)
+                codes = np.where(p.ranks >= 0, p.ranks, p.hashes.view(np.int64))
+                yield shorter[at - 1] * np.uint64(BASE) + p.hashes[at], codes[at - order + 1], codes[at]
+
+        for held in _batched(parts()):
+            keys, first, last, n = _tally(*held)
+            keys, none = keys.view(np.int64), np.zeros(len(keys), bool)
+            if order == 2:
+                none = (first >= 0) & (first < s.broadcast) & (last >= 0) & (last < s.broadcast)
+                keys = np.where(none, first << size | last, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(n)], ["key", "first", "last", "c"])
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex = lexicon.value
+        for batch in batches:
+            keys, c = batch.column("key").to_numpy(), batch.column("c").to_numpy()
+            packed = batch.column("first").is_null().to_numpy(zero_copy_only=False)
+            ends = [np.where(packed, low, pc.fill_null(batch.column(x), 0).to_numpy(zero_copy_only=False)) for x, low in (("first", keys >> size), ("last", keys & ((1 << size) - 1)))]
+            ranked = [(e >= 0) & (e < len(lex.hashes)) for e in ends]
+            first, last = (np.where(r, lex.hashes[np.where(r, e, 0)] if len(lex.hashes) else 0, e.view(np.uint64)) for e, r in zip(ends, ranked, strict=True))
+            if order == 2:
+                prefix, suffix = first, last
+                key = first * np.uint64(BASE) + last
+                seen = [lex.counts[np.where(r, e, 0)] for e, r in zip(ends, ranked, strict=True)] if len(lex.hashes) else [c, c]
+                told = [pa.array(seen[0].astype(np.int64), mask=~ranked[0]), pa.array((seen[1] + 1) / whole, mask=~ranked[1])]
+            else:
+                key = keys.view(np.uint64)
+                prefix = (key - last) * np.uint64(pow(BASE, -1, 1 << 64))
+                suffix = key - first * np.uint64(pow(BASE, order - 1, 1 << 64))
+                told = [pa.nulls(len(key), pa.int64()), pa.nulls(len(key), pa.float64())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (key, prefix, suffix)), pa.array(c), *told], ["key", "prefix", "suffix", "c", "total", "parent"])
+
+    rows = train.mapInArrow(counted, "key long, first long, last long, c long").groupBy("key", "first", "last").agg(F.sum("c").alias("c"))
+    return rows.where(F.col("c") >= s.joint).mapInArrow(parted, "key long, prefix long, suffix long, c long, total long, parent double")
+
+
+def _tested(rows: DataFrame, known: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
+    """The divergence test over ``rows`` of one order; ``known(key, c, p)`` is the order below.  Returns
+    key, c, p (the probability of the last token after the others), and the order's values."""
+    told = rows.where(F.col("total").isNotNull() & F.col("parent").isNotNull())
+    other = rows.where(F.col("total").isNull() | F.col("parent").isNull()).drop("total", "parent")
+    other = other.join(known.select(F.col("key").alias("prefix"), F.col("c").alias("total")), "prefix").join(known.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix")
+    rows = told.unionByName(other).where(F.col("total") >= s.context)
+    kept = F.col("c") * F.abs(F.log(F.col("c") / F.col("total") / F.col("parent"))) > s.divergence
+    rows = stored(rows.select("key", "prefix", "c", "total", "parent", kept.alias("kept")), "tested")
+    sums = rows.where("kept").groupBy("prefix").agg((F.max("total") + s.strength).alias("whole"), F.sum(F.col("c") - s.discount).alias("kept_sum"))
+    sums = cut(sums.select("prefix", "whole", (F.col("whole") - F.col("kept_sum")).alias("rest")))
+    if not rows.limit(1).count():
+        return rows, None
+    rest = F.col("rest") * F.col("parent")
+    p = F.when(F.col("whole").isNull(), F.col("parent")).otherwise((F.when(F.col("kept"), F.col("c") - s.discount).otherwise(0.0) + rest) / F.col("whole"))
+    level = rows.join(small(sums), "prefix", "left").select("key", "c", p.alias("p"), F.when(F.col("kept"), F.log10(p / rest * F.col("whole"))).alias("v"))
+    level = stored(level, "level")
+    contexts = sums.select(F.col("prefix").alias("key"), F.log10(F.col("rest") / F.col("whole")).alias("v"), (F.col("whole") - s.strength).cast("long").alias("c"))
+    return level.select("key", "c", "p"), level.where(F.col("v").isNotNull()).select("key", "v", "c").unionByName(contexts)
 
 
 def score(docs: DataFrame, model: Fitted) -> DataFrame:
     """Per row of ``docs(doc_id, held_out, text)``: doc_id, held_out, n_tokens, n_known,
     train_tokens, base_score, score."""
     s, spark = model.settings, docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.tree)
     whole = float(model.n + model.v + 1)
+    top, rest = _top(model.values, s.broadcast)
+    keys = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    beyond = _bitmap(rest)
+    shared = spark.sparkContext.broadcast((model.lexicon, keys[order], top.column("v").to_numpy()[order], beyond if beyond.any() else None))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tree: Tree = shared.value
-        lex, task, row = tree.lexicon, TaskContext.get().partitionId(), 0
-        logs = np.append(np.log10(lex.counts + 1.0), 0.0)
-        root = np.append((lex.counts + 1.0) / whole, np.nan)
-        for batch in batches:
-            for piece in pieces(batch):
-                out = {k: [] for k in ("n_tokens", "n_known", "logs", "gain", "rare", "times")}
-                for text in piece.column("text").to_pylist():
-                    words = tokens(text, s.longest_key)
-                    ids = lex.ids(words)
-                    rare = Counter([words[k] for k in np.flatnonzero(ids == len(lex.keys)).tolist()])
-                    out["n_tokens"].append(len(words))
-                    out["n_known"].append(len(words) - rare.total())
-                    out["logs"].append(float(logs[ids].sum()))
-                    out["gain"].append(tree.gain(ids, root[ids]))
-                    out["rare"].append(list(rare.keys()))
-                    out["times"].append(list(rare.values()))
-                rows = pa.array([(task << 40) + row + k for k in range(piece.num_rows)], pa.int64())
-                row += piece.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [rows, piece.column("doc_id"), piece.column("held_out"), pa.array(out["n_tokens"], pa.int64()), pa.array(out["n_known"], pa.int64()), pa.array(out["logs"], pa.float64()), pa.array(out["gain"], pa.float64()), pa.array(out["rare"], pa.list_(pa.binary())), pa.array(out["times"], pa.list_(pa.int64()))],
-                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "gain", "rare", "times"],
-                )
-
-    kind = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, gain double, rare array<binary>, times array<bigint>"
+        lexicon, runs, values, more = shared.value
+        task, row = TaskContext.get().partitionId(), 0
+        logs = np.append(np.log10(lexicon.counts + 1.0), 0.0)
+        for p in _pieces(batches, lexicon):
+            n = p.batch.num_rows
+            total = lambda weights, of=p.text, n=n: np.bincount(of, weights=weights, minlength=n)
+            gain, asked, who = np.zeros(n), [p.hashes[p.ranks < 0]], [p.text[p.ranks < 0]]
+            run = p.hashes.copy()
+            for k in range(1, s.depth + 2):
+                if k > 1:
+                    run[1:] = run[:-1] * np.uint64(BASE) + p.hashes[1:]
+                live = p.place >= k - 1
+                if len(runs):
+                    at = np.minimum(np.searchsorted(runs, run), len(runs) - 1)
+                    hit = live & (runs[at] == run)
+                    gain += np.bincount(p.text[hit], weights=values[at[hit]], minlength=n)
+                    live &= ~hit
+                if more is not None:  # rare tokens are asked for in any case
+                    live &= _may(more, run)
+                    if k == 1:
+                        live &= p.ranks >= 0
+                    asked.append(run[live])
+                    who.append(p.text[live])
+            asked, who = np.concatenate(asked), np.concatenate(who)
+            asked = asked[np.argsort(who, kind="stable")].view(np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))]).astype(np.int32)
+            rows = pa.array(np.arange(n) + (task << 40) + row)
+            row += n
+            yield pa.RecordBatch.from_arrays(
+                [rows, p.batch.column("doc_id"), p.batch.column("held_out"), pa.array(total(None).astype(np.int64)), pa.array(total((p.ranks >= 0).astype(float)).astype(np.int64)), pa.array(total(logs[p.ranks])), pa.array(gain), pa.ListArray.from_arrays(pa.array(ends), pa.array(asked))],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "gain", "asked"],
+            )
+
+    kind = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, logs double, gain double, asked array<bigint>"
     rows = cut(docs.select("doc_id", "held_out", "text").mapInArrow(scored, kind))
-    rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("token"), F.col("x.times").alias("times"))
+    asked = rows.select("row", F.explode("asked").alias("key"))
     # an inner join: a token that training never saw adds log10(0 + 1) = 0 and is not known
-    found = rare.join(model.counts, "token").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more_logs"))
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(whole))
-    return rows.drop("rare", "times").join(found, "row", "left").select(
+    told = model.rest.select("key", F.lit(1).alias("known"), F.log10(F.col("c") + 1).alias("log"), F.lit(0.0).alias("v"))
+    told = told.unionByName(rest.select("key", F.lit(0).alias("known"), F.lit(0.0).alias("log"), "v"))
+    found = asked.join(told, "key").groupBy("row").agg(F.sum("known").alias("more"), F.sum("log").alias("more_logs"), F.sum("v").alias("more_gain"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    base = F.col("logs") + zero("more_logs") - F.col("n_tokens") * F.lit(math.log10(whole))
+    return rows.drop("asked").join(found, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain")).alias("score"),
+        (base + F.col("gain") + zero("more_gain")).alias("score"),
     )
