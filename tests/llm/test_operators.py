@@ -35,6 +35,46 @@ def test_outliers_are_exceptions():
     assert raw[4] == 0 and len(raw) < 20 and pfor.decode_block(raw).tolist() == block.tolist()
 
 
+@pytest.mark.parametrize("width", range(33))
+def test_packing_at_every_width(width):
+    rng = np.random.default_rng(width)
+    for n in (1, 7, 8, 9, 250):
+        values = rng.integers(0, 1 << width, n, dtype=np.uint64).astype(np.uint32)
+        raw = pfor.pack(values, width)
+        bits = "".join(format(int(v), f"0{width}b")[::-1] for v in values) if width else ""
+        assert raw == int(bits[::-1] or "0", 2).to_bytes((n * width + 7) // 8, "little")
+        assert pfor.unpack(raw, n, width).tolist() == values.tolist()
+
+
+def test_real_ids_are_packed_and_patched():
+    """Most blocks of real ids are narrower than their largest id and hold exceptions."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    ids = np.frombuffer(b"".join(pfor.encoder(vocabulary("byte_bpe_50k.json"))(texts)), "<u4")
+    blocks = [pfor.encode_block(ids[i : i + pfor.BLOCK]) for i in range(0, len(ids), pfor.BLOCK)]
+    heads = [pfor.HEAD.unpack_from(b) for b in blocks]
+    assert np.mean([h[3] > 0 for h in heads]) > 0.8 and np.mean([h[1] < 16 for h in heads]) > 0.8
+    assert sum(map(len, blocks)) < 2 * len(ids)
+    assert np.concatenate([pfor.decode_block(b) for b in blocks]).tolist() == ids.tolist()
+
+
+def test_special_strings_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n y<|endoftext|><|endoftext|>  ", "none here"]
+    for text, got in zip(texts, pfor.encoder(path)(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_rows_of_one_doc_id_have_a_fixed_order(spark):
+    rows = [(1, f"text {i}") for i in range(50)] + [(None, f"no id {i}") for i in range(50)] + [(2, "x")]
+    made = [sorted(map(str, pfor.checksums(pfor.write(spark.createDataFrame(order, "doc_id long, text string").repartition(n), pfor.fresh_path(spark, "t"), vocabulary("byte_bpe_50k.json"))).collect())) for order, n in ((rows, 3), (rows[::-1], 5))]
+    assert made[0] == made[1] and len(made[0]) == 101
+
+
 @given(st.text(alphabet=st.sampled_from("ab Z'\n\t é1.<|>漢\x1c"), max_size=60))
 @settings(max_examples=150, deadline=None)
 def test_encoders_agree_with_the_libraries(text):

@@ -2,27 +2,31 @@
 
 File format (all integers little-endian).  A *segment* is one binary value:
 
-    magic "PFR1" | u32 ids | u32 documents | u32 blocks | u32 block size
+    magic "PFR2" | u32 ids | u32 documents | u32 blocks | u32 block size
     u64 start of each block in the payload (the block index)
     u64 first id number of the segment within its shard
     payload: blocks of ids, then blocks of document lengths
 
-A block: u32 minimum | u8 width | u16 values | u16 exceptions | packed residuals |
-u16 positions and u32 residuals of the exceptions.  Residuals (value - minimum) are
-packed at the width that holds ``percentile`` of them; larger ones are exceptions.
+A block: u32 minimum | u8 width | u16 values | u16 exceptions | u8 patch bytes | packed residuals |
+u16 positions | patches.  Residuals (value - minimum) are packed at the width that
+holds ``percentile`` of them, value i in the bits from i * width.  Of larger ones the low bits are
+packed with the others, and the high bits are the patches, of 1, 2 or 4 bytes each.
 
 Segments are rows of a Parquet table (shard, segment, doc_ids, payload), so that any
 store that Spark writes to can hold them and a lost task is simply written again.
 Shards are ranges of ascending doc_id.
 
+Encoding is that of the library with its file's settings: the string of a special token in a
+text is that token.  Rows that share a doc_id are in the order of their texts' hashes.
+
 Defined cases: null text counts as empty (just the end id); rows with a null doc_id
-come first; repeated rows are kept, in the order of their arrival in the shard;
-an empty table gives no segment.
+come first; repeated rows are kept; an empty table gives no segment; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import sys
@@ -39,55 +43,79 @@ from pyspark.sql import functions as F
 
 from .common import by_size, shared_dir
 
-MAGIC = b"PFR1"
-BLOCK = 4096
+MAGIC = b"PFR2"
+HEAD = struct.Struct("<IBHHB")
+BLOCK = 2048
 SEGMENT = 1 << 20  # ids of a segment, about
-PERCENTILE = 98.0
+PERCENTILE = 94.0
 BREAK = re.compile(r"(?<=\S)(?= )")
 FINE = re.compile(r"(?<=[A-Za-z])(?=[\x00-\x40\x5B-\x60\x7B-\x7F])|(?<=\S)(?=\s)")
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value."""
+    size = (len(values) * width + 7) // 8
     if not width:
         return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    if width > 16:
+        bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
+        return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    # eight values fill ``width`` bytes: four make the low word, four the high one
+    rows = np.zeros(-(-len(values) // 8) * 8, np.uint64)
+    rows[: len(values)] = values & np.uint32((1 << width) - 1)
+    rows = rows.reshape(-1, 2, 4)
+    half = rows[..., 0] | rows[..., 1] << np.uint64(width) | rows[..., 2] << np.uint64(2 * width) | rows[..., 3] << np.uint64(3 * width)
+    if width == 16:
+        return half.astype("<u8").tobytes()[:size]
+    low = half[:, 0] | half[:, 1] << np.uint64(4 * width)
+    high = half[:, 1] >> np.uint64(64 - 4 * width)
+    return np.stack([low, high], 1).astype("<u8").view(np.uint8)[:, :width].tobytes()[:size]
 
 
 def unpack(raw: bytes, n: int, width: int) -> np.ndarray:
     if not width:
         return np.zeros(n, np.uint32)
-    if width == 16:
-        return np.frombuffer(raw, "<u2", n).astype(np.uint32)
-    bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n * width).reshape(n, width)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :width] = bits
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+    if width > 16:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=n * width).reshape(n, width)
+        wide = np.zeros((n, 32), np.uint8)
+        wide[:, :width] = bits
+        return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().astype(np.uint32)
+    rows = -(-n // 8)
+    wide = np.zeros((rows, 16), np.uint8)
+    flat = np.zeros(rows * width, np.uint8)
+    flat[: len(raw)] = np.frombuffer(raw, np.uint8)
+    wide[:, :width] = flat.reshape(rows, width)
+    words, mask = wide.view("<u8").astype(np.uint64), np.uint64((1 << width) - 1)
+    if width < 16:
+        words[:, 1] = words[:, 0] >> np.uint64(4 * width) | words[:, 1] << np.uint64(64 - 4 * width)
+    out = np.empty((rows, 2, 4), np.uint32)
+    for k in range(4):
+        out[..., k] = words >> np.uint64(k * width) & mask
+    return out.reshape(-1)[:n]
 
 
 def encode_block(values: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     """``values``: at most 65,535 unsigned 32-bit integers."""
-    low = int(values.min()) if len(values) else 0
+    if not len(values):
+        return HEAD.pack(0, 0, 0, 0, 1)
+    low = int(values.min())
     rest = (values - np.uint32(low)).astype(np.uint32)
-    k = min(len(rest) - 1, int(len(rest) * percentile / 100)) if len(rest) else 0
-    width = int(np.partition(rest, k)[k]).bit_length() if len(rest) else 0
-    if 13 <= width < 16:  # as cheap as exceptions, and read without bit operations
-        width = 16
-    over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    body = rest.copy()
-    body[over] = 0
-    packed = body.astype("<u2").tobytes() if width == 16 else pack(body, width)
-    return struct.pack("<IBHH", low, width, len(values), len(over)) + packed + over.astype("<u2").tobytes() + rest[over].astype("<u4").tobytes()
+    k = min(len(rest) - 1, int(len(rest) * percentile / 100))
+    width = int(np.partition(rest, k)[k]).bit_length()
+    patches = rest >> np.uint32(width) if width < 32 else np.zeros(0, np.uint32)
+    over = np.flatnonzero(patches)
+    patches = patches[over]
+    size = next(b for b in (1, 2, 4) if not len(over) or int(patches.max()) < 1 << 8 * b)
+    return HEAD.pack(low, width, len(values), len(over), size) + pack(rest, width) + over.astype("<u2").tobytes() + patches.astype(f"<u{size}").tobytes()
 
 
 def decode_block(raw: memoryview | bytes) -> np.ndarray:
-    low, width, n, over = struct.unpack_from("<IBHH", raw)
-    at, size = 9, (n * width + 7) // 8
-    values = unpack(raw[at : at + size], n, width)
-    at += size
+    low, width, n, over, size = HEAD.unpack_from(raw)
+    at = HEAD.size + (n * width + 7) // 8
+    values = unpack(raw[HEAD.size : at], n, width)
     if over:
         where = np.frombuffer(raw, "<u2", over, at)
-        values[where] = np.frombuffer(raw, "<u4", over, at + 2 * over)
+        values[where] |= np.frombuffer(raw, f"<u{size}", over, at + 2 * over).astype(np.uint32) << np.uint32(width)
     return values + np.uint32(low)
 
 
@@ -124,9 +152,20 @@ def tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
-    out.encode_special_tokens = True  # their strings are ordinary text
-    return out
+    return Tokenizer.from_file(path)
+
+
+def _plain_bytes(library) -> bool:
+    """Whether the file's settings are those that :class:`Encoder` may cut texts for."""
+    told = json.loads(library.to_str())
+    pre, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    return (
+        told.get("normalizer") is None
+        and (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex")) == ("ByteLevel", False, True)
+        and model.get("type") == "BPE"
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+        and all(t.get("special") and not any(t.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) for t in told.get("added_tokens", []))
+    )
 
 
 def _byte_letters() -> dict[int, int]:
@@ -145,11 +184,14 @@ class Encoder:
     that is no letter, so a text's ids are those of its pieces.  Texts are cut at spaces;
     pieces not met before are cut further, as a rare piece is mostly a known word with
     other punctuation.  A piece of Latin letters is one match and goes straight to the
-    library's model.  Of the pieces met, the last ``most`` to twice as many are kept."""
+    library's model.  Of the pieces met, the last ``most`` to twice as many are kept.  A text that holds
+the string of a special token, and every text if the file has other settings, goes to the library whole."""
 
     def __init__(self, path: str, most: int = 500_000):
         self.library, self.most = tokenizer(path), most
         self.model, self.letters = self.library.model, _byte_letters()
+        self.cuts = _plain_bytes(self.library)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)  # pieces are kept here instead
         #: word -> ids of the word after a space; the same without one
@@ -163,6 +205,16 @@ class Encoder:
             self.bare = {}
         texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         texts = pc.fill_null(texts, "")
+        whole = np.full(len(texts), not self.cuts)
+        for name in self.special:
+            whole |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._cut(texts)
+        ids = iter(_raw(e.ids) for e in self.library.encode_batch_fast(texts.filter(pa.array(whole)).to_pylist(), add_special_tokens=False))
+        cut = iter(self._cut(texts.filter(pa.array(~whole))))
+        return [next(ids) if w else next(cut) for w in whole.tolist()]
+
+    def _cut(self, texts: pa.Array) -> list[bytes]:
         # runs of white space are cut before the first of them only
         odd = pc.match_substring_regex(texts, WIDE)
         where = odd.to_numpy(zero_copy_only=False)
@@ -295,8 +347,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, end: int = 0, segment: in
         if held:
             yield out()
 
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ranged.mapInArrow(shard, "shard int, segment int, ids long, doc_ids array<bigint>, payload binary").write.option("compression", "none").parquet(path)
+    # the hash parts and orders the rows of one doc_id, or of none
+    keys = ["doc_id", "at"]
+    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("at"), "text").repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
+    ranged.select("doc_id", "text").mapInArrow(shard, "shard int, segment int, ids long, doc_ids array<bigint>, payload binary").write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
