@@ -294,12 +294,35 @@ def test_every_keyword_gates_its_rule():
         assert keyword in fixed
 
 
+def language_model(*lists):
+    """A model of de and en; each list, words first, has (gram, language, count)."""
+    import pandas as pd
+
+    kept = pd.DataFrame([(lang, size, g, n) for size, own in enumerate(lists) for g, lang, n in own], columns=["lang", "size", "gram", "n"])
+    return langid._model(kept, ["de", "en"], langid.Settings(longest=len(lists) - 1))
+
+
 def test_backoff():
-    model = langid.Model(["de", "en"], [{"the": 0}, {}, {"ch": 1}, {}], np.array([[-3.0, 0.0], [0.0, -2.0]], np.float32))
-    assert model.predict("the")[0] == "en" and model.predict("ch")[0] in ("de", "en")
+    model = language_model([("the", "en", 9), ("der", "de", 9)], [], [("ch", "de", 5)])
+    assert model.predict("the")[0] == "en" and model.predict("der the der")[0] == "de" and model.predict("ch")[0] in ("de", "en")
     assert model.predict("12 --") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
 
 
+@given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from(["de", "en"]), st.integers(2, 50)), min_size=2, unique_by=lambda x: x[:2]), st.text("abcdefg ", min_size=1, max_size=30))
+@settings(max_examples=60, deadline=None)
+def test_sparse_scores_are_the_smoothed_log_frequencies(words, text):
+    model, counts = language_model(words), {x[:2]: x[2] for x in words}
+    vocabulary = {w for w, _, _ in words}
+    score = {}
+    for lang in ("de", "en"):
+        whole = sum(n for (_, x), n in counts.items() if x == lang) + 0.5 * len(vocabulary)
+        score[lang] = sum(math.log((counts.get((w, lang), 0) + 0.5) / whole) for w in text.split() if w in vocabulary)
+    got = model.predict(text)
+    if text.strip():
+        best = max(score.values())
+        assert got[1] == pytest.approx(1 / sum(math.exp(x - best) for x in score.values())) and score[got[0]] == pytest.approx(best)
+
+
 def test_pivot_search_is_exact_and_stops_early():
     rng = np.random.default_rng(0)
     c = (rng.normal(size=(8, 16))[rng.integers(0, 8, 800)] * 200 + rng.normal(size=(800, 16)) * 5).astype(np.int64)
@@ -335,6 +358,6 @@ def test_attention_gradients_and_learning():
 
 
 def test_language_of_a_long_run_of_letters():
-    model = langid.Model(["de", "en"], [{}, {"a": 0, "b": 1}], np.array([[2.0, 0.0], [0.0, 2.0]], np.float32))
+    model = language_model([], [("a", "de", 7), ("b", "en", 7)])
     assert model.predict("a" * 64 + "b" * 500)[0] == "en" and model.predict("a" * 500 + "b" * 64)[0] == "de"
     assert not model.cache

@@ -3,7 +3,11 @@
 A known word adds its per-language log frequency; an unseen word is scored by the
 longest character n-grams of it that the model knows, falling back to shorter ones.
 The fit uses a bounded sample of labelled rows (``per_language`` rows a language,
-in expectation); prediction reads whole texts.
+in expectation); all languages are learned, and prediction reads whole texts.
+
+The model is sparse: it holds what a language that knows a word or n-gram scores above one
+that does not, so its size is that of the kept counts, of which there are ``entries`` at most,
+shared out evenly between languages (25 languages have the full lists).
 
 Defined cases: null text or text without a letter -> ``und`` with score 0; no usable
 training rows -> every text is ``und``; ties go to the alphabetically first language;
@@ -12,7 +16,6 @@ repeated rows give repeated results; rows with null lang are not learned from.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,12 +35,12 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Settings:
     per_language: int = 2000  # training rows of each language, in expectation
-    languages: int = 256  # most frequent languages that are learned
     words: int = 40_000  # known words kept of each language
     grams: int = 20_000  # n-grams kept of each language and length
     longest: int = 4  # of the character n-grams
     least: int = 2  # occurrences of a word or n-gram that is kept
     smoothing: float = 0.5
+    entries: int = 3_000_000  # of all lists together
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -75,26 +78,36 @@ def _grams(batches: Iterator[pd.DataFrame], longest: int) -> Iterator[pd.DataFra
 
 @dataclass
 class Model:
-    """Rows of ``scores`` are centred log frequencies; ``index[0]`` maps words and
-    ``index[n]`` n-grams to rows."""
+    """``index[0]`` maps words and ``index[n]`` n-grams to rows.  Row r has what languages score above ``floors[n]``,
+    the scores of a word or n-gram that a language does not know: ``gains[starts[r]:starts[r + 1]]`` for
+    the languages ``whose`` there."""
 
     languages: list[str]
     index: list[dict[str, int]] = field(default_factory=list)
-    scores: np.ndarray = None
+    floors: np.ndarray = None
+    starts: np.ndarray = None
+    whose: np.ndarray = None
+    gains: np.ndarray = None
     cache: dict = field(default_factory=dict)
 
+    def total(self, rows: np.ndarray, size: int) -> np.ndarray:
+        """Sum over ``rows``, each counted as often as it is named."""
+        n = self.starts[rows + 1] - self.starts[rows]
+        at = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return len(rows) * self.floors[size] + np.bincount(self.whose[at], weights=self.gains[at], minlength=len(self.languages))
+
     def unseen(self, word: str) -> np.ndarray:
         found = self.cache.get(word)
         if found is None:
-            found = np.zeros(len(self.languages), np.float32)
+            found = np.zeros(len(self.languages))
             for n in range(len(self.index) - 1, 0, -1):
                 own = grams(word, n)
                 rows = [r for g in own if (r := self.index[n].get(g)) is not None]
                 if 2 * len(rows) >= len(own):
-                    found = self.scores[rows].mean(0) if len(word) <= 64 else np.bincount(rows, minlength=len(self.scores)) @ self.scores / len(rows)
+                    found = self.total(np.array(rows), n) / len(rows)
                     break
             if len(word) <= 64:  # bounds the cache, not what is read
-                if len(self.cache) > 200_000:
+                if len(self.cache) * len(self.languages) > 2_000_000:
                     self.cache.clear()
                 self.cache[word] = found
         return found
@@ -105,7 +118,7 @@ class Model:
             return UNKNOWN, 0.0
         get = self.index[0].get
         rows = np.array([get(w, -1) for w in words])
-        total = self.scores[rows[rows >= 0]].sum(0, dtype=np.float64)
+        total = self.total(rows[rows >= 0], 0)
         for k in np.flatnonzero(rows < 0).tolist():
             total = total + self.unseen(words[k])
         p = np.exp(total - total.max())
@@ -117,37 +130,38 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Model:
     """Learn from ``train(doc_id, text, lang)``."""
     s = settings
     train = train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.languages).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([])
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, s.per_language / n))])
-    chosen = train.where(sampled(F.col("doc_id"), "langid", F.coalesce(F.element_at(rate, F.col("lang")), F.lit(0.0)))).select("lang", "text")
+    rates = train.sparkSession.createDataFrame([(lang, min(1.0, s.per_language / n)) for lang, n in sizes.items()], "lang string, rate double")
+    chosen = train.join(F.broadcast(rates), "lang").where(sampled(F.col("doc_id"), "langid", F.col("rate"))).select("lang", "text")  # a row a language
     words = cut(chosen.mapInPandas(_words, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     counts = words.mapInPandas(lambda it: _grams(it, s.longest), "lang string, size int, gram string, n long")
     counts = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).unionByName(words.withColumn("size", F.lit(0)))
     counts = counts.where(F.col("n") >= s.least)
     order = F.expr("row_number() over (partition by lang, size order by n desc, gram)")
-    kept = counts.withColumn("r", order).where(F.col("r") <= F.when(F.col("size") == 0, s.words).otherwise(s.grams)).drop("r").toPandas()
-    return _model(kept, sorted(sizes), s)
+    share = min(1.0, s.entries / len(sizes) / (s.words + s.longest * s.grams))
+    most = F.when(F.col("size") == 0, int(s.words * share)).otherwise(int(s.grams * share))
+    return _model(counts.withColumn("r", order).where(F.col("r") <= most).drop("r").toArrow().to_pandas(), sorted(sizes), s)
 
 
 def _model(kept: pd.DataFrame, languages: list[str], s: Settings) -> Model:
-    model = Model(languages, [{} for _ in range(s.longest + 1)])
     at = {lang: i for i, lang in enumerate(languages)}
-    parts, base = [], 0
+    index, floors, parts, base = [], [], [], 0
     for size in range(s.longest + 1):
         own = kept[kept["size"] == size]
         keys = sorted(own["gram"].unique())
-        model.index[size] = {g: base + i for i, g in enumerate(keys)}
-        counts = np.zeros((len(keys), len(languages)))
-        counts[[model.index[size][g] - base for g in own["gram"]], [at[x] for x in own["lang"]]] = own["n"]
-        logs = np.log(counts + s.smoothing) - np.log(counts.sum(0) + s.smoothing * max(1, len(keys)))
-        parts.append(logs - (logs.max(1, keepdims=True) if len(keys) else 0))
+        index.append({g: base + i for i, g in enumerate(keys)})
+        rows, whose = own["gram"].map(index[size]).to_numpy(np.int64), own["lang"].map(at).to_numpy(np.int64)
+        n = own["n"].to_numpy(float)
+        whole = np.bincount(whose, weights=n, minlength=len(languages)) + s.smoothing * max(1, len(keys))
+        floors.append(np.log(s.smoothing) - np.log(whole))
+        parts.append((rows, whose, np.log1p(n / s.smoothing)))
         base += len(keys)
-    model.scores = np.concatenate(parts).astype(np.float32) if base else np.zeros((0, len(languages)), np.float32)
-    # a document's evidence from one word stays finite
-    model.scores = np.maximum(model.scores, -math.log(1e6))
-    return model
+    rows, whose, gains = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((whose, rows))
+    starts = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=base))]).astype(np.int64)
+    return Model(languages, index, np.array(floors), starts, whose[order].astype(np.int32), gains[order].astype(np.float32))
 
 
 def predictor(spark, model: Model):
