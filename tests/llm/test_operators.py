@@ -327,11 +327,17 @@ def test_pivot_search_is_exact_and_stops_early():
     rng = np.random.default_rng(0)
     c = (rng.normal(size=(8, 16))[rng.integers(0, 8, 800)] * 200 + rng.normal(size=(800, 16)) * 5).astype(np.int64)
     q, ids = c[:20], np.arange(800)
-    i, j, s, seen = pivots.block_top(q, ids[:20], c, ids, pivots.choose(c.astype(float), 16), 5)
-    for a in range(20):
-        want = sorted(((-int(c[b] @ q[a]), b) for b in range(800) if b != a))[:5]
-        assert [(-int(x), int(y)) for x, y in zip(s[i == a], j[i == a], strict=True)] == want
-    assert seen < 20 * 800
+    far = pivots.distances(c.astype(float), pivots.choose(c.astype(float), 16))
+    some = np.arange(0, 800, 7)
+    floors = np.array([pivots._floor(q[a], a, c[some], ids[some], 5) for a in range(20)])
+    work = []
+    for floor in (np.full(20, -np.inf), floors):
+        i, j, s, seen = pivots.block_top(q, ids[:20], far[:20], floor, c, ids, far, 5)
+        for a in range(20):
+            want = sorted(((-int(c[b] @ q[a]), b) for b in range(800) if b != a))[:5]
+            assert [(-int(x), int(y)) for x, y in zip(s[i == a], j[i == a], strict=True)] == want
+        work.append(seen)
+    assert work[1] <= work[0] < 20 * 800
 
 
 def test_ordinal_regression_orders_grades():

@@ -1,9 +1,12 @@
 """Exact top-k by inner product with a pivot table (elimination by lower bounds).
 
 <q,c> = (|q|^2 + |c|^2 - d(q,c)^2) / 2, and by the triangle inequality d(q,c) is at
-least max_p |d(q,p) - d(c,p)|, which bounds the score from above.  In each block
+least max_p |d(q,p) - d(c,p)|, which bounds the score from above.  The distances of all
+vectors to the pivots are computed once and stored with them (the pivot table).  In each block
 candidates are evaluated in the order of that bound until the k-th best score exceeds
-every bound left; ties are evaluated too, so the result is exact.
+every bound left; ties are evaluated too, so the result is exact.  The search starts from
+a floor, the query's k-th best score among the sampled rows, which no result is below, so
+that blocks need not find it anew and candidates bounded below it are not evaluated at all.
 
 Queries and candidates meet in blocks (query block x candidate block) of bounded size,
 one task group each; every group returns its k best, the rest is a top-k window.  The
@@ -17,6 +20,7 @@ queries, share their k results; ties go to the smaller id; products must fit in
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +34,7 @@ from .common import cut, sampled
 @dataclass(frozen=True)
 class Settings:
     k: int = 5
-    pivots: int = 16
+    pivots: int = 64
     sample: int = 2048  # rows that pivots are chosen from, in expectation
     query_block: int = 2048
     candidate_block: int = 8192
@@ -52,13 +56,13 @@ def distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((vectors**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * vectors @ pivots.T, 0))
 
 
-def block_top(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, pivots: np.ndarray, k: int):
+def block_top(q: np.ndarray, qid: np.ndarray, qd: np.ndarray, floor: np.ndarray, c: np.ndarray, cid: np.ndarray, cd: np.ndarray, k: int):
     """(query row, candidate row, score) of the k best of each query, and the number of
-    products that were evaluated.  ``c`` is sorted by id."""
+    products that were evaluated.  ``qd`` and ``cd`` are distances to the pivots; results below ``floor``
+    may be missing.  ``c`` is sorted by id."""
     exact = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1] < 1 << 52
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     qi, ci = (qf, cf) if exact else (q, c)
-    qd, cd = distances(qf, pivots), distances(cf, pivots)
     qn, cn = (qf**2).sum(1), (cf**2).sum(1)
     out, evaluated = [], 0
     for i in range(len(q)):
@@ -69,7 +73,8 @@ def block_top(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, pi
         bound = (qn[i] + cn - low * low) / 2
         bound += 1e-6 * (1 + np.abs(bound))
         bound[cid == qid[i]] = -np.inf
-        order = np.argsort(-bound, kind="stable")
+        able = np.flatnonzero(bound >= floor[i])
+        order = able[np.argsort(-bound[able], kind="stable")]
         rows, scores, at, size = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, max(64, k)
         while at < len(order) and bound[order[at]] > -np.inf and (len(rows) < k or bound[order[at]] >= scores[-1]):
             take = order[at : at + size]
@@ -100,25 +105,43 @@ def top_k(vectors: DataFrame, is_query, settings: Settings = Settings()) -> Data
     rows = cut(vectors.select("id", "x").distinct().select("id", "x", is_query.alias("q"), F.size("x").alias("dim")))
     n, nq = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("q").cast("long")), F.lit(0))).first()
     sample = rows.where(sampled(F.col("id"), "pivots", min(1.0, s.sample / max(1, n)))).select("id", "x", "dim").orderBy("id").toPandas()
-    pivots = {d: choose(np.array(g["x"].tolist(), np.float64), s.pivots) for d, g in sample.groupby("dim")}
+    pivots = {d: (choose(x := np.array(g["x"].tolist(), np.int64), s.pivots).astype(np.float64), g["id"].to_numpy(), x) for d, g in sample.groupby("dim")}
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
+
+    def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Distances to the pivots, and a query's floor."""
+        for batch in batches:
+            for dim, own in batch.groupby("dim"):
+                at, ids, seeds = shared.value.get(int(dim), (np.zeros((0, int(dim))), np.zeros(0, np.int64), np.zeros((0, int(dim)), np.int64)))
+                x = np.array(own["x"].tolist(), np.int64)
+                floor = [_floor(v, i, seeds, ids, s.k) if q else None for v, i, q in zip(x, own["id"], own["q"], strict=True)]
+                yield own.assign(far=list(distances(x.astype(np.float64), at)), floor=pd.Series(floor, own.index, dtype="object"))
+
+    rows = cut(rows.mapInPandas(described, "id long, x array<long>, q boolean, dim int, far array<double>, floor double"))
     cbs, qbs = max(1, -(-n // s.candidate_block)), max(1, -(-nq // s.query_block))
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    cand = rows.select("id", "x", "dim", F.pmod(F.xxhash64(F.lit("c"), "id", "x"), F.lit(cbs)).cast("int").alias("cb"), every(qbs).alias("qb"))
-    query = rows.where("q").select("id", "x", "dim", F.pmod(F.xxhash64(F.lit("q"), "id", "x"), F.lit(qbs)).cast("int").alias("qb"), every(cbs).alias("cb"))
+    cand = rows.select("id", "x", "dim", "far", F.pmod(F.xxhash64(F.lit("c"), "id", "x"), F.lit(cbs)).cast("int").alias("cb"), every(qbs).alias("qb"))
+    query = rows.where("q").select("id", "x", "dim", "far", "floor", F.pmod(F.xxhash64(F.lit("q"), "id", "x"), F.lit(qbs)).cast("int").alias("qb"), every(cbs).alias("cb"))
 
     def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         if not len(qs) or not len(cs):
-            return empty
-        dim = int(qs["dim"].iloc[0])
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
         cs = cs.sort_values("id")
-        q, c = np.array(qs["x"].tolist(), np.int64), np.array(cs["x"].tolist(), np.int64)
-        qid, cid = qs["id"].to_numpy(), cs["id"].to_numpy()
-        i, j, score, _ = block_top(q, qid, c, cid, shared.value.get(dim, np.zeros((0, dim))), s.k)
-        return pd.DataFrame({"query_id": qid[i], "vec_id": cid[j], "score": score})
+        sides = [(np.array(f["x"].tolist(), np.int64), f["id"].to_numpy(), np.array(f["far"].tolist(), np.float64).reshape(len(f), -1)) for f in (qs, cs)]
+        floor = qs["floor"].fillna(-np.inf).to_numpy(np.float64)
+        i, j, score, _ = block_top(*sides[0], floor, *sides[1], s.k)
+        return pd.DataFrame({"query_id": sides[0][1][i], "vec_id": sides[1][1][j], "score": score})
 
     keys = ("dim", "qb", "cb")
     found = query.groupBy(*keys).cogroup(cand.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= s.k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _floor(x: np.ndarray, own: int, seeds: np.ndarray, ids: np.ndarray, k: int) -> float | None:
+    """The k-th best score of ``x`` among the seeds, less what a double may round off."""
+    scores = seeds[ids != own] @ x
+    if len(scores) < k:
+        return None
+    kth = float(np.partition(scores, len(scores) - k)[len(scores) - k])
+    return kth - 1e-9 * abs(kth)
