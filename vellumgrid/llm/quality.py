@@ -5,8 +5,8 @@ h = tanh(W x) from its character-class statistics; gated attention weighs passag
 a_i = softmax_i(w . (tanh(V h_i) * sigmoid(U h_i))), and the document's score is
 sigmoid(c . sum a_i h_i + b).  All weights are learned from document labels.
 
-The fit uses a bounded sample of labelled rows (``rows``, in expectation) of at most
-``train_passages`` passages; scoring reads every passage of every text.
+The fit uses a bounded sample of labelled rows (``rows``, in expectation), and of a longer
+document ``train_passages`` passages at even distances; scoring reads every passage of every text.
 
 Defined cases: null text counts as empty; an empty text is one empty passage; labels
 that are null are left out, of duplicate labels the larger counts; no labels: score
@@ -176,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
                 part = batch.iloc[at : at + 256]
                 x, bags = encode(list(part["text"]), s.passage)
                 ends = np.cumsum(bags)
-                keep = np.flatnonzero(bags <= s.train_passages)
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[keep], "y": part["y"].to_numpy()[keep], "n": bags[keep], "x": [x[ends[i] - bags[i] : ends[i]].tobytes() for i in keep]})
+                bag = lambda i: x[ends[i] - bags[i] + np.arange(min(bags[i], s.train_passages)) * max(bags[i], s.train_passages) // s.train_passages]  # noqa: B023, E731
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(), "n": np.minimum(bags, s.train_passages), "x": [bag(i).tobytes() for i in range(len(bags))]})
 
     joined = docs.select("doc_id", "text").join(chosen, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "y")
     rows = joined.mapInPandas(passages, "doc_id long, y int, n int, x binary").toPandas().sort_values("doc_id")
