@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .license_rules import BASE, rules, spaced
 
 #: What lies between words, before and after A-Z are lower-cased.
@@ -107,17 +108,19 @@ def _kept(found: Column) -> Column:
     return F.transform(_bound(keyed, outer), lambda m: F.struct(m["ord"].alias("ord"), m["label"].alias("label"), m["start"].alias("start"), (-m["end"]).alias("stop")))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``licences``: struct(n_words, base, kept), base and kept arrays of
-    struct(ord, label, start, stop) in words, stop exclusive."""
+def scan(docs: DataFrame, text: str = "text", out: str = "licences") -> DataFrame:
+    """``docs`` with the column ``out``: struct(n_words, base, kept), base and kept arrays of
+    struct(ord, label, start, stop) in words, stop exclusive.  A column that already has
+    that name is replaced, all others are untouched; ``out`` must not be ``text`` itself."""
+    w, n, f = fresh(docs, "words"), fresh(docs, "n"), fresh(docs, "found")
     words = words_of(F.col(text))
     empty = F.array().cast("array<struct<ord:int,label:string,start:bigint,stop:bigint>>")
-    gate = F.rlike(F.col("__words"), F.lit("(?i)(?<![^ ])(?:" + "|".join(gate_words()) + ")(?![^ ])"))
-    space = F.concat(F.lit(" "), F.replace(F.translate("__words", _LETTERS, _LETTERS.lower()), F.lit(" "), F.lit("  ")), F.lit(" "))
+    gate = F.rlike(F.col(w), F.lit("(?i)(?<![^ ])(?:" + "|".join(gate_words()) + ")(?![^ ])"))
+    space = F.concat(F.lit(" "), F.replace(F.translate(w, _LETTERS, _LETTERS.lower()), F.lit(" "), F.lit("  ")), F.lit(" "))
     # the one-element arrays bind a value once for all the lambdas that use it
     found = F.transform(F.array(space), lambda t: _scan(t))[0]
-    both = F.transform(F.array(found), lambda f: F.struct(F.filter(f, lambda m: m["ord"] == 0).alias("base"), _kept(f).alias("kept")))[0]
-    n_words = F.when(F.col("__words") == "", 0).otherwise(F.length("__words") - F.length(F.replace(F.col("__words"), F.lit(" "), F.lit(""))) + 1)
-    out = docs.withColumn("__words", words).withColumn("__n", n_words.cast("long"))
-    out = out.withColumn("__found", F.when(gate, both).otherwise(F.struct(empty.alias("base"), empty.alias("kept"))))
-    return out.withColumn("licences", F.struct(F.col("__n").alias("n_words"), F.col("__found.base").alias("base"), F.col("__found.kept").alias("kept"))).drop("__words", "__n", "__found")
+    both = F.transform(F.array(found), lambda x: F.struct(F.filter(x, lambda m: m["ord"] == 0).alias("base"), _kept(x).alias("kept")))[0]
+    n_words = F.when(F.col(w) == "", 0).otherwise(F.length(w) - F.length(F.replace(F.col(w), F.lit(" "), F.lit(""))) + 1)
+    made = docs.withColumn(w, words).withColumn(n, n_words.cast("long"))
+    made = made.withColumn(f, F.when(gate, both).otherwise(F.struct(empty.alias("base"), empty.alias("kept"))))
+    return made.withColumn(out, F.struct(F.col(n).alias("n_words"), F.col(f"{f}.base").alias("base"), F.col(f"{f}.kept").alias("kept"))).drop(w, n, f)
