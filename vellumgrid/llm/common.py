@@ -59,6 +59,32 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``left``, which must be materialised and may repeat a key ever so often, with
+    ``right``, which has a key once.  The keys of more than a ``parts``-th of the rows of
+    ``left``, so fewer than ``parts``, are joined map-side."""
+    most = max(left.count() // parts, 100)
+    hot = cut(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(key))
+    if not hot.limit(1).count():
+        return left.join(right, key)
+    few = cut(right.join(F.broadcast(hot), key, "left_semi"))
+    return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose key is not in ``gone(key)``; rows with a null key stay."""
     return docs.join(small(cut(gone.select(F.col(key)).where(F.col(key).isNotNull()).distinct())), key, "left_anti").select(docs.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, sampled, small
+from .common import cut, pieces, sampled, small, spread_join
 from .components import components
 
 SEED = 42
@@ -284,10 +284,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     fps = cut(fingerprints(docs, s.shingle))
     nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("fp")))
     roots = components(links(nodes.select("node", "fp"), s.k, s.bucket, s.blocks))
-    named = nodes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root"))
+    named = cut(nodes.join(roots, "node", "left").select("fp", "least", F.coalesce("root", "node").alias("root")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = spread_join(named, ids, "root").select("fp", "component_id")
+    return spread_join(fps, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # -- removal of near copies by shingle similarity -----------------------------
@@ -437,5 +437,5 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
     sets = cut(paired.join(made, "same").select("key", "node", "items"))
     roots = components(proven(pairs, sets, s))
     near = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
-    exact = rows.select("doc_id", "same").join(nodes.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select("doc_id")
+    exact = spread_join(rows.select("doc_id", "same"), nodes.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select("doc_id")
     return exact.unionByName(near).distinct()
