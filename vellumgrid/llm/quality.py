@@ -117,6 +117,10 @@ class Model:
     constant: float = 0.5
     passage: int = 48
 
+    def learned(self) -> bool:
+        """Whether there was any label."""
+        return self.parts is not None or self.constant != 0.5
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.parts is None:
             return np.full(len(texts), self.constant)
