@@ -24,8 +24,8 @@ fixed size tells (it may say yes too often, which costs work only).  The tree is
 (run, value).  Its ``broadcast`` most frequent values, and the counts of so many tokens, reach the
 scorers by broadcast; all others meet their documents in a shuffled join, in which no key is frequent.
 
-Tokens and runs are known by 64-bit hashes; of a billion of them, two share one with a
-probability of 3 %, which then count as one.
+Tokens and runs are known by 64-bit hashes, polynomials of the bytes and of the tokens' hashes; of a
+billion of them, two share one with a probability of 3 %, which then count as one.
 
 Defined cases: null text counts as empty (only the end token); no training rows:
 N = V = 0 and every token has the root's probability 1; repeated rows, also with one
@@ -35,14 +35,14 @@ not looked at.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +50,30 @@ from .common import by_size, cut, small, stored
 
 #: Run keys are polynomials of token hashes in this odd number, modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
+#: Token hashes are polynomials of numbers that stand for bytes, in this one.
+BYTE_BASE = 0xD1342543DE82EF95
 BITS = 26  # of a bitmap's positions: 8 MB
-END = xxhash.xxh64_intdigest(b"")  # no word is empty
+END = 0x2545F4914F6CDD1D  # the end token's hash; it has no bytes
+PIECE = 1 << 20  # bytes of text that are worked on at a time
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+#: of each byte; A-Z stand for a-z
+LETTERS = _mixed(np.arange(1, 257, dtype=np.uint64))
+LETTERS[65:91] = LETTERS[97:123]
+SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@functools.cache
+def _powers(n: int, base: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 @dataclass(frozen=True)
@@ -66,14 +88,56 @@ class Settings:
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """The plain form of what :func:`_runs` does in bulk."""
+    """The plain form of what :func:`_pieces` does in bulk."""
     return [*(text.encode("utf-8", "surrogatepass").lower().split() if text else []), b""]
 
 
+def _hashes(data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Of the tokens data[begin:stop].  All bytes are worked on at once: with P the running sum of
+    letter(byte j) * BYTE_BASE ** j, a token's hash is its part of P over BYTE_BASE ** begin."""
+    out, at = np.empty(len(begin), np.uint64), 0
+    while at < len(begin):
+        low = begin[at]
+        to = max(at + 1, int(np.searchsorted(stop, low + PIECE, side="right")))
+        size = int(stop[to - 1] - low)
+        powers = [_powers(PIECE + 1, b) if size <= PIECE else _powers.__wrapped__(size + 1, b) for b in (BYTE_BASE, pow(BYTE_BASE, -1, 1 << 64))]
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(LETTERS[data[low : low + size]] * powers[0][:size], out=sums[1:])
+        b, e = begin[at:to] - low, stop[at:to] - low
+        out[at:to] = _mixed((sums[e] - sums[b]) * powers[1][b])
+        at = to
+    return out
+
+
+class Table:
+    """Finds 64-bit keys that are spread evenly: the first bits tell where to look."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(np.sort(keys), np.uint64(2**64 - 1))  # a guard that ends every search
+        self.first = np.searchsorted(self.keys[:-1], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key in ascending order, -1 if there is none."""
+        at = self.first[keys >> np.uint64(44)]
+        left = np.flatnonzero(self.keys[at] < keys)
+        while len(left):
+            at[left] += 1
+            left = left[self.keys[at[left]] < keys[left]]
+        return np.where((self.keys[at] == keys) & (at < len(self.keys) - 1), at, -1)
+
+
+class Lexicon:
+    """The most frequent tokens; a token's rank is its number in the order of hashes."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts, self.table = hashes[order], counts[order], Table(hashes)
+
+
 @dataclass
 class Piece:
-    """The tokens of some texts one after the other: hash, rank among the broadcast tokens (-1: none)
-    or null before these are known, number of the text, and place in it."""
+    """The tokens of some texts one after the other: hash, rank in the lexicon (-1: none; not there
+    without a lexicon), number of the text, and place in it."""
 
     hashes: np.ndarray
     ranks: np.ndarray | None
@@ -82,40 +146,29 @@ class Piece:
     batch: pa.RecordBatch
 
 
-class Lexicon:
-    """The most frequent tokens; rank 0 is the most frequent one."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
-        self.order = np.argsort(hashes)
-        self.sorted = hashes[self.order]
-
-    def rank(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], -1)
-
-
 def _pieces(batches: Iterator[pa.RecordBatch], lexicon: Lexicon | None) -> Iterator[Piece]:
     for batch in batches:
-        for part in by_size(batch, most=8 << 20):
-            lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column("text"), "").cast(pa.string())))
-            words = lists.flatten()
-            real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
-            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[real]
-            coded = words.filter(pa.array(real)).dictionary_encode()
-            digest = xxhash.xxh64_intdigest
-            known = np.array([digest(w) for w in coded.dictionary.to_pylist()] + [END], np.uint64)
-            codes = coded.indices.to_numpy()
-            # every text gets its end token
-            n = np.bincount(owner, minlength=len(lists)) + 1
+        for part in by_size(batch, most=PIECE):
+            texts = pc.fill_null(part.column("text"), "").cast(pa.string())
+            edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]
+            edges = edges - edges[0]
+            space = np.ones(len(data) + 2, bool)  # and one before and one after
+            space[1:-1] = SPACES[data]
+            new = np.zeros(len(data) + 1, bool)  # where a text begins or ends
+            new[edges] = True
+            word = ~space[1:-1]
+            begin = np.flatnonzero(word & (space[:-2] | new[:-1]))
+            stop = np.flatnonzero(word & (space[2:] | new[1:])) + 1
+            n = np.diff(np.searchsorted(begin, edges)) + 1  # with the end token
+            text = np.repeat(np.arange(len(n), dtype=np.int32), n)
             starts = np.cumsum(n) - n
-            index = np.full(int(n.sum()), len(known) - 1, np.int64)
-            index[np.arange(len(codes)) + owner] = codes
-            text = np.repeat(np.arange(len(lists)), n)
-            ranks = None if lexicon is None else lexicon.rank(known)[index]
-            yield Piece(known[index], ranks, text, np.arange(len(index)) - starts[text], part)
+            place = (np.arange(len(text)) - starts[text]).astype(np.int32)
+            hashes = np.full(len(text), END, np.uint64)
+            real = np.ones(len(text), bool)
+            real[starts + n - 1] = False
+            hashes[real] = _hashes(data, begin, stop)
+            yield Piece(hashes, None if lexicon is None else lexicon.table.find(hashes), text, place, part)
 
 
 def _runs(piece: Piece, order: int) -> np.ndarray:
@@ -127,22 +180,17 @@ def _runs(piece: Piece, order: int) -> np.ndarray:
     return keys
 
 
-def _tally(keys: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
-    keys, at, n = np.unique(keys, return_index=True, return_counts=True)
-    return (keys, *(x[at] for x in others), n)
-
-
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for held in _batched((p.hashes,) for p in _pieces(batches, None)):
-        keys, n = _tally(*held)
+    for (held,) in _batched((p.hashes,) for p in _pieces(batches, None)):
+        keys, n = np.unique(held, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "c"])
 
 
-def _batched(parts: Iterator[tuple[np.ndarray, ...]], most: int = 3_000_000) -> Iterator[list[np.ndarray]]:
+def _batched(parts: Iterator[tuple[np.ndarray, ...]], most: int = 2_000_000) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for part in parts:
         held.append(part)
-        n += len(part[0])
+        n += max(map(len, part))
         if n >= most:
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
             held, n = [], 0
@@ -233,16 +281,19 @@ def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None
                 ok = np.zeros(len(shorter), bool)
                 ok[1:] = (p.place[1:] >= order - 1) & _may(context, shorter[:-1]) & _may(symbol, shorter[1:])
                 at = np.flatnonzero(ok)
-                codes = np.where(p.ranks >= 0, p.ranks, p.hashes.view(np.int64))
-                yield shorter[at - 1] * np.uint64(BASE) + p.hashes[at], codes[at - order + 1], codes[at]
-
-        for held in _batched(parts()):
-            keys, first, last, n = _tally(*held)
-            keys, none = keys.view(np.int64), np.zeros(len(keys), bool)
-            if order == 2:
-                none = (first >= 0) & (first < s.broadcast) & (last >= 0) & (last < s.broadcast)
-                keys = np.where(none, first << size | last, keys)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(first, mask=none), pa.array(last, mask=none), pa.array(n)], ["key", "first", "last", "c"])
+                first, last = p.ranks[at - order + 1], p.ranks[at]
+                packed = (first >= 0) & (last >= 0) if order == 2 else np.zeros(len(at), bool)
+                pairs = first[packed].astype(np.int64) << size | last[packed]
+                at, first, last = at[~packed], first[~packed], last[~packed]
+                code = lambda rank, place: np.where(rank >= 0, rank, p.hashes[place].view(np.int64))  # noqa: B023, E731
+                yield pairs, shorter[at - 1] * np.uint64(BASE) + p.hashes[at], code(first, at - order + 1), code(last, at)
+
+        for pairs, keys, first, last in _batched(parts()):
+            pairs, n = np.unique(pairs, return_counts=True)
+            none = pa.nulls(len(pairs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), none, none, pa.array(n)], ["key", "first", "last", "c"])
+            keys, at, n = np.unique(keys, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(first[at]), pa.array(last[at]), pa.array(n)], ["key", "first", "last", "c"])
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
@@ -296,9 +347,8 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
     whole = float(model.n + model.v + 1)
     top, rest = _top(model.values, s.broadcast)
     keys = top.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
     beyond = _bitmap(rest)
-    shared = spark.sparkContext.broadcast((model.lexicon, keys[order], top.column("v").to_numpy()[order], beyond if beyond.any() else None))
+    shared = spark.sparkContext.broadcast((model.lexicon, Table(keys), top.column("v").to_numpy()[np.argsort(keys)], beyond if beyond.any() else None))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -315,11 +365,10 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
                 if k > 1:
                     run[1:] = run[:-1] * np.uint64(BASE) + p.hashes[1:]
                 live = p.place >= k - 1
-                if len(runs):
-                    at = np.minimum(np.searchsorted(runs, run), len(runs) - 1)
-                    hit = live & (runs[at] == run)
-                    gain += np.bincount(p.text[hit], weights=values[at[hit]], minlength=n)
-                    live &= ~hit
+                at = runs.find(run)
+                hit = live & (at >= 0)
+                gain += np.bincount(p.text[hit], weights=values[at[hit]], minlength=n)
+                live &= ~hit
                 if more is not None:  # rare tokens are asked for in any case
                     live &= _may(more, run)
                     if k == 1:
