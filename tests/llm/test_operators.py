@@ -114,7 +114,8 @@ class PlainTree:
             found = {}
             for r, c in self.runs.items():
                 total = self.runs[r[:-1]]
-                if len(r) == k and c >= s.joint and total >= s.context and c * abs(math.log(c / total / self.p(r[1:-1], r[-1]))) > s.divergence:
+                grown = k == 2 or r[1:-1] in self.kept
+                if len(r) == k and c >= s.joint and total >= s.context and grown and c * abs(math.log(c / total / self.p(r[1:-1], r[-1]))) > s.divergence:
                     found.setdefault(r[:-1], {})[r[-1]] = c - s.discount
             self.kept |= found
 

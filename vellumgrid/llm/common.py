@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,6 +60,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def release(table: DataFrame) -> None:
+    """Delete a :func:`stored` table that nothing reads any more, and have Spark delete the shuffle files of
+    finished steps now rather than when the driver happens to collect its garbage."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        remove(spark, path)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
     """Inner join of ``left``, which must be materialised and may repeat a key ever so often, with
     ``right``, which has a key once.  The keys of more than a ``parts``-th of the rows of

@@ -3,16 +3,16 @@
 Tokens are whitespace-separated words (A-Z lower-cased), then one end token.
 
 * Root: add-one unigram over all training tokens.
-* Contexts grow a word at a time, up to ``depth`` words.  One is a candidate if it occurs
-  ``context`` times or more in the training texts; its next symbols are those that follow it
-  ``joint`` times or more.  Both are absolute, so the tree grows with the corpus.
+* Contexts grow by a word in front, up to ``depth`` words.  One is a candidate if it occurs
+  ``context`` times or more in the training texts and its parent, it without its first word, is
+  retained; its next symbols are those that follow it ``joint`` times or more.  Both numbers are
+  absolute, so the tree grows with the corpus.
 * Divergence test: a next symbol w of a context s is retained if c(s,w) times the absolute
   log ratio of c(s,w)/C(s) to the parent's probability of w exceeds ``divergence`` nats.  A context is
   retained if one of its symbols is.
 * P(w|s) = (kept(s,w) + rest(s) * P(w|parent)) / (C(s) + strength) with kept = c less
   ``discount`` for a retained symbol and else 0, rest(s) = C(s) + strength - sum of kept(s,.),
-  which sums to one; the parent of s is s without its first word.  The parent of a context that is not
-  retained has all to say.
+  which sums to one.
 * A token is scored in the longest retained suffix of what precedes it.  Along the
   suffixes of a place, log P grows by log(rest(s) / (C(s) + strength)) at each retained context, and
   by a further amount where its symbol is retained.  So a text's score is its unigram score
@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, small, stored
+from .common import by_size, cut, release, small, stored
 
 #: Run keys are polynomials of token hashes in this odd number, modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
@@ -246,11 +246,12 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Fitted:
     whole = float(n + v + 1)
     known = counts.select("key", "c", ((F.col("c") + 1) / F.lit(whole)).alias("p"))
     levels, values = [], None
+    contexts = known.where(F.col("c") >= s.context)
     for order in range(2, s.depth + 2):
-        contexts, symbols = known.where(F.col("c") >= s.context), known.where(F.col("c") >= s.joint)
-        rows = _counted(train, order, shared, spark.sparkContext.broadcast((_bitmap(contexts), _bitmap(symbols))), whole if order == 2 else None, s)
-        rows = stored(rows, f"runs-{order}")
-        level, own = _tested(rows, known, s)
+        maps = spark.sparkContext.broadcast((_bitmap(contexts), _bitmap(known.where(F.col("c") >= s.joint))))
+        rows = stored(_counted(train, order, shared, maps, whole if order == 2 else None, s), "runs")
+        level, own, contexts = _tested(rows, contexts, known, s)
+        release(rows)
         if own is None:
             break
         levels.append(level)
@@ -269,8 +270,9 @@ def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None
     context) and parent (root probability) of tokens that the lexicon has.
 
     A row on its way is a key with the codes of its first and last token (rank in the lexicon or hash), from which
-    the parts' keys follow; two ranks are packed in the key alone."""
+    the parts' keys follow.  Two ranks are packed in one number, for order 2 in the key."""
     size = s.broadcast.bit_length()
+    code = lambda rank, p, at: np.where(rank >= 0, rank, p.hashes[at].view(np.int64))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, symbol = bitmaps.value
@@ -282,25 +284,28 @@ def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None
                 ok[1:] = (p.place[1:] >= order - 1) & _may(context, shorter[:-1]) & _may(symbol, shorter[1:])
                 at = np.flatnonzero(ok)
                 first, last = p.ranks[at - order + 1], p.ranks[at]
-                packed = (first >= 0) & (last >= 0) if order == 2 else np.zeros(len(at), bool)
-                pairs = first[packed].astype(np.int64) << size | last[packed]
-                at, first, last = at[~packed], first[~packed], last[~packed]
-                code = lambda rank, place: np.where(rank >= 0, rank, p.hashes[place].view(np.int64))  # noqa: B023, E731
-                yield pairs, shorter[at - 1] * np.uint64(BASE) + p.hashes[at], code(first, at - order + 1), code(last, at)
-
-        for pairs, keys, first, last in _batched(parts()):
+                both = (first >= 0) & (last >= 0)
+                pairs = first.astype(np.int64) << size | last
+                if order == 2:
+                    yield pairs[both], *(x[~both] for x in (shorter[at - 1] * np.uint64(BASE) + p.hashes[at], code(first, p, at - 1), code(last, p, at), both))
+                else:
+                    yield at[:0], shorter[at - 1] * np.uint64(BASE) + p.hashes[at], np.where(both, pairs, code(first, p, at - order + 1)), code(last, p, at), both
+
+        for pairs, keys, first, last, both in _batched(parts(), 4_000_000 if order == 2 else 2_000_000):
             pairs, n = np.unique(pairs, return_counts=True)
             none = pa.nulls(len(pairs), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(pairs), none, none, pa.array(n)], ["key", "first", "last", "c"])
             keys, at, n = np.unique(keys, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(first[at]), pa.array(last[at]), pa.array(n)], ["key", "first", "last", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(first[at]), pa.array(last[at], mask=both[at]), pa.array(n)], ["key", "first", "last", "c"])
 
     def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon.value
         for batch in batches:
             keys, c = batch.column("key").to_numpy(), batch.column("c").to_numpy()
-            packed = batch.column("first").is_null().to_numpy(zero_copy_only=False)
-            ends = [np.where(packed, low, pc.fill_null(batch.column(x), 0).to_numpy(zero_copy_only=False)) for x, low in (("first", keys >> size), ("last", keys & ((1 << size) - 1)))]
+            packed = batch.column("last").is_null().to_numpy(zero_copy_only=False)
+            given = [pc.fill_null(batch.column(x), 0).to_numpy(zero_copy_only=False) for x in ("first", "last")]
+            pairs = keys if order == 2 else given[0]
+            ends = [np.where(packed, pairs >> size, given[0]), np.where(packed, pairs & ((1 << size) - 1), given[1])]
             ranked = [(e >= 0) & (e < len(lex.hashes)) for e in ends]
             first, last = (np.where(r, lex.hashes[np.where(r, e, 0)] if len(lex.hashes) else 0, e.view(np.uint64)) for e, r in zip(ends, ranked, strict=True))
             if order == 2:
@@ -319,25 +324,29 @@ def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None
     return rows.where(F.col("c") >= s.joint).mapInArrow(parted, "key long, prefix long, suffix long, c long, total long, parent double")
 
 
-def _tested(rows: DataFrame, known: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None]:
-    """The divergence test over ``rows`` of one order; ``known(key, c, p)`` is the order below.  Returns
-    key, c, p (the probability of the last token after the others), and the order's values."""
+def _tested(rows: DataFrame, contexts: DataFrame, known: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The divergence test over ``rows`` of one order; ``known(key, c, p)`` is the order below and
+    ``contexts(key, c)`` the candidates in it.  Returns key, c, p (the probability of the last token after the
+    others), the order's values, and the candidates of the next order."""
     told = rows.where(F.col("total").isNotNull() & F.col("parent").isNotNull())
     other = rows.where(F.col("total").isNull() | F.col("parent").isNull()).drop("total", "parent")
-    other = other.join(known.select(F.col("key").alias("prefix"), F.col("c").alias("total")), "prefix").join(known.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix")
+    other = other.join(contexts.select(F.col("key").alias("prefix"), F.col("c").alias("total")), "prefix").join(known.select(F.col("key").alias("suffix"), F.col("p").alias("parent")), "suffix")
     rows = told.unionByName(other).where(F.col("total") >= s.context)
     kept = F.col("c") * F.abs(F.log(F.col("c") / F.col("total") / F.col("parent"))) > s.divergence
-    rows = stored(rows.select("key", "prefix", "c", "total", "parent", kept.alias("kept")), "tested")
+    rows = stored(rows.select("key", "prefix", "suffix", "c", "total", "parent", kept.alias("kept")), "tested")
     sums = rows.where("kept").groupBy("prefix").agg((F.max("total") + s.strength).alias("whole"), F.sum(F.col("c") - s.discount).alias("kept_sum"))
     sums = cut(sums.select("prefix", "whole", (F.col("whole") - F.col("kept_sum")).alias("rest")))
-    if not rows.limit(1).count():
-        return rows, None
+    if not sums.limit(1).count():
+        return rows, None, None
     rest = F.col("rest") * F.col("parent")
     p = F.when(F.col("whole").isNull(), F.col("parent")).otherwise((F.when(F.col("kept"), F.col("c") - s.discount).otherwise(0.0) + rest) / F.col("whole"))
-    level = rows.join(small(sums), "prefix", "left").select("key", "c", p.alias("p"), F.when(F.col("kept"), F.log10(p / rest * F.col("whole"))).alias("v"))
+    own = small(sums)
+    level = rows.join(own, "prefix", "left").select("key", "suffix", "c", p.alias("p"), F.when(F.col("kept"), F.log10(p / rest * F.col("whole"))).alias("v"))
     level = stored(level, "level")
-    contexts = sums.select(F.col("prefix").alias("key"), F.log10(F.col("rest") / F.col("whole")).alias("v"), (F.col("whole") - s.strength).cast("long").alias("c"))
-    return level.select("key", "c", "p"), level.where(F.col("v").isNotNull()).select("key", "v", "c").unionByName(contexts)
+    release(rows)
+    told = sums.select(F.col("prefix").alias("key"), F.log10(F.col("rest") / F.col("whole")).alias("v"), (F.col("whole") - s.strength).cast("long").alias("c"))
+    grown = level.where(F.col("c") >= s.context).join(own.select(F.col("prefix").alias("suffix")), "suffix", "left_semi").select("key", "c")
+    return level.select("key", "c", "p"), level.where(F.col("v").isNotNull()).select("key", "v", "c").unionByName(told), grown
 
 
 def score(docs: DataFrame, model: Fitted) -> DataFrame:
@@ -360,21 +369,26 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
             n = p.batch.num_rows
             total = lambda weights, of=p.text, n=n: np.bincount(of, weights=weights, minlength=n)
             gain, asked, who = np.zeros(n), [p.hashes[p.ranks < 0]], [p.text[p.ranks < 0]]
-            run = p.hashes.copy()
+            run, near = p.hashes.copy(), np.ones(len(p.hashes), bool)
             for k in range(1, s.depth + 2):
                 if k > 1:
                     run[1:] = run[:-1] * np.uint64(BASE) + p.hashes[1:]
-                live = p.place >= k - 1
-                at = runs.find(run)
-                hit = live & (at >= 0)
-                gain += np.bincount(p.text[hit], weights=values[at[hit]], minlength=n)
-                live &= ~hit
-                if more is not None:  # rare tokens are asked for in any case
-                    live &= _may(more, run)
-                    if k == 1:
-                        live &= p.ranks >= 0
-                    asked.append(run[live])
-                    who.append(p.text[live])
+                    # a run has a value only if the run without its last token, or that without its first, has one
+                    near[1:] |= near[:-1]
+                live = np.flatnonzero(near & (p.place >= k - 1))
+                at = runs.find(run[live])
+                hit = at >= 0
+                gain += np.bincount(p.text[live[hit]], weights=values[at[hit]], minlength=n)
+                near = np.zeros(len(near), bool)
+                near[live[hit]] = True
+                if more is not None:
+                    left = live[~hit]
+                    left = left[_may(more, run[left])]
+                    near[left] = True
+                    if k == 1:  # rare tokens are asked for in any case
+                        left = left[p.ranks[left] >= 0]
+                    asked.append(run[left])
+                    who.append(p.text[left])
             asked, who = np.concatenate(asked), np.concatenate(who)
             asked = asked[np.argsort(who, kind="stable")].view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=n))]).astype(np.int32)
