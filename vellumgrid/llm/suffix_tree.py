@@ -21,8 +21,9 @@ Tokens are whitespace-separated words (A-Z lower-cased), then one end token.
 Nothing that grows with the corpus is collected or broadcast.  Runs are counted order by order in
 shuffles, and a run is counted only if its two parts one word shorter may qualify, which a bitmap of
 fixed size tells (it may say yes too often, which costs work only).  The tree is a table
-(run, value).  Its ``broadcast`` most frequent values, and the counts of so many tokens, reach the
-scorers by broadcast; all others meet their documents in a shuffled join, in which no key is frequent.
+(run, value).  Counts of tokens with a relative frequency of ``frequent`` or more (at most
+1/frequent of them), and values of such runs (so many of each length at most), reach the scorers by
+broadcast; all others meet their documents in a shuffled join, in which no key is frequent.
 
 Tokens and runs are known by 64-bit hashes, polynomials of the bytes and of the tokens' hashes; of a
 billion of them, two share one with a probability of 3 %, which then count as one.
@@ -46,13 +47,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, cut, release, small, stored
+from .common import by_size, cut, release, stored
 
 #: Run keys are polynomials of token hashes in this odd number, modulo 2 ** 64.
 BASE = 0x9E3779B97F4A7C15
 #: Token hashes are polynomials of numbers that stand for bytes, in this one.
 BYTE_BASE = 0xD1342543DE82EF95
 BITS = 26  # of a bitmap's positions: 8 MB
+RANK = 21  # bits of a rank in the lexicon
 END = 0x2545F4914F6CDD1D  # the end token's hash; it has no bytes
 PIECE = 1 << 20  # bytes of text that are worked on at a time
 
@@ -79,12 +81,12 @@ def _powers(n: int, base: int) -> np.ndarray:
 @dataclass(frozen=True)
 class Settings:
     depth: int = 4  # words of the longest context
-    context: int = 16  # occurrences of a context
-    joint: int = 3  # occurrences of a context with its next symbol
-    divergence: float = 6.0
+    context: int = 64  # occurrences of a context
+    joint: int = 8  # occurrences of a context with its next symbol
+    divergence: float = 10.0
     strength: float = 4.0
     discount: float = 0.75
-    broadcast: int = 1 << 20  # tokens, and values, that are broadcast
+    frequent: float = 1e-6  # of tokens, and runs, that are broadcast
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -213,13 +215,9 @@ def _may(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
 
 
-def _top(rows: DataFrame, most: int) -> tuple[pa.Table, DataFrame]:
-    """The ``most`` rows of ``rows(key, c, ...)`` with the largest counts, and the others."""
-    got = rows.orderBy(F.desc("c"), "key").limit(most).toArrow()
-    if got.num_rows < most:
-        return got, rows.limit(0)
-    c, key = got.column("c")[-1].as_py(), got.column("key")[-1].as_py()
-    return got, rows.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("key") > key)))
+def _top(rows: DataFrame, least: float) -> tuple[pa.Table, DataFrame]:
+    """The rows of ``rows(key, c, ...)`` of that count or more, and the others."""
+    return rows.where(F.col("c") >= least).toArrow(), rows.where(F.col("c") < least)
 
 
 @dataclass
@@ -240,7 +238,7 @@ def fit(train: DataFrame, settings: Settings = Settings()) -> Fitted:
     train = train.select("text")
     counts = cut(train.mapInArrow(_count_tokens, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top, rest = _top(counts, s.broadcast)
+    top, rest = _top(counts, max(s.frequent, 2.0 ** (1 - RANK)) * n)
     lexicon = Lexicon(top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy())
     shared = spark.sparkContext.broadcast(lexicon)
     whole = float(n + v + 1)
@@ -271,7 +269,6 @@ def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None
 
     A row on its way is a key with the codes of its first and last token (rank in the lexicon or hash), from which
     the parts' keys follow.  Two ranks are packed in one number, for order 2 in the key."""
-    size = s.broadcast.bit_length()
     code = lambda rank, p, at: np.where(rank >= 0, rank, p.hashes[at].view(np.int64))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +282,7 @@ def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None
                 at = np.flatnonzero(ok)
                 first, last = p.ranks[at - order + 1], p.ranks[at]
                 both = (first >= 0) & (last >= 0)
-                pairs = first.astype(np.int64) << size | last
+                pairs = first.astype(np.int64) << RANK | last
                 if order == 2:
                     yield pairs[both], *(x[~both] for x in (shorter[at - 1] * np.uint64(BASE) + p.hashes[at], code(first, p, at - 1), code(last, p, at), both))
                 else:
@@ -305,7 +302,7 @@ def _counted(train: DataFrame, order: int, lexicon, bitmaps, whole: float | None
             packed = batch.column("last").is_null().to_numpy(zero_copy_only=False)
             given = [pc.fill_null(batch.column(x), 0).to_numpy(zero_copy_only=False) for x in ("first", "last")]
             pairs = keys if order == 2 else given[0]
-            ends = [np.where(packed, pairs >> size, given[0]), np.where(packed, pairs & ((1 << size) - 1), given[1])]
+            ends = [np.where(packed, pairs >> RANK, given[0]), np.where(packed, pairs & ((1 << RANK) - 1), given[1])]
             ranked = [(e >= 0) & (e < len(lex.hashes)) for e in ends]
             first, last = (np.where(r, lex.hashes[np.where(r, e, 0)] if len(lex.hashes) else 0, e.view(np.uint64)) for e, r in zip(ends, ranked, strict=True))
             if order == 2:
@@ -340,12 +337,11 @@ def _tested(rows: DataFrame, contexts: DataFrame, known: DataFrame, s: Settings)
         return rows, None, None
     rest = F.col("rest") * F.col("parent")
     p = F.when(F.col("whole").isNull(), F.col("parent")).otherwise((F.when(F.col("kept"), F.col("c") - s.discount).otherwise(0.0) + rest) / F.col("whole"))
-    own = small(sums)
-    level = rows.join(own, "prefix", "left").select("key", "suffix", "c", p.alias("p"), F.when(F.col("kept"), F.log10(p / rest * F.col("whole"))).alias("v"))
+    level = rows.join(sums, "prefix", "left").select("key", "suffix", "c", p.alias("p"), F.when(F.col("kept"), F.log10(p / rest * F.col("whole"))).alias("v"))
     level = stored(level, "level")
     release(rows)
     told = sums.select(F.col("prefix").alias("key"), F.log10(F.col("rest") / F.col("whole")).alias("v"), (F.col("whole") - s.strength).cast("long").alias("c"))
-    grown = level.where(F.col("c") >= s.context).join(own.select(F.col("prefix").alias("suffix")), "suffix", "left_semi").select("key", "c")
+    grown = level.where(F.col("c") >= s.context).join(sums.select(F.col("prefix").alias("suffix")), "suffix", "left_semi").select("key", "c")
     return level.select("key", "c", "p"), level.where(F.col("v").isNotNull()).select("key", "v", "c").unionByName(told), grown
 
 
@@ -354,7 +350,7 @@ def score(docs: DataFrame, model: Fitted) -> DataFrame:
     train_tokens, base_score, score."""
     s, spark = model.settings, docs.sparkSession
     whole = float(model.n + model.v + 1)
-    top, rest = _top(model.values, s.broadcast)
+    top, rest = _top(model.values, s.frequent * model.n)
     keys = top.column("key").to_numpy().view(np.uint64)
     beyond = _bitmap(rest)
     shared = spark.sparkContext.broadcast((model.lexicon, Table(keys), top.column("v").to_numpy()[np.argsort(keys)], beyond if beyond.any() else None))
