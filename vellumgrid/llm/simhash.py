@@ -64,7 +64,15 @@ def fingerprint(items: list[bytes], seed: int = SEED) -> int:
     if not items:
         return 0
     digest = xxhash.xxh64_digest
-    raw = np.frombuffer(b"".join([digest(x, seed) for x in items]), np.uint8).reshape(-1, 8)
+    return _majority(np.frombuffer(b"".join([digest(x, seed) for x in items]), np.uint8).reshape(-1, 8))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of 64-bit hashes."""
+    return _majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)) if len(hashes) else 0
+
+
+def _majority(raw: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(raw), 4096):
         counts += np.unpackbits(raw[at : at + 4096], axis=1).sum(0, dtype=np.int64)
@@ -301,7 +309,8 @@ class CopySettings:
     frequent: int = 10  # documents of the sample that hold a frequent shingle
     most: int = 100_000  # frequent shingles that are broadcast
     bucket: int = 2048
-    first: int = 16  # candidates of a document that the first round checks
+    k: int = 4  # bits of the fingerprints that copies are first looked for with
+    first: int = 16  # partners that a document takes from one group in the first round
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -329,70 +338,84 @@ def frequent_shingles(docs: DataFrame, s: CopySettings) -> np.ndarray:
     return counts.orderBy(F.desc("n"), "h").limit(s.most).toPandas()["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
-def candidates(nodes: DataFrame, s: CopySettings) -> DataFrame:
-    """``nodes(key, size, prefix)``, materialised -> a, b: every pair whose similarity can be reached, by
+def candidates(rows: DataFrame, sizes: DataFrame, most: int, s: CopySettings) -> DataFrame:
+    """``rows(h, key, size, pos, root)`` and ``sizes(h, n)`` -> a, b: pairs whose similarity can be reached, by
     prefix filtering: the first shingle that two sets share is in both prefixes, and what
-    follows it in the shorter remainder bounds what they share."""
-    rows = nodes.select("key", "size", F.posexplode("prefix").alias("pos", "h"))
-    sizes = nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    rows = chunked(rows, sizes, ["h"], "key", s.bucket).select("h", "i", "j", "key", "size", "pos")
+    follows it in the shorter remainder bounds what they share.  Documents of one group (``root``)
+    need no pair, and a document takes ``most`` partners of another group, those with the
+    smallest keys; where a shingle h has more, a row (-1, h) says so."""
+    rows = chunked(rows, sizes, ["h"], "key", s.bucket).select("h", "i", "j", "key", "size", "pos", "root")
 
     def solve(table: pa.Table, groups: np.ndarray) -> pa.RecordBatch:
-        key, size, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "size", "pos"))
+        key, size, pos, root = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "size", "pos", "root"))
+        h = table.column("h").to_numpy()
         order = np.lexsort((size, groups))
-        key, size, pos, groups = key[order], size[order], pos[order], groups[order]
+        key, size, pos, root, groups, h = (x[order] for x in (key, size, pos, root, groups, h))
         # rows of a group are met by those after them of up to size / similarity
         at = groups * (1 << 32) + size
         stop = np.searchsorted(at, groups * (1 << 32) + np.floor(size / s.similarity + 1e-6).astype(np.int64), side="right")
         n = stop - np.arange(len(key)) - 1
-        done, found, from_ = np.cumsum(n), [], 0
+        done, found, over, from_ = np.cumsum(n), [], [], 0
         while from_ < len(key):
             to = max(from_ + 1, int(np.searchsorted(done, (done[from_ - 1] if from_ else 0) + (1 << 20), side="right")))
             own = n[from_:to]
             x = np.repeat(np.arange(from_, to), own)
             y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(own) - own, own)
             shared = np.minimum(size[x] - pos[x], size[y] - pos[y])
-            ok = (shared >= s.similarity / (1 + s.similarity) * (size[x] + size[y]) - 1e-6) & (key[x] != key[y])
-            x, y = key[x[ok]], key[y[ok]]
-            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0))
+            ok = (shared >= s.similarity / (1 + s.similarity) * (size[x] + size[y]) - 1e-6) & (root[x] != root[y])
+            x, y = x[ok], y[ok]
+            for _ in range(2):  # either side's partners
+                by = np.lexsort((key[y], root[y], x))
+                x, y = x[by], y[by]
+                first = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (root[y[1:]] != root[y[:-1]])])) if len(x) else np.zeros(0, np.int64)
+                rank = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x))))
+                over.append(h[x[rank >= most]])
+                x, y = y[rank < most], x[rank < most]
+            found.append(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])], 1))
             from_ = to
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        left = np.unique(np.concatenate(over)) if over else np.zeros(0, np.int64)
+        pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([pairs[:, 0], np.full(len(left), -1)])), pa.array(np.concatenate([pairs[:, 1], left]))], ["a", "b"])
 
     return by_group(rows, ["h", "i", "j"], solve, "a long, b long").distinct()
 
 
-def proven(pairs: DataFrame, sets: DataFrame, s: CopySettings) -> DataFrame:
-    """``pairs(a, b)`` and ``sets(key, node, items)``, both materialised -> a, b: nodes of pairs
-    of the stated similarity, which span the groups that all such pairs make.  Rounds check
-    more and more candidates of each document; pairs inside a group found so far need no check."""
-    side = lambda c: sets.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"), F.col("items").alias(f"i{c}"))
-    name = lambda c: sets.select(F.col("key").alias(c), F.col("node").alias(f"n{c}"))
-    left, take, found = pairs, s.first, None
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("a"))
-    while True:
-        ranked = left.select("a", "b", rank.alias("r"))
+def grouped(nodes: DataFrame, items: Callable[[DataFrame], DataFrame], s: CopySettings) -> DataFrame:
+    """``nodes(key, size, prefix, fp)``, materialised, and ``items(keys)`` -> key, items -> node, root: the
+    groups that all pairs of the stated similarity make, of nodes in any pair.
+
+    The trie join over the fingerprints comes first, and its links are proven on the shingles; so a large
+    group is mostly one when the candidates of the prefixes are taken, of which the rounds
+    take more and more of a document in one group, until none is left out."""
+
+    def proven(pairs: DataFrame) -> DataFrame:
+        sets = cut(items(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"i{c}"))
         both = F.size(F.array_intersect("ia", "ib"))
         near = both >= s.similarity * (F.size("ia") + F.size("ib") - both) - 1e-9
-        more = cut(ranked.where(F.col("r") <= take).select("a", "b").join(side("b"), "b").join(side("a"), "a").where(near).select(F.col("na").alias("a"), F.col("nb").alias("b")))
-        found = more if found is None else found.unionByName(more)
-        left = cut(ranked.where(F.col("r") > take).select("a", "b"))
-        if not left.limit(1).count():
-            return found
+        return cut(pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"))
+
+    found = proven(cut(links(nodes.select(F.col("key").alias("node"), "fp").where(F.size("prefix") > 0), s.k, s.bucket).distinct()))
+    sizes = nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    sizes = cut(sizes.where(F.col("n") > s.bucket))
+    most, left = s.first, None
+    while True:
         roots = components(found)
-        root = lambda c: F.coalesce(f"r{c}", f"n{c}")
-        left = left.join(name("a"), "a").join(name("b"), "b")
-        for c in "ab":
-            left = left.join(roots.withColumnsRenamed({"node": f"n{c}", "root": f"r{c}"}), f"n{c}", "left")
-        left = cut(left.where(root("a") != root("b")).select("a", "b"))
-        take *= 8
+        named = nodes.join(small(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        rows = named.select("key", "size", "root", F.posexplode("prefix").alias("pos", "h"))
+        made = cut(candidates(rows if left is None else rows.join(left, "h", "left_semi"), sizes, most, s))
+        found = cut(found.unionByName(proven(made.where(F.col("a") >= 0))))
+        left = small(made.where(F.col("a") < 0).select(F.col("b").alias("h")).distinct())
+        if not left.limit(1).count():
+            return components(found)
+        most *= 8
 
 
 def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFrame:
     """``docs(doc_id, text)`` -> doc_id of every document that repeats another: of each
     group of exact or near copies (linked by a Jaccard similarity of the shingles of
     ``similarity`` or more) all but the smallest doc_id.  Candidates are complete and every
-    link is proven on the shingles; the order of shingles, frequent ones last, only saves work."""
+    link is proven on the shingles; fingerprints and the order of shingles, frequent ones last, only save work."""
     s = settings
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     often = frequent_shingles(docs, s)
@@ -404,7 +427,7 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
         hashes, ranks = shared.value
         for batch in batches:
             for piece in pieces(batch):
-                texts, sizes, prefixes = [], [], []
+                texts, sizes, prefixes, fps = [], [], [], []
                 for text in piece.column("text").to_pylist():
                     own = shingle_set(text, s.shingle)
                     if len(hashes):
@@ -414,8 +437,9 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
                         order = np.arange(len(own))
                     texts.append(same(text))
                     sizes.append(len(own))
+                    fps.append(majority(own))
                     prefixes.append(own[order[: prefix_length(len(own), s.similarity)]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "same", "size", "prefix"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), _signed(fps)], ["doc_id", "same", "size", "prefix", "fp"])
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,18 +448,18 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
                 items = [shingle_set(t, s.shingle).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(map(same, texts), pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["same", "items"])
 
-    rows = cut(docs.mapInArrow(described, "doc_id long, same binary, size int, prefix array<bigint>"))
+    rows = cut(docs.mapInArrow(described, "doc_id long, same binary, size int, prefix array<bigint>, fp long"))
     # exact copies: one row each from here on
-    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("size").alias("size"), F.first("prefix").alias("prefix"))
-    nodes = cut(nodes.withColumn("key", F.monotonically_increasing_id()))
-    pairs = cut(candidates(nodes.select("key", "size", "prefix"), s))
-    # shingles are made again, of the documents in pairs only
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    paired = cut(nodes.select("key", "node", "same").join(paired, "key", "left_semi"))
-    texts = docs.join(small(paired.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
-    made = texts.mapInArrow(collected, "same binary, items array<bigint>").groupBy("same").agg(F.first("items").alias("items"))
-    sets = cut(paired.join(made, "same").select("key", "node", "items"))
-    roots = components(proven(pairs, sets, s))
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"))
+    nodes = cut(nodes)
+
+    def items(keys: DataFrame) -> DataFrame:
+        """Shingles are made again, of the documents in pairs only; one doc_id may have many texts."""
+        texts = docs.join(small(cut(keys.withColumnRenamed("key", "doc_id"))), "doc_id", "left_semi").select("text")
+        made = texts.mapInArrow(collected, "same binary, items array<bigint>").groupBy("same").agg(F.first("items").alias("items"))
+        return nodes.join(keys, "key", "left_semi").select("key", "same").join(made, "same").select("key", "items")
+
+    roots = grouped(nodes.select("key", "size", "prefix", "fp"), items, s)
     near = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
-    exact = spread_join(rows.select("doc_id", "same"), nodes.select("same", "node"), "same").where(F.col("doc_id") != F.col("node")).select("doc_id")
+    exact = spread_join(rows.select("doc_id", "same"), nodes.select("same", F.col("key").alias("node")), "same").where(F.col("doc_id") != F.col("node")).select("doc_id")
     return exact.unionByName(near).distinct()
