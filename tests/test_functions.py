@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import html, models, text
-from vellumgrid.functions.fixed import NOT_FOUND
+from vellumgrid.functions.fixed import REFUSAL
 from vellumgrid.operators import answers, chunking, evaluation, understand
 
 
@@ -14,7 +14,7 @@ def one(spark, column):
 
 @pytest.mark.parametrize(
     ("cells", "expected"),
-    [(["$", "65,821", "(9)", "%"], ["65,821", "(9)%"]), (["2024", "$", "%"], ["2024", "$", "%"]), (["$ 1,234"], ["1,234"]), (["a", "", "b"], ["a", "b"])],
+    [(["$", "65,821", "(9)", "%"], ["65,821", "(9)%"]), (["2024", "$", "%"], ["2024", "$", "%"]), (["$ 1,234"], ["1,234"]), (["a", "", "b"], ["a", "b"]), (["$", "0.83 – 0.91"], ["0.83 – 0.91"]), (["$", "%"], ["$", "%"]), (["5", "%", "%"], ["5%", "%"]), (["$", "$", "—"], ["$", "—"]), (["$5", "%)"], ["5%)"]), ([], [])],
 )
 def test_cells(cells, expected):
     assert html.clean_cells(cells) == expected
@@ -25,6 +25,12 @@ def test_page_text():
     assert html.page_text("<tr><td>a</td><td>b</td></tr>") == "a | b"
     assert html.page_text("<head><title>t</title></head><p>one&amp;two</p><script>z</script><p>three</p>") == "one&two\nthree"
     assert html.page_text("") == ""
+    assert html.page_text("a</p>b") == "ab"  # the end of nothing
+    assert html.page_text('a<span style="display:none"><div>x</div></span>b') == "ab"  # nothing hidden breaks
+    assert html.page_text("<table><tr><td>a</td><td/><td>b</td></tr></table>") == "a | b"
+    assert html.page_text("a<br/>b<p>c") == "a\nb\nc"
+    assert html.page_text("<td>x<p>y</p></td>") == "x y"
+
 
 
 def test_sections():
@@ -73,7 +79,7 @@ def test_keyword_query(spark, question, expected):
     assert one(spark, understand.keyword_query(F.lit(question))) == expected
 
 
-@pytest.mark.parametrize(("year", "expected"), [("2023", ["2024", "2025"]), ("2022", ["2024"]), ("2015", ["2015"])])
+@pytest.mark.parametrize(("year", "expected"), [("2023", ["2024", "2025"]), ("2022", ["2024"]), ("2015", ["2015"]), ("2024", ["2024"]), ("2025", ["2025"])])
 def test_years(spark, year, expected):
     loaded = F.array(*map(F.lit, ("2024", "2025", "2026")))
     assert one(spark, understand.years_loaded(F.array(F.lit(year)), loaded)) == expected
@@ -89,7 +95,7 @@ def test_companies(spark):
     ask = lambda q: one(spark, understand.companies(F.lit(q), aliases, ["F", "GM"]))
     assert ask("gm") == [] and ask("GM") == ["GM"] and ask("ford") == ["F"]
     assert ask("Which companies grew?") == ["F", "GM", "AAPL"]
-    assert one(spark, understand.without_companies(F.lit("Ford's sales"), aliases, ["F"])) == " sales"
+    assert one(spark, understand.without_companies(F.lit("Ford's sales"), aliases, ["F"])) == "  sales"
 
 
 def test_explicit_filters_win(spark):
@@ -97,14 +103,33 @@ def test_explicit_filters_win(spark):
     aliases = {"F": ["Ford"], "GM": ["GM"]}
     row = understand.filters(asked, aliases, ["F", "GM"], F.array(F.lit("2025"))).first()
     assert row["tickers"] == [] and row["years"] == []
+    row = understand.filters(asked.withColumn("tickers", F.array(F.lit("gm"))), aliases, ["F", "GM"], F.array(F.lit("2025"))).first()
+    assert row["tickers"] == ["GM"]
     row = understand.filters(asked.drop("tickers"), aliases, ["F", "GM"], F.array(F.lit("2025"))).first()
     assert row["tickers"] == ["F", "GM"] and row["years"] == ["latest"]
 
 
-def test_citations():
-    assert answers.expand("x [S1, S3].", ["one", "two"]) == "x [one][unknown source S3]."
-    assert answers.extractive("q", []) == NOT_FOUND
-    assert answers.claims("- Sales rose [S2]. Costs [S1]\n[S3]") == [("Sales rose", [2]), (". Costs", [1, 3])]
+def test_citations(spark):
+    labels = F.array(F.lit("one"), F.lit("two"))
+    expand = lambda x: one(spark, answers.expand_citations(F.lit(x), labels))
+    assert expand("x [S1, S3].") == "x [one][unknown source S3]." and expand("[S2]") == "[two]" and expand("") == ""
+    assert expand("[S99999999999] a [S1][S2;S1]") == "[unknown source S99999999999] a [one][two][one]"
+    assert answers.extractive("q", []) == REFUSAL == "Not found in the filings."
+    assert answers.claims("- Sales rose [S2]. Costs [S1]\n[S3]") == [("Sales rose", [2]), (". Costs", [1]), ("", [3])]
+    assert answers.claims("A [S3][S1; S1] b") == [("A", [3, 1, 1])]
+
+
+def test_uncited_lines():
+    lines = {"In 2025 costs rose": False, "Not in the excerpts: 2,000 units": False, "Staff of 1,200": True, "3.5 or 4": False, "5 million [S1]": False, "5 million": True, "On May 20": False}
+    assert {x: answers.is_uncited(x) for x in lines} == lines
+
+
+def test_a_long_answer_takes_linear_time():
+    import time
+
+    began = time.time()
+    assert len(answers.written_numbers("12 " * 700_000, True)) == 700_000
+    assert time.time() - began < 15
 
 
 def test_numbers():
@@ -143,6 +168,46 @@ def test_packing():
     assert all(chunking.count(u) <= 480 for u, _ in chunking.units("x " * 2000))
 
 
+def plain_spans(sizes, breaks):
+    """Chunks by one unit after the other."""
+    out, current, repeated, topic = [], [], 0, False
+    size = lambda units: sum(sizes[u] for u in units)
+    for u in range(len(sizes)):
+        if u in breaks and size(current[repeated:]) >= 100:
+            out, current, repeated, topic = [*out, current], [], 0, True
+        elif current and (size(current) >= 380 or size(current) + sizes[u] > 480):
+            tail = [t for t in current if size(current[current.index(t) :]) <= 50]
+            out.append(current)
+            current = tail if size(tail) + sizes[u] <= 480 else []
+            repeated, topic = len(current), False
+        current = [*current, u]
+    new = current[repeated:]
+    if out and not topic and size(new) < 100 and size(out[-1] + new) <= 480:
+        out[-1] = out[-1] + new
+    elif new:
+        out.append(current)
+    return [(c[0], c[-1] + 1) for c in out]
+
+
+def test_spans_are_those_of_one_unit_after_the_other():
+    import random
+
+    rng = random.Random(0)
+    for _ in range(500):
+        sizes = [rng.choice([0, rng.randint(1, 40), rng.randint(1, 200), rng.randint(200, 480)]) for _ in range(rng.randint(0, 50))]
+        breaks = sorted(rng.sample(range(len(sizes)), rng.randint(0, min(len(sizes), 8))))
+        assert chunking.spans(sizes, breaks) == plain_spans(sizes, breaks)
+
+
+@pytest.mark.parametrize("text", ["\n" * 2_000_000, "a" + " b" * 1_000_000, "ab," * 700_000])
+def test_long_sections_take_linear_time(text):
+    import time
+
+    began = time.time()
+    chunks = chunking.pack(text)
+    assert time.time() - began < 20 and all(chunking.count(c) <= 480 for c in chunks)
+
+
 def test_question_checks(spark):
     sections = spark.createDataFrame([("F", "2025", "Item 7", "Sales  rose\nto 5 million."), ("F", "2024", "Item 7", "Costs fell.")], "ticker string, year string, section string, text string")
     good = [("F", "2025", "Item 7", "Sales rose to 5")]
@@ -153,10 +218,10 @@ def test_question_checks(spark):
         (4, "fact", "q", "up", ["down|fell"], [*good, ("F", "2024", "Item 7", "Costs")], None),
         (5, "fact", None, "up", ["down"], good, None),
         (6, "fact", "q", "up", ["up"], good, None),
-        (6, "no_answer", "q", NOT_FOUND, [], [], "searched"),
+        (6, "no_answer", "q", REFUSAL, [], [], "searched"),
     ]
     kind = "id long, type string, question string, expected_answer string, key_facts array<string>, sources array<struct<ticker:string,year:string,section:string,quote:string>>, note string"
-    checked = evaluation.question_checks(spark.createDataFrame(rows, kind), sections, ["fact", "summary", "comparison", "no_answer"], NOT_FOUND)
+    checked = evaluation.question_checks(spark.createDataFrame(rows, kind), sections, ["fact", "summary", "comparison", "no_answer"], REFUSAL)
     assert sorted((r["id"], r["errors"]) for r in checked.collect()) == [
         (1, []),
         (2, ["quote not in section: F 2025 Item 7"]),

@@ -141,3 +141,27 @@ def test_reports_hold_every_row(spark):
     assert [r["id"] for r in json.loads(tables.pretty(rows))] == list(range(2500))
     assert tables.markdown(rows, "T").splitlines()[4:] == [f"| {i} |" for i in range(2500)]
     assert len(json.loads(tables.pretty(rows, 5))) == 5
+
+
+def test_raw_pages(spark, tmp_path):
+    (tmp_path / "F" / "2025").mkdir(parents=True)
+    (tmp_path / "F" / "2025" / "a.htm").write_bytes(b"<p>caf\xe9 ok")
+    assert [tuple(r) for r in tables.raw_pages(spark, str(tmp_path)).collect()] == [("F", "2025", "a.htm", "<p>caf\ufffd ok")]
+
+
+def test_quotes_of_any_length(spark):
+    from vellumgrid.operators import evaluation
+
+    docs = spark.createDataFrame([(1, "say hello world  now and then"), (2, None), (3, "")], "doc_id long, text string")
+    quotes = ["hello world", "now", "o w", "world now and", "ay hello world now and th", "hello then", None, "say hello world now and then"]
+    found = evaluation.quoted(docs, spark.createDataFrame(list(enumerate(quotes)), "item_id int, quote string")).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, 7)]
+
+
+def test_vectors_of_one_dimension(spark):
+    from vellumgrid.functions import text
+
+    rows = spark.createDataFrame([([1.0, 2.0],)], "v array<double>")
+    assert rows.select(text.of_dimension(F.col("v"), 2).alias("v")).first()["v"] == [1.0, 2.0]
+    with pytest.raises(Exception, match="expected 3"):
+        rows.select(text.of_dimension(F.col("v"), 3)).collect()

@@ -7,7 +7,11 @@ TOP_K, CANDIDATES, RRF_K, PER_COMPANY = 5, 20, 60, 3
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 # Fixed value: characters after the signatures that make an appendix.
 APPENDIX = 20_000
-NOT_FOUND = "This information was not found in the filings."
+# How an answer without evidence begins, and the whole of it.
+NOT_FOUND = "Not found in the filings"
+REFUSAL = f"{NOT_FOUND}."
+# Fixed value: how a line begins that tells what the sources lack.
+EXEMPT = "not in the excerpts"
 
 # Words dropped from keyword queries.
 STOPWORDS = """
@@ -53,3 +57,19 @@ BLOCK_TAGS = {"p", "div", "br", "hr", "li", "ul", "ol", "table", "tr", "h1", "h2
 # Scales of written numbers.
 SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
 MONTHS = "January February March April May June July August September October November December Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec".split()
+
+# Patterns that results depend on.  Citations, and runs of them; written numbers with a unit;
+# days of months; sentence ends; items and auditors' reports at the start of a line; amounts; lines that
+# every page repeats; questions about all companies; years; sections.
+CITED = r"\[S\d+(?:\s*[,;]\s*S\d+)*\]"
+CITED_RUN = rf"(?:{CITED}\s*)+"
+NUMBER = r"(?<![\w.])(\d(?:[\d,]*\d)?(?:\.\d+)?)(?!-[KQ]\b)(\s*%|\s*(?:thousand|million|billion|trillion)\b)?"
+MONTH_DAY = rf"(?:{'|'.join(MONTHS)})\.?\s+\d{{1,2}}(?!\d)"
+SENTENCE_END = r"(?:(?<=[.!?])|(?<=[.!?][\"”)]))\s+(?=[A-Z0-9“\"(])"
+ITEM = r"item\s+(\d{1,2}[a-c]?)\b"
+AUDITOR = "report of independent registered public accounting firm"
+AMOUNT = r"(?:\(?[\d.,]+\)?|[—–-])"
+NOISE = r"(?i)^(\d{1,3}\.?|part [iv]+\.?|item [\d a-c,]+|item .*\(continued\)|table of contents( \| .*)?|.* \| \d{4} form 10-k \| \d+)$"
+ALL_COMPANIES = r"(?i)\b(all|each|every|which|what)\s+(of\s+the\s+)?compan(y|ies)"
+YEAR = r"(?i)(?<![\w$,-])(?:FY\s?)?((?:19|20)\d\d)(?![\w-])"
+SECTION = r"(?i)\bitem\s+\d{1,2}[a-c]?\b|\bsignature page\b|\bsignatures\b"

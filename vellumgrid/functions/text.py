@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .fixed import HEADING_WORDS, ITEMS, SCALES, SECTION_TITLES
+from .fixed import HEADING_WORDS, NOISE, SCALES, SECTION_TITLES
 
 
 def literal_map(pairs: dict[str, str]) -> Column:
@@ -62,9 +62,6 @@ def snippet(text: Column, n: int = 200) -> Column:
     return F.replace(F.substring(text, 1, n), F.lit("\n"), F.lit(" / "))
 
 
-NOISE = r"(?i)^(\d{1,3}\.?|part [iv]+\.?|item [\d a-c,]+|item .*\(continued\)|table of contents( \| .*)?|.* \| \d{4} form 10-k \| \d+)$"
-
-
 def is_noise(line: Column) -> Column:
     """FLT-6: lines that every page repeats."""
     return F.rlike(line, F.lit(NOISE))
@@ -82,17 +79,6 @@ def is_heading(line: Column) -> Column:
     )
 
 
-def is_amount(cell: Column) -> Column:
-    """STR-4."""
-    return F.rlike(cell, F.lit(r"^(\(?[\d.,]+\)?|[—–-])$"))
-
-
-def item_headings(text: Column) -> Column:
-    """STR-5 and FLT-7: known items in the order of their headings."""
-    found = F.regexp_extract_all(text, F.lit(r"(?im)^item\s+(\d{1,2}[a-c]?)\b"), F.lit(1))
-    return F.filter(F.transform(found, lambda x: F.lower(x)), lambda x: x.isin(ITEMS))
-
-
 def numbers(text: Column) -> Column:
     """STR-30: written numbers with their scale applied, distinct."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)\d[\d,]*(?:\.\d+)?\s*(?:thousand|million|billion|trillion)?"), F.lit(0))
@@ -141,6 +127,16 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def dot_distance(a: Column, b: Column) -> Column:
+    """MTH-2: for vectors of length one."""
+    return 1 - F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def of_dimension(vector: Column, n: int) -> Column:
+    """FLT-12: the vector; one of another length is an error."""
+    return F.when(F.size(vector) == n, vector).otherwise(F.raise_error(F.concat(F.lit(f"expected {n} components, got "), F.size(vector).cast("string"))))
+
+
 def percent(flag: Column) -> Column:
     """AGG-9: share in per cent to one place, 0.0 without rows."""
     return F.coalesce(F.round(100 * F.avg(flag.cast("int")), 1), F.lit(0.0))

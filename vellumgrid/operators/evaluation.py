@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import percent, percent_of
+from ..functions.fixed import SECTION_TITLES
+from ..functions.text import contains_quote, normal_space, percent, percent_of, section_name
 
 
 def hits(questions: DataFrame) -> DataFrame:
@@ -21,6 +22,38 @@ def hits(questions: DataFrame) -> DataFrame:
     })
 
 
+def quoted(docs: DataFrame, quotes: DataFrame, most: int = 6) -> DataFrame:
+    """JON-14: ``docs(doc_id, text)`` and ``quotes(item_id, quote)``, of any length -> doc_id, item_id of
+    every containment.  The words of a quote but the first and the last are whole words of a text
+    that contains it, so its first ``most`` of these are the join key, and texts come in after the
+    match.  Quotes without such words are a stated set that every text is tested for, in blocks of 1,000."""
+    split = lambda c: F.split(normal_space(F.col(c)), " ")
+    quotes = quotes.where(F.col("quote").isNotNull()).withColumn("w", split("quote")).withColumn("n", F.least(F.lit(most), F.size("w") - 2))
+    words = docs.select("doc_id", split("text").alias("d"))
+    made = None
+    for n in range(1, most + 1):
+        own = quotes.where(F.col("n") == n).select("item_id", F.xxhash64(F.slice("w", 2, n)).alias("key"))
+        keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("d") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("d", i, n)))  # noqa: B023
+        met = words.select("doc_id", F.explode_outer(F.array_distinct(keys)).alias("key")).join(own, "key").select("doc_id", "item_id")
+        made = met if made is None else made.unionByName(met)
+    found = made.distinct().join(quotes.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
+    found = found.where(contains_quote(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
+    short = quotes.where(F.col("n") < 1).select("item_id", "quote")
+    blocks = -(-short.count() // 1000)
+    for b in range(blocks):
+        own = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == b)
+        found = found.unionByName(docs.join(F.broadcast(own), contains_quote(F.col("text"), F.col("quote"))).select("doc_id", "item_id"))
+    return found.distinct()
+
+
+def by_section(chunks: DataFrame) -> DataFrame:
+    """AGG-2: ``chunks(section)`` -> section, place in the canonical order, n."""
+    spark = chunks.sparkSession
+    order = spark.createDataFrame([(item, k) for k, item in enumerate(SECTION_TITLES)], "item string, place int")
+    order = order.select(section_name(F.col("item")).alias("section"), "place")
+    return chunks.groupBy("section").agg(F.count("*").alias("n")).join(F.broadcast(order), "section").select("section", "place", "n")
+
+
 def rates(rows: DataFrame, by: str, flags: list[str]) -> DataFrame:
     """AGG-9, AGG-10: overall (null key) and by type in one pass."""
     return rows.rollup(by).agg(F.count("*").alias("questions"), *[percent(F.col(f)).alias(f) for f in flags])

@@ -8,11 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import EXPANSIONS, STOPWORDS
+from ..functions.fixed import ALL_COMPANIES, EXPANSIONS, SECTION, STOPWORDS, YEAR
 from ..functions.text import literal_map
 
-ALL_COMPANIES = r"(?i)\b(all|each|every|which|what)\s+(of\s+the\s+)?compan(y|ies)"
-
 
 def keyword_words(question: Column) -> Column:
     """STR-13..16: words and their expansions in order, each once."""
@@ -31,23 +29,23 @@ def keyword_query(question: Column) -> Column:
 
 def years_written(question: Column) -> Column:
     """STR-18: not part of a longer number, amount or code."""
-    return F.regexp_extract_all(question, F.lit(r"(?i)(?<![\w$,-])(?:FY\s?)?((?:19|20)\d\d)(?![\w-])"), F.lit(1))
+    return F.regexp_extract_all(question, F.lit(YEAR), F.lit(1))
 
 
 def years_loaded(written: Column, loaded: Column) -> Column:
-    """JON-6: a fiscal year's report is filed one or two years later; a year without one
-    stands for itself.  Sorted, each once."""
+    """JON-6: a loaded year stands for itself, another for those of the two years after it that are loaded,
+    as their reports tell of it too, or for itself if none is.  Sorted, each once."""
 
     def reports(y):
         later = F.array_intersect(F.array((y.cast("int") + 1).cast("string"), (y.cast("int") + 2).cast("string")), loaded)
-        return F.when(F.size(later) > 0, later).otherwise(F.array(y))
+        return F.when(~F.array_contains(loaded, y) & (F.size(later) > 0), later).otherwise(F.array(y))
 
     return F.array_sort(F.array_distinct(F.flatten(F.transform(written, reports))))
 
 
 def sections_written(question: Column) -> Column:
     """STR-19, in the order of appearance."""
-    found = F.regexp_extract_all(question, F.lit(r"(?i)\bitem\s+\d{1,2}[a-c]?\b|\bsignature page\b|\bsignatures\b"), F.lit(0))
+    found = F.regexp_extract_all(question, F.lit(SECTION), F.lit(0))
     name = lambda x: F.when(F.lower(x).startswith("sig"), "Signature page").otherwise(F.concat(F.lit("Item "), F.upper(F.regexp_replace(x, r"(?i)^item\s+", ""))))
     return F.array_distinct(F.transform(found, name))
 
@@ -67,10 +65,16 @@ def companies(question: Column, aliases: dict[str, list[str]], order: list[str])
     return F.when(F.size(named) > 0, named).when(F.rlike(question, F.lit(ALL_COMPANIES)), everyone).otherwise(none)
 
 
-def without_companies(question: Column, aliases: dict[str, list[str]], tickers: list[str]) -> Column:
-    """STR-21: names and tickers go, with a possessive."""
-    names = sorted({x for t in tickers for x in [*aliases.get(t, []), t]}, key=lambda x: (-len(x), x))
-    return F.regexp_replace(question, r"(?i)\b(?:" + "|".join(map(re.escape, names)) + r")\b(?:'s|’s)?", "") if names else question
+def without_companies(question: Column, aliases: dict[str, list[str]], tickers: Column | list[str]) -> Column:
+    """STR-21: a space for each name and ticker of the given companies, with its possessive."""
+    names = {t: "|".join(re.escape(x) for x in sorted({*own, t}, key=lambda x: (-len(x), x))) for t, own in aliases.items()}
+    if isinstance(tickers, list):
+        names |= {t: re.escape(t) for t in tickers if t not in names}
+        tickers = F.array(*map(F.lit, tickers)).cast("array<string>")
+    if not names:
+        return question
+    gone = F.array_join(F.transform(tickers, lambda t: F.coalesce(F.try_element_at(literal_map(names), t), F.lit("(?!)"))), "|")
+    return F.when(F.size(tickers) > 0, F.regexp_replace(question, F.concat(F.lit(r"(?i)\b(?:"), gone, F.lit(r")(?:'s)?\b")), F.lit(" "))).otherwise(question)
 
 
 def filters(questions: DataFrame, aliases: dict[str, list[str]], order: list[str], loaded: Column) -> DataFrame:
@@ -80,7 +84,7 @@ def filters(questions: DataFrame, aliases: dict[str, list[str]], order: list[str
     have = questions.columns
     explicit = lambda c: F.col(c) if c in have else F.lit(None).cast("array<string>")
     q = F.col("question")
-    tickers = F.coalesce(explicit("tickers"), companies(q, aliases, order))
+    tickers = F.coalesce(F.transform(explicit("tickers"), lambda t: F.upper(t)), companies(q, aliases, order))
     years = F.coalesce(explicit("years"), years_loaded(years_written(q), loaded))
     out = questions.withColumn("__t", tickers).withColumn("__y", years).withColumn("__s", F.coalesce(explicit("sections"), sections_written(q)))
     latest = (F.size("__t") > 1) & (F.size("__y") == 0) & explicit("years").isNull()
@@ -88,10 +92,10 @@ def filters(questions: DataFrame, aliases: dict[str, list[str]], order: list[str
     return out.drop("tickers", "years", "sections").withColumnsRenamed({"__t": "tickers", "__y": "years", "__s": "sections"})
 
 
-def describe(tickers: Column, years: Column) -> Column:
+def describe(tickers: Column, years: Column, sections: Column) -> Column:
     """STR-22."""
-    told = lambda c: F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("all")
-    return F.concat(F.lit("tickers: "), told(tickers), F.lit(" | years: "), told(years))
+    told = lambda name, c: F.concat(F.lit(f"{name}: "), F.when(F.size(c) > 0, F.array_join(c, ", ")).otherwise("all"))
+    return F.concat_ws(" | ", told("tickers", tickers), told("years", years), told("sections", sections))
 
 
 def predicate(values: dict[str, list[str] | None]) -> Column:

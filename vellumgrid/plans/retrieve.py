@@ -1,7 +1,7 @@
 """Batched hybrid retrieval: a table of questions in, ranked chunks out, in one plan.
 
 A question about several companies becomes one ask a company with its own quota.  Company
-names are taken out of the keyword words, and the other companies' names out of what is
+names are taken out of the keyword words, and the names of the question's other companies out of what is
 embedded.  Filters restrict both lists before their candidates are cut; ids are fused and
 cut before texts join.  The batch of questions is bounded by its caller; it is counted
 and cut into blocks before it is broadcast.
@@ -25,19 +25,14 @@ def asks(questions: DataFrame, chunks: DataFrame, aliases: dict[str, list[str]],
     rows = understand.filters(questions.join(loaded), aliases, order, F.col("loaded"))
     several = F.size("tickers") > 1
     none = F.array(F.lit(None).cast("string"))
-    rows = rows.select("qid", "question", "years", "sections", F.when(several, ranking.quota(k, F.size("tickers"))).otherwise(k).alias("n"), several.alias("several"), F.posexplode(F.when(F.size("tickers") > 0, F.col("tickers")).otherwise(none)).alias("place", "ticker"))
+    rows = rows.select("qid", "question", "years", "sections", F.when(several, ranking.quota(k, F.size("tickers"))).otherwise(k).alias("n"), several.alias("several"), F.col("tickers").alias("all"), F.posexplode(F.when(F.size("tickers") > 0, F.col("tickers")).otherwise(none)).alias("place", "ticker"))
     latest = chunks.groupBy("ticker").agg(F.max("year").alias("last"))
     rows = rows.join(latest, "ticker", "left")
     years = F.when(F.array_contains("years", "latest"), F.array(F.coalesce("last", F.lit("")))).otherwise(F.col("years"))
-    plain = F.col("question")
-    bare, others = plain, plain
-    for t in aliases:  # a configuration has tens of companies
-        gone = understand.without_companies(plain, aliases, [t])
-        bare = F.when(F.col("ticker") == t, gone).otherwise(bare)
-        rest = understand.without_companies(plain, aliases, [x for x in aliases if x != t])
-        others = F.when(F.col("several") & (F.col("ticker") == t), rest).otherwise(others)
-    keyword = F.when(F.col("several"), understand.without_companies(plain, aliases, list(aliases))).otherwise(bare)
-    return rows.select(F.concat_ws("#", "qid", "place").alias("ask"), "qid", "place", "ticker", years.alias("years"), "sections", "n", others.alias("question"), keyword.alias("keywords"))
+    own = F.array_compact(F.array("ticker"))
+    rows = rows.withColumn("others", understand.without_companies(F.col("question"), aliases, F.array_except("all", own)))
+    keyword = understand.without_companies(F.col("others"), aliases, own)
+    return rows.select(F.concat_ws("#", "qid", "place").alias("ask"), "qid", "place", "ticker", years.alias("years"), "sections", "n", F.col("others").alias("question"), keyword.alias("keywords"))
 
 
 def _eligible() -> Column:

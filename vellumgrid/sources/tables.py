@@ -37,9 +37,10 @@ def filings(columns: DataFrame) -> DataFrame:
 
 def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     """SRC-4: files <ticker>/<year>/<name>; bytes that are no UTF-8 are replaced."""
-    at = F.regexp_extract(F.col("path"), r"([^/]+)/([^/]+)/([^/]+)$", F.lit(1))
+    at = lambda k: F.regexp_extract("path", r"([^/]+)/([^/]+)/([^/]+)$", k)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(at.alias("ticker"), F.regexp_extract("path", r"([^/]+)/([^/]+)$", 1).alias("year"), F.regexp_extract("path", r"([^/]+)$", 1).alias("doc"), F.decode("content", "UTF-8").alias("html"))
+    html = F.make_valid_utf8(F.col("content").cast("string"))
+    return files.select(at(1).alias("ticker"), at(2).alias("year"), at(3).alias("doc"), html.alias("html"))
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
