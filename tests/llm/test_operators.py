@@ -214,6 +214,14 @@ def jaccard(a, b):
     return len(one & two) / len(one | two)
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=400), st.sets(st.integers(0, 2**64 - 1), max_size=40), st.sets(st.integers(0, 2**64 - 1), max_size=400))
+@settings(max_examples=60, deadline=None)
+def test_parities_bound_the_difference(both, one, two):
+    a, b = both | one, both | two
+    maps = [simhash.parities(np.array(sorted(x), np.uint64)) for x in (a, b)]
+    assert simhash.differing(*maps) <= len(a ^ b) and simhash.differing(maps[0], maps[0]) == 0
+
+
 def test_copies_are_those_of_all_pairs(spark):
     """No link at 0.8 or more is lost: appended blocks, short texts and one-word edits."""
     rng = random.Random(7)

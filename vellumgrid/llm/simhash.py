@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, sampled, small, spread_join
+from .common import cut, pieces, release, sampled, small, spread_join, stored
 from .components import components
 
 SEED = 42
@@ -306,8 +306,8 @@ class CopySettings:
     shingle: int = 5  # words of the shingles that similarity is measured on
     similarity: float = 0.8
     sample: int = 20_000  # documents, in expectation, that frequent shingles are told from
-    frequent: int = 10  # documents of the sample that hold a frequent shingle
-    most: int = 100_000  # frequent shingles that are broadcast
+    frequent: int = 4  # documents of the sample that hold a frequent shingle
+    most: int = 200_000  # frequent shingles that are broadcast
     bucket: int = 2048
     k: int = 4  # bits of the fingerprints that copies are first looked for with
     first: int = 16  # partners that a document takes from one group in the first round
@@ -318,6 +318,19 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return np.unique(np.array([digest(x, SEED) for x in shingles(words(text), n)], np.uint64))
 
 
+def parities(hashes: np.ndarray) -> bytes:
+    """Of each of some power of two of bins (two an element or more) whether it holds an odd number of hashes."""
+    bins = 1 << max(8, (2 * len(hashes) - 1).bit_length())
+    counts = np.bincount((hashes & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """At least so many elements are in one of two sets with these parities only."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
 def prefix_length(size: int, similarity: float) -> int:
     """Sets of that similarity share an element among so many first ones of each, in any
     order that all sets have in common."""
@@ -381,19 +394,31 @@ def candidates(rows: DataFrame, sizes: DataFrame, most: int, s: CopySettings) ->
 
 
 def grouped(nodes: DataFrame, items: Callable[[DataFrame], DataFrame], s: CopySettings) -> DataFrame:
-    """``nodes(key, size, prefix, fp)``, materialised, and ``items(keys)`` -> key, items -> node, root: the
+    """``nodes(key, size, prefix, fp, odd)``, materialised, and ``items(keys)`` -> key, items -> node, root: the
     groups that all pairs of the stated similarity make, of nodes in any pair.
 
     The trie join over the fingerprints comes first, and its links are proven on the shingles; so a large
     group is mostly one when the candidates of the prefixes are taken, of which the rounds
-    take more and more of a document in one group, until none is left out."""
+    take more and more of a document in one group, until none is left out.  Most candidates
+    fall to a bound that is certain, by parities of two to four bits a shingle."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("sa").to_numpy().astype(np.int64) + batch.column("sb").to_numpy()
+            apart = np.array([differing(a, b) for a, b in zip(batch.column("oa").to_pylist(), batch.column("ob").to_pylist(), strict=True)], np.int64)
+            near = total - apart >= s.similarity * (total + apart) - 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
     def proven(pairs: DataFrame) -> DataFrame:
-        sets = cut(items(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
+        odd = lambda c: nodes.select(F.col("key").alias(c), F.col("size").alias(f"s{c}"), F.col("odd").alias(f"o{c}"))
+        pairs = cut(pairs.join(odd("b"), "b").join(odd("a"), "a").mapInArrow(possible, "a long, b long").distinct())
+        sets = stored(items(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "items")
         side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"i{c}"))
         both = F.size(F.array_intersect("ia", "ib"))
         near = both >= s.similarity * (F.size("ia") + F.size("ib") - both) - 1e-9
-        return cut(pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"))
+        made = cut(pairs.join(side("b"), "b").join(side("a"), "a").where(near).select("a", "b"))
+        release(sets)
+        return made
 
     found = proven(cut(links(nodes.select(F.col("key").alias("node"), "fp").where(F.size("prefix") > 0), s.k, s.bucket).distinct()))
     sizes = nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
@@ -427,7 +452,7 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
         hashes, ranks = shared.value
         for batch in batches:
             for piece in pieces(batch):
-                texts, sizes, prefixes, fps = [], [], [], []
+                texts, sizes, prefixes, fps, odd = [], [], [], [], []
                 for text in piece.column("text").to_pylist():
                     own = shingle_set(text, s.shingle)
                     if len(hashes):
@@ -438,8 +463,9 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
                     texts.append(same(text))
                     sizes.append(len(own))
                     fps.append(majority(own))
+                    odd.append(parities(own))
                     prefixes.append(own[order[: prefix_length(len(own), s.similarity)]].view(np.int64))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), _signed(fps)], ["doc_id", "same", "size", "prefix", "fp"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(texts, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64())), _signed(fps), pa.array(odd, pa.binary())], ["doc_id", "same", "size", "prefix", "fp", "odd"])
 
     def collected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,9 +474,9 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
                 items = [shingle_set(t, s.shingle).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(map(same, texts), pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["same", "items"])
 
-    rows = cut(docs.mapInArrow(described, "doc_id long, same binary, size int, prefix array<bigint>, fp long"))
+    rows = cut(docs.mapInArrow(described, "doc_id long, same binary, size int, prefix array<bigint>, fp long, odd binary"))
     # exact copies: one row each from here on
-    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"))
+    nodes = rows.groupBy("same").agg(F.min("doc_id").alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"), F.first("odd").alias("odd"))
     nodes = cut(nodes)
 
     def items(keys: DataFrame) -> DataFrame:
@@ -459,7 +485,7 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
         made = texts.mapInArrow(collected, "same binary, items array<bigint>").groupBy("same").agg(F.first("items").alias("items"))
         return nodes.join(keys, "key", "left_semi").select("key", "same").join(made, "same").select("key", "items")
 
-    roots = grouped(nodes.select("key", "size", "prefix", "fp"), items, s)
+    roots = grouped(nodes.select("key", "size", "prefix", "fp", "odd"), items, s)
     near = roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("doc_id"))
     exact = spread_join(rows.select("doc_id", "same"), nodes.select("same", F.col("key").alias("node")), "same").where(F.col("doc_id") != F.col("node")).select("doc_id")
     return exact.unionByName(near).distinct()
