@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vellumgrid.llm import bpe, decontaminate, langid, licenses, pfor, pivots, quality, simhash, suffix_tree, toxicity
+from vellumgrid.llm import bpe, common, decontaminate, langid, licenses, pfor, pivots, quality, simhash, suffix_tree, toxicity
 from vellumgrid.llm.components import components
 from vellumgrid.llm.license_rules import rules
 
@@ -184,6 +184,21 @@ def test_components(spark):
     assert got == {i: 0 for i in range(51)} | {100: 100, 101: 100}
 
 
+def test_components_of_hubs(spark):
+    star = [(1000, i) for i in range(500)] + [(2000, i) for i in range(2001, 2400)] + [(3000, 3001), (3001, 2399), (5, -1)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert got == {i: -1 for i in (*range(-1, 500), 1000)} | {i: 2000 for i in (*range(2000, 2400), 3000, 3001)}
+
+
+def test_spread_join_of_hot_keys(spark):
+    left = spark.createDataFrame([(b"hot", i) for i in range(300)] + [(b"a", 1), (b"b", 2), (None, 3)] + [(None, i) for i in range(200)], "k binary, v int").cache()
+    right = spark.createDataFrame([(b"hot", 10), (b"a", 20), (b"c", 30), (None, 40)], "k binary, w int")
+    assert common.hot_keys(left, "k").count() == 2 and common.hot_keys(right, "k") is None
+    for parts in (1, 1000):
+        got = common.spread_join(left, right, "k", parts).groupBy("w").count().collect()
+        assert {r["w"]: r["count"] for r in got} == {10: 300, 20: 1}
+
+
 def test_copies(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))

@@ -70,18 +70,29 @@ def release(table: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
-    """Inner join of ``left``, which must be materialised and may repeat a key ever so often, with
-    ``right``, which has a key once.  The keys of more than a ``parts``-th of the rows of
-    ``left``, so fewer than ``parts``, are joined map-side."""
+def hot_keys(left: DataFrame, key: str, parts: int = 1000) -> DataFrame | None:
+    """The keys of more than a ``parts``-th of the rows of ``left``, which must be materialised; fewer
+    than ``parts``, so they may pass through the driver.  None if there are none."""
     most = max(left.count() // parts, 100)
-    hot = cut(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(key))
-    if not hot.limit(1).count():
+    hot = left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(key).toArrow()
+    return left.sparkSession.createDataFrame(hot) if hot.num_rows else None
+
+
+def join_by(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has a key once; rows with a key in ``hot``, which
+    :func:`hot_keys` tells of ``left``, are joined map-side."""
+    if hot is None:
         return left.join(right, key)
-    few = cut(right.join(F.broadcast(hot), key, "left_semi"))
+    few = right.join(F.broadcast(hot), key, "left_semi")
     return left.join(F.broadcast(few), key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """Inner join of ``left``, which must be materialised and may repeat a key ever so often, with
+    ``right``, which has a key once."""
+    return join_by(left, right, key, hot_keys(left, key, parts))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` has not, in any case."""
     taken = {c.lower() for c in df.columns}

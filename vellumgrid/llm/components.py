@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join
+from .common import cut, hot_keys, join_by, spread_join
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,8 +25,9 @@ def components(links: DataFrame) -> DataFrame:
     moved = moved.select("m", F.explode(F.array("a", "b")).alias("b")).where(F.col("m") != F.col("b")).withColumnRenamed("m", "a").unionByName(links.where(F.col("a") == F.col("b")))
     pairs = cut(moved.unionByName(moved.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    hubs = hot_keys(pairs, "b")  # the same in all rounds
     while True:
-        near = spread_join(pairs, labels.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy("a").agg(F.min("r").alias("r"))
+        near = join_by(pairs, labels.withColumnsRenamed({"node": "b", "root": "r"}), "b", hubs).groupBy("a").agg(F.min("r").alias("r"))
         lower = cut(labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("to")))
         new = cut(spread_join(lower, labels.withColumnsRenamed({"node": "to", "root": "far"}), "to").select("node", "old", F.least("to", "far").alias("root")))
         labels = new.select("node", "root")
