@@ -5,10 +5,15 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import numpy as np
+
 #: Largest number of (id) rows that is ever broadcast: 8 MB of longs.
 BROADCAST_ROWS = 1_000_000
 
@@ -93,6 +98,34 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, parts: int = 1000)
     return join_by(left, right, key, hot_keys(left, key, parts))
 
 
+@dataclass(frozen=True)
+class Members:
+    """A set of evenly spread 64-bit keys as a bitmap.  It may say yes to a key that is not in the set."""
+
+    words: np.ndarray
+    bits: int
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        import numpy as np
+
+        at = keys & np.uint64((1 << self.bits) - 1)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+
+
+def members(keys: DataFrame, key: str, most: int = 29) -> Members:
+    """The keys of a materialised table, eight bits for each, 2 ** ``most`` bits (64 MB) at most.  A fuller
+    bitmap says yes more often, which costs its user work and changes no result."""
+    import numpy as np
+
+    bits = min(most, max(16, (8 * keys.count()).bit_length()))
+    at = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    got = keys.select(F.shiftright(at, 6).cast("int").alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return Members(words, bits)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` has not, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, licenses, pfor, pivots, quality, simhash, suffix_tree, toxicity
+from . import bpe, collocations, decontaminate, langid, licenses, pfor, pivots, quality, simhash, suffix_tree, toxicity
 from .common import fold, table
 from .licenses_sql import LICENSES_SQL
 
@@ -89,9 +89,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language."""
+    found = collocations.mine(table(spark, sf_dir, "documents"))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_license_scan, op3_suffix_tree, op4_token_files, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_quality, op9_pivot_search, op10_simhash)
+    for f in (op1_language_id, op2_license_scan, op3_suffix_tree, op4_token_files, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_quality, op9_pivot_search, op10_simhash, op11_collocations)
 }
 
 PIVOT_SQL = """
@@ -110,4 +116,4 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": LICENSES_SQL, "op9_pivot_search": PIVOT_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": LICENSES_SQL, "op9_pivot_search": PIVOT_SQL, "op11_collocations": collocations.COLLOCATIONS_SQL}
