@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, decontaminate, langid, licenses, pfor, pivots, quality, simhash, suffix_tree, toxicity
+from . import bpe, chunk_bpe, collocations, decontaminate, langid, licenses, pfor, pivots, quality, simhash, suffix_tree, toxicity
 from .common import fold, table
 from .licenses_sql import LICENSES_SQL
 
@@ -95,9 +95,14 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def op12_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded, chunks that several share once."""
+    return chunk_bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_license_scan, op3_suffix_tree, op4_token_files, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_quality, op9_pivot_search, op10_simhash, op11_collocations)
+    for f in (op1_language_id, op2_license_scan, op3_suffix_tree, op4_token_files, op5_byte_bpe, op6_toxicity, op7_decontamination, op8_quality, op9_pivot_search, op10_simhash, op11_collocations, op12_chunk_bpe)
 }
 
 PIVOT_SQL = """
