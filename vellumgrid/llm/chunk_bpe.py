@@ -30,6 +30,8 @@ import bisect
 import functools
 import hashlib
 import json
+import sys
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -53,7 +55,7 @@ class Settings:
     zeros: int = 9  # bits of the rolling hash: a chunk has about 2 ** zeros bytes beyond the least
     least: int = 128  # bytes of a chunk, but for a text's last one
     words: int = 1  # whole words on each side of a repaired one, at first
-    memo: int = 200_000  # words whose ids a task keeps
+    memo: int = 300_000  # words whose ids a worker keeps, and as many of before
     part: int = 1 << 20  # bytes of text that are worked on at a time
 
 
@@ -71,11 +73,35 @@ class Codec:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo, self.known = memo, {"": b""}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.wide = self.library.get_vocab_size() > 1 << 16
+        self.type = np.dtype("<u4" if self.wide else "<u2")
+        self.folds = "Lowercase" in kinds
+        self.memo, self.known, self.older = memo, {"": b""}, {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        if sys.byteorder == "big":
+            return [np.array(e.ids, self.type).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I" if self.wide else "H", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _base(self, word: str) -> str:
+        """A word with the same ids; words of ASCII letters come to lower case anyhow."""
+        return word.lower() if self.folds and word.isascii() and word.isalpha() else word
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not known.  A mark after an ASCII letter is a word of its own to the pattern."""
+        cut = {w: (self._base(w[:-1]), w[-1]) if len(w) > 1 and w[-1] in ".,;:!?" and w[-2].isascii() and w[-2].isalpha() else (self._base(w),) for w in words}
+        found, new = {}, set()
+        for p in {p for parts in cut.values() for p in parts}:
+            ids = self.known.get(p) or self.older.get(p)
+            if ids is None:
+                new.add(p)
+            else:
+                found[p] = ids
+        new = list(new)
+        found.update(zip(new, self._library(new), strict=True))
+        got = {w: b"".join([found[p] for p in parts]) for w, parts in cut.items()}
+        got.update(found)
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, little-endian."""
@@ -84,19 +110,17 @@ class Codec:
             for c in "\t\n\v\f\r":
                 text = text.replace(c, " ")
             lists.append(text.split(" "))
-        new = {w for words in lists for w in words if w not in self.known}
-        if len(self.known) + len(new) > self.memo:
-            self.known = {"": b""}
-            new = {w for words in lists for w in words if w}
-        new = list(new)
-        rare = dict(zip(new, self._encoded(new), strict=True))
-        known = self.known
-        known.update((w, ids) for w, ids in rare.items() if len(w) <= 64)
-        if len(known) > self.memo:  # one call has more words than are kept
-            self.known = {"": b""}
-        find = lambda w: known.get(w) if w in known else rare[w]
-        long = any(len(w) > 64 for w in rare)
-        return [b"".join(map(find if long else known.__getitem__, words)) for words in lists]
+        if len(self.known) > self.memo:
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        new = {w for words in lists for w in words if w not in known}
+        known.update([(w, older[w]) for w in new if w in older])
+        rare = self._learn({w for w in new if w not in older})
+        known.update([(w, ids) for w, ids in rare.items() if len(w) <= 64])
+        long = {w: ids for w, ids in rare.items() if len(w) > 64}
+        if long:
+            return [b"".join([long[w] if w in long else known[w] for w in words]) for words in lists]
+        return [b"".join([known[w] for w in words]) for words in lists]
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, self.type)
