@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Members, by_size, members, release, spread_join, stored
+from .common import Members, by_size, members, release, spread_join, stored, tidy
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: A number for each byte, which the rolling hash adds up.
@@ -388,8 +388,8 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
                 own = c.encode(part.column("text").take(pa.array(keep, pa.int64())).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in keep], pa.binary()), pa.array(own, pa.binary())], ["digest", "chunk"])
 
-    given = docs.mapInArrow(give, "digest binary, text string").repartition("digest").sortWithinPartitions("digest")
-    chunks = stored(given.mapInArrow(once, "digest binary, chunk binary"), "encoded")
+    chunks = stored(docs.mapInArrow(give, "digest binary, text string").repartition("digest").sortWithinPartitions("digest").mapInArrow(once, "digest binary, chunk binary"), "encoded", "zstd")
+    tidy(spark)  # the texts of chunks are not needed any more
 
     def recipe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -408,7 +408,7 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
             kinds = [p.batch.schema.field("doc_id").type, pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), *types]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns_of, kinds, strict=True)], ["doc_id", "key", "seq", "of", "digest", "skip", "drop", "own", *names])
 
-    rows = stored(docs.mapInArrow(recipe, f"doc_id {kind}, key binary, seq int, of int, digest binary, skip int, drop int, own binary, {columns}"), "recipes")
+    rows = stored(docs.mapInArrow(recipe, f"doc_id {kind}, key binary, seq int, of int, digest binary, skip int, drop int, own binary, {columns}"), "recipes", "zstd")
     parts = ["doc_id", "key", "seq", "of", "skip", "drop", "own"]
     refs = spread_join(rows.where("digest IS NOT NULL").select("digest", *parts[:-1]), chunks, "digest").withColumnRenamed("chunk", "own").select(parts)
     given = refs.unionByName(rows.where("key IS NOT NULL AND digest IS NULL").select(parts)).repartition("key").sortWithinPartitions("key", "seq")

@@ -45,10 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """As :func:`cut`, for large tables: a compressed table in the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -71,6 +71,11 @@ def release(table: DataFrame) -> None:
     spark = table.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         remove(spark, path)
+    tidy(spark)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files that no table in use is made of."""
     gc.collect()
     spark._jvm.System.gc()
 
