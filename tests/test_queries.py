@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from vellumgrid.operators import lexical, ranking
+from vellumgrid.operators import lexical, ranking, stored
 from vellumgrid.plans import catalog
 from vellumgrid.sources import tables
 
@@ -122,16 +122,47 @@ def test_retrieve(spark):
 
     texts = {"F": "Ford builds trucks and reports net income", "GM": "General Motors sells electric vehicles and net income", "X": "weather was fine"}
     rows = [(f"{t}-{y}-{i}", t, y, "Item 1", f"{text} part {i}") for t, text in texts.items() for y in ("2024", "2025") for i in range(4)]
+    rows += [("empty", "X", "2025", "Item 1", ""), ("null", "X", "2025", "Item 1", None), ("marks", "F", "2025", "Item 1", "!?")]
     chunks = spark.createDataFrame(rows, "id string, ticker string, year string, section string, text string")
-    vectors = chunks.select("id", embedded(F.col("text")).alias("v"))
-    asked = spark.createDataFrame([(1, "Compare the profit of Ford and GM"), (2, "Ford trucks in 2023"), (3, "fine weather")], "qid int, question string")
+    store = stored.rows(chunks, embedded(F.col("text")))
+    asked = spark.createDataFrame([(1, "Compare the profit of Ford and GM"), (2, "Ford trucks in 2023"), (3, "fine weather"), (4, "???"), (5, None)], "qid int, question string")
     aliases = {"F": ["Ford"], "GM": ["General Motors", "GM"]}
     for mode in ("hybrid", "dense"):
-        got = retrieve(asked, chunks, vectors, lexical.build(chunks), aliases, ["F", "GM"], mode=mode).collect()
+        got = retrieve(asked, store, aliases, ["F", "GM"], mode=mode).collect()
         of = lambda q: [r for r in sorted(got, key=lambda r: r["rank"]) if r["qid"] == q]  # noqa: B023, E731
         assert sorted(r["ticker"] for r in of(1)) == ["F"] * 3 + ["GM"] * 3 and {r["year"] for r in of(1)} == {"2025"}
         assert {r["ticker"] for r in of(2)} == {"F"} and len(of(2)) == 5
         assert of(3)[0]["ticker"] == "X" and [r["rank"] for r in of(3)] == [1, 2, 3, 4, 5]
+        assert not of(4) and not of(5) and not {"empty", "null", "marks"} & {r["id"] for r in got}
+        assert all(0 <= r["distance"] <= 1.5 for r in got)
+
+
+def test_vectors_that_can_not_be_ranked(spark):
+    v = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [2.0, 2.0]), (7, [1.0, 0.0, 0.0]), (8, []), (9, [float("inf"), 0.0]), (10, [3.0, 0.0])]
+    vectors = spark.createDataFrame([(*r, "a" if r[0] < 6 else None) for r in v], "id int, v array<double>, g string").repartition(3)
+    queries = spark.createDataFrame([(0, [5.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [0.0, 1.0, 0.0])], "qid int, q array<double>")
+    got = sorted((r["qid"], r["rank"], r["id"], round(r["distance"], 6)) for r in ranking.dense_top_k(queries, vectors).collect())
+    assert got == [(0, 1, 1, 0.0), (0, 2, 10, 0.0), (0, 3, 6, 0.292893), (3, 1, 7, 1.0)]
+    got = sorted((r["qid"], r["g"] or "", r["id"]) for r in ranking.dense_top_k(queries, vectors, 1, ("g",)).collect())
+    assert got == [(0, "", 10), (0, "a", 1), (3, "", 7)]
+    assert ranking.dense_top_k(queries.where("qid IN (1, 2)"), vectors).collect() == [] and ranking.dense_top_k(queries, vectors.limit(0)).collect() == []
+
+
+def test_stored_scores_are_those_of_the_index(spark):
+    """Phrases, filters, many asks and ties, against the index of occurrences."""
+    words = ["net", "income", "of", "the", "dog", "cat", "net income", "x1"]
+    told = lambda i: None if i % 50 == 0 else " ".join(words[(i * 7 + j * j * 3 + i // 11) % len(words)] for j in range(1, 2 + i % 13))
+    docs = spark.createDataFrame([(i, f"f{i % 3}", "2025", "s", told(i)) for i in range(700)], "id long, ticker string, year string, section string, text string").repartition(4)
+    phrases = [[["net", "income"], ["dog"]], [["cat"], ["of", "the", "dog"]], [["income", "net"]], [["nothing"]], [], [["the"], ["x1"], ["the"]]]
+    asked = spark.createDataFrame([(q, phrases[q % 6]) for q in range(600)], "qid int, phrases array<array<string>>")
+    want = lexical.search(lexical.build(docs.select("id", "text")), asked.where("qid < 6"), n=7)
+    got = stored.lists(stored.rows(docs), asked.withColumnRenamed("qid", "ask"), keyword=7).select("ask", "id", "rank", F.round("value", 9))
+    want = sorted((r["qid"], r["id"], r["rank"], round(r["score"], 9)) for r in want.collect())
+    got = sorted(map(tuple, got.collect()))
+    assert want and [r for r in got if r[0] < 6] == want and {r[0] % 6 for r in got} == {0, 1, 2, 5} and len(got) == 100 * len(want)
+    asks = asked.where("qid = 0").select(F.col("qid").alias("ask"), "phrases", F.lit("f1").alias("ticker"))
+    assert {r["id"] % 3 for r in stored.lists(stored.rows(docs), asks).collect()} == {1}
+    assert stored.lists(stored.rows(docs), asks.limit(0)).collect() == [] and stored.lists(stored.rows(docs.limit(0)), asks).collect() == []
 
 
 def test_reports_hold_every_row(spark):

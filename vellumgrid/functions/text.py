@@ -120,11 +120,11 @@ def contains_quote(text: Column, quote: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """MTH-1 in double precision."""
+    """MTH-1 in double precision; null where a vector is null or zero."""
     wide = lambda x: F.transform(x, lambda v: v.cast("double"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     a, b = wide(a), wide(b)
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return 1 - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
 def dot_distance(a: Column, b: Column) -> Column:

@@ -6,27 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CANDIDATES, PER_COMPANY, RRF_K
-from ..functions.text import cosine_distance
+from . import stored
 
 #: Most query vectors that are joined at once; more come in further blocks.
 QUERY_BLOCK = 2048
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int = CANDIDATES, groups: tuple[str, ...] = ()) -> DataFrame:
-    """``queries(qid, q)`` against ``vectors(id, v, ...)``: qid, *groups, id, distance, rank.
+    """``queries(qid, q)`` against ``vectors(id, v, ...)``: qid, *groups, id, distance, rank; exact.
 
-    The query side is cut into counted blocks, and each block is broadcast to the scan of
-    the vectors; the k best are kept before the shuffle (WindowGroupLimit)."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    Counted blocks of queries go to the scan of the vectors, where they meet in matrix products; each task
+    passes on what may be among the k best.  Null, zero and non-finite vectors, and pairs of different
+    dimensions, take no part."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     made = None
     for b in range(blocks):
         own = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        found = vectors.join(F.broadcast(own)).select("qid", *groups, "id", cosine_distance(F.col("q"), F.col("v")).alias("distance"))
-        order = Window.partitionBy("qid", *groups).orderBy(F.round("distance", 9), "id")
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = stored.dense_lists(own.select("qid", "q"), vectors, k, groups)
         made = found if made is None else made.unionByName(found)
-    return made
+    order = Window.partitionBy("qid", *groups).orderBy(F.round("distance", 9), "id")
+    return made.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def fuse(dense: DataFrame, keyword: DataFrame, n: Column | int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, models, text
 from ..functions.fixed import EXPANSIONS, MONTHS, NOISE, REFUSAL, SECTION_TITLES, STOPWORDS
-from ..operators import answers, chunking, evaluation, lexical, ranking, understand
+from ..operators import answers, chunking, evaluation, lexical, ranking, stored, understand
 from ..sources import tables
 from . import retrieve
 
@@ -584,13 +584,65 @@ def dimension_check(spark, sf_dir):
     return v.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).withColumn("wrong", F.col("dim") != 64)
 
 
+def store(spark, sf_dir, embed: bool = False) -> DataFrame:
+    """The chunks' store, written and read back."""
+    made = stored.rows(rows := chunks(spark, sf_dir), models.embedded(F.col("text")) if embed else None)
+    stored.write(made, path := tables.fresh_path(rows.sparkSession, "store"))
+    return stored.read(spark, path, made)
+
+
+def first_questions(spark, sf_dir) -> DataFrame:
+    users = read(spark, sf_dir, "conversations").where("role = 'user' AND turn = 0")
+    return users.select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
+
+
 @query()
 def retrieve_batch(spark, sf_dir):
-    """47 questions (the first turns of users) against all documents, in one plan: hybrid, five chunks each."""
-    rows = chunks(spark, sf_dir)
-    asked = read(spark, sf_dir, "conversations").where("role = 'user' AND turn = 0").orderBy("conv_id").limit(47).select(F.col("conv_id").alias("qid"), F.col("text").alias("question"))
-    vectors = rows.select("id", models.embedded(F.col("text")).alias("v"))
-    return retrieve.retrieve(asked, rows, vectors, lexical.build(rows.select("id", "text")), ALIASES, TICKERS).select("qid", "rank", "id", "ticker", "year")
+    """47 questions (the first turns of users) against the written store of all documents: hybrid, five chunks each."""
+    asked = first_questions(spark, sf_dir).orderBy("qid").limit(47)
+    return retrieve.retrieve(asked, store(spark, sf_dir, True), ALIASES, TICKERS).select("qid", "rank", "id", "ticker", "year")
+
+
+@query(f"WITH {CHUNKS}, {TERMS} SELECT ticker, year, count(DISTINCT c.id) AS chunks, count(term) AS words, count(DISTINCT term) AS terms FROM c LEFT JOIN t USING (id) GROUP BY ticker, year")
+def store_filings(spark, sf_dir):
+    """SNK-8: what the written store has of each filing."""
+    terms = F.explode_outer("terms").alias("term")
+    own = store(spark, sf_dir).select("ticker", "year", "id", "dl", terms)
+    by_id = own.groupBy("ticker", "year", "id").agg(F.max("dl").alias("dl")).groupBy("ticker", "year").agg(F.count("*").alias("chunks"), F.sum("dl").alias("words"))
+    return by_id.join(own.groupBy("ticker", "year").agg(F.countDistinct("term").alias("terms")), ["ticker", "year"])
+
+
+def stored_sql(live: str = "true", n: int = 20) -> str:
+    """BM25 of every first question over the documents for which ``live`` holds."""
+    return f"""WITH {CHUNKS.replace("FROM documents", f"FROM documents WHERE {live}")}, {TERMS}, {STATS},
+    q AS (SELECT DISTINCT conv_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations WHERE role = 'user' AND turn = 0),
+    tf AS (SELECT term, id, count(*) AS f FROM t WHERE term IN (SELECT term FROM q) GROUP BY term, id),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    sc AS (SELECT qid, tf.id AS id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 0.000001 ELSE ln((n - df + 0.5) / (df + 0.5)) END)
+             * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+           FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (id), s GROUP BY qid, tf.id)
+    SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS INTEGER) AS rank, round(score, 6) AS score FROM sc QUALIFY rank <= {n}"""
+
+
+def asked_of(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    terms = F.transform(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.array(w))
+    asks = first_questions(spark, sf_dir).select(F.col("qid").alias("ask"), terms.alias("phrases"))
+    return stored.lists(rows, asks, dense=0).select(F.col("ask").alias("qid"), "id", "rank", F.round("value", 6).alias("score"))
+
+
+@query(stored_sql())
+def stored_topk(spark, sf_dir):
+    """Every first question of a conversation, of the written store."""
+    return asked_of(spark, sf_dir, store(spark, sf_dir))
+
+
+@query(stored_sql("NOT (source = 'src2' AND doc_id % 3 = 1 AND doc_id % 2 = 1)"))
+def stored_replace(spark, sf_dir):
+    """SNK-6, SNK-9: a filing is replaced by half of its chunks; all scores are those of a new store."""
+    made = stored.rows(rows := chunks(spark, sf_dir))
+    stored.write(made, path := tables.fresh_path(spark, "store"))
+    stored.write(stored.rows(rows.where("ticker = 'src2' AND year = '2025' AND id % 2 = 0")), path)
+    return asked_of(spark, sf_dir, stored.read(spark, path, made))
 
 
 @query("SELECT count(*) AS n, CAST(max(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'))) AS INTEGER) AS longest, CAST(count(*) FILTER (len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')) > 512) AS BIGINT) AS too_long FROM documents")

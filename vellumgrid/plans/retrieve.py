@@ -3,19 +3,18 @@
 A question about several companies becomes one ask a company with its own quota.  Company
 names are taken out of the keyword words, and the names of the question's other companies out of what is
 embedded.  Filters restrict both lists before their candidates are cut; ids are fused and
-cut before texts join.  The batch of questions is bounded by its caller; it is counted
-and cut into blocks before it is broadcast.
+cut before texts join.  Questions are asked of a store (:mod:`..operators.stored`), in blocks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CANDIDATES, TOP_K
+from ..functions.fixed import CANDIDATES, PER_COMPANY, TOP_K
 from ..functions.models import embedded
-from ..functions.text import cosine_distance
-from ..operators import lexical, ranking, understand
+from ..functions.text import dot_distance
+from ..operators import ranking, stored, understand
 
 
 def asks(questions: DataFrame, chunks: DataFrame, aliases: dict[str, list[str]], order: list[str], k: int = TOP_K) -> DataFrame:
@@ -35,40 +34,21 @@ def asks(questions: DataFrame, chunks: DataFrame, aliases: dict[str, list[str]],
     return rows.select(F.concat_ws("#", "qid", "place").alias("ask"), "qid", "place", "ticker", years.alias("years"), "sections", "n", F.col("others").alias("question"), keyword.alias("keywords"))
 
 
-def _eligible() -> Column:
-    whose = F.col("a.ticker").isNull() | (F.col("a.ticker") == F.col("c.ticker"))
-    when = (F.size("a.years") <= 0) | F.array_contains("a.years", F.col("c.year"))
-    where = (F.size("a.sections") <= 0) | F.array_contains("a.sections", F.col("c.section"))
-    return whose & when & where
-
-
-def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, index: lexical.Index, aliases: dict[str, list[str]], order: list[str], k: int = TOP_K, mode: str = "hybrid") -> DataFrame:
-    """``chunks(id, ticker, year, section, text, ...)``, ``vectors(id, v)`` -> qid, rank,
-    score (hybrid) or distance (dense), and the columns of ``chunks``."""
-    rows = asks(questions, chunks, aliases, order, k)
-    told = chunks.select("id", "ticker", "year", "section")
-    made = None
-    blocks = max(1, -(-rows.count() // ranking.QUERY_BLOCK))
-    for b in range(blocks):
-        own = rows.where(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == b).withColumn("q", embedded(F.col("question")))
-        met = told.alias("c").join(vectors.alias("v"), "id").join(F.broadcast(own.alias("a")), _eligible())
-        met = met.select("a.ask", "a.n", "id", cosine_distance(F.col("a.q"), F.col("v.v")).alias("distance"))
-        by = Window.partitionBy("ask").orderBy(F.round("distance", 9), "id")
-        met = met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= (F.greatest("n", F.lit(CANDIDATES)) if mode == "hybrid" else F.col("n")))
-        made = met if made is None else made.unionByName(met)
+def retrieve(questions: DataFrame, store: DataFrame, aliases: dict[str, list[str]], order: list[str], k: int = TOP_K, mode: str = "hybrid") -> DataFrame:
+    """``store``: rows as of :mod:`..operators.stored`, with id, ticker, year, section -> qid, rank, distance (of the
+    question's and the chunk's vector, null where one of them has no words), score (hybrid only), and the
+    chunk's columns.  A question without words has no dense list; one that nothing answers has no row."""
+    chunks = store.drop("terms", "counts", "positions")
+    phrases = F.transform(understand.keyword_words(F.col("keywords")), lambda w: F.regexp_extract_all(w, F.lit("[a-z0-9]+"), F.lit(0)))
+    rows = asks(questions, chunks, aliases, order, k).withColumns({"phrases": phrases, "q": embedded(F.col("question"))}).persist()  # a row a question and company
+    own = rows if mode == "hybrid" else rows.withColumn("phrases", F.array().cast("array<array<string>>"))
+    most = max(CANDIDATES, k, PER_COMPANY)
+    found = stored.lists(store, own, dense=most).withColumnRenamed("ask", "qid")
     if mode == "dense":
-        best, key = made.select("ask", "id", "distance", "rank"), F.col("distance")
+        best, key = found.where("dense").select("qid", "id", "rank", "value"), F.col("value")
     else:
-        phrases = F.transform(understand.keyword_words(F.col("keywords")), lambda w: F.regexp_extract_all(w, F.lit("[a-z0-9]+"), F.lit(0)))
-        scored = lexical.scores(index, rows.select(F.col("ask").alias("qid"), phrases.alias("phrases")))
-        scored = scored.withColumnRenamed("qid", "of").join(told.alias("c"), "id").join(rows.alias("a"), F.col("of") == F.col("a.ask"))
-        scored = scored.where(_eligible()).select("a.ask", "id", "score")
-        by = Window.partitionBy("ask").orderBy(F.desc(F.round("score", 9)), "id")
-        words = scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= CANDIDATES)
-        dense = made.where(F.col("rank") <= CANDIDATES)
-        fused = ranking.fuse(dense.withColumnRenamed("ask", "qid"), words.withColumnRenamed("ask", "qid"), 2 * CANDIDATES).withColumnRenamed("qid", "ask")
-        best = fused.join(rows.select("ask", "n"), "ask").where(F.col("rank") <= F.col("n")).drop("n")
-        key = -F.col("score")
+        best, key = ranking.fuse(found.where(F.col("dense") & (F.col("rank") <= CANDIDATES)), found.where(~F.col("dense")), 2 * CANDIDATES), -F.col("score")
+    best = best.withColumnRenamed("qid", "ask").withColumnRenamed("rank", "inner").join(F.broadcast(rows.select("ask", "qid", "place", "n", "q")), "ask").where(F.col("inner") <= F.col("n"))
     merged = Window.partitionBy("qid").orderBy(key, "place", "inner")
-    ranked = best.withColumnRenamed("rank", "inner").join(rows.select("ask", "qid", "place"), "ask").withColumn("rank", F.row_number().over(merged))
-    return ranking.materialise(ranked.drop("ask", "place", "inner"), chunks)
+    ranked = best.withColumn("rank", F.row_number().over(merged)).drop("ask", "place", "inner", "n", "value")
+    return ranking.materialise(ranked, chunks).withColumn("distance", dot_distance(F.col("q"), F.col("v"))).drop("q", "v")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -48,6 +50,23 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; a temporary one only where
+    none is named and all run in one process (tests)."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not told:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        told = tempfile.mkdtemp(prefix="vellumgrid-")
+        spark.sparkContext.setCheckpointDir(told)
+    return told
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """SNK-3, SET-6: rows of other keys stay, those of the new keys are replaced."""
     return old.join(new.select(keys).distinct(), keys, "left_anti").unionByName(new)
