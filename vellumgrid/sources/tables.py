@@ -25,6 +25,11 @@ def config(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"companies": groups.join(names, "ticker", "left"), "aliases": aliases.withColumn("case_sensitive", F.col("alias") == F.upper("alias")), "years": raw.select(F.explode("years").alias("year"))}
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """The settings of a job: one JSON object."""
+    return spark.read.option("multiLine", True).json(path).first().asDict(True)
+
+
 def registry(spark: SparkSession, path: str) -> DataFrame:
     """SRC-2: values keyed by the ticker in capitals."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<cik_str:long,ticker:string,title:string>>").alias("m"))
