@@ -79,9 +79,9 @@ def refusals(rows: DataFrame) -> DataFrame:
 
 
 def citation_summary(checks: DataFrame) -> DataFrame:
-    """AGG-15: ``checks(claims, claims_with_numbers, numbers, unsupported, uncited)``."""
+    """AGG-15: ``checks(claims, claims_with_numbers, numbers, unsupported, uncited)``, a row an answer."""
     n, bad = F.sum("numbers"), F.sum("unsupported")
-    return checks.agg(F.sum("claims").alias("claims"), F.sum("claims_with_numbers").alias("claims_with_numbers"), n.alias("numbers"), bad.alias("unsupported"), F.sum("uncited").alias("uncited"), percent_of(n - bad, n).alias("supported_pct"), F.count_if((F.col("unsupported") == 0) & (F.col("uncited") == 0)).alias("clean"))
+    return checks.agg(F.count("*").alias("answers_checked"), F.count_if(F.col("uncited") > 0).alias("with_uncited"), F.sum("claims").alias("claims"), F.sum("claims_with_numbers").alias("claims_with_numbers"), n.alias("numbers"), bad.alias("unsupported"), F.sum("uncited").alias("uncited"), percent_of(n - bad, F.nullif(n, F.lit(0))).alias("supported_pct"), F.count_if((F.col("unsupported") == 0) & (F.col("uncited") == 0)).alias("clean"))
 
 
 def duplicates(rows: DataFrame, key: Column) -> DataFrame:

@@ -659,12 +659,12 @@ def answer_records(spark, sf_dir):
 
 @query()
 def claim_numbers(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(answers.answer_numbers(F.col("text"))).alias("numbers"), F.size(answers.claim_rows(F.col("text"))).alias("claims"))
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(answers.written_numbers(F.col("text"), True)).alias("numbers"), F.size(answers.claim_rows(F.col("text"))).alias("claims"))
     return rows
 
 
 @query("""WITH k AS (SELECT doc_id % 5 AS claims, doc_id % 3 AS with_numbers, doc_id % 7 AS numbers, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 ELSE 0 END AS bad, doc_id % 4 AS uncited FROM documents)
-SELECT CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(with_numbers) AS BIGINT) AS claims_with_numbers, CAST(sum(numbers) AS BIGINT) AS numbers, CAST(sum(bad) AS BIGINT) AS unsupported, CAST(sum(uncited) AS BIGINT) AS uncited,
+SELECT count(*) AS answers_checked, count(*) FILTER (uncited > 0) AS with_uncited, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(with_numbers) AS BIGINT) AS claims_with_numbers, CAST(sum(numbers) AS BIGINT) AS numbers, CAST(sum(bad) AS BIGINT) AS unsupported, CAST(sum(uncited) AS BIGINT) AS uncited,
 round(100 * CAST(sum(numbers) - sum(bad) AS DOUBLE) / sum(numbers), 1) AS supported_pct, count(*) FILTER (bad = 0 AND uncited = 0) AS clean FROM k""")
 def citation_summary(spark, sf_dir):
     n = F.col("doc_id")
@@ -685,12 +685,46 @@ def checked_answers(spark, sf_dir):
     return answers.checked(rows.withColumn("declined", F.lit(False)))
 
 
-@query()
+def _numbers_sql(text: str, answer: bool) -> str:
+    """The numbers that count in ``text``, as written."""
+    days = f"regexp_replace({text}, '(?:{'|'.join(MONTHS)})\\.?\\s+\\d{{1,2}}([^\\d]|$)', ' \\1', 'g')"
+    small = "AND NOT TRY_CAST(replace(x, ',', '') AS DOUBLE) < 10" if answer else ""
+    return rf"""list_filter(regexp_extract_all(' ' || {days}, '(?i)[^\p{{L}}\p{{N}}_.](\d(?:[\d,]*\d)?(?:\.\d+)?(?:\s*%|\s*(?:thousand|million|billion|trillion)\b)?)', 1),
+     lambda x: regexp_matches(x, '(?i)(%|thousand|million|billion|trillion)$') OR (NOT regexp_matches(x, '^(19|20)\d\d$') {small}))"""
+
+
+def _value_sql(x: str) -> str:
+    scale = f"CASE WHEN lower({x}) LIKE '%thousand' THEN 1e3 WHEN lower({x}) LIKE '%million' THEN 1e6 WHEN lower({x}) LIKE '%billion' THEN 1e9 WHEN lower({x}) LIKE '%trillion' THEN 1e12 ELSE 1 END"
+    digits = rf"regexp_extract({x}, '^[\d,]*\d(?:\.\d+)?')"
+    return f"CAST(replace({digits}, ',', '') AS DOUBLE) * ({scale}) AS value, 0.5 * power(10, -len(regexp_extract({digits}, '\\.(.*)', 1))) * ({scale}) AS allow"
+
+
+CHECKED = rf"""WITH src AS (SELECT conv_id AS id, turn, text || ' total ' || (turn * 100 + 5000) AS text FROM conversations),
+src_line AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn) AS ref, text || CASE WHEN turn % 3 = 0 THEN ' [S' || (turn + 1) || ']' WHEN turn % 3 = 1 THEN ' [S' || (turn + 2) || ']' ELSE '' END AS whole FROM src),
+ln AS (SELECT id, ref AS n1, generate_subscripts(string_split(whole, chr(10)), 1) AS n2, unnest(string_split(whole, chr(10))) AS line FROM src_line),
+cl AS (SELECT id, n1, n2, k, trim(regexp_split_to_array(line, '(?:\[S\d+(?:\s*[,;]\s*S\d+)*\]\s*)+')[k], ' -*•:') AS claim, regexp_extract_all(runs[k], 'S(\d+)', 1) AS refs
+  FROM (SELECT *, regexp_extract_all(line, '(?:\[S\d+(?:\s*[,;]\s*S\d+)*\]\s*)+') AS runs FROM ln), (SELECT unnest([1, 2, 3]) AS k) WHERE k <= len(runs)),
+nu AS (SELECT *, generate_subscripts(found, 1) AS nth, unnest(found) AS written FROM (SELECT *, {_numbers_sql('claim', True)} AS found FROM cl)),
+nv AS (SELECT *, {_value_sql('written')} FROM nu),
+have AS (SELECT DISTINCT id, CAST(ref AS VARCHAR) AS ref, value * s AS have FROM (SELECT id, ref, {_value_sql('x')} FROM (SELECT id, ref, unnest({_numbers_sql('text', False)}) AS x FROM src_line)), (SELECT unnest([1, 1e3, 1e6, 1e9]) AS s)),
+lost AS (SELECT * FROM nv WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.id = nv.id AND list_contains(nv.refs, h.ref) AND abs(nv.value - h.have) <= greatest(nv.allow, 0.002 * abs(nv.value)))),
+un AS (SELECT id, n1, n2, trim(line)[1:160] AS line FROM ln WHERE NOT regexp_matches(line, '\[S\d+(?:\s*[,;]\s*S\d+)*\]') AND NOT lower(line) LIKE 'not in the excerpts%' AND len({_numbers_sql('line', True)}) > 0),
+ch AS (SELECT i.id AS id, coalesce(claims, 0) AS claims, coalesce(claims_with_numbers, 0) AS claims_with_numbers, coalesce(numbers, 0) AS numbers, coalesce(unsupported, '') AS unsupported, coalesce(bad, 0) AS bad, coalesce(uncited_lines, '') AS uncited_lines, coalesce(uncited, 0) AS uncited
+  FROM (SELECT DISTINCT id FROM src) i
+  LEFT JOIN (SELECT id, count(*) AS claims, count(*) FILTER (len({_numbers_sql('claim', True)}) > 0) AS claims_with_numbers FROM cl GROUP BY id) USING (id)
+  LEFT JOIN (SELECT id, count(*) AS numbers FROM nv GROUP BY id) USING (id)
+  LEFT JOIN (SELECT id, count(*) AS bad, string_agg(written || ' [S' || array_to_string(refs, ',S') || '] ' || claim[1:160], chr(10) ORDER BY n1, n2, k, nth) AS unsupported FROM lost GROUP BY id) USING (id)
+  LEFT JOIN (SELECT id, count(*) AS uncited, string_agg(line, chr(10) ORDER BY n1, n2) AS uncited_lines FROM un GROUP BY id) USING (id))"""
+
+
+@query(CHECKED + " SELECT id, claims, claims_with_numbers, numbers, unsupported, uncited_lines FROM ch")
 def citation_check(spark, sf_dir):
-    return checked_answers(spark, sf_dir).select("id", "claims", "claims_with_numbers", "numbers", F.to_json("unsupported").alias("unsupported"), F.array_join("uncited_lines", "\n").alias("uncited_lines"))
+    lost = F.transform("unsupported", lambda u: F.concat(u["number"], F.lit(" ["), F.array_join(u["cites"], ","), F.lit("] "), u["claim"]))
+    return checked_answers(spark, sf_dir).select("id", "claims", "claims_with_numbers", "numbers", F.array_join(lost, "\n").alias("unsupported"), F.array_join("uncited_lines", "\n").alias("uncited_lines"))
 
 
-@query()
+@query(CHECKED + """ SELECT count(*) AS answers_checked, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(claims_with_numbers) AS BIGINT) AS claims_with_numbers, CAST(sum(numbers) AS BIGINT) AS numbers, CAST(sum(bad) AS BIGINT) AS unsupported, CAST(sum(uncited) AS BIGINT) AS uncited,
+ round(100 * CAST(sum(numbers) - sum(bad) AS DOUBLE) / nullif(sum(numbers), 0), 1) AS supported_pct, count(*) FILTER (bad = 0 AND uncited = 0) AS clean, count(*) FILTER (uncited > 0) AS with_uncited FROM ch""")
 def citation_check_summary(spark, sf_dir):
     return evaluation.citation_summary(checked_answers(spark, sf_dir).withColumns({"unsupported": F.size("unsupported"), "uncited": F.size("uncited_lines")}))
 
