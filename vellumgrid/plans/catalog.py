@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, models, text
@@ -192,11 +192,14 @@ QUESTIONS = (
 )
 ALIASES = {"F": ["Ford"], "GM": ["General Motors", "GM"], "TSLA": ["Tesla", "TSLA"]}
 TICKERS = ["F", "GM", "TSLA"]
-ASKED = "q(qid, question) AS (VALUES " + ", ".join(f"({i}, '{s}')" for i, s in QUESTIONS) + ")"
+#: The users' turns, each behind one of ``QUESTIONS``, as they name no company, year or section themselves.
+ASKED = "q AS (SELECT conv_id * 1000 + turn AS qid, CASE (conv_id + turn) % 7 " + " ".join(f"WHEN {i - 1} THEN '{x}'" for i, x in QUESTIONS) + " END || ' ' || text AS question FROM conversations WHERE role = 'user')"
 
 
-def questions(spark):
-    return spark.createDataFrame(list(QUESTIONS), "qid int, question string")
+def questions(spark, sf_dir) -> DataFrame:
+    made = F.get(F.array(*[F.lit(x) for _, x in QUESTIONS]), ((F.col("conv_id") + F.col("turn")) % 7).cast("int"))
+    users = read(spark, sf_dir, "conversations").where("role = 'user'")
+    return users.select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(made, F.lit(" "), "text").alias("question"))
 
 
 _F, _G, _T = (r"regexp_matches(question, '(?i)\bFord\b')", r"(regexp_matches(question, '(?i)\bGeneral Motors\b') OR regexp_matches(question, '\bGM\b'))", r"(regexp_matches(question, '(?i)\bTesla\b') OR regexp_matches(question, '\bTSLA\b'))")
@@ -207,7 +210,7 @@ tc AS (SELECT qid, question, CASE WHEN len(named) > 0 THEN named WHEN everyone T
 
 @query(f"WITH {ASKED}, {FOUND} SELECT qid, array_to_string(tickers, ',') AS tickers FROM tc")
 def company_detection(spark, sf_dir):
-    return questions(spark).select("qid", F.array_join(understand.companies(F.col("question"), ALIASES, TICKERS), ",").alias("tickers"))
+    return questions(spark, sf_dir).select("qid", F.array_join(understand.companies(F.col("question"), ALIASES, TICKERS), ",").alias("tickers"))
 
 
 SECTIONS = r"""sx AS (SELECT qid, list_transform(regexp_extract_all(question, '(?i)\bitem\s+\d{1,2}[a-c]?\b|\bsignature page\b|\bsignatures\b'),
@@ -216,7 +219,7 @@ SECTIONS = r"""sx AS (SELECT qid, list_transform(regexp_extract_all(question, '(
 
 @query(f"WITH {ASKED}, {SECTIONS} SELECT qid, array_to_string(s, ',') AS sections FROM sx")
 def section_detection(spark, sf_dir):
-    return questions(spark).select("qid", F.array_join(understand.sections_written(F.col("question")), ",").alias("sections"))
+    return questions(spark, sf_dir).select("qid", F.array_join(understand.sections_written(F.col("question")), ",").alias("sections"))
 
 
 WRITTEN = r"yx AS (SELECT qid, regexp_extract_all(' ' || question || ' ', '(?i)(?:^|[^\w$,-])(?:FY\s?)?((?:19|20)\d\d)(?:[^\w-]|$)', 1) AS ys FROM q)"
@@ -224,7 +227,7 @@ WRITTEN = r"yx AS (SELECT qid, regexp_extract_all(' ' || question || ' ', '(?i)(
 
 @query(f"WITH {ASKED}, {WRITTEN} SELECT qid, array_to_string(ys, ',') AS years FROM yx")
 def year_detection(spark, sf_dir):
-    return questions(spark).select("qid", F.array_join(understand.years_written(F.col("question")), ",").alias("years"))
+    return questions(spark, sf_dir).select("qid", F.array_join(understand.years_written(F.col("question")), ",").alias("years"))
 
 
 @query(f"""WITH {ASKED}, {FOUND}, {SECTIONS}, {WRITTEN},
@@ -236,14 +239,18 @@ SELECT qid, array_to_string(tickers, ',') AS tickers, array_to_string(s, ',') AS
  || ' | sections: ' || CASE WHEN len(s) = 0 THEN 'all' ELSE array_to_string(s, ', ') END AS told FROM f""")
 def filters_for(spark, sf_dir):
     loaded = F.array(*map(F.lit, ("2024", "2025", "2026")))
-    out = understand.filters(questions(spark), ALIASES, TICKERS, loaded)
+    out = understand.filters(questions(spark, sf_dir), ALIASES, TICKERS, loaded)
     told = understand.describe(F.col("tickers"), F.col("years"), F.col("sections"))
     return out.select("qid", *[F.array_join(c, ",").alias(c) for c in ("tickers", "sections", "years")], told.alias("told"))
 
 
-@query(f"WITH {ASKED} SELECT qid, regexp_replace(question, '(?i)\\b(?:Ford|F)(?:''s)?\\b', ' ', 'g') AS question FROM q")
+#: Twice, as two names may share the character between them.
+_GONE = r"""'(?i)(^|[^\p{L}\p{N}_])(?:Ford|F)(?:''s)?([^\p{L}\p{N}_]|$)', '\1 \2', 'g'"""
+
+
+@query(f"WITH {ASKED} SELECT qid, regexp_replace(regexp_replace(question, {_GONE}), {_GONE}) AS question FROM q")
 def without_companies(spark, sf_dir):
-    return questions(spark).select("qid", understand.without_companies(F.col("question"), ALIASES, ["F"]).alias("question"))
+    return questions(spark, sf_dir).select("qid", understand.without_companies(F.col("question"), ALIASES, ["F"]).alias("question"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
@@ -266,7 +273,7 @@ def query_terms(spark, sf_dir):
 
 @query(f"WITH {ASKED}, src AS (SELECT * FROM q), {_terms_sql('question')} SELECT qid, nullif(array_to_string(list_transform(ds, lambda w: '\"' || w || '\"'), ' OR '), '') AS query FROM nd")
 def question_terms(spark, sf_dir):
-    return questions(spark).select("qid", understand.keyword_query(F.col("question")).alias("query"))
+    return questions(spark, sf_dir).select("qid", understand.keyword_query(F.col("question")).alias("query"))
 
 
 @query(f"WITH {CHUNKS} SELECT id, ticker, year FROM c WHERE ticker = 'src3' AND year IN ('2024', '2026') AND section = 'en'")
@@ -319,11 +326,19 @@ def snippet(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("short"), text.snippet(F.col("text"), 400).alias("long"))
 
 
-@query("SELECT item, CASE WHEN item = 'signatures' THEN 'Signature page' ELSE 'Item ' || upper(item) END AS name, item AS back FROM (SELECT unnest(['1', '1a', '7a', '16', 'signatures']) AS item)")
+ORDERED = ", ".join(f"('{item}', {k}, '{title.replace(chr(39), chr(39) * 2)}')" for k, (item, title) in enumerate(SECTION_TITLES.items()))
+
+
+def item_of(key: Column, n: int = len(SECTION_TITLES)) -> Column:
+    """The items in turn, ``n`` of them; those beyond the last are null."""
+    return F.get(F.array(*map(F.lit, SECTION_TITLES)), (key % n).cast("int"))
+
+
+@query(f"WITH i(item, place, title) AS (VALUES {ORDERED}) SELECT doc_id, item, CASE WHEN item = 'signatures' THEN 'Signature page' ELSE 'Item ' || upper(item) END AS name, item AS back, title FROM documents LEFT JOIN i ON place = doc_id % {len(SECTION_TITLES)}")
 def section_names(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("1", "1a", "7a", "16", "signatures")], "item string")
+    rows = read(spark, sf_dir, "documents").select("doc_id", item_of(F.col("doc_id")).alias("item"))
     name = text.section_name(F.col("item"))
-    return rows.select("item", name.alias("name"), text.section_item(name).alias("back"))
+    return rows.select("doc_id", "item", name.alias("name"), text.section_item(name).alias("back"), text.section_title(F.col("item")).alias("title"))
 
 
 LINES = "ln AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -479,9 +494,18 @@ def number_candidates(spark, sf_dir):
 FACTS = ((1, "416,161|416.2 billion", "Sales were $416.2 billion"), (2, "3.1 billion", "about 3,100 million in total"), (3, "seven plants", "There are Seven Plants."), (4, "12 of 40", "only 12"), (5, "169000", "169 thousand people"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, true), (3, true), (4, false), (5, true)) t(fact_id, found)")
+def _fact_numbers_sql(x: str) -> str:
+    unit = "CASE WHEN lower(n) LIKE '%thousand' THEN 1e3 WHEN lower(n) LIKE '%million' THEN 1e6 WHEN lower(n) LIKE '%billion' THEN 1e9 WHEN lower(n) LIKE '%trillion' THEN 1e12 ELSE 1 END"
+    return rf"list_transform(regexp_extract_all({x}, '(?i)\d[\d,]*(?:\.\d+)?\s*(?:thousand|million|billion|trillion)?'), lambda n: CAST(replace(regexp_extract(n, '^\d[\d,]*(?:\.\d+)?'), ',', '') AS DOUBLE) * ({unit}))"
+
+
+@query(f"""WITH f AS (SELECT doc_id, CASE doc_id % 5 {" ".join(f"WHEN {k} THEN '{fact}'" for k, (_, fact, _) in enumerate(FACTS))} END AS fact, CASE doc_id % 5 {" ".join(f"WHEN {k} THEN '{said}'" for k, (*_, said) in enumerate(FACTS))} END || ' ' || text AS text FROM documents),
+a AS (SELECT doc_id, unnest(string_split(fact, '|')) AS alt, text, {_fact_numbers_sql('text')} AS have FROM f), w AS (SELECT *, {_fact_numbers_sql('alt')} AS want FROM a)
+SELECT doc_id, bool_or(contains(lower(text), lower(alt)) OR (len(want) > 0 AND len(list_filter(want, lambda w: len(list_filter(have, lambda v: abs(v - w) <= greatest(w, 1) * 0.005)) = 0)) = 0)) AS found FROM w GROUP BY doc_id""")
 def fact_match(spark, sf_dir):
-    return spark.createDataFrame(list(FACTS), "fact_id int, fact string, text string").select("fact_id", text.fact_found(F.col("fact"), F.col("text")).alias("found"))
+    """Each document behind a made sentence, which holds the fact or not."""
+    pick = lambda at: F.get(F.array(*[F.lit(f[at]) for f in FACTS]), (F.col("doc_id") % 5).cast("int"))
+    return read(spark, sf_dir, "documents").select("doc_id", text.fact_found(pick(1), F.concat(pick(2), F.lit(" "), "text")).alias("found"))
 
 
 @query("SELECT event_id, abs(value - floor(value)) <= greatest(0.05, abs(value) * 0.002) OR abs(value - ceil(value)) <= greatest(0.05, abs(value) * 0.002) AS supported FROM events")
@@ -493,19 +517,30 @@ def number_support(spark, sf_dir):
 ANSWERS = ((1, "Sales rose [S1, S3]. Costs fell [S2]."), (2, "Nothing."), (3, "A [S2; S2] and [S9]"))
 
 
-def answered(spark):
-    return spark.createDataFrame(list(ANSWERS), "qid int, answer string").withColumn("labels", F.array(F.lit("F | FY2025"), F.lit("GM | FY2024")))
+LABELS = ("F | FY2025", "GM | FY2024")
+_CITED = r"\[S\d+(?:\s*[,;]\s*S\d+)*\]"
+CITING = "a AS (SELECT conv_id * 1000 + turn AS qid, CASE turn % 3 " + " ".join(f"WHEN {i - 1} THEN '{x}'" for i, x in ANSWERS) + " END || ' ' || text AS answer FROM conversations)"
 
 
-@query("SELECT * FROM (VALUES (1, '1,2,3', '1,2'), (2, '', ''), (3, '2,9', '2')) t(qid, refs, known)")
+def answered(spark, sf_dir):
+    """Every turn behind one of ``ANSWERS``."""
+    made = F.get(F.array(*[F.lit(x) for _, x in ANSWERS]), (F.col("turn") % 3).cast("int"))
+    rows = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.concat(made, F.lit(" "), "text").alias("answer"))
+    return rows.withColumn("labels", F.array(*map(F.lit, LABELS)))
+
+
+@query(f"""WITH {CITING}, r AS (SELECT qid, list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(answer, '{_CITED}'), lambda g: regexp_extract_all(g, 'S(\\d+)', 1))), lambda n: CAST(n AS INTEGER)))) AS refs FROM a)
+SELECT qid, array_to_string(refs, ',') AS refs, array_to_string(list_filter(refs, lambda n: n BETWEEN 1 AND 2), ',') AS known FROM r""")
 def cited_refs(spark, sf_dir):
     told = lambda c: F.array_join(c.cast("array<string>"), ",")
-    return answered(spark).select("qid", told(answers.cited_refs(F.col("answer"))).alias("refs"), told(answers.known_refs(F.col("answer"), F.col("labels"))).alias("known"))
+    return answered(spark, sf_dir).select("qid", told(answers.cited_refs(F.col("answer"))).alias("refs"), told(answers.known_refs(F.col("answer"), F.col("labels"))).alias("known"))
 
 
-@query("SELECT * FROM (VALUES (1, 'Sales rose [F | FY2025][unknown source S3]. Costs fell [GM | FY2024].'), (2, 'Nothing.'), (3, 'A [GM | FY2024][GM | FY2024] and [unknown source S9]')) t(qid, answer)")
+@query(f"""WITH {CITING}, p AS (SELECT qid, regexp_split_to_array(answer, '{_CITED}') AS parts, regexp_extract_all(answer, '{_CITED}') AS groups FROM a),
+g AS (SELECT qid, parts, list_transform(groups, lambda g: array_to_string(list_transform(regexp_extract_all(g, 'S(\\d+)', 1), lambda n: CASE n WHEN '1' THEN '[{LABELS[0]}]' WHEN '2' THEN '[{LABELS[1]}]' ELSE '[unknown source S' || n || ']' END), '')) AS shown FROM p)
+SELECT qid, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || coalesce(shown[i], '')), '') AS answer FROM g""")
 def expand_citations(spark, sf_dir):
-    return answered(spark).select("qid", answers.expand_citations(F.col("answer"), F.col("labels")).alias("answer"))
+    return answered(spark, sf_dir).select("qid", answers.expand_citations(F.col("answer"), F.col("labels")).alias("answer"))
 
 
 @query("""SELECT conv_id AS qid, string_agg('<source id="S' || (turn + 1) || '" company="' || role || '" fiscal_year="2025" section="Item 7 T">' || chr(10) || text || chr(10) || '</source>', chr(10) || chr(10) ORDER BY turn) AS block FROM conversations GROUP BY conv_id""")
@@ -567,14 +602,10 @@ def dot_distance(spark, sf_dir):
     return v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")).join(near, "qid").select("qid", "id", F.round(text.dot_distance(F.col("q"), F.col("v")), 6).alias("distance"))
 
 
-ORDERED = ", ".join(f"('{item}', {k})" for k, item in enumerate(SECTION_TITLES))
-
-
-@query(f"WITH i(item, place) AS (VALUES {ORDERED}), n AS (SELECT doc_id % 30 AS place, count(*) AS n FROM documents GROUP BY 1) SELECT CASE WHEN item = 'signatures' THEN 'Signature page' ELSE 'Item ' || upper(item) END AS section, place, n FROM i JOIN n USING (place)")
+@query(f"WITH i(item, place, title) AS (VALUES {ORDERED}), n AS (SELECT doc_id % 30 AS place, count(*) AS n FROM documents GROUP BY 1) SELECT CASE WHEN item = 'signatures' THEN 'Signature page' ELSE 'Item ' || upper(item) END AS section, place, n FROM i JOIN n USING (place)")
 def count_by_section(spark, sf_dir):
     """AGG-2: chunks of each section that occurs, with its place in the canonical order."""
-    item = F.get(F.array(*map(F.lit, SECTION_TITLES)), (F.col("doc_id") % 30).cast("int"))
-    return evaluation.by_section(read(spark, sf_dir, "documents").select(text.section_name(item).alias("section")))
+    return evaluation.by_section(read(spark, sf_dir, "documents").select(text.section_name(item_of(F.col("doc_id"), 30)).alias("section")))
 
 
 @query("SELECT len(embedding) AS dim, count(*) AS n, len(embedding) <> 64 AS wrong FROM embeddings WHERE embedding IS NOT NULL GROUP BY ALL")
@@ -657,12 +688,6 @@ def answer_records(spark, sf_dir):
     return answers.answer(turns.withColumn("labels", F.transform("sources", lambda s, i: F.concat(F.lit("turn "), (i + 2).cast("string")))))
 
 
-@query()
-def claim_numbers(spark, sf_dir):
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(answers.written_numbers(F.col("text"), True)).alias("numbers"), F.size(answers.claim_rows(F.col("text"))).alias("claims"))
-    return rows
-
-
 @query("""WITH k AS (SELECT doc_id % 5 AS claims, doc_id % 3 AS with_numbers, doc_id % 7 AS numbers, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 ELSE 0 END AS bad, doc_id % 4 AS uncited FROM documents)
 SELECT count(*) AS answers_checked, count(*) FILTER (uncited > 0) AS with_uncited, CAST(sum(claims) AS BIGINT) AS claims, CAST(sum(with_numbers) AS BIGINT) AS claims_with_numbers, CAST(sum(numbers) AS BIGINT) AS numbers, CAST(sum(bad) AS BIGINT) AS unsupported, CAST(sum(uncited) AS BIGINT) AS uncited,
 round(100 * CAST(sum(numbers) - sum(bad) AS DOUBLE) / sum(numbers), 1) AS supported_pct, count(*) FILTER (bad = 0 AND uncited = 0) AS clean FROM k""")
@@ -673,13 +698,18 @@ def citation_summary(spark, sf_dir):
     return evaluation.citation_summary(checks)
 
 
-def checked_answers(spark, sf_dir):
-    """Each conversation as an answer of a line a turn, with a made figure as the texts hold few: two
-    of three turns cite a source, its own (supported) or the next turn's text (not)."""
+def cited_turns(spark, sf_dir):
+    """Each turn with a made figure, as the texts hold few; two of three cite a source."""
     n = F.col("turn")
     cite = F.when(n % 3 == 0, F.concat(F.lit(" [S"), n + 1, F.lit("]"))).when(n % 3 == 1, F.concat(F.lit(" [S"), n + 2, F.lit("]"))).otherwise("")
     figure = F.concat("text", F.lit(" total "), (n * 100 + 5000).cast("string"))
-    lines = read(spark, sf_dir, "conversations").select("conv_id", "turn", figure.alias("text"), F.concat(figure, cite).alias("line"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", figure.alias("text"), F.concat(figure, cite).alias("line"))
+
+
+def checked_answers(spark, sf_dir):
+    """Each conversation as an answer of a line a turn: a turn cites its own text (supported), the next
+    turn's (not) or none."""
+    lines = cited_turns(spark, sf_dir)
     told = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("turn", c))), lambda x: x[c])
     rows = lines.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(told("line"), "\n").alias("raw_answer"), told("text").alias("texts"))
     return answers.checked(rows.withColumn("declined", F.lit(False)))
@@ -729,6 +759,12 @@ def citation_check_summary(spark, sf_dir):
     return evaluation.citation_summary(checked_answers(spark, sf_dir).withColumns({"unsupported": F.size("unsupported"), "uncited": F.size("uncited_lines")}))
 
 
+@query(CHECKED + f""" SELECT id AS conv_id, turn, len({_numbers_sql("text", True)}) AS numbers, len(regexp_extract_all(whole, '(?:{_CITED}\\s*)+')) AS claims FROM src_line""")
+def claim_numbers(spark, sf_dir):
+    rows = cited_turns(spark, sf_dir)
+    return rows.select("conv_id", "turn", F.size(answers.written_numbers(F.col("text"), True)).alias("numbers"), F.size(answers.claim_rows(F.col("line"))).alias("claims"))
+
+
 @query(f"WITH {ORDERS}, q AS (SELECT unnest([0, 7, 49, 99]) AS ticker), m AS (SELECT ticker, max(year) AS year FROM o GROUP BY ticker) SELECT q.ticker AS ticker, coalesce(m.year, '') AS year FROM q LEFT JOIN m ON m.ticker = q.ticker")
 def latest_or_none(spark, sf_dir):
     """JON-7: a company without a report gets the empty year, which matches nothing."""
