@@ -43,13 +43,26 @@ def test_sections():
     assert html.sections("") == []
 
 
+def test_headings_over_a_line_end():
+    assert dict(html.sections("Report\nItem\n1. Business\nmakes things\nITEM\n\n7. Discussion\nmore")) == {"1": "Item\n1. Business\nmakes things", "7": "ITEM\n\n7. Discussion\nmore"}
+    assert html.sections("Report\nAn item\n1. x\nItem one") == []
+
+
+def test_ends_of_nothing_take_linear_time():
+    import time
+
+    began = time.time()
+    assert html.page_text("<p>" * 200_000 + "</q>" * 200_000 + "x</p>y") == "x\ny"
+    assert time.time() - began < 10
+
+
 def test_appendix_moves_to_item_8():
     body = "x\nItem 7. a\nItem 8. b\nstatements\nsignatures\nsigned\nReport of Independent Registered Public Accounting Firm\n" + "z" * 20_001
     found = dict(html.sections(body))
     assert "Report of Independent" in found["8"] and found["signatures"] == "signatures\nsigned"
 
 
-@pytest.mark.parametrize(("line", "expected"), [("Human Capital", True), ("Total", False), ("See note.", False), ("PART II", False), ("a | b", False), ("Cash | 1", False)])
+@pytest.mark.parametrize(("line", "expected"), [("Human Capital", True), ("Total", False), ("See note.", False), ("PART II", False), ("a | b", False), ("Cash | 1", False), (" Human Capital\u00a0", True), ("  total ", False)])
 def test_heading(spark, line, expected):
     assert chunking.heading(line) is expected
     assert one(spark, text.is_heading(F.lit(line))) is expected

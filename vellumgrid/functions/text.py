@@ -68,7 +68,8 @@ def is_noise(line: Column) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    """FLT-8: a sub-heading inside a section."""
+    """FLT-8: a sub-heading inside a section; white space around it does not count."""
+    line = F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
     up = F.upper(line)
     return (
         F.rlike(line, F.lit(r"^[A-Z][^|]{1,70}$"))

@@ -59,11 +59,27 @@ def rates(rows: DataFrame, by: str, flags: list[str]) -> DataFrame:
     return rows.rollup(by).agg(F.count("*").alias("questions"), *[percent(F.col(f)).alias(f) for f in flags])
 
 
-def grade_scores(grades: DataFrame, grade: str = "grade") -> DataFrame:
-    """AGG-11."""
+def retrieval_scores(questions: DataFrame, retrieved: DataFrame, k: int) -> DataFrame:
+    """JON-9, SRT-5, FLT-10: ``questions(id, type, sources array<struct<ticker,year,section,quote>>)`` and
+    ``retrieved(id, rank, ticker, year, section, text)`` -> id, type, hit, hit_year, hit_all, quote_found of the questions
+    that have an answer, by the first ``k`` of each.  Nothing retrieved is a miss."""
+    place = F.struct("ticker", "year", "section")
+    head = retrieved.where(F.col("rank") <= k).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", place.alias("place"), "text"))).alias("got"))
+    rows = questions.where(F.col("type") != "no_answer").join(head, "id", "left")
+    got = F.coalesce(F.transform("got", lambda g: g["place"]), F.array().cast("array<struct<ticker:string,year:string,section:string>>"))
+    text = normal_space(F.array_join(F.transform("got", lambda g: g["text"]), " "))
+    quoted = F.exists("quotes", lambda q: F.contains(text, normal_space(q)))
+    plain = F.transform("sources", lambda s: F.struct(s["ticker"].alias("ticker"), s["year"].alias("year"), s["section"].alias("section")))
+    rows = rows.withColumns({"retrieved": got, "quotes": F.transform("sources", lambda s: s["quote"]), "sources": plain})
+    return hits(rows.withColumn("quote_found", F.coalesce(quoted, F.lit(False)))).select("id", "type", "hit", "hit_year", "hit_all", "quote_found")
+
+
+def grade_scores(grades: DataFrame, grade: str = "grade", by: str | None = None) -> DataFrame:
+    """AGG-11, with ``by`` also for each of its values.  What is neither correct nor partial is wrong."""
     count = lambda g: F.count_if(F.col(grade) == g)
-    n = F.count("*")
-    return grades.agg(n.alias("n"), count("correct").alias("correct"), count("partial").alias("partial"), count("wrong").alias("wrong"), percent_of(count("correct"), n).alias("accuracy"), percent_of(count("correct") + count("partial") / 2, n).alias("half_credit"))
+    n, right, half = F.count("*"), count("correct"), count("partial")
+    groups = grades.rollup(by) if by else grades.groupBy()
+    return groups.agg(n.alias("n"), right.alias("correct"), half.alias("partial"), (n - right - half).alias("wrong"), percent_of(right, n).alias("accuracy"), percent_of(right + half / 2, n).alias("half_credit"))
 
 
 def failure_causes(grades: DataFrame) -> DataFrame:
@@ -72,10 +88,17 @@ def failure_causes(grades: DataFrame) -> DataFrame:
 
 
 def refusals(rows: DataFrame) -> DataFrame:
-    """AGG-13: ``rows(id, no_answer, declined)``."""
+    """AGG-13: ``rows(id, no_answer, declined, grade)``: questions without an answer, those graded a correct
+    refusal and their rate, those declined in the exact form, answerable ones declined and their rate."""
     no, dec = F.col("no_answer"), F.col("declined")
-    false = F.array_sort(F.collect_list(F.when(~no & dec, F.col("id"))))
-    return rows.agg(F.count_if(no).alias("no_answer"), F.count_if(no & dec).alias("declined"), percent_of(F.count_if(no & dec), F.nullif(F.count_if(no), F.lit(0))).alias("rate"), F.count_if(~no & dec).alias("false_refusals"), F.array_join(false.cast("array<string>"), ",").alias("false_ids"))
+    n, right, false = F.count_if(no), F.count_if(no & (F.col("grade") == "correct_refusal")), F.count_if(~no & dec)
+    rate = lambda part, whole: percent_of(part, F.nullif(whole, F.lit(0)))
+    return rows.agg(n.alias("no_answer"), right.alias("correctly_declined"), rate(right, n).alias("correct_refusal_rate"), F.count_if(no & dec).alias("exact_form"), false.alias("false_refusals"), rate(false, F.count_if(~no)).alias("false_refusal_rate"))
+
+
+def false_refusals(rows: DataFrame) -> DataFrame:
+    """AGG-13: a row an answerable question that was declined."""
+    return rows.where(~F.col("no_answer") & F.col("declined")).select("id")
 
 
 def citation_summary(checks: DataFrame) -> DataFrame:

@@ -353,10 +353,13 @@ def line_noise_filter(spark, sf_dir):
     return lines(spark, sf_dir).where((F.length("line") > 0) & ~text.is_noise(F.col("line"))).groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-@query(f"""WITH {LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM ln WHERE regexp_matches(line, '^[A-Z][^|]{{1,70}}$') AND len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) <= 8
+@query(f"""WITH {LINES}, n AS (SELECT doc_id, pos, regexp_replace(CASE WHEN pos % 2 = 0 THEN ' ' ELSE '' END || line, '^\\s+|\\s+$', '', 'g') AS line FROM ln)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM n WHERE regexp_matches(line, '^[A-Z][^|]{{1,70}}$') AND len(list_filter(regexp_split_to_array(line, '\\s+'), lambda w: w <> '')) <= 8
 AND NOT regexp_matches(line, '[.:;,?)”"]$') AND NOT upper(line) LIKE 'ITEM %' AND NOT upper(line) LIKE 'PART %' AND lower(line) NOT IN ('total', 'totals')""")
 def sub_headings(spark, sf_dir):
-    return lines(spark, sf_dir).where(text.is_heading(F.col("line")))
+    """Every second line is indented."""
+    rows = lines(spark, sf_dir).withColumn("line", F.concat(F.when(F.col("pos") % 2 == 0, " ").otherwise(""), "line"))
+    return rows.where(text.is_heading(F.col("line"))).withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", ""))
 
 
 @query("SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark")
@@ -447,31 +450,81 @@ def rates_by_type(spark, sf_dir):
     return evaluation.rates(rows, "lang", ["good", "toxic"])
 
 
-GRADES = "g AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 1 THEN 'partial' ELSE 'wrong' END AS grade, CASE WHEN quality = 0 THEN source END AS failure_cause FROM labels JOIN documents USING (doc_id))"
+GRADES = """g AS (SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'correct' WHEN quality = 1 THEN 'partial' WHEN toxic = 1 THEN 'off topic' ELSE 'wrong' END AS grade, CASE WHEN quality = 0 THEN source END AS failure_cause, lang AS type FROM labels JOIN documents USING (doc_id))"""
 
 
 def grades(spark, sf_dir):
     rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id")
     good, toxic = F.col("quality") == 1, F.col("toxic") == 1
-    return rows.select("doc_id", F.when(good & ~toxic, "correct").when(good, "partial").otherwise("wrong").alias("grade"), F.when(~good, F.col("source")).alias("failure_cause"))
+    return rows.select("doc_id", F.when(good & ~toxic, "correct").when(good, "partial").when(toxic, "off topic").otherwise("wrong").alias("grade"), F.when(~good, F.col("source")).alias("failure_cause"), F.col("lang").alias("type"))
 
 
-@query(f"WITH {GRADES}, a AS (SELECT count(*) AS n, count(*) FILTER (grade = 'correct') AS correct, count(*) FILTER (grade = 'partial') AS partial, count(*) FILTER (grade = 'wrong') AS wrong FROM g) SELECT *, round(100 * CAST(correct AS DOUBLE) / n, 1) AS accuracy, round(100 * (correct + CAST(partial AS DOUBLE) / 2) / n, 1) AS half_credit FROM a")
+_SCORES = "count(*) AS n, count(*) FILTER (grade = 'correct') AS correct, count(*) FILTER (grade = 'partial') AS partial, count(*) FILTER (grade NOT IN ('correct', 'partial')) AS wrong"
+
+
+@query(f"WITH {GRADES}, a AS (SELECT {_SCORES} FROM g) SELECT *, round(100 * CAST(correct AS DOUBLE) / n, 1) AS accuracy, round(100 * (correct + CAST(partial AS DOUBLE) / 2) / n, 1) AS half_credit FROM a")
 def grade_scores(spark, sf_dir):
     return evaluation.grade_scores(grades(spark, sf_dir))
 
 
+@query(f"WITH {GRADES}, a AS (SELECT type, {_SCORES} FROM g GROUP BY ROLLUP (type)) SELECT *, round(100 * CAST(correct AS DOUBLE) / n, 1) AS accuracy, round(100 * (correct + CAST(partial AS DOUBLE) / 2) / n, 1) AS half_credit FROM a")
+def grade_scores_by_type(spark, sf_dir):
+    """AGG-11: overall (null type) and by type."""
+    return evaluation.grade_scores(grades(spark, sf_dir), by="type")
+
+
 @query(f"WITH {GRADES} SELECT failure_cause, count(*) AS n FROM g WHERE grade <> 'correct' AND failure_cause IS NOT NULL GROUP BY failure_cause")
 def failure_causes(spark, sf_dir):
     return evaluation.failure_causes(grades(spark, sf_dir))
 
 
-@query("""WITH r AS (SELECT doc_id AS id, quality = 0 AS no_answer, toxic = 1 AS declined FROM labels)
-SELECT count(*) FILTER (no_answer) AS no_answer, count(*) FILTER (no_answer AND declined) AS declined, round(100 * CAST(count(*) FILTER (no_answer AND declined) AS DOUBLE) / nullif(count(*) FILTER (no_answer), 0), 1) AS rate,
-count(*) FILTER (NOT no_answer AND declined) AS false_refusals, array_to_string(list(id ORDER BY id) FILTER (NOT no_answer AND declined), ',') AS false_ids FROM r""")
+#: Questions without an answer are those of bad documents; a third of these were not declined but answered.
+REFUSED = "r AS (SELECT doc_id AS id, quality = 0 AS no_answer, toxic = 1 AS declined, CASE WHEN quality = 0 AND doc_id % 3 > 0 THEN 'correct_refusal' ELSE 'wrong' END AS grade FROM labels)"
+
+
+def refused(spark, sf_dir):
+    grade = F.when((F.col("quality") == 0) & (F.col("doc_id") % 3 > 0), "correct_refusal").otherwise("wrong")
+    return read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("no_answer"), (F.col("toxic") == 1).alias("declined"), grade.alias("grade"))
+
+
+@query(f"""WITH {REFUSED}, n AS (SELECT count(*) FILTER (no_answer) AS no_answer, count(*) FILTER (NOT no_answer) AS answerable, count(*) FILTER (no_answer AND grade = 'correct_refusal') AS correctly_declined,
+count(*) FILTER (no_answer AND declined) AS exact_form, count(*) FILTER (NOT no_answer AND declined) AS false_refusals FROM r)
+SELECT no_answer, correctly_declined, round(100 * CAST(correctly_declined AS DOUBLE) / nullif(no_answer, 0), 1) AS correct_refusal_rate, exact_form, false_refusals, round(100 * CAST(false_refusals AS DOUBLE) / nullif(answerable, 0), 1) AS false_refusal_rate FROM n""")
 def refusals(spark, sf_dir):
-    rows = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("no_answer"), (F.col("toxic") == 1).alias("declined"))
-    return evaluation.refusals(rows)
+    return evaluation.refusals(refused(spark, sf_dir))
+
+
+@query(f"WITH {REFUSED} SELECT id FROM r WHERE NOT no_answer AND declined")
+def false_refusals(spark, sf_dir):
+    return evaluation.false_refusals(refused(spark, sf_dir))
+
+
+#: Each document is a question about itself; it or the next ones come back, of which two count.
+RETRIEVED = """q AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'fact' WHEN 1 THEN 'summary' WHEN 2 THEN 'comparison' ELSE 'no_answer' END AS type, source, lang, trim(regexp_replace(substr(text, 20, 40), '\\s+', ' ', 'g')) AS quote FROM documents),
+got AS (SELECT q.id AS id, r AS rank, d.source AS source, CAST(2024 + d.doc_id % 3 AS VARCHAR) AS year, d.lang AS lang, d.text AS text FROM q, (SELECT unnest([1, 2, 3]) AS r) JOIN documents d ON d.doc_id = q.id + r - CASE WHEN q.id % 3 = 0 THEN 1 WHEN q.id % 3 = 1 THEN 2 ELSE 0 END WHERE r <= 2),
+m AS (SELECT q.id AS id, type, coalesce(bool_or(got.source = q.source AND got.lang = q.lang), false) AS hit, coalesce(bool_or(got.source = q.source AND got.lang = q.lang AND year = CAST(2024 + q.id % 3 AS VARCHAR)), false) AS hit_year,
+ coalesce(contains(trim(regexp_replace(string_agg(text, ' ' ORDER BY rank), '\\s+', ' ', 'g')), any_value(quote)), false) AS quote_found FROM q LEFT JOIN got ON got.id = q.id WHERE type <> 'no_answer' GROUP BY q.id, type, q.source, q.lang)"""
+
+
+def retrieval_scores_of(spark, sf_dir):
+    docs, d = chunks(spark, sf_dir), F.col("id")
+    kind = F.when(d % 4 == 0, "fact").when(d % 4 == 1, "summary").when(d % 4 == 2, "comparison").otherwise("no_answer")
+    source = F.struct("ticker", "year", "section", F.substring("text", 20, 40).alias("quote"))
+    asked = docs.select("id", kind.alias("type"), F.array(source).alias("sources"))
+    back = F.when(d % 3 == 0, 1).when(d % 3 == 1, 2).otherwise(0)
+    found = docs.select("id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("rank"), back.alias("back")).select(d.alias("qid"), "rank", (d + F.col("rank") - F.col("back")).alias("id"))
+    return evaluation.retrieval_scores(asked, found.join(docs, "id").drop("id").withColumnRenamed("qid", "id"), 2)
+
+
+@query(f"WITH {RETRIEVED} SELECT type, count(*) AS questions, round(100.0 * avg(CAST(hit AS INTEGER)), 1) AS hit, round(100.0 * avg(CAST(hit_year AS INTEGER)), 1) AS hit_year, round(100.0 * avg(CAST(hit AS INTEGER)), 1) AS hit_all, round(100.0 * avg(CAST(quote_found AS INTEGER)), 1) AS quote_found FROM m GROUP BY ROLLUP (type)")
+def retrieval_rates(spark, sf_dir):
+    """JON-9, SRT-5, FLT-10, AGG-10: from ranked lists to rates, overall and by type."""
+    return evaluation.rates(retrieval_scores_of(spark, sf_dir), "type", ["hit", "hit_year", "hit_all", "quote_found"])
+
+
+@query(f"WITH {RETRIEVED} SELECT id, type FROM m WHERE NOT hit")
+def retrieval_misses(spark, sf_dir):
+    return retrieval_scores_of(spark, sf_dir).where(~F.col("hit")).select("id", "type")
 
 
 @query("SELECT md5(text) AS key, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
