@@ -196,3 +196,29 @@ def test_vectors_of_one_dimension(spark):
     assert rows.select(text.of_dimension(F.col("v"), 2).alias("v")).first()["v"] == [1.0, 2.0]
     with pytest.raises(Exception, match="expected 3"):
         rows.select(text.of_dimension(F.col("v"), 3)).collect()
+
+
+def test_ingest(spark, tmp_path):
+    """Every status, a second run, a forced one, a replaced filing, and chunks that search finds."""
+    from vellumgrid.plans import ingest
+
+    path = str(tmp_path / "filings")
+    body = lambda what: f"<p>x</p><p>Item 1. Business</p><p>{what}</p><p>Item 7. Discussion</p><p>more {what}</p>"
+    pages = [("F", "2024", body("trucks")), ("F", "2025", "<p>no headings</p>"), ("GM", "2024", None), ("GM", "2025", body("cars")), ("X", "2025", body("unwanted"))]
+    pages = spark.createDataFrame(pages, "ticker string, year string, html string")
+    wanted = spark.createDataFrame([("F", "2024"), ("F", "2024"), ("F", "2025"), ("GM", "2024"), ("GM", "2025"), ("Z", "2025"), (None, "2025")], "ticker string, year string")
+    told = lambda df: {(r["ticker"], r["year"]): (r["status"], r["chunks"]) for r in df.collect()}
+    first = ingest.ingest(wanted, pages, path)
+    assert told(first) == {("F", "2024"): ("loaded", 2), ("F", "2025"): ("failed", 0), ("GM", "2024"): ("missing", 0), ("GM", "2025"): ("loaded", 2), ("Z", "2025"): ("missing", 0)}
+    assert {r["status"]: (r["n"], r["names"]) for r in ingest.summary(first).collect()}["missing"] == (2, "GM 2024, Z 2025")
+    assert {r["error"] for r in first.where("status = 'failed'").collect()} == {ingest.NOTHING}
+    assert set(told(ingest.ingest(wanted, pages, path)).values()) == {("skipped", 0), ("failed", 0), ("missing", 0)}
+    # forced: one filing has a new page, one no longer any headings and stays as it was
+    again = spark.createDataFrame([("F", "2024", body("lorries. " * 900)), ("GM", "2025", "<p>gone</p>")], pages.schema)
+    forced = told(ingest.ingest(wanted.where("year IS NOT NULL AND ticker <> 'Z'"), again, path, force=True))
+    assert forced[("GM", "2025")] == ("failed", 0) and forced[("F", "2024")][0] == "loaded" and forced[("F", "2024")][1] > 2
+    store = spark.read.parquet(f"{path}/store")
+    assert {r["ticker"]: r["n"] for r in store.groupBy("ticker").agg(F.count("*").alias("n")).collect()} == {"F": forced[("F", "2024")][1], "GM": 2}
+    asks = spark.createDataFrame([(1, [["lorries"]]), (2, [["trucks"]]), (3, [["cars"]])], "ask int, phrases array<array<string>>")
+    assert {(r["ask"], r["id"].split("-")[0]) for r in stored.lists(store, asks).collect()} == {(1, "F"), (3, "GM")}
+    assert store.where("v IS NULL").count() == 0

@@ -16,7 +16,7 @@ from ..functions import html, models, text
 from ..functions.fixed import EXPANSIONS, MONTHS, NOISE, REFUSAL, SECTION_TITLES, STOPWORDS
 from ..operators import answers, chunking, evaluation, lexical, ranking, stored, understand
 from ..sources import tables
-from . import retrieve
+from . import ingest, retrieve
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -729,6 +729,37 @@ def stored_replace(spark, sf_dir):
     return asked_of(spark, sf_dir, stored.read(spark, path, made))
 
 
+#: Of each five pages one has headings and was loaded before, one is missing, one has no heading, two have headings.
+_FILED = "p AS (SELECT 'P' || (page_id % 20) AS ticker, CAST(2000 + page_id // 20 AS VARCHAR) AS year, CASE page_id % 5 WHEN 1 THEN 'missing' WHEN 2 THEN 'skipped' WHEN 3 THEN 'failed' ELSE 'loaded' END AS status FROM pages)"
+
+
+def ingested(spark, sf_dir) -> tuple[DataFrame, str]:
+    page, kind = F.col("page_id"), F.col("page_id") % 5
+    body = F.concat(F.lit("<p>Report</p><p>Item 1. Business</p>"), "html", F.lit("<p>Item 7. Discussion</p><p>More text.</p>"))
+    html_of = F.when(kind == 3, F.col("html")).when(kind != 1, body)
+    rows = read(spark, sf_dir, "pages").select(F.concat(F.lit("P"), page % 20).alias("ticker"), (F.floor(page / 20) + 2000).cast("string").alias("year"), html_of.alias("html"), (kind == 2).alias("old"))
+    path = tables.fresh_path(spark, "filings")
+    ingest.ingest(rows.where("old"), rows, path)
+    return ingest.ingest(rows, rows, path), path
+
+
+@query(f"WITH {_FILED} SELECT ticker, year, status, CASE WHEN status = 'failed' THEN '{ingest.NOTHING.replace(chr(39), chr(39) * 2)}' END AS error FROM p")
+def ingest_status(spark, sf_dir):
+    """Every page as a filing: those loaded by a run before are skipped."""
+    return ingested(spark, sf_dir)[0].select("ticker", "year", "status", "error")
+
+
+@query(f"WITH {_FILED} SELECT status, count(*) AS n, string_agg(ticker || ' ' || year, ', ' ORDER BY ticker || ' ' || year) AS names FROM p GROUP BY status")
+def ingest_summary(spark, sf_dir):
+    return ingest.summary(ingested(spark, sf_dir)[0]).select("status", "n", "names")
+
+
+@query()
+def ingest_chunks(spark, sf_dir):
+    """Chunks that the store has of each filing after both runs."""
+    return ingest.stored_filings(spark, ingested(spark, sf_dir)[1])
+
+
 @query("SELECT count(*) AS n, CAST(max(len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]'))) AS INTEGER) AS longest, CAST(count(*) FILTER (len(regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9\\s]')) > 512) AS BIGINT) AS too_long FROM documents")
 def length_guard(spark, sf_dir):
     n = text.token_count(F.col("text"))
