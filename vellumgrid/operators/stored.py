@@ -85,8 +85,9 @@ def rows(chunks: DataFrame, vector: Column | None = None, pattern: str = "[a-z0-
 
 
 def write(made: DataFrame, path: str, keys: tuple[str, ...] = ("ticker", "year")) -> None:
-    """Write the filings of ``made``, each in place of what the store has of it."""
-    made.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    """Write the filings of ``made``, each in place of what the store has of it.  Rows are dealt out by filing
+    first, large ones to several tasks, so that a filing is a few files and not one of every task."""
+    made.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:

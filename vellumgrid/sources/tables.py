@@ -84,7 +84,7 @@ def missing(wanted: DataFrame, have: DataFrame, keys: list[str]) -> DataFrame:
 
 def replace_partitions(df: DataFrame, path: str, keys: tuple[str, ...] = ("ticker", "year")) -> None:
     """SNK-2, SNK-6, SNK-9: only the partitions that ``df`` holds are rewritten."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read_partitions(spark: SparkSession, path: str, schema: str) -> DataFrame:
