@@ -16,8 +16,8 @@ may be split before such a character.  :class:`Codec` checks that the file is of
 keeps the ids of words that it has met, a bounded number of them.
 
 Which chunks are shared is told by a bitmap of hashes (64 MB at most).  It may take one for shared that is
-not, which costs a look-up.  Shared chunks travel once a task, references and ids to their document;
-documents without any are finished where they are read.
+not, which costs a look-up.  Shared chunks travel once a task, references and ids to their document, and the
+ids between them are packed and not stored on their way; documents without any reference are finished where they are read.
 
 Defined cases: null text is empty (no ids); a special token's string in a text is that token, as in
 the library; repeated rows, also with one doc_id, give a row each; rows with a null doc_id are encoded as all
@@ -31,6 +31,7 @@ import functools
 import hashlib
 import json
 import sys
+import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -297,19 +298,21 @@ def _plan(text: Text, flags: np.ndarray, words: int) -> Plan:
     return Plan(text, spots, blanks, words, [])
 
 
-def recipes(texts: list[Text], flags: list[np.ndarray], c: Codec, s: Settings) -> list[list[tuple[bytes | None, int, int, bytes]]]:
-    """The items of each text."""
+def recipes(texts: list[Text], flags: list[np.ndarray], c: Codec, s: Settings, own: bool = True) -> list[list[tuple[bytes | None, int, int, bytes]]]:
+    """The items of each text; without ``own``, what stands between chunks is not encoded and has no ids."""
     plans = [_plan(t, f, s.words) for t, f in zip(texts, flags, strict=True)]
     left, out, size = list(range(len(plans))), [[] for _ in plans], c.type.itemsize
     while left:
         asks = []
         for i in left:
             plans[i].repaired()
-            asks += [(i, ask) for ask in plans[i].asked()]
+            asks += [(i, ask) for ask in plans[i].asked() if own or ask[0] != "text"]
         got = c.encode([texts[i].raw[ask[2] : ask[3]].decode() for i, ask in asks])
         told: dict[int, dict[tuple, bytes]] = {i: {} for i in left}
         for (i, ask), ids in zip(asks, got, strict=True):
             told[i][ask] = ids
+        for i in left if not own else []:
+            told[i].update((ask, b"") for ask in plans[i].asked() if ask[0] == "text")
         again = []
         for i in left:
             whole = all((lo, hi) == (0, len(texts[i].raw)) for lo, hi in plans[i].windows)
@@ -386,32 +389,52 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
                         keep.append(k)
                     last = d
                 own = c.encode(part.column("text").take(pa.array(keep, pa.int64())).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in keep], pa.binary()), pa.array(own, pa.binary())], ["digest", "chunk"])
+                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in keep], pa.binary()), pa.array([zlib.compress(x, 1) for x in own], pa.binary())], ["digest", "chunk"])
 
     chunks = stored(docs.mapInArrow(give, "digest binary, text string").repartition("digest").sortWithinPartitions("digest").mapInArrow(once, "digest binary, chunk binary"), "encoded", "zstd")
     tidy(spark)  # the texts of chunks are not needed any more
 
-    def recipe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = {"doc_id": kind, "key": "binary", "seq": "int", "of": "int", "skip": "int", "drop": "int", "own": "binary"}
+
+    def batch_of(rows: list[tuple], like: pa.RecordBatch, more: dict[str, pa.DataType]) -> pa.RecordBatch:
+        kinds = {"doc_id": like.schema.field("doc_id").type, "key": pa.binary(), **{c: pa.int32() for c in ("seq", "of", "skip", "drop")}, **more}
+        columns_of = list(zip(*rows, strict=True)) or [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns_of, kinds.values(), strict=True)], list(kinds))
+
+    def key_of(doc, raw: bytes) -> bytes:
         import xxhash
 
+        return xxhash.xxh3_128_digest(repr(doc).encode() + b"|" + raw)
+
+    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The references of documents to shared chunks."""
+        c = codec(path, s.memo)
+        for p in _chunked(batches, s):
+            ids, rows = p.batch.column("doc_id").to_pylist(), []
+            some = [(t, f) for t, f in zip(p.texts, _shared(p.texts, shared.value), strict=True) if f.any()]
+            for (t, _), made in zip(some, recipes([t for t, _ in some], [f for _, f in some], c, s, False), strict=True):
+                key = key_of(ids[t.row], t.raw)
+                rows += [(ids[t.row], key, k, len(made), a, z, d) for k, (d, a, z, _) in enumerate(made) if d is not None]
+            yield batch_of(rows, p.batch, {"digest": pa.binary()})
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What stands between a document's references, and documents without any as they are finished."""
         c = codec(path, s.memo)
         for p in _chunked(batches, s):
             ids, rows = p.batch.column("doc_id").to_pylist(), []
             for t, made in zip(p.texts, recipes(p.texts, _shared(p.texts, shared.value), c, s), strict=True):
+                key = key_of(ids[t.row], t.raw)
                 if all(d is None for d, *_ in made):
-                    raw = b"".join(own for *_, own in made)
-                    rows.append((ids[t.row], None, 0, 0, None, 0, 0, None, *finish(c.ids(raw), c)))
-                    continue
-                key = xxhash.xxh3_128_digest(repr(ids[t.row]).encode() + b"|" + t.raw)
-                rows += [(ids[t.row], key, k, len(made), d, a, z, own, *[None] * len(names)) for k, (d, a, z, own) in enumerate(made)]
-            columns_of = list(zip(*rows, strict=True)) or [()] * (8 + len(names))
-            kinds = [p.batch.schema.field("doc_id").type, pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), *types]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns_of, kinds, strict=True)], ["doc_id", "key", "seq", "of", "digest", "skip", "drop", "own", *names])
+                    rows.append((ids[t.row], key, -1, 1, 0, 0, None, *finish(c.ids(b"".join(own for *_, own in made)), c)))
+                else:
+                    rows += [(ids[t.row], key, k, len(made), 0, 0, zlib.compress(own, 1), *[None] * len(names)) for k, (d, _, _, own) in enumerate(made) if d is None]
+            yield batch_of(rows, p.batch, {"own": pa.binary(), **dict(zip(names, types, strict=True))})
 
-    rows = stored(docs.mapInArrow(recipe, f"doc_id {kind}, key binary, seq int, of int, digest binary, skip int, drop int, own binary, {columns}"), "recipes", "zstd")
-    parts = ["doc_id", "key", "seq", "of", "skip", "drop", "own"]
-    refs = spread_join(rows.where("digest IS NOT NULL").select("digest", *parts[:-1]), chunks, "digest").withColumnRenamed("chunk", "own").select(parts)
-    given = refs.unionByName(rows.where("key IS NOT NULL AND digest IS NULL").select(parts)).repartition("key").sortWithinPartitions("key", "seq")
+    told = lambda more: ", ".join(f"{c} {k}" for c, k in parts.items() if c != "own") + more
+    refs = stored(docs.mapInArrow(refer, told(", digest binary")), "references", "zstd")
+    refs = spread_join(refs, chunks, "digest").withColumnRenamed("chunk", "own").select(*parts)
+    refs = refs.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in columns.split(", ")})
+    given = docs.mapInArrow(write, told(f", own binary, {columns}")).unionByName(refs).repartition("key").sortWithinPartitions("key", "seq")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, s.memo)
@@ -425,13 +448,17 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
 
         for batch in batches:
             out = []
-            for d, k, seq, n, skip, drop, own in zip(*(batch.column(x).to_pylist() for x in parts), strict=True):
+            for d, k, seq, n, skip, drop, own, *done in zip(*(batch.column(x).to_pylist() for x in (*parts, *names)), strict=True):
+                if seq < 0:
+                    out.append((d, *done))
+                    continue
                 if k != key:
                     if key is not None:
                         out += whole()
                     key, doc, of, times, held = k, d, n, 0, []
                 times += seq == 0  # rows alike have one key
                 if seq == len(held):
+                    own = zlib.decompress(own)
                     held.append(own[skip * size : len(own) - drop * size])
             yield made(out, batch)
         if key is not None:
@@ -441,8 +468,7 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
         kinds = [batch.schema.field("doc_id").type, *types]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out, strict=True)) or [()] * len(kinds), kinds, strict=True)], ["doc_id", *names])
 
-    finished = rows.where("key IS NULL").select("doc_id", *names)
-    return finished.unionByName(given.mapInArrow(assemble, f"doc_id {kind}, {columns}"))
+    return given.mapInArrow(assemble, f"doc_id {kind}, {columns}")
 
 
 def digests(docs: DataFrame, path: str, settings: Settings = Settings()) -> DataFrame:
