@@ -31,7 +31,6 @@ import functools
 import hashlib
 import json
 import sys
-import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -139,6 +138,22 @@ def codec(path: str, memo: int = Settings.memo) -> Codec:
     return Codec(path, memo)
 
 
+@functools.lru_cache(maxsize=1)
+def packer():
+    """zstd at its fastest, built once in each worker."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1, write_checksum=False), zstandard.ZstdDecompressor()
+
+
+def pack(ids: bytes) -> bytes:
+    return packer()[0].compress(ids)
+
+
+def unpack(raw: bytes) -> bytes:
+    return packer()[1].decompress(raw)
+
+
 def rolling(data: np.ndarray) -> np.ndarray:
     """Of each byte the hash of the ``WINDOW`` bytes that end with it."""
     h = GEAR[data]
@@ -366,19 +381,6 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
     shared = spark.sparkContext.broadcast(members(seen, "key"))
     release(seen)
 
-    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()
-        for p in _chunked(batches, s):
-            found: dict[bytes, str] = {}
-            for t, flags in zip(p.texts, _shared(p.texts, shared.value), strict=True):
-                for k in np.flatnonzero(flags).tolist():
-                    if t.digests[k] not in told:
-                        told.add(t.digests[k])
-                        found[t.digests[k]] = t.raw[t.edges[k] : t.edges[k + 1]].decode()
-            if len(told) > 1_000_000:
-                told = set()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.string())], ["digest", "text"])
-
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, last = codec(path, s.memo), None
         for batch in batches:
@@ -389,10 +391,7 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
                         keep.append(k)
                     last = d
                 own = c.encode(part.column("text").take(pa.array(keep, pa.int64())).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in keep], pa.binary()), pa.array([zlib.compress(x, 1) for x in own], pa.binary())], ["digest", "chunk"])
-
-    chunks = stored(docs.mapInArrow(give, "digest binary, text string").repartition("digest").sortWithinPartitions("digest").mapInArrow(once, "digest binary, chunk binary"), "encoded", "zstd")
-    tidy(spark)  # the texts of chunks are not needed any more
+                yield pa.RecordBatch.from_arrays([pa.array([digests[k] for k in keep], pa.binary()), pa.array([pack(x) for x in own], pa.binary())], ["digest", "chunk"])
 
     parts = {"doc_id": kind, "key": "binary", "seq": "int", "of": "int", "skip": "int", "drop": "int", "own": "binary"}
 
@@ -407,15 +406,20 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
         return xxhash.xxh3_128_digest(repr(doc).encode() + b"|" + raw)
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The references of documents to shared chunks."""
-        c = codec(path, s.memo)
+        """The references of documents to shared chunks, with a chunk's text where the task meets it first."""
+        c, given = codec(path, s.memo), set()
         for p in _chunked(batches, s):
             ids, rows = p.batch.column("doc_id").to_pylist(), []
             some = [(t, f) for t, f in zip(p.texts, _shared(p.texts, shared.value), strict=True) if f.any()]
             for (t, _), made in zip(some, recipes([t for t, _ in some], [f for _, f in some], c, s, False), strict=True):
-                key = key_of(ids[t.row], t.raw)
-                rows += [(ids[t.row], key, k, len(made), a, z, d) for k, (d, a, z, _) in enumerate(made) if d is not None]
-            yield batch_of(rows, p.batch, {"digest": pa.binary()})
+                key, at = key_of(ids[t.row], t.raw), dict(zip(t.digests, zip(t.edges[:-1], t.edges[1:], strict=True), strict=True))
+                for k, (d, a, z, _) in enumerate(made):
+                    if d is not None:
+                        rows.append((ids[t.row], key, k, len(made), a, z, d, None if d in given else t.raw[slice(*at[d])].decode()))
+                        given.add(d)
+            if len(given) > 1_000_000:
+                given = set()
+            yield batch_of(rows, p.batch, {"digest": pa.binary(), "text": pa.string()})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What stands between a document's references, and documents without any as they are finished."""
@@ -427,12 +431,16 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
                 if all(d is None for d, *_ in made):
                     rows.append((ids[t.row], key, -1, 1, 0, 0, None, *finish(c.ids(b"".join(own for *_, own in made)), c)))
                 else:
-                    rows += [(ids[t.row], key, k, len(made), 0, 0, zlib.compress(own, 1), *[None] * len(names)) for k, (d, _, _, own) in enumerate(made) if d is None]
+                    rows += [(ids[t.row], key, k, len(made), 0, 0, pack(own), *[None] * len(names)) for k, (d, _, _, own) in enumerate(made) if d is None]
             yield batch_of(rows, p.batch, {"own": pa.binary(), **dict(zip(names, types, strict=True))})
 
     told = lambda more: ", ".join(f"{c} {k}" for c, k in parts.items() if c != "own") + more
-    refs = stored(docs.mapInArrow(refer, told(", digest binary")), "references", "zstd")
-    refs = spread_join(refs, chunks, "digest").withColumnRenamed("chunk", "own").select(*parts)
+    refs = stored(docs.mapInArrow(refer, told(", digest binary, text string")), "references", "zstd")
+    first = refs.where("text IS NOT NULL").select("digest", "text").repartition("digest").sortWithinPartitions("digest")
+    chunks = stored(first.mapInArrow(once, "digest binary, chunk binary"), "encoded", "zstd")
+    del first
+    tidy(spark)  # the shuffled texts are not needed any more
+    refs = spread_join(refs.drop("text"), chunks, "digest").withColumnRenamed("chunk", "own").select(*parts)
     refs = refs.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in columns.split(", ")})
     given = docs.mapInArrow(write, told(f", own binary, {columns}")).unionByName(refs).repartition("key").sortWithinPartitions("key", "seq")
 
@@ -458,7 +466,7 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
                     key, doc, of, times, held = k, d, n, 0, []
                 times += seq == 0  # rows alike have one key
                 if seq == len(held):
-                    own = zlib.decompress(own)
+                    own = unpack(own)
                     held.append(own[skip * size : len(own) - drop * size])
             yield made(out, batch)
         if key is not None:
