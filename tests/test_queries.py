@@ -86,12 +86,14 @@ def test_stream_lands_pages(spark, tmp_path):
 
 
 def test_plans(spark):
-    """Filters reach the scan; top-k is cut before the shuffle; no Python in the paths."""
+    """Filters reach the scan; top-k is cut before the shuffle; vectors meet in matrix products over Arrow batches, not in
+    a nested loop; no row-wise Python in the paths."""
     plan = lambda df: df._jdf.queryExecution().toString()
     assert "PushedFilters: [" in plan(catalog.metadata_filter(spark, SF)) and "EqualTo(source,src3)" in plan(catalog.metadata_filter(spark, SF))
     dense = plan(catalog.vector_topk(spark, SF))
-    assert "WindowGroupLimit" in dense and "BroadcastNestedLoopJoin" in dense and "Python" not in dense
-    assert "Python" not in plan(catalog.rrf_fusion(spark, SF))
+    assert "WindowGroupLimit" in dense and "MapInArrow" in dense and "NestedLoop" not in dense and "Cartesian" not in dense
+    for df in (dense, plan(catalog.rrf_fusion(spark, SF))):
+        assert "BatchEvalPython" not in df and "MapInPandas" not in df
 
 
 def test_fetch_reports_and_failures(spark):
