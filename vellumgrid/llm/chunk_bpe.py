@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Members, by_size, members, release, spread_join, stored, tidy
+from .common import Members, by_size, members, release, spread_join, stored
 
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: A number for each byte, which the rolling hash adds up.
@@ -439,8 +439,9 @@ def run(docs: DataFrame, path: str, finish: Finish, columns: str, settings: Sett
     first = refs.where("text IS NOT NULL").select("digest", "text").repartition("digest").sortWithinPartitions("digest")
     chunks = stored(first.mapInArrow(once, "digest binary, chunk binary"), "encoded", "zstd")
     del first
-    tidy(spark)  # the shuffled texts are not needed any more
-    refs = spread_join(refs.drop("text"), chunks, "digest").withColumnRenamed("chunk", "own").select(*parts)
+    lean = stored(refs.drop("text"), "references", "zstd")
+    release(refs)  # the texts are not needed any more, neither stored nor shuffled
+    refs = spread_join(lean, chunks, "digest").withColumnRenamed("chunk", "own").select(*parts)
     refs = refs.withColumns({c.split()[0]: F.lit(None).cast(c.split()[1]) for c in columns.split(", ")})
     given = docs.mapInArrow(write, told(f", own binary, {columns}")).unionByName(refs).repartition("key").sortWithinPartitions("key", "seq")
 
