@@ -391,3 +391,49 @@ def test_language_of_a_long_run_of_letters():
     model = language_model([], [("a", "de", 7), ("b", "en", 7)])
     assert model.predict("a" * 64 + "b" * 500)[0] == "en" and model.predict("a" * 500 + "b" * 64)[0] == "de"
     assert not model.cache
+
+
+def test_toxicity_features_and_scores_by_hand(spark):
+    """Every feature that passes the test is kept, and a score is the sum of its weights."""
+    rng = random.Random(3)
+    clean, bad = [f"plain{chr(97 + i)}{chr(97 + j)}" for i in range(9) for j in range(9)], [f"vile{chr(97 + i)}" for i in range(12)]
+    texts = [(i, " ".join(rng.choices(clean, k=20) + (rng.choices(bad, k=rng.randint(1, 6)) if i % 3 == 0 else [])), int(i % 3 == 0)) for i in range(400)]
+    docs, labels = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string"), spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, y int")
+    model, s = toxicity.fit(docs, labels), toxicity.Settings()
+    n, toxic, want = len(texts), sum(t[2] for t in texts), set()
+    held = [(toxicity.features(t, s.prefix), y) for _, t, y in texts]
+    for f in set().union(*(h for h, _ in held)):
+        a, b = sum(f in h for h, y in held if y), sum(f in h for h, y in held if not y)
+        if 5 <= a + b < n and n * (a * (n - toxic - b) - b * (toxic - a)) ** 2 / ((a + b) * (n - a - b) * toxic * (n - toxic)) > s.chi2:
+            want.add(f)
+    assert set(model.vocabulary) == want and len(want) >= 12
+    got = {r.doc_id: r.p for r in docs.union(spark.createDataFrame([(-1, None), (-2, "")], docs.schema)).select("doc_id", toxicity.scorer(spark, model)("text").alias("p")).collect()}
+    for i, text, y in [*texts, (-1, None, 0), (-2, "", 0)]:
+        x = sum(model.weights[model.vocabulary[f]] for f in toxicity.features(text, s.prefix) if f in model.vocabulary)
+        below = [*(1 / (1 + np.exp(x - c)) for c in model.cuts), 1.0]
+        assert got[i].severity == pytest.approx(sum(1 - b for b in below)) and got[i].score == pytest.approx(1 - below[0])
+        assert (got[i].score > 0.5) == bool(y)
+
+
+def test_ordinal_fit_is_a_best_one():
+    """No small step of a weight or a threshold makes the penalised likelihood better."""
+    rng = np.random.default_rng(4)
+    rows = [sorted(set(rng.integers(0, 4, 3).tolist())) for _ in range(300)]
+    grade = np.clip(np.array([sum(r) for r in rows]) // 2 + rng.integers(-1, 2, 300), 0, 2)
+    s = toxicity.Settings(steps=4000, learning_rate=0.02)
+    weights, cuts = toxicity.regression(rows, grade, 4, s)
+
+    def loss(w, c):
+        edges, total = np.array([-np.inf, *c, np.inf]), 0.0
+        for r, g in zip(rows, grade, strict=True):
+            high, low = (1 / (1 + np.exp(-(edges[g + k] - w[r].sum()))) for k in (1, 0))
+            total -= np.log(high - low)
+        return total / len(rows) + s.ridge * (w**2).sum() / 2
+
+    best = loss(weights, cuts)
+    for k in range(4):
+        for step in (-0.05, 0.05):
+            assert loss(weights + step * (np.arange(4) == k), cuts) > best - 1e-6
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(weights, cuts + step * (np.arange(2) == k)) > best - 1e-6

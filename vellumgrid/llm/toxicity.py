@@ -2,8 +2,8 @@
 
 P(grade <= k | x) = sigmoid(cut_k - w.x): one weight vector, ordered thresholds.
 Features are sparse and binary: the distinct words of a text and the prefixes of
-``prefix`` letters of its longer words, kept if a two-sided association test on the
-bounded sample of labelled rows exceeds ``chi2``.
+``prefix`` letters of its longer words, all of them that occur in five rows of the bounded sample of
+labelled rows and whose two-sided association with toxicity exceeds ``chi2`` there.
 
 Grades: if the labels have more than one positive value, the labels are the grades.
 A 0/1 label is graded 0 for a clean text and 1..``levels`` for a toxic one by how many
@@ -12,7 +12,9 @@ that "more severe" has a meaning that the labels themselves support.
 
 Defined cases: null or empty text holds no feature and gets the base rate; labels that
 are null, and duplicate labels that disagree (the larger counts); no labels, or only
-one class of them: every text gets the base rate of that class (0 without labels).
+one class of them: every text gets the base rate of that class (0 without labels);
+repeated documents count as often as they stand, and are scored alike; an empty table gives an
+empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +36,6 @@ WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class Settings:
     rows: int = 20_000  # labelled training rows, in expectation
-    features: int = 5_000
     chi2: float = 30.0
     prefix: int = 4
     levels: int = 3
@@ -124,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     a, b, p, q = F.col("a"), F.col("b"), F.lit(float(toxic)), F.lit(float(total - toxic))
     chi2 = (total * F.pow(a * (q - b) - b * (p - a), F.lit(2))) / ((a + b) * (total - a - b) * p * q)
     top = both.where((a + b < total) & (a + b >= 5)).withColumn("chi2", chi2).where(F.col("chi2") > s.chi2)
-    top = top.withColumn("toxic", (a / p > b / q)).orderBy(F.desc("chi2"), "feature").limit(s.features).toPandas()
+    top = top.withColumn("toxic", (a / p > b / q)).orderBy(F.desc("chi2"), "feature").toPandas()
     vocabulary = {f: i for i, f in enumerate(top["feature"])}
     strong = top["toxic"].to_numpy(bool)
 
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
             found = [[vocabulary[f] for f in features(t, s.prefix) & vocabulary.keys()] for t in batch["text"]]
             yield pd.DataFrame({"y": batch["y"], "x": found})
 
-    # at most ``rows`` labelled rows (in expectation) of at most ``features`` numbers
+    # at most ``rows`` labelled rows, in expectation
     rows = train.mapInPandas(sparse, "y int, x array<int>").toPandas()
     x, y = [sorted(map(int, r)) for r in rows["x"]], rows["y"].to_numpy(int)
     order = np.lexsort((np.array([hash(tuple(r)) for r in x]), y)) if len(x) else np.zeros(0, int)
