@@ -224,3 +224,33 @@ def test_ingest(spark, tmp_path):
     asks = spark.createDataFrame([(1, [["lorries"]]), (2, [["trucks"]]), (3, [["cars"]])], "ask int, phrases array<array<string>>")
     assert {(r["ask"], r["id"].split("-")[0]) for r in stored.lists(store, asks).collect()} == {(1, "F"), (3, "GM")}
     assert store.where("v IS NULL").count() == 0
+
+
+def test_section_files_round_trip(spark, tmp_path):
+    """Texts come back as they were, in the order of names; a rewrite touches its own sections only."""
+    at = str(tmp_path / "sections")
+    rows = [("A", "2024", "10", "ten\n"), ("A", "2024", "1A", "Risk:\n\nline two "), ("A", "2024", "1", ""), ("A", "0012", "1", None), ("B/C", "2024", "7", "naïve \u20ac\r\nend\n\n")]
+    tables.write_sections(spark.createDataFrame(rows, "ticker string, year string, item string, text string"), at)
+    read = lambda **k: [tuple(r) for r in tables.read_sections(spark, at, **k).collect()]
+    want = [(*r[:3], r[3] or "") for r in (rows[3], rows[2], rows[0], rows[1], rows[4])]
+    assert read() == want
+    assert read(where="ticker = 'A' AND item > '1'") == want[2:4]
+    tables.write_sections(spark.createDataFrame([("A", "2024", "10", "new")], "ticker string, year string, item string, text string"), at)
+    assert read() == [(*r[:3], "new") if r[2] == "10" else r for r in want]
+    plan = tables.read_sections(spark, at, where="ticker = 'A'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ticker" in plan
+
+
+def test_lookup_tells_what_is_missing(spark):
+    wanted = spark.createDataFrame([("aa", "2024"), ("BB", "2024"), ("CC", "2024"), (None, "2024"), ("aa", "2025")], "ticker string, year string")
+    registry = spark.createDataFrame([("AA", 2, "Second"), ("AA", 1, "First"), ("bb", 3, None)], "ticker string, cik_str long, title string")
+    names = spark.createDataFrame([("BB", "Bee")], "ticker string, name string")
+    got = {(r.ticker, r.year): (r.cik_str, r.company, r.error) for r in tables.looked_up(wanted, registry, names).collect()}
+    assert got == {
+        ("aa", "2024"): (1, "First", None),
+        ("aa", "2025"): (1, "First", None),
+        ("BB", "2024"): (3, "Bee", None),
+        ("CC", "2024"): (None, "CC", "ticker CC is not in the registry"),
+        (None, "2024"): (None, None, "ticker (null) is not in the registry"),
+    }
+    assert tables.looked_up(wanted, registry.limit(0), names.limit(0)).where("error IS NULL").count() == 0

@@ -854,3 +854,16 @@ def latest_or_none(spark, sf_dir):
     """JON-7: a company without a report gets the empty year, which matches nothing."""
     asked_for = spark.createDataFrame([(t,) for t in (0, 7, 49, 99)], "ticker long")
     return asked_for.join(latest_per_company(spark, sf_dir), "ticker", "left").select("ticker", F.coalesce("year", F.lit("")).alias("year"))
+
+
+@query("""WITH w AS (SELECT source AS ticker, count(*) AS documents FROM documents GROUP BY source),
+r AS (SELECT 'SRC' || s_suppkey AS ticker, s_suppkey AS cik_str, s_name AS title FROM supplier),
+n AS (SELECT 'src' || n_nationkey AS ticker, n_name AS name FROM nation WHERE n_nationkey % 2 = 0)
+SELECT w.ticker AS ticker, documents, cik_str, coalesce(name, title, w.ticker) AS company, CASE WHEN r.ticker IS NULL THEN 'ticker ' || coalesce(w.ticker, '(null)') || ' is not in the registry' END AS error
+FROM w LEFT JOIN r ON r.ticker = upper(w.ticker) LEFT JOIN n ON n.ticker = w.ticker""")
+def registry_lookup(spark, sf_dir):
+    """JON-1, PRJ-9: the sources of the documents, looked up among suppliers, with nations for configured names."""
+    wanted = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("ticker")).agg(F.count("*").alias("documents"))
+    registry = read(spark, sf_dir, "supplier").select(F.concat(F.lit("SRC"), "s_suppkey").alias("ticker"), F.col("s_suppkey").alias("cik_str"), F.col("s_name").alias("title"))
+    names = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.concat(F.lit("src"), "n_nationkey").alias("ticker"), F.col("n_name").alias("name"))
+    return tables.looked_up(wanted, registry, names)

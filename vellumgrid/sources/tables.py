@@ -36,6 +36,18 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode(F.map_values("m")).alias("r")).select(F.upper("r.ticker").alias("ticker"), "r.cik_str", "r.title")
 
 
+def looked_up(wanted: DataFrame, registry: DataFrame, names: DataFrame) -> DataFrame:
+    """JON-1, PRJ-9: ``wanted(ticker, ...)`` with cik_str, company and error.  The registry's ticker is met in
+    capitals; the company is the configured name of ``names(ticker, name)``, else the registry's title, else the ticker.
+    A ticker that the registry has not is a row with an error and ends nothing; a null ticker is one too.
+    ``registry`` and ``names`` should have a ticker once; of several the smallest cik_str, title and name count."""
+    known = registry.groupBy(F.upper("ticker").alias("__key")).agg(F.min(F.struct("cik_str", "title")).alias("__found"))
+    named = names.groupBy("ticker").agg(F.min("name").alias("__name"))
+    rows = wanted.withColumn("__key", F.upper("ticker")).join(known, "__key", "left").join(named, "ticker", "left")
+    told = F.concat(F.lit("ticker "), F.coalesce(F.col("ticker"), F.lit("(null)")), F.lit(" is not in the registry"))
+    return rows.select(wanted["*"], F.col("__found.cik_str").alias("cik_str"), F.coalesce("__name", "__found.title", "ticker").alias("company"), F.when(F.col("__found").isNull(), told).alias("error"))
+
+
 def filings(columns: DataFrame) -> DataFrame:
     """SRC-3: parallel arrays to rows, in their order."""
     zipped = F.arrays_zip("form", "accessionNumber", "primaryDocument", "reportDate")
@@ -50,6 +62,20 @@ def raw_pages(spark: SparkSession, path: str) -> DataFrame:
     return files.select(at(1).alias("ticker"), at(2).alias("year"), at(3).alias("doc"), html.alias("html"))
 
 
+def write_sections(df: DataFrame, path: str) -> None:
+    """SNK-2 as text files: ``df(ticker, year, item, text)``, a section once, in folders by ticker, year and item, so that
+    a section's text is a file that other programs read.  The sections that ``df`` holds are rewritten; a null text is an empty file."""
+    rows = df.select(F.coalesce("text", F.lit("")).alias("value"), "ticker", "year", "item")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker", "year", "item").text(path)
+
+
+def read_sections(spark: SparkSession, path: str, where: str = "true") -> DataFrame:
+    """SRC-5, SRC-6: ticker, year, item, text of the section files under ``path``, in the order of their names (1, 10, 1A).
+    A condition on ticker, year or item prunes folders.  The schema is given, so that the years and items stay strings."""
+    files = spark.read.schema("value string, ticker string, year string, item string").text(path, wholetext=True).where(where)
+    return files.select("ticker", "year", "item", F.regexp_replace("value", r"\n\z", "").alias("text")).orderBy("ticker", "year", "item")
+
+
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-7, SRC-8: one object a line, blank lines are skipped."""
     return spark.read.schema(schema).json(path)
