@@ -183,12 +183,20 @@ def test_raw_pages(spark, tmp_path):
 
 
 def test_quotes_of_any_length(spark):
+    """Against a plain search, with keys that are broadcast and shuffled, in one block of quotes and several."""
     from vellumgrid.operators import evaluation
 
-    docs = spark.createDataFrame([(1, "say hello world  now and then"), (2, None), (3, "")], "doc_id long, text string")
-    quotes = ["hello world", "now", "o w", "world now and", "ay hello world now and th", "hello then", None, "say hello world now and then"]
-    found = evaluation.quoted(docs, spark.createDataFrame(list(enumerate(quotes)), "item_id int, quote string")).collect()
-    assert sorted(tuple(r) for r in found) == [(1, 0), (1, 1), (1, 2), (1, 3), (1, 4), (1, 7)]
+    texts = ["say hello world  now and then", None, "", "now\tnow now now now", "he said: hello\u00a0world", "say hello world  now and then"]
+    quotes = ["hello world", "now", "o w", "world now and", "ay hello world now and th", "hello then", None, "say hello world now and then", "", " ", "ow no", "now now", "now now now", "d", "id: hello wo", "a b c d e f g h i j"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(quotes)), "item_id int, quote string")
+    flat = lambda x: None if x is None else " ".join(x.split())
+    want = sorted((i, j) for i, t in enumerate(map(flat, texts)) for j, q in enumerate(map(flat, quotes)) if t is not None and q is not None and q in t)
+    for block in (100, 2):
+        assert sorted(tuple(r) for r in evaluation.quoted(docs, items, block=block).collect()) == want
+    for none in (items.where("quote is null"), items.limit(0)):
+        assert evaluation.quoted(docs, none).count() == 0
+    assert evaluation.quoted(docs.limit(0), items).count() == 0
 
 
 def test_vectors_of_one_dimension(spark):

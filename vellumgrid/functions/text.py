@@ -115,11 +115,6 @@ def fact_found(fact: Column, text: Column) -> Column:
     return F.exists(F.split(fact, r"\|"), one)
 
 
-def contains_quote(text: Column, quote: Column) -> Column:
-    """JON-14."""
-    return F.contains(normal_space(text), normal_space(quote))
-
-
 def cosine_distance(a: Column, b: Column) -> Column:
     """MTH-1 in double precision; null where a vector is null or zero."""
     wide = lambda x: F.transform(x, lambda v: v.cast("double"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SECTION_TITLES
-from ..functions.text import contains_quote, normal_space, percent, percent_of, section_name
+from ..functions.text import normal_space, percent, percent_of, section_name
 
 
 def hits(questions: DataFrame) -> DataFrame:
@@ -22,28 +24,40 @@ def hits(questions: DataFrame) -> DataFrame:
     })
 
 
-def quoted(docs: DataFrame, quotes: DataFrame, most: int = 6) -> DataFrame:
+def quoted(docs: DataFrame, quotes: DataFrame, most: int = 6, block: int = 100_000) -> DataFrame:
     """JON-14: ``docs(doc_id, text)`` and ``quotes(item_id, quote)``, of any length -> doc_id, item_id of
     every containment.  The words of a quote but the first and the last are whole words of a text
-    that contains it, so its first ``most`` of these are the join key, and texts come in after the
-    match.  Quotes without such words are a stated set that every text is tested for, in blocks of 1,000."""
-    split = lambda c: F.split(normal_space(F.col(c)), " ")
-    quotes = quotes.where(F.col("quote").isNotNull()).withColumn("w", split("quote")).withColumn("n", F.least(F.lit(most), F.size("w") - 2))
-    words = docs.select("doc_id", split("text").alias("d"))
-    made = None
-    for n in range(1, most + 1):
-        own = quotes.where(F.col("n") == n).select("item_id", F.xxhash64(F.slice("w", 2, n)).alias("key"))
-        keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("d") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("d", i, n)))  # noqa: B023
-        met = words.select("doc_id", F.explode_outer(F.array_distinct(keys)).alias("key")).join(own, "key").select("doc_id", "item_id")
-        made = met if made is None else made.unionByName(met)
-    found = made.distinct().join(quotes.select("item_id", "quote"), "item_id").join(docs.select("doc_id", "text"), "doc_id")
-    found = found.where(contains_quote(F.col("text"), F.col("quote"))).select("doc_id", "item_id")
-    short = quotes.where(F.col("n") < 1).select("item_id", "quote")
-    blocks = -(-short.count() // 1000)
+    that contains it, so the first ``most`` of these are looked up among the texts' windows, which are made in one
+    pass for the lengths that quotes have.  Of a quote without such words the longest word is part of a word
+    of the text, so it is looked for in the distinct words, for ``block`` quotes at a time.  Every
+    match is proven on the text.  Null texts and quotes are in no row; an empty quote is in every text."""
+    docs = docs.select("doc_id", normal_space(F.col("text")).alias("text"))
+    quotes = quotes.where(F.col("quote").isNotNull()).select("item_id", normal_space(F.col("quote")).alias("quote"))
+    w = F.split("quote", " ")
+    long = F.array_sort(w, lambda x, y: F.length(y) - F.length(x))
+    quotes = quotes.withColumns({"n": F.least(F.lit(most), F.size(w) - 2), "w": w, "part": F.get(long, F.lit(0))})
+    sizes = {r["n"]: r["count"] for r in quotes.groupBy(F.greatest("n", F.lit(0)).alias("n")).count().collect()}  # at most 1 + most rows
+    met, d = [], docs.select("doc_id", F.split("text", " ").alias("d"))
+    lengths = sorted(n for n in sizes if n > 0)
+    if lengths:
+        places = F.arrays_zip(*[F.slice("d", k, F.greatest(F.size("d"), F.lit(1))).alias(f"w{k}") for k in range(1, lengths[-1] + 1)])
+        key = lambda part: F.array(*[F.xxhash64(F.lit(n), *[part(k) for k in range(1, n + 1)]) for n in lengths])
+        windows = d.select("doc_id", F.inline(places)).select("doc_id", F.explode(key(lambda k: F.col(f"w{k}"))).alias("key"))
+        own = F.get(key(lambda k: F.get("w", F.lit(k))), F.array_position(F.array(*map(F.lit, lengths)), F.col("n")).cast("int") - 1)
+        own = quotes.where(F.col("n") > 0).select("item_id", own.alias("key"))
+        few = sum(sizes[n] for n in lengths) <= block
+        met.append((windows if few else windows.distinct()).join(F.broadcast(own) if few else own, "key").select("doc_id", "item_id"))
+    blocks = -(-sizes.get(0, 0) // block)
     for b in range(blocks):
-        own = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == b)
-        found = found.unionByName(docs.join(F.broadcast(own), contains_quote(F.col("text"), F.col("quote"))).select("doc_id", "item_id"))
-    return found.distinct()
+        short = quotes.where((F.col("n") < 1) & (F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == b)).select("item_id", "part")
+        words = d.select("doc_id", F.explode(F.array_distinct("d")).alias("word"))
+        held = words.select("word").distinct().join(F.broadcast(short), F.contains("word", "part")).select("word", "item_id")
+        met.append(words.join(held, "word").select("doc_id", "item_id"))
+    if not met:
+        return docs.join(quotes, F.lit(False)).select("doc_id", "item_id")
+    found = reduce(DataFrame.unionByName, met).distinct()
+    found = found.join(quotes.select("item_id", "quote"), "item_id").join(docs, "doc_id")
+    return found.where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
 
 
 def by_section(chunks: DataFrame) -> DataFrame:
