@@ -234,6 +234,23 @@ def test_ingest(spark, tmp_path):
     assert store.where("v IS NULL").count() == 0
 
 
+def test_keyed_replacement_has_few_folders(spark, tmp_path):
+    """Folders do not grow with the filings; what shares a bucket with a replaced filing stays."""
+    path, schema = str(tmp_path / "keyed"), "text string, ticker string, year string"
+    make = lambda of, what: spark.createDataFrame([(f"{what} {k} {i}", f"P{k}", "2024") for k in of for i in range(2)], schema)
+    tables.replace_keyed(make(range(150), "old"), path)
+    tables.replace_keyed(make(range(140, 300), "new"), path)
+    tables.replace_keyed(make([], "none"), path)
+    got = tables.read_partitions(spark, path, schema).select("text").collect()
+    assert sorted(r["text"] for r in got) == sorted(f"{'old' if k < 140 else 'new'} {k} {i}" for k in range(300) for i in range(2))
+    assert len({f.rsplit("/", 2)[1] for f in spark.read.parquet(path).inputFiles()}) <= tables.BUCKETS
+    from vellumgrid.plans import ingest
+
+    pages = spark.createDataFrame([(f"P{k}", "2024", "<p>x</p><p>Item 1. Business</p><p>Item 7. Discussion</p><p>more</p>") for k in range(100)], "ticker string, year string, html string")
+    ingest.ingest(pages, pages, str(tmp_path / "filings"))
+    assert len({f.rsplit("/", 2)[1] for f in spark.read.parquet(f"{tmp_path}/filings/store").inputFiles()}) <= tables.BUCKETS
+
+
 def test_section_files_round_trip(spark, tmp_path):
     """Texts come back as they were, in the order of names; a rewrite touches its own sections only."""
     at = str(tmp_path / "sections")

@@ -5,7 +5,8 @@ Pages become sections, sections chunks, chunks store rows (terms and vectors) in
 * ``PATH/sections``: ticker, year, item, text, error; what a filing's page was read as;
 * ``PATH/store``: the chunks, as of :mod:`..operators.stored`.
 
-Both are partitioned by filing, and a filing is replaced as a whole.  Status: ``skipped`` (in the store already, unless
+Both are dealt out by filing to a fixed number of folders (:func:`..sources.tables.replace_keyed`), as a folder a filing costs more
+time than the filing's rows, and a filing is replaced as a whole.  Status: ``skipped`` (in the store already, unless
 forced), ``missing`` (no page), ``failed`` (the page can't be read, or has no section with text; the store keeps what it
 had), else ``loaded``.  A failure is a row and ends nothing.  A run that is broken off between the two
 tables is run again: what is not in the store is not skipped.
@@ -17,7 +18,6 @@ wanted twice count once; a null ticker or year is no filing and is left out.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,13 +48,7 @@ def read_page(page: Column) -> Column:
 
 def stored_filings(spark: SparkSession, path: str) -> DataFrame:
     """ticker, year, chunks of what the store has."""
-    schema = "id string, ticker string, year string"
-    try:
-        rows = spark.read.schema(schema).parquet(f"{path}/store")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], schema)
+    rows = tables.existing(spark, f"{path}/store", "id string, ticker string, year string")
     return rows.groupBy(KEYS).agg(F.count("*").alias("chunks"))
 
 
@@ -67,12 +61,12 @@ def ingest(wanted: DataFrame, pages: DataFrame, path: str, force: bool = False)
     todo = spark.read.schema("ticker string, year string").parquet(run)
     given = pages.where(F.col("html").isNotNull()).join(todo, KEYS, "left_semi").groupBy(KEYS).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64("html"), "html"))), lambda p: p["html"]), "\n").alias("html"))
     told = given.select(*KEYS, read_page(F.col("html")).alias("r")).select(*KEYS, "r.error", F.explode_outer("r.sections").alias("s"))
-    tables.replace_partitions(told.select("s.item", "s.text", "error", *KEYS), f"{path}/sections")
+    tables.replace_keyed(told.select("s.item", "s.text", "error", *KEYS), f"{path}/sections")
 
     sections = tables.read_partitions(spark, f"{path}/sections", SECTIONS).join(given.select(KEYS), KEYS, "left_semi")
     chunks = chunking.chunks(sections.where(F.col("item").isNotNull()), F.col("ticker"))
     passage = text.embed_text(F.col("company"), F.col("year"), F.col("section"), F.col("section_title"), F.col("text"))
-    stored.write(stored.rows(chunks, models.embedded(passage)), f"{path}/store")
+    tables.replace_keyed(stored.rows(chunks, models.embedded(passage)), f"{path}/store")
 
     read = sections.groupBy(KEYS).agg(F.max("error").alias("error"), F.max(F.col("text").rlike(r"\S")).alias("any"))
     found = wanted.join(todo.withColumn("todo", F.lit(True)), KEYS, "left").join(read, KEYS, "left").join(stored_filings(spark, path), KEYS, "left").join(given.select(*KEYS, F.lit(True).alias("given")), KEYS, "left")

@@ -10,9 +10,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+#: Folders of a table that is dealt out by key, however many keys it has.
+BUCKETS = 64
 CONFIG = "years array<string>, tickers map<string,array<string>>, names map<string,string>, aliases map<string,array<string>>"
 
 
@@ -113,6 +117,35 @@ def replace_partitions(df: DataFrame, path: str, keys: tuple[str, ...] = ("ticke
     df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def existing(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The table at ``path``; without rows if there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def replace_keyed(df: DataFrame, path: str, keys: tuple[str, ...] = ("ticker", "year")) -> None:
+    """As :func:`replace_partitions` for any number of keys (none of them null): rows lie in ``BUCKETS`` folders by a hash
+    of their keys, so that files grow with the rows and not with the keys.  New keys are appended; a bucket in which
+    keys are replaced is written anew with what it has of other keys."""
+    new = df.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")).persist()
+    old = existing(df.sparkSession, path, new.schema)
+    mine = new.select(*keys, "bucket").distinct()
+    again = [r["bucket"] for r in mine.join(old.select(*keys).distinct(), list(keys), "left_semi").select("bucket").distinct().collect()]  # BUCKETS at most
+
+    def put(rows: DataFrame, mode: str) -> None:
+        rows.hint("rebalance", "bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+    changed = F.col("bucket").isin(again)
+    put(new.where(~changed), "append")
+    if again:
+        put(old.where(changed).join(mine.select(*keys), list(keys), "left_anti").unionByName(new.where(changed)), "overwrite")
+    new.unpersist()
+
+
 def read_partitions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Years stay strings, as the schema is given."""
     return spark.read.schema(schema).parquet(path)
