@@ -167,6 +167,22 @@ def test_stored_scores_are_those_of_the_index(spark):
     assert stored.lists(stored.rows(docs), asks.limit(0)).collect() == [] and stored.lists(stored.rows(docs.limit(0)), asks).collect() == []
 
 
+def test_many_asks_are_answered_by_one_scan(spark):
+    """Equal scores over many batches leave the smallest ids, with filters and vectors too."""
+    docs = spark.range(5000).select((4999 - F.col("id")).alias("id"), F.lit("s").alias("section"), F.lit("2025").alias("year"), F.concat(F.lit("f"), F.col("id") % 3).alias("ticker"), F.when(F.col("id") % 7 == 0, "cat dog").otherwise("cat").alias("text"))
+    store = stored.rows(docs.repartition(3), F.array(F.lit(1.0), F.lit(0.0))).cache()
+    asks = spark.range(600).select(F.col("id").alias("ask"), F.array(F.array(F.lit("dog"))).alias("phrases"), F.array(F.lit(2.0), F.lit(1.0)).cast("array<float>").alias("q"), F.when(F.col("id") == 599, "f1").alias("ticker"))
+    found = stored.lists(store, asks, dense=3, keyword=4)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got: dict = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got.setdefault((r["ask"], r["dense"]), []).append(r["id"])
+    dogs = [i for i in range(5000) if (4999 - i) % 7 == 0]
+    other = lambda ids, n: [i for i in ids if (4999 - i) % 3 == 1][:n]
+    assert got == {(q, d): ((other(range(5000), 3) if d else other(dogs, 4)) if q == 599 else [0, 1, 2] if d else dogs[:4]) for q in range(600) for d in (True, False)}
+    store.unpersist()
+
+
 def test_reports_hold_every_row(spark):
     import json
 

@@ -4,11 +4,11 @@ places, and its vector of length one, partitioned by filing.
 * Replacing a filing rewrites its partitions only.  Statistics (number of chunks, mean length, chunks
   that have a phrase) are taken from the rows as they stand, so that scores after it are those of
   a store written anew.
-* A batch of asks is answered by two scans of the store: one counts the chunks that have
-  each asked phrase, one scores.  An Arrow batch of chunks meets a block of asks in two matrix products (phrase
-  weights, vectors), under the asks' filters.  Each task keeps the best so far of each ask and passes on
-  what still may be among them, so no pair of chunk and ask is shuffled but for these few.
-* Asks come in blocks of ``BLOCK``, whose words and vectors go to all tasks; the store is never collected.
+* ``SCAN`` asks are answered by two scans of the store: one counts the chunks that have
+  each asked phrase, one scores.  An Arrow batch of chunks meets the asks, ``BLOCK`` at a time, in matrix products (weights of
+  the phrases that many of them ask and many chunks have, vectors; other phrases are added hit by hit), under the asks' filters.  Each
+  task keeps the best of each ask and passes these on when it has seen all its chunks, so no other pair of chunk and ask is shuffled.
+* The words and vectors of ``SCAN`` asks go to all tasks; the store is never collected.
 
 Defined cases: a null text has no terms, counts in the number of chunks and has no vector; null, zero
 and non-finite vectors, and those of another size than the ask's, are in no dense list; an ask without words gets nothing;
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.fixed import B, CANDIDATES, IDF_FLOOR, K1
 from ..functions.text import words
 
-#: Asks that are scored at once, and chunks that they meet at once.
-BLOCK, ROWS = 256, 1024
+#: Asks of one scan, asks that are scored at once, and chunks that they meet at once.
+SCAN, BLOCK, ROWS = 8192, 256, 1024
 
 
 def grouped_terms(terms: Column) -> Column:
@@ -109,11 +109,9 @@ class _Phrases:
                 self.single[at[p[0]]] = k
             else:
                 self.several.append((k, [at[t] for t in p]))
-        self.of = np.zeros((len(self.known), len(lists)))  # phrase, ask
-        for q, ps in enumerate(lists):
-            for p in ps:
-                if p:
-                    self.of[self.known[tuple(p)], q] = 1
+        self.array = pa.array(self.terms, pa.string())
+        pairs = [(self.known[p], q) for q, ps in enumerate(lists) for p in dict.fromkeys(tuple(p) for p in ps if p)]
+        self.asked = np.array(pairs, np.int64).reshape(-1, 2)  # phrase, ask
 
     def columns(self) -> list[str]:
         return ["terms", "counts", "positions"] if self.several else ["terms", "counts"]
@@ -121,7 +119,7 @@ class _Phrases:
     def hits(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, phrase and number of places of each phrase that a chunk has."""
         lists, counts = part.column("terms"), part.column("counts").flatten().to_numpy(zero_copy_only=False)
-        code = pc.fill_null(pc.index_in(lists.flatten(), pa.array(self.terms, pa.string())), -1).to_numpy(zero_copy_only=False)
+        code = pc.fill_null(pc.index_in(lists.flatten(), self.array), -1).to_numpy(zero_copy_only=False)
         of = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
         at = np.flatnonzero(code >= 0)
         one = at[self.single[code[at]] >= 0]
@@ -159,6 +157,83 @@ class _Best:
             yield q, at[own[at] >= self.kept[q].min() - 1e-9]  # the nearly equal are told apart by id later
 
 
+class _Ranked:
+    """The k best rows of each of many asks so far: larger values (rounded to nine places) first, ties to the smaller id."""
+
+    def __init__(self, asks: int, k: int, ids: pa.DataType):
+        self.k, self.value, self.at, self.ids, self.base = k, np.full((asks, k), -np.inf), np.full((asks, k), -1), pa.array([], ids), 0
+
+    def begin(self, ids: pa.Array) -> None:
+        """The ids of the rows that :meth:`add` is told of next."""
+        if len(self.ids) > 2 * self.at.size + (1 << 16):  # most are of rows that are no longer among the best
+            left, new = np.unique(self.at, return_inverse=True)
+            none = int((left < 0).any())
+            self.ids, self.at = self.ids.take(pa.array(left[none:])), new.reshape(self.at.shape) - none
+        self.base, self.ids = len(self.ids), pa.concat_arrays([self.ids, ids])
+
+    def add(self, first: int, values: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """``values`` (rows, asks from ``first`` on), -inf for none; ``rows`` are their numbers in the ids."""
+        if not values.size or not self.k:
+            return
+        kept, at = self.value[first : first + values.shape[1]], self.at[first : first + values.shape[1]]
+        floor = np.maximum(kept[:, -1] - 2e-9, np.finfo(float).min)  # the nearly equal are told apart once rounded
+        may = values >= floor
+        if len(values) > self.k and np.count_nonzero(may) > 4 * self.k * values.shape[1]:
+            may &= values >= np.partition(values, len(values) - self.k, axis=0)[len(values) - self.k] - 2e-9
+        r, q = np.nonzero(may)
+        if not len(r):
+            return
+        touched, own = np.unique(q, return_inverse=True)
+        had = at[touched] >= 0
+        of = np.concatenate([np.nonzero(had)[0], own])
+        value = np.concatenate([kept[touched][had], values[r, q]])
+        place = np.concatenate([at[touched][had], self.base + (r if rows is None else rows[r])])
+        tie = pc.rank(self.ids.take(pa.array(place)), sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy()
+        order = np.lexsort((tie, -np.round(value, 9), of))
+        of = of[order]
+        rank = np.arange(len(of)) - np.searchsorted(of, of)
+        best = rank < self.k
+        of, rank, order = touched[of[best]], rank[best], order[best]
+        kept[of, rank], at[of, rank] = value[order], place[order]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Ask, value and id of all that are kept."""
+        q, k = np.nonzero(self.at >= 0)
+        return q, self.value[q, k], self.ids.take(pa.array(self.at[q, k]))
+
+
+class _Weights:
+    """Which phrases ``asks`` asks from ``first`` on have: those that many of them ask and many chunks have (by their share
+    ``often`` of the chunks) as columns of a matrix, others as lists."""
+
+    def __init__(self, phrases: _Phrases, often: np.ndarray, first: int, asks: int):
+        own = phrases.asked[(phrases.asked[:, 1] >= first) & (phrases.asked[:, 1] < first + asks)] - np.array([0, first])
+        self.first, self.asks, n = first, asks, len(often)
+        common = np.flatnonzero(np.bincount(own[:, 0], minlength=n) * often > 1)
+        self.column = np.full(n, -1)
+        self.column[common] = np.arange(len(common))
+        column = self.column[own[:, 0]]
+        self.of = np.zeros((len(common), asks))
+        self.of[column[column >= 0], own[column >= 0, 1]] = 1
+        rest = own[column < 0]
+        rest = rest[np.argsort(rest[:, 0], kind="stable")]
+        self.ask, self.n = rest[:, 1], np.bincount(rest[:, 0], minlength=n)
+        self.start = np.cumsum(self.n) - self.n
+
+    def scores(self, size: int, r: np.ndarray, of: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """(rows, asks) by the weights ``w`` of phrases ``of`` in rows ``r``."""
+        column = self.column[of]
+        at = column >= 0
+        table = np.zeros((size, len(self.of)))
+        table[r[at], column[at]] = w[at]
+        made = table @ self.of
+        at = np.flatnonzero(self.n[of])
+        n = self.n[of[at]]
+        ask = self.ask[np.repeat(self.start[of[at]] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        made += np.bincount(np.repeat(r[at], n) * self.asks + ask, weights=np.repeat(w[at], n), minlength=made.size).reshape(made.shape)
+        return made
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
@@ -220,20 +295,20 @@ def lists(store: DataFrame, asks: DataFrame, dense: int = CANDIDATES, keyword: i
     have, made = asks.columns, None
     whole = asks.select("ask", "phrases", *[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("q", "array<float>"), ("ticker", "string"), ("years", "array<string>"), ("sections", "array<string>"))])
     n = whole.count()
-    blocks = -(-n // BLOCK)
+    blocks = -(-n // SCAN)
     for b in range(blocks):
         own = whole if blocks == 1 else whole.where(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == b)
         found = _lists(store, own.toArrow(), whole.schema["ask"].dataType.simpleString(), dense, keyword)
         made = found if made is None else made.unionByName(found)
     if made is None:
         return store.sparkSession.createDataFrame([], f"ask {whole.schema['ask'].dataType.simpleString()}, dense boolean, id {store.schema['id'].dataType.simpleString()}, value double, rank int")
-    order = Window.partitionBy("ask", "dense").orderBy(F.round(F.when(F.col("dense"), F.col("value")).otherwise(-F.col("value")), 9), "id")
-    ranked = made.withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("ask", "dense").orderBy(F.desc("key"), "id")
+    ranked = made.withColumn("rank", F.row_number().over(order)).drop("key")
     return ranked.where(F.col("rank") <= F.when(F.col("dense"), dense).otherwise(keyword)).where(F.col("rank") <= max(dense, keyword))
 
 
 def _lists(store: DataFrame, asked: pa.Table, kind: str, dense: int, keyword: int) -> DataFrame:
-    asks, names = asked.to_pylist(), asked.column("ask").combine_chunks()
+    asks, names = asked.drop_columns(["q"]).to_pylist(), asked.column("ask").combine_chunks()
     phrases = _Phrases([a["phrases"] or [] for a in asks])
     context = store.sparkSession.sparkContext
     shared = context.broadcast(phrases)
@@ -249,12 +324,14 @@ def _lists(store: DataFrame, asked: pa.Table, kind: str, dense: int, keyword: in
     told = dict(map(tuple, told))
     n, mean = told.get(-1, 0), max(told.get(-2, 0), 1) / max(told.get(-1, 0), 1)
     weights = np.array([max(IDF_FLOOR, math.log((n - told.get(k, 0) + 0.5) / (told.get(k, 0) + 0.5))) for k in range(len(phrases.known))])
-    fits = np.array([i for i, a in enumerate(asks) if a["q"]], np.int64)
-    size, x, good = units(pa.array([asks[i]["q"] for i in fits], pa.list_(pa.float64())))
+    often = np.array([told.get(k, 0) / max(n, 1) for k in range(len(phrases.known))])
+    given = asked.column("q").combine_chunks()
+    fits = np.flatnonzero(pc.fill_null(pc.list_value_length(given), 0).to_numpy(zero_copy_only=False))
+    size, x, good = units(given.take(pa.array(fits)))
     fits, dim = fits[good], int(size.max(initial=0))
     vectors = x.reshape(-1, dim)[good] if dim else np.zeros((0, 0))
     filters = [c for c in FILTERS if c in store.columns and any(a[{"ticker": "ticker", "year": "years", "section": "sections"}[c]] for a in asks)]
-    sent = context.broadcast((names, asks if filters else None, weights, fits, vectors))
+    sent = context.broadcast((names, asks if filters else None, weights, often, fits, vectors))
 
     def allowed(asks: list[dict], key: tuple) -> np.ndarray:
         told = dict(zip(filters, key, strict=True))
@@ -262,33 +339,48 @@ def _lists(store: DataFrame, asked: pa.Table, kind: str, dense: int, keyword: in
         return np.array([(not a["ticker"] or a["ticker"] == ticker) and (not a["years"] or year in a["years"]) and (not a["sections"] or section in a["sections"]) for a in asks], bool)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, (names, asks, weights, fits, vectors) = shared.value, sent.value
-        best, near, known = _Best(len(names), keyword), _Best(len(fits), max(dense, 1)), {}
+        p, (names, asks, weights, often, fits, vectors) = shared.value, sent.value
+        known: dict = {}
+        best = near = None
+        blocks = [_Weights(p, often, at, min(BLOCK, len(names) - at)) for at in range(0, len(names), BLOCK)]
         for part in _slices(batches):
+            ids = part.column("id")
+            if best is None:
+                best, near = _Ranked(len(names), keyword, ids.type), _Ranked(len(fits), dense, ids.type)
+            keys, kinds = None, np.zeros((0, len(names)), bool)
             if filters:
-                keys = list(zip(*[part.column(c).to_pylist() for c in filters], strict=True))
-                for key in set(keys):
+                own = list(zip(*[part.column(c).to_pylist() for c in filters], strict=True))
+                number = {key: k for k, key in enumerate(dict.fromkeys(own))}
+                for key in number:
                     if key not in known:
                         known[key] = allowed(asks, key)
-                may = np.stack([known[key] for key in keys]) if keys else np.zeros((0, len(names)), bool)
-            else:
-                may = np.ones((part.num_rows, len(names)), bool)
+                keys, kinds = np.array([number[key] for key in own]), np.stack([known[key] for key in number])
             r, of, f = p.hits(part)
-            table = np.zeros((part.num_rows, len(weights)))
             dl = part.column("dl").to_numpy(zero_copy_only=False)[r]
-            table[r, of] = weights[of] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean))
-            scores = table @ p.of
-            taken = [(False, q, at, scores[at, q]) for q, at in best.taken(np.where(may & (scores > 0), scores, -np.inf))]
+            w = weights[of] * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / mean))
+            best.begin(ids)
+            for block in blocks:
+                scores = block.scores(part.num_rows, r, of, w)
+                ok = scores > 0
+                if filters:
+                    ok &= kinds[:, block.first : block.first + block.asks][keys]
+                best.add(block.first, np.where(ok, scores, -np.inf))
             if dense and len(fits):
                 at, v = _matrix(part.column("v"), vectors.shape[1])
-                if len(at):
-                    close = v @ vectors.T
-                    taken += [(True, int(fits[q]), at[r], 1 - close[r, q]) for q, r in near.taken(np.where(may[at][:, fits], close, -np.inf))]
-            if taken:
-                rows = pa.array(np.concatenate([at for *_, at, _ in taken]))
-                sizes = [len(at) for *_, at, _ in taken]
-                ask = names.take(pa.array(np.repeat([q for _, q, *_ in taken], sizes)))
-                yield pa.RecordBatch.from_arrays([ask, pa.array(np.repeat([d for d, *_ in taken], sizes)), part.column("id").take(rows), pa.array(np.concatenate([v for *_, v in taken]))], ["ask", "dense", "id", "value"])
+                near.begin(ids)
+                for first in range(0, len(fits) if len(at) else 0, BLOCK):
+                    close = v @ vectors[first : first + BLOCK].T - 1
+                    if filters:
+                        close[~kinds[:, fits[first : first + BLOCK]][keys[at]]] = -np.inf
+                    near.add(first, close, at)
+        for kept, of_dense in ((best, False), (near, True)):
+            if kept is not None:
+                q, value, ids = kept.rows()
+                ask = names.take(pa.array(fits[q] if of_dense else q))
+                for at in range(0, len(q), 1 << 16):
+                    here = slice(at, at + (1 << 16))
+                    own = value[here]
+                    yield pa.RecordBatch.from_arrays([ask[here], pa.array(np.full(len(own), of_dense)), ids[here], pa.array(-own if of_dense else own), pa.array(np.round(own, 9))], ["ask", "dense", "id", "value", "key"])
 
     columns = ["id", "dl", *phrases.columns(), *filters, *(["v"] if dense and len(fits) else [])]
-    return store.select(columns).mapInArrow(score, f"ask {kind}, dense boolean, id {store.schema['id'].dataType.simpleString()}, value double")
+    return store.select(columns).mapInArrow(score, f"ask {kind}, dense boolean, id {store.schema['id'].dataType.simpleString()}, value double, key double")
