@@ -183,6 +183,36 @@ def test_many_asks_are_answered_by_one_scan(spark):
     store.unpersist()
 
 
+def test_batches_are_worked_on_in_parts():
+    """What a worker holds besides its batch does not grow with the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from vellumgrid.functions import models
+    from vellumgrid.operators import chunking
+
+    said = [None, "", *(f"Line {i} of it. More of {i}, a b c.\nTotal | {i}\n" * 40 for i in range(800))]
+    texts, words = pa.array(said), pa.array([(t or "").split() for t in said])
+
+    def peak(f, batch) -> int:
+        f(batch.slice(0, 10))
+        tracemalloc.start()
+        f(batch)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    for f, batch, own in ((chunking.unit_lists, texts, 8 << 20), (models.embed_texts, texts, 4 << 20), (stored.term_lists, words, 40 << 20)):
+        assert peak(f, batch) < own
+        assert len(f(batch)) == len(batch) and len(f(batch.slice(0, 0))) == 0
+    for row, ws in zip(stored.term_lists(words).to_pylist()[::50], words.to_pylist()[::50], strict=True):
+        ends = [sum(row["counts"][:k]) for k in range(len(row["counts"]) + 1)]
+        assert row["dl"] == len(ws) and {t: row["positions"][a:b] for t, a, b in zip(row["terms"], ends, ends[1:], strict=False)} == {t: [k for k, w in enumerate(ws) if w == t] for t in ws}
+    assert [[(u["text"], u["tokens"]) for u in x] for x in chunking.unit_lists(texts.slice(0, 4)).to_pylist()] == [chunking.units(t) if t else [] for t in said[:4]]
+    assert models.embed_texts(texts.slice(0, 3)).to_pylist() == [models.embed_one(t) for t in said[:3]]
+
+
 def test_reports_hold_every_row(spark):
     import json
 

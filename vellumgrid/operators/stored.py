@@ -31,6 +31,35 @@ from ..functions.text import words
 
 #: Asks of one scan, asks that are scored at once, and chunks that they meet at once.
 SCAN, BLOCK, ROWS = 8192, 256, 1024
+#: Words that are sorted at once.
+PART = 1 << 18
+
+
+def _sorted_terms(lists: pa.Array) -> pa.Array:
+    values, n = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    doc, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    code = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(doc * max(len(values.dictionary), 1) + code, kind="stable")
+    own = (doc * max(len(values.dictionary), 1) + code)[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(own)))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(doc[order][first], minlength=len(n)))]).astype(np.int32)
+    place = (np.arange(len(doc)) - start[doc])[order].astype(np.int32)
+    listed = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x)
+    found = values.dictionary.take(pa.array(code[order][first])).cast(pa.string())
+    return pa.StructArray.from_arrays([pa.array(n), listed(ends, found), listed(ends, pa.array(counts.astype(np.int32))), listed(np.concatenate([[0], np.cumsum(n)]), pa.array(place))], ["dl", "terms", "counts", "positions"])
+
+
+def term_lists(lists: pa.Array) -> pa.Array:
+    """As :func:`grouped_terms`, about ``PART`` words at a time."""
+    lists = lists.fill_null(pa.scalar([], lists.type))
+    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+    made, at = [], 0
+    while at < len(lists) or not made:  # a part of the words at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PART, side="right")))
+        made.append(_sorted_terms(lists[at:to]))
+        at = to
+    return pa.concat_arrays(made)
 
 
 def grouped_terms(terms: Column) -> Column:
@@ -38,19 +67,7 @@ def grouped_terms(terms: Column) -> Column:
 
     @F.arrow_udf("dl long, terms array<string>, counts array<int>, positions array<int>")
     def run(lists: pa.Array) -> pa.Array:
-        lists = lists.fill_null(pa.scalar([], lists.type))
-        values, n = lists.flatten().dictionary_encode(), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        doc, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
-        code = values.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        order = np.argsort(doc * max(len(values.dictionary), 1) + code, kind="stable")
-        own = (doc * max(len(values.dictionary), 1) + code)[order]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(first, len(own)))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(doc[order][first], minlength=len(n)))]).astype(np.int32)
-        place = (np.arange(len(doc)) - start[doc])[order].astype(np.int32)
-        listed = lambda offsets, x: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), x)
-        found = values.dictionary.take(pa.array(code[order][first])).cast(pa.string())
-        return pa.StructArray.from_arrays([pa.array(n), listed(ends, found), listed(ends, pa.array(counts.astype(np.int32))), listed(np.concatenate([[0], np.cumsum(n)]), pa.array(place))], ["dl", "terms", "counts", "positions"])
+        return term_lists(lists)
 
     return run(terms)
 
