@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from dataclasses import replace
 
@@ -168,3 +169,17 @@ def test_shared_passages(spark, path, library):
     back = chunk_bpe.encoded(df, path, s).select("doc_id", chunk_bpe.decoded("ids", path).alias("t"))
     told = sorted(((i, library.decode(library.encode(t or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, t in rows), key=key)
     assert sorted(map(tuple, back.collect()), key=key) == told
+
+
+def test_pairs_are_counted_in_bounded_memory():
+    """Twelve million pairs, a million at a time, are never held at once, and all are counted."""
+    def parts():
+        for k in range(12):
+            left = np.arange(1_000_000, dtype=np.uint64) * np.uint64(7) + np.uint64(k % 2)
+            yield left, left + np.uint64(1)
+
+    tracemalloc.start()
+    total = sum(int(np.sum(b.column("a").to_numpy())) for b in collocations._count_pairs(parts()))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == 12_000_000 and most < 280 << 20

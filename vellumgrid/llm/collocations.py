@@ -37,6 +37,8 @@ from .common import Members, by_size, cut, members, release, small, stored
 from .suffix_tree import BASE, PIECE, _batched, _hashes, _mixed
 
 UNKNOWN = "und"
+#: Pairs that a task counts at once.
+COUNTED = 2_000_000
 BLANKS, BREAKS = b"\x20\x09", b".,;:!?\x0a\x0b\x0c\x0d"
 #: Of each byte: 0 belongs to a word, 1 stands between words, 2 between pieces.
 KIND = np.zeros(256, np.uint8)
@@ -123,14 +125,21 @@ def _pairs(w: Words, levels: list[Members]) -> tuple[np.ndarray, np.ndarray]:
     return ids[at], ids[at + 1]
 
 
+def _count_pairs(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for left, right in _batched(parts, COUNTED):
+        at, n = np.unique(_pair(left, right), return_index=True, return_counts=True)[1:]
+        made = pa.RecordBatch.from_arrays([pa.array(left[at].view(np.int64)), pa.array(right[at].view(np.int64)), pa.array(n)], ["left", "right", "a"])
+        del left, right, at, n  # not held while the next are gathered
+        yield made
+        del made
+
+
 def _counted(docs: DataFrame, levels: list[Members]) -> DataFrame:
     """left, right, a of all pairs of known phrases."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for left, right in _batched((_pairs(w, shared.value) for w in _words(batches)), 4_000_000):
-            _, at, n = np.unique(_pair(left, right), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(left[at].view(np.int64)), pa.array(right[at].view(np.int64)), pa.array(n)], ["left", "right", "a"])
+        yield from _count_pairs(_pairs(w, shared.value) for w in _words(batches))
 
     return docs.mapInArrow(count, "left long, right long, a long").groupBy("left", "right").agg(F.sum("a").alias("a"))
 

@@ -194,8 +194,9 @@ def _batched(parts: Iterator[tuple[np.ndarray, ...]], most: int = 2_000_000) ->
         held.append(part)
         n += max(map(len, part))
         if n >= most:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held, n = [], 0
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n, part = [], 0, None  # before it is used, so that nothing is held twice
+            yield [whole.pop(0) for _ in list(whole)]
     if held:
         yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
