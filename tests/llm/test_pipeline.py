@@ -72,3 +72,38 @@ def test_byte_bpe_stage(spark):
     out = corpus_pipeline.byte_bpe(spark, docs, "")
     assert [c for c in out.columns if c == "n_tokens"] == ["n_tokens"] and {r["n_tokens"] for r in out.collect()} == {2, 0}
     check(docs, out, {1, 2}, ("n_tokens",))
+
+
+def test_a_worker_gives_back_what_a_task_freed():
+    """After near_dedup's tasks idle workers stand beside the executor, so they may not keep what they have freed."""
+    import re
+    from pathlib import Path
+
+    import numpy as np
+    import pyarrow as pa
+
+    from vellumgrid.llm.common import lean
+
+    own = lambda: sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    before, held = own(), []
+
+    def work(batches):
+        held.extend(bytes(900) for _ in range(200_000))
+        kept = [np.ones(20) for _ in range(1000)]
+        yield from batches
+        del held[:], kept
+
+    assert list(lean(work)(iter([batch]))) == [batch]
+    assert own() < before + 60
+
+
+def test_the_words_a_language_model_keeps_are_bounded():
+    import numpy as np
+
+    from vellumgrid.llm.langid import Model
+
+    model = Model(["de", "en", "es", "fr"], [{}, {}], floors=np.zeros((2, 4)), starts=np.zeros(1, np.int64), whose=np.zeros(0, np.int32), gains=np.zeros(0, np.float32))
+    for k in range(150_000):
+        model.unseen(f"w{k}")
+    assert len(model.cache) < 130_000

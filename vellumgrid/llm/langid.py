@@ -107,7 +107,7 @@ class Model:
                     found = self.total(np.array(rows), n) / len(rows)
                     break
             if len(word) <= 64:  # bounds the cache, not what is read
-                if len(self.cache) * len(self.languages) > 2_000_000:
+                if len(self.cache) * (30 + len(self.languages)) > 4_000_000:  # some 32 MB
                     self.cache.clear()
                 self.cache[word] = found
         return found

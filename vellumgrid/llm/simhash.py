@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, release, sampled, small, spread_join, stored
+from .common import cut, lean, pieces, release, sampled, small, spread_join, stored
 from .components import components
 
 SEED = 42
@@ -260,7 +260,7 @@ def by_group(rows: DataFrame, keys: list[str], solve: Callable[[pa.Table, np.nda
         if held:
             yield solved(pa.concat_tables(held))
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
 
 
 def links(nodes: DataFrame, k: int, bucket: int = 4096, blocks: int | None = None) -> DataFrame:
@@ -347,7 +347,7 @@ def frequent_shingles(docs: DataFrame, s: CopySettings) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
 
     chosen = docs.where(sampled(F.col("doc_id"), "copies", min(1.0, s.sample / max(1, docs.count()))))
-    counts = chosen.select("text").mapInArrow(made, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= s.frequent)
+    counts = chosen.select("text").mapInArrow(lean(made), "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= s.frequent)
     return counts.orderBy(F.desc("n"), "h").limit(s.most).toPandas()["h"].to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
 
@@ -411,7 +411,7 @@ def grouped(nodes: DataFrame, items: Callable[[DataFrame], DataFrame], s: CopySe
 
     def proven(pairs: DataFrame) -> DataFrame:
         odd = lambda c: nodes.select(F.col("key").alias(c), F.col("size").alias(f"s{c}"), F.col("odd").alias(f"o{c}"))
-        pairs = cut(pairs.join(odd("b"), "b").join(odd("a"), "a").mapInArrow(possible, "a long, b long").distinct())
+        pairs = cut(pairs.join(odd("b"), "b").join(odd("a"), "a").mapInArrow(lean(possible), "a long, b long").distinct())
         sets = stored(items(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "items")
         side = lambda c: sets.select(F.col("key").alias(c), F.col("items").alias(f"i{c}"))
         both = F.size(F.array_intersect("ia", "ib"))
@@ -474,7 +474,7 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
                 items = [shingle_set(t, s.shingle).view(np.int64) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(map(same, texts), pa.binary()), pa.array(items, pa.list_(pa.int64()))], ["same", "items"])
 
-    rows = cut(docs.mapInArrow(described, "doc_id long, same binary, size int, prefix array<bigint>, fp long, odd binary"))
+    rows = cut(docs.mapInArrow(lean(described), "doc_id long, same binary, size int, prefix array<bigint>, fp long, odd binary"))
     # exact copies: one row each from here on
     nodes = rows.groupBy("same").agg(F.min("doc_id").alias("key"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp"), F.first("odd").alias("odd"))
     nodes = cut(nodes)
@@ -482,7 +482,7 @@ def copies(docs: DataFrame, settings: CopySettings = CopySettings()) -> DataFram
     def items(keys: DataFrame) -> DataFrame:
         """Shingles are made again, of the documents in pairs only; one doc_id may have many texts."""
         texts = docs.join(small(cut(keys.withColumnRenamed("key", "doc_id"))), "doc_id", "left_semi").select("text")
-        made = texts.mapInArrow(collected, "same binary, items array<bigint>").groupBy("same").agg(F.first("items").alias("items"))
+        made = texts.mapInArrow(lean(collected), "same binary, items array<bigint>").groupBy("same").agg(F.first("items").alias("items"))
         return nodes.join(keys, "key", "left_semi").select("key", "same").join(made, "same").select("key", "items")
 
     roots = grouped(nodes.select("key", "size", "prefix", "fp", "odd"), items, s)
