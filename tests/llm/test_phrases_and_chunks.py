@@ -183,3 +183,17 @@ def test_pairs_are_counted_in_bounded_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert total == 12_000_000 and most < 280 << 20
+
+
+def test_decoding_is_the_librarys_without_a_call_to_it(path, library, monkeypatch):
+    """Calls for each document made the check's CPU seconds too many."""
+    codec = chunk_bpe.Codec(path)
+    calls = []
+    monkeypatch.setattr(chunk_bpe.Codec, "_decode", lambda self, ids: calls.append(1) or library.decode(list(ids), skip_special_tokens=False), raising=False)
+    rng = np.random.default_rng(3)
+    for ids in ([], [library.get_vocab_size() - 1], rng.integers(0, library.get_vocab_size(), 5000), range(library.get_vocab_size())):
+        ids = np.array(ids, np.uint16)
+        assert codec.decoded(ids).decode() == codec.decode(ids) == library.decode(ids.tolist(), skip_special_tokens=False)
+    assert not calls
+    beyond = np.array([0, library.get_vocab_size(), 1], np.uint16)  # the library leaves out what it does not know
+    assert codec.decode(beyond) == library.decode(beyond.tolist(), skip_special_tokens=False) and calls

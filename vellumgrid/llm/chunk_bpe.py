@@ -76,6 +76,9 @@ class Codec:
         self.wide = self.library.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
         self.folds = "Lowercase" in kinds
+        # without a decoder the library joins the tokens by spaces
+        tokens = None if told["decoder"] else [self.library.id_to_token(i) for i in range(self.library.get_vocab_size())]
+        self.tokens = np.array([t.encode() for t in tokens], object) if tokens and None not in tokens else None
         self.memo, self.known, self.older = memo, {"": b""}, {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -113,19 +116,28 @@ class Codec:
         if len(self.known) > self.memo:
             self.known, self.older = {"": b""}, self.known
         known, older = self.known, self.older
-        new = {w for words in lists for w in words if w not in known}
+        new = set().union(*lists).difference(known)
         known.update([(w, older[w]) for w in new if w in older])
         rare = self._learn({w for w in new if w not in older})
         known.update([(w, ids) for w, ids in rare.items() if len(w) <= 64])
         long = {w: ids for w, ids in rare.items() if len(w) > 64}
         if long:
             return [b"".join([long[w] if w in long else known[w] for w in words]) for words in lists]
-        return [b"".join([known[w] for w in words]) for words in lists]
+        return [b"".join(map(known.__getitem__, words)) for words in lists]
 
     def ids(self, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, self.type)
 
     def decode(self, ids) -> str:
+        return self.decoded(np.asarray(ids, np.int64)).decode()
+
+    def decoded(self, ids: np.ndarray) -> bytes:
+        """The library's text of the ids, in UTF-8."""
+        if self.tokens is not None and (not len(ids) or 0 <= ids.min() and ids.max() < len(self.tokens)):
+            return b" ".join(self.tokens[ids].tolist())
+        return self._decode(ids).encode()
+
+    def _decode(self, ids) -> str:
         return self.library.decode(ids.tolist() if isinstance(ids, np.ndarray) else list(ids), skip_special_tokens=False)
 
 
@@ -344,7 +356,7 @@ Finish = Callable[[np.ndarray, Codec], tuple]
 
 
 def _digests(ids: np.ndarray, c: Codec) -> tuple:
-    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decode(ids).encode()).hexdigest()
+    return len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(c.decoded(ids)).hexdigest()
 
 
 DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
