@@ -6,6 +6,7 @@ holds the evidence.
 An item's text is both its question (its words, by BM25) and its evidence (the quote to be found).
 
 * ``OUT/store``: the documents' terms, in partitions ticker, year;
+* ``OUT/holding``: which document holds which item's quote, found once;
 * ``OUT/results``: a row an item, in partitions kind: the documents that came back in their order, the first rank that
   holds the quote, whether one does (quote_found) and all documents that hold it do (hit_all, of k at most);
 * ``OUT/rates``: JSON, a row a kind and one for all: questions, quote_found and hit_all in per cent, and the mean
@@ -80,6 +81,8 @@ def run(spark: SparkSession, documents: str, items: str, out: str, k: int = 5, l
     found = found.select(F.col("ask").alias("item_id"), F.col("id").alias("doc_id"), "rank")
     said = asked.where(F.length(F.trim("quote")) > 0)
     holding = evaluation.quoted(docs.select(F.col("id").alias("doc_id"), "text"), said)
+    holding.write.mode("overwrite").parquet(f"{out}/holding")
+    holding = spark.read.schema(holding.schema).parquet(f"{out}/holding")  # it is asked twice
     scored(asked, found, holding, k, long_words).write.mode("overwrite").partitionBy("kind").parquet(f"{out}/results")
     results = spark.read.schema(RESULTS).parquet(f"{out}/results")
     rates(results).coalesce(1).write.mode("overwrite").json(f"{out}/rates")  # a row a kind

@@ -325,3 +325,16 @@ def test_lookup_tells_what_is_missing(spark):
         (None, "2024"): (None, None, "ticker (null) is not in the registry"),
     }
     assert tables.looked_up(wanted, registry.limit(0), names.limit(0)).where("error IS NULL").count() == 0
+
+
+def test_quotes_are_proven_on_the_texts_that_met_one(spark):
+    """Texts that met no quote are neither normalised again nor shuffled."""
+    from vellumgrid.operators import evaluation
+
+    docs = spark.createDataFrame([(k, f"some words  {k} that stand before the others here {k}") for k in range(50)], "doc_id long, text string")
+    quotes = spark.createDataFrame([(1, "7 that stand before the others here 7"), (2, "nothing of this is in any of the texts")], "item_id long, quote string")
+    found = evaluation.quoted(docs, quotes)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
+    assert [tuple(r) for r in found.collect()] == [(7, 1)]
+    assert [tuple(r) for r in evaluation.quoted(docs, quotes, block=1).collect()] == [(7, 1)]

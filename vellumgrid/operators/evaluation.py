@@ -30,8 +30,9 @@ def quoted(docs: DataFrame, quotes: DataFrame, most: int = 6, block: int = 100_0
     that contains it, so the first ``most`` of these are looked up among the texts' windows, which are made in one
     pass for the lengths that quotes have.  Of a quote without such words the longest word is part of a word
     of the text, so it is looked for in the distinct words, for ``block`` quotes at a time.  Every
-    match is proven on the text.  Null texts and quotes are in no row; an empty quote is in every text."""
-    docs = docs.select("doc_id", normal_space(F.col("text")).alias("text"))
+    match is proven on the text, of which only those that met a quote are read for it, without a shuffle of the
+    others while these are ``block`` at most.  Null texts and quotes are in no row; an empty quote is in every text."""
+    given, docs = docs, docs.select("doc_id", normal_space(F.col("text")).alias("text"))
     quotes = quotes.where(F.col("quote").isNotNull()).select("item_id", normal_space(F.col("quote")).alias("quote"))
     w = F.split("quote", " ")
     long = F.array_sort(w, lambda x, y: F.length(y) - F.length(x))
@@ -55,8 +56,11 @@ def quoted(docs: DataFrame, quotes: DataFrame, most: int = 6, block: int = 100_0
         met.append(words.join(held, "word").select("doc_id", "item_id"))
     if not met:
         return docs.join(quotes, F.lit(False)).select("doc_id", "item_id")
-    found = reduce(DataFrame.unionByName, met).distinct()
-    found = found.join(quotes.select("item_id", "quote"), "item_id").join(docs, "doc_id")
+    found = reduce(DataFrame.unionByName, met).distinct().persist()  # ids
+    near = found.select("doc_id").distinct()
+    near = F.broadcast(near) if near.limit(block + 1).count() <= block else near
+    texts = given.join(near, "doc_id", "left_semi").select("doc_id", normal_space(F.col("text")).alias("text"))
+    found = found.join(quotes.select("item_id", "quote"), "item_id").join(texts, "doc_id")
     return found.where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
 
 
