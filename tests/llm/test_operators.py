@@ -437,3 +437,42 @@ def test_ordinal_fit_is_a_best_one():
     for k in range(2):
         for step in (-0.05, 0.05):
             assert loss(weights, cuts + step * (np.arange(2) == k)) > best - 1e-6
+
+
+def test_candidates_hardly_exceed_the_links(spark, monkeypatch):
+    """Passages that many texts hold give no row for each pair of them, and each link is followed once, not again in every round."""
+    rng = random.Random(11)
+    passages = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=12)) for _ in range(40)]
+    texts = [" ".join(rng.sample(passages, 10)) for _ in range(150)]
+    texts += [f"{t} more" for t in texts[:40]]
+    pairs, followed = [], []
+    candidates, follow = simhash.candidates, simhash.components
+
+    def counted(*args):
+        pairs.append(candidates(*args).cache())
+        return pairs[-1]
+
+    def followed_by(links):
+        followed.append(links.distinct().count())
+        return follow(links)
+
+    monkeypatch.setattr(simhash, "candidates", counted)
+    monkeypatch.setattr(simhash, "components", followed_by)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = {r["doc_id"] for r in simhash.copies(docs, simhash.CopySettings(sample=0)).collect()}
+    assert gone == set(range(150, 190))
+    assert sum(p.count() for p in pairs) < 200 and sum(followed) < 60
+
+
+@given(st.lists(st.tuples(st.sets(st.integers(0, 2**64 - 1), max_size=40), st.integers(0, 1500)), min_size=2, max_size=6), st.integers(0, 99))
+@settings(max_examples=40, deadline=None)
+def test_sketches_bound_the_difference(sets, seed):
+    rng = np.random.default_rng(seed)
+    common = rng.integers(0, 2**63, 1500, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([np.array(sorted(x), np.uint64), common[:n]])) for x, n in sets]
+    import pyarrow as pa
+
+    sketches = simhash.Sketches(pa.array([simhash.Sketches.folded(simhash.parities(x)) for x in sets], pa.binary()))
+    x, y = (i.ravel() for i in np.indices((len(sets), len(sets))))
+    for a, b, d in zip(x, y, sketches.differing(x, y), strict=True):
+        assert d <= len(np.setxor1d(sets[a], sets[b])) and (a != b or d == 0)

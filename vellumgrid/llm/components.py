@@ -23,6 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     # contract: each node keeps its smallest partner, to which its other partners move
     moved = spread_join(links, links.groupBy("b").agg(F.min("a").alias("m")), "b")
     moved = moved.select("m", F.explode(F.array("a", "b")).alias("b")).where(F.col("m") != F.col("b")).withColumnRenamed("m", "a").unionByName(links.where(F.col("a") == F.col("b")))
+    moved = cut(moved.distinct())  # it is read in both directions
     pairs = cut(moved.unionByName(moved.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
     hubs = hot_keys(pairs, "b")  # the same in all rounds

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lean, pieces, release, sampled, small, spread_join, stored
+from .common import cut, lean, members, pieces, release, sampled, small, spread_join, stored
 from .components import components
 
 SEED = 42
@@ -331,6 +331,39 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
 
 
+class Sketches:
+    """Parities of many sets, of half of the bins (256 at least): their pairs are held against each other in bulk."""
+
+    def __init__(self, odd: pa.Array):
+        ends = np.frombuffer(odd.buffers()[1], np.int32)[odd.offset : odd.offset + len(odd) + 1]
+        data, begin, self.widths = np.frombuffer(odd.buffers()[2] or b"", np.uint8), ends[:-1].astype(np.int64), np.diff(ends)
+        self.at, self.words = {}, {}
+        for width in np.unique(self.widths).tolist():
+            rows = np.flatnonzero(self.widths >= width)
+            words = np.empty((len(rows), width), np.uint8)
+            for own in np.unique(self.widths[rows]).tolist():
+                of = np.flatnonzero(self.widths[rows] == own)
+                for part in np.array_split(of, len(of) * own // (1 << 21) + 1):
+                    words[part] = np.bitwise_xor.reduce(data[begin[rows[part]][:, None] + np.arange(own)].reshape(len(part), -1, width), axis=1)
+            self.at[width] = np.full(len(self.widths), -1, np.int64)
+            self.at[width][rows] = np.arange(len(rows))
+            self.words[width] = words.view(np.uint64)
+
+    @staticmethod
+    def folded(odd: bytes) -> bytes:
+        x = np.frombuffer(odd, np.uint8)
+        return np.bitwise_xor.reduce(x.reshape(-1, max(32, len(x) // 2)), axis=0).tobytes()
+
+    def differing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """At least so many elements are in one of the sets x[i] and y[i] only."""
+        out, width = np.zeros(len(x), np.int64), np.minimum(self.widths[x], self.widths[y])
+        for w in np.unique(width).tolist():
+            at, words, of = self.at[w], self.words[w], np.flatnonzero(width == w)
+            for part in np.array_split(of, len(of) * w // (1 << 23) + 1):
+                out[part] = np.bitwise_count(words[at[x[part]]] ^ words[at[y[part]]]).sum(1, dtype=np.int64)
+        return out
+
+
 def prefix_length(size: int, similarity: float) -> int:
     """Sets of that similarity share an element among so many first ones of each, in any
     order that all sets have in common."""
@@ -352,18 +385,20 @@ def frequent_shingles(docs: DataFrame, s: CopySettings) -> np.ndarray:
 
 
 def candidates(rows: DataFrame, sizes: DataFrame, most: int, s: CopySettings) -> DataFrame:
-    """``rows(h, key, size, pos, root)`` and ``sizes(h, n)`` -> a, b: pairs whose similarity can be reached, by
+    """``rows(h, key, size, pos, root, odd)`` and ``sizes(h, n)`` -> a, b: pairs whose similarity can be reached, by
     prefix filtering: the first shingle that two sets share is in both prefixes, and what
-    follows it in the shorter remainder bounds what they share.  Documents of one group (``root``)
+    follows it in the shorter remainder bounds what they share; and so do the folded parities ``odd``, which
+    leave hardly more pairs than there are links.  Documents of one group (``root``)
     need no pair, and a document takes ``most`` partners of another group, those with the
     smallest keys; where a shingle h has more, a row (-1, h) says so."""
-    rows = chunked(rows, sizes, ["h"], "key", s.bucket).select("h", "i", "j", "key", "size", "pos", "root")
+    rows = chunked(rows, sizes, ["h"], "key", s.bucket).select("h", "i", "j", "key", "size", "pos", "root", "odd")
 
     def solve(table: pa.Table, groups: np.ndarray) -> pa.RecordBatch:
         key, size, pos, root = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "size", "pos", "root"))
         h = table.column("h").to_numpy()
         order = np.lexsort((size, groups))
         key, size, pos, root, groups, h = (x[order] for x in (key, size, pos, root, groups, h))
+        sketches = Sketches(table.column("odd").combine_chunks().take(pa.array(order)))
         # rows of a group are met by those after them of up to size / similarity
         at = groups * (1 << 32) + size
         stop = np.searchsorted(at, groups * (1 << 32) + np.floor(size / s.similarity + 1e-6).astype(np.int64), side="right")
@@ -377,6 +412,9 @@ def candidates(rows: DataFrame, sizes: DataFrame, most: int, s: CopySettings) ->
             shared = np.minimum(size[x] - pos[x], size[y] - pos[y])
             ok = (shared >= s.similarity / (1 + s.similarity) * (size[x] + size[y]) - 1e-6) & (root[x] != root[y])
             x, y = x[ok], y[ok]
+            total, apart = size[x] + size[y], sketches.differing(x, y)
+            ok = total - apart >= s.similarity * (total + apart) - 1e-6
+            x, y = x[ok], y[ok]
             for _ in range(2):  # either side's partners
                 by = np.lexsort((key[y], root[y], x))
                 x, y = x[by], y[by]
@@ -393,6 +431,40 @@ def candidates(rows: DataFrame, sizes: DataFrame, most: int, s: CopySettings) ->
     return by_group(rows, ["h", "i", "j"], solve, "a long, b long").distinct()
 
 
+def shared_rows(named: DataFrame, shared) -> DataFrame:
+    """``named(key, size, root, prefix, odd)`` -> h, key, size, pos, root, odd (folded): a row for each shingle of a prefix
+    that the broadcast bitmap ``shared`` has, as others are in one prefix only."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                prefix = piece.column("prefix")
+                n = prefix.value_lengths().to_numpy(zero_copy_only=False)
+                h = prefix.flatten().to_numpy().view(np.uint64)
+                at = np.flatnonzero(shared.value.has(h))
+                of = np.repeat(np.arange(len(n)), n)[at]
+                odd = pa.array([Sketches.folded(x) for x in piece.column("odd").to_pylist()], pa.binary())
+                taken = {c: piece.column(c).take(pa.array(of)) for c in ("key", "size", "root")}
+                pos = (at - (np.cumsum(n) - n)[of]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), taken["key"], taken["size"], pa.array(pos), taken["root"], odd.take(pa.array(of))], ["h", "key", "size", "pos", "root", "odd"])
+
+    return named.select("key", "size", "root", "prefix", "odd").mapInArrow(lean(made), "h long, key long, size int, pos int, root long, odd binary")
+
+
+def merged(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The groups ``roots(node, root)`` after the links ``pairs(a, b)``, of which only those between groups, as
+    links of their roots, are followed."""
+    root = lambda c: small(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")))
+    named = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    between = named.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    between = cut(between)
+    if not between.limit(1).count():
+        return roots
+    to = small(components(between).select(F.col("root").alias("to"), F.col("node").alias("root")))
+    new = to.select(F.col("root").alias("node"), "root").join(roots.select("node"), "node", "left_anti")
+    return cut(roots.unionByName(new).join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
 def grouped(nodes: DataFrame, items: Callable[[DataFrame], DataFrame], s: CopySettings) -> DataFrame:
     """``nodes(key, size, prefix, fp, odd)``, materialised, and ``items(keys)`` -> key, items -> node, root: the
     groups that all pairs of the stated similarity make, of nodes in any pair.
@@ -420,19 +492,17 @@ def grouped(nodes: DataFrame, items: Callable[[DataFrame], DataFrame], s: CopySe
         release(sets)
         return made
 
-    found = proven(cut(links(nodes.select(F.col("key").alias("node"), "fp").where(F.size("prefix") > 0), s.k, s.bucket).distinct()))
-    sizes = nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    sizes = cut(sizes.where(F.col("n") > s.bucket))
+    roots = components(proven(cut(links(nodes.select(F.col("key").alias("node"), "fp").where(F.size("prefix") > 0), s.k, s.bucket).distinct())))
+    sizes = cut(nodes.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     most, left = s.first, None
     while True:
-        roots = components(found)
         named = nodes.join(small(roots.withColumnRenamed("node", "key")), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        rows = named.select("key", "size", "root", F.posexplode("prefix").alias("pos", "h"))
-        made = cut(candidates(rows if left is None else rows.join(left, "h", "left_semi"), sizes, most, s))
-        found = cut(found.unionByName(proven(made.where(F.col("a") >= 0))))
-        left = small(made.where(F.col("a") < 0).select(F.col("b").alias("h")).distinct())
+        rows = shared_rows(named, nodes.sparkSession.sparkContext.broadcast(members(sizes if left is None else left, "h")))
+        made = cut(candidates(rows if left is None else rows.join(small(left), "h", "left_semi"), sizes, most, s))
+        roots = merged(roots, proven(made.where(F.col("a") >= 0)))
+        left = cut(made.where(F.col("a") < 0).select(F.col("b").alias("h")).distinct())
         if not left.limit(1).count():
-            return components(found)
+            return roots
         most *= 8
 
 
