@@ -183,6 +183,61 @@ def test_many_asks_are_answered_by_one_scan(spark):
     store.unpersist()
 
 
+def test_asks_of_words_are_one_scan_with_floors(spark, monkeypatch):
+    """More asks than were one scan before; what some chunks reach leaves nothing out, ties and small blocks included."""
+    word = lambda i, j: "thecatdogowlantbee"[(k := (i * 5 + j * j + i // 7) % 6 * 3) : k + 3]
+    docs = spark.createDataFrame([(i, None if i % 40 == 0 else " ".join([word(i, j) for j in range(i % 9)] + ["of"] * (i % 4 > 0))) for i in range(400)], "id long, text string")
+    lists = [[["the"], ["cat"]], [["dog"], ["owl"], ["dog"]], [["of"]], [["of"], ["bee"], ["nothing"]], [["nothing"]], []]
+    asks = spark.range(9000).select(F.col("id").alias("ask"), F.get(F.lit(lists), (F.col("id") % 6).cast("int")).alias("phrases"))
+    want = sorted((r["qid"], r["id"], r["rank"], round(r["score"], 9)) for r in lexical.search(lexical.build(docs), asks.where("ask < 6").withColumnRenamed("ask", "qid"), n=3).collect())
+    assert {q for q, *_ in want} == {0, 1, 2, 3}
+    store = stored.rows(docs.repartition(3)).cache()
+    for floors, rows in ((1 << 28, 1024), (0, 1024), (0, 8)):
+        monkeypatch.setattr(stored, "FLOORS", floors, raising=False)
+        monkeypatch.setattr(stored, "ROWS", rows)
+        found = stored.lists(store, asks, dense=0, keyword=3)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        got: dict = {}
+        for r in found.collect():
+            got.setdefault(r["ask"], []).append((r["ask"] % 6, r["id"], r["rank"], round(r["value"], 9)))
+        assert sorted(r for q in range(6) for r in got.get(q, [])) == want
+        assert len(got) == 6000 and all(sorted(x) == sorted(got[q % 6]) for q, x in got.items())
+    store.unpersist()
+
+
+def test_sums_in_quanta_leave_out_none_of_the_best():
+    """Against all scores, over blocks, with floors, filters and ties."""
+    import numpy as np
+    import pyarrow as pa
+
+    chance = np.random.default_rng(3)
+    lists = [[[f"w{w}"] for w in chance.integers(0, 60, n)] for n in chance.integers(0, 30, 200)]
+    p = stored._Phrases(pa.array(lists, pa.list_(pa.list_(pa.string()))))
+    weights = chance.random(p.size) * 12 * (chance.random(p.size) < 0.8) + 1e-6
+    table = np.where(chance.random((900, p.size)) < 0.3 * chance.random(p.size), weights * chance.choice([0.5, 1.0, 1.7], (900, p.size)), 0.0)
+    table[chance.integers(0, 900, 300)] = table[7]
+    kinds, keys = chance.random((3, p.asks)) < 0.7, chance.integers(0, 3, 900)
+    of = np.zeros((p.size, p.asks))
+    of[p.code, np.repeat(np.arange(p.asks), p.n)] = 1
+    scores = np.where(kinds[keys], table @ of, 0)
+    best = {q: sorted((-round(x, 9), i) for i, x in enumerate(scores[:, q]) if x > 0)[:5] for q in range(p.asks)}
+    fifth = np.array([-x[4][0] - 1e-9 if len(x) > 4 else 0.0 for x in best.values()])
+    for floor in (np.zeros(p.asks), fifth, fifth / 2):
+        kept = stored._Kept(p, 5, floor)
+        for at in range(0, 900, 300):
+            here = slice(at, at + 300)
+            r, code = np.nonzero(table[here])
+            block = stored._Block(p, 300, r.astype(np.int32), code.astype(np.int32), table[here][r, code], kinds, keys[here])
+            for q, x in block.sums():
+                assert (abs(x * block.quantum - scores[here, q]) <= (p.n[q] + 1) * block.quantum).all()
+            kept.meet(block, pa.array(np.arange(at, at + 300)))
+        q, value, ids = kept.rows()
+        got: dict = {k: [] for k in range(p.asks)}
+        for k, x, i in zip(q.tolist(), value.tolist(), ids.to_pylist(), strict=True):
+            got[k].append((-round(x, 9), i))
+        assert {k: [i for _, i in sorted(x)] for k, x in got.items()} == {k: [i for _, i in x] for k, x in best.items()}
+
+
 def test_batches_are_worked_on_in_parts():
     """What a worker holds besides its batch does not grow with the batch."""
     import tracemalloc
