@@ -205,6 +205,21 @@ def test_asks_of_words_are_one_scan_with_floors(spark, monkeypatch):
     store.unpersist()
 
 
+def test_chunks_are_dealt_out_before_their_terms_are_made(spark, tmp_path):
+    """What is shuffled are the texts; a filing that is written again takes the place of the old one."""
+    plans: list[str] = []
+    with pytest.MonkeyPatch.context() as patch:
+        write = stored.write
+        patch.setattr(stored, "write", lambda made, *a, **b: (plans.append(made._jdf.queryExecution().optimizedPlan().toString()), write(made, *a, **b))[1])
+        catalog.stored_replace(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and all(0 <= p.find("ArrowEvalPython") < p.find("Rebalance") for p in plans)
+    docs = spark.createDataFrame([(1, "a", "2025", "cat"), (2, "a", "2025", "dog"), (3, "b", "2024", "owl")], "id long, ticker string, year string, text string")
+    made = stored.rows(stored.dealt(docs))
+    stored.write(made, path := f"{tmp_path}/store", done=True)
+    stored.write(stored.rows(stored.dealt(docs.where("id = 2"))), path, done=True)
+    assert sorted((r["id"], r["terms"], r["year"]) for r in stored.read(spark, path, made).collect()) == [(2, ["dog"], "2025"), (3, ["owl"], "2024")]
+
+
 def test_sums_in_quanta_leave_out_none_of_the_best():
     """Against all scores, over blocks, with floors, filters and ties."""
     import numpy as np

@@ -32,7 +32,7 @@ from ..functions.text import words
 #: Asks of one scan (if they are words only), vectors that are met at once, and chunks that they meet at once.
 SCAN, SCAN_WORDS, BLOCK, ROWS = 8192, 1 << 18, 256, 1024
 #: Phrases of a block with a vector over its rows, its hits, and pairs of ask and chunk that are scored as they are at once.
-WIDE, HITS, PAIRS = 512, 1 << 22, 1 << 18
+WIDE, HITS, PAIRS = 512, 5 << 19, 1 << 17
 #: From so many pairs of ask and chunk on, one chunk in a few is asked first: what the k-th best of these reaches, that of all reaches.
 FLOORS = 1 << 28
 #: Words that are sorted at once.
@@ -109,10 +109,16 @@ def rows(chunks: DataFrame, vector: Column | None = None, pattern: str = "[a-z0-
     return told.withColumn("v", vector).select(*chunks.columns, "__t.*", "v")
 
 
-def write(made: DataFrame, path: str, keys: tuple[str, ...] = ("ticker", "year")) -> None:
-    """Write the filings of ``made``, each in place of what the store has of it.  Rows are dealt out by filing
-    first, large ones to several tasks, so that a filing is a few files and not one of every task."""
-    made.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+def dealt(chunks: DataFrame, keys: tuple[str, ...] = ("ticker", "year")) -> DataFrame:
+    """Dealt out by filing, large ones to several tasks, so that a filing is a few files and not one of every task."""
+    return chunks.hint("rebalance", *keys)
+
+
+def write(made: DataFrame, path: str, keys: tuple[str, ...] = ("ticker", "year"), done: bool = False) -> None:
+    """Write the filings of ``made``, each in place of what the store has of it.  They are dealt out first, unless that is
+    ``done``, best with the chunks: their terms and places are several times as large."""
+    own = made if done else dealt(made, keys)
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
@@ -245,14 +251,15 @@ class _Ranked:
 
 
 def _sorting(keys: np.ndarray) -> np.ndarray:
-    """The order of distinct keys; numbers that hold their own place sort several times faster than places."""
+    """The order of distinct keys, which are used up; numbers that hold their own place sort several times faster than places."""
     bits = max(len(keys) - 1, 1).bit_length()
     if not len(keys) or int(keys.max()).bit_length() + bits > 63:
         return np.argsort(keys)
-    both = (keys << bits) | np.arange(len(keys))
-    both.sort()
-    both &= (1 << bits) - 1
-    return both
+    keys <<= bits
+    keys |= np.arange(len(keys))
+    keys.sort()
+    keys &= (1 << bits) - 1
+    return keys
 
 
 class _Block:
@@ -287,7 +294,7 @@ class _Block:
             table[k, place[here]] = value[here]
         self.table = list(table)
         spans = [(e - n, e) for e, n in zip(end.tolist(), self.n.tolist(), strict=True)]
-        self.places, self.values = [place[a:b] for a, b in spans], [value[a:b] for a, b in spans]
+        self.places, self.values = [place[a:b] if a < b else None for a, b in spans], [value[a:b] if a < b else None for a, b in spans]
 
     def sums(self) -> Iterator[tuple[int, np.ndarray]]:
         """Each ask that any chunk may answer, and the scores of all rows in quanta (one array, used again): above zero where a row has
@@ -529,6 +536,7 @@ def _lists(store: DataFrame, asked: pa.Table, kind: str, dense: int, keyword: in
 
         def made() -> tuple[_Block, pa.Array]:
             r, of, w = (np.concatenate(x) for x in zip(*hits, strict=True))
+            hits.clear()
             keys = [part.select([*filters, "id"]) for part in parts]
             return _Block(p, n, r, of, w, *keyed(keys, known)), pa.concat_arrays([part.column("id") for part in keys])
 
@@ -600,5 +608,5 @@ def _lists(store: DataFrame, asked: pa.Table, kind: str, dense: int, keyword: in
 
     own = store.select("id", "dl", *phrases.columns(), *filters, *(["v"] if dense and len(fits) else []))
     if n * phrases.asks >= FLOORS:  # a task spends time on each ask, however few chunks it has
-        own = own.coalesce(max(context.defaultParallelism, -(-n // (12 * ROWS))))
+        own = own.coalesce(max(context.defaultParallelism, -(-n // (9 * ROWS))))
     return own.mapInArrow(score, f"ask {kind}, dense boolean, id {store.schema['id'].dataType.simpleString()}, value double, key double")

@@ -670,8 +670,8 @@ def dimension_check(spark, sf_dir):
 
 def store(spark, sf_dir, embed: bool = False) -> DataFrame:
     """The chunks' store, written and read back."""
-    made = stored.rows(rows := chunks(spark, sf_dir), models.embedded(F.col("text")) if embed else None)
-    stored.write(made, path := tables.fresh_path(rows.sparkSession, "store"))
+    made = stored.rows(rows := stored.dealt(chunks(spark, sf_dir)), models.embedded(F.col("text")) if embed else None)
+    stored.write(made, path := tables.fresh_path(rows.sparkSession, "store"), done=True)
     return stored.read(spark, path, made)
 
 
@@ -723,9 +723,10 @@ def stored_topk(spark, sf_dir):
 @query(stored_sql("NOT (source = 'src2' AND doc_id % 3 = 1 AND doc_id % 2 = 1)"))
 def stored_replace(spark, sf_dir):
     """SNK-6, SNK-9: a filing is replaced by half of its chunks; all scores are those of a new store."""
-    made = stored.rows(rows := chunks(spark, sf_dir))
-    stored.write(made, path := tables.fresh_path(spark, "store"))
-    stored.write(stored.rows(rows.where("ticker = 'src2' AND year = '2025' AND id % 2 = 0")), path)
+    rows = chunks(spark, sf_dir)
+    made = stored.rows(stored.dealt(rows))
+    stored.write(made, path := tables.fresh_path(spark, "store"), done=True)
+    stored.write(stored.rows(stored.dealt(rows.where("ticker = 'src2' AND year = '2025' AND id % 2 = 0"))), path, done=True)
     return asked_of(spark, sf_dir, stored.read(spark, path, made))
 
 
